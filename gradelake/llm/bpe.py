@@ -101,16 +101,46 @@ def pieces(text: str) -> list[str]:
 
 
 class Remembered(dict):
-    """A dict that fills itself by ``make``; emptied when it holds ``limit`` keys. Long keys are not kept."""
+    """A dict that fills itself by ``make`` and holds at most two generations of ``limit`` keys.
 
-    def __init__(self, make, limit: int = 400_000, longest: int = 64):
+    When the young generation is full it becomes the old one; keys used again come back from
+    there, the others are forgotten. Long keys are not kept.
+    """
+
+    def __init__(self, make, limit: int = 250_000, longest: int = 48):
         super().__init__()
-        self.make, self.limit, self.longest = make, limit, longest
+        self.make, self.limit, self.longest, self.old = make, limit, longest, {}
 
     def __missing__(self, key):
-        value = self.make(key)
+        value = self.old.get(key)
+        if value is None:
+            value = self.make(key)
         if len(key) <= self.longest:
             if len(self) >= self.limit:
+                self.old = dict(self)
                 self.clear()
             self[key] = value
         return value
+
+
+class ByPiece:
+    """What ``of_word`` makes of the pre-tokens of a piece, put together by ``join`` and remembered.
+
+    Letters after a space are remembered without it, once for all pieces that hold them.
+    """
+
+    def __init__(self, of_word, join):
+        self.of_word, self.join = of_word, join
+        self.bare = Remembered(of_word, 50_000)
+        self.spaced = Remembered(self._spaced)
+        self.first = Remembered(lambda piece: join(map(self.bare.__getitem__, pretokens(piece))), 20_000)
+
+    def _spaced(self, piece: str):
+        if piece.isalpha():
+            return self.of_word(" " + piece)
+        found = pretokens(" " + piece)
+        return self.join([self.spaced[w[1:]] if w[0] == " " and w[1:].isalpha() else self.bare[w] for w in found])
+
+    def __call__(self, text: str) -> list:
+        head, *rest = pieces(text)
+        return [self.first[head], *map(self.spaced.__getitem__, rest)]

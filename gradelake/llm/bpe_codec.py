@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gradelake.llm.bpe import SHIFT, Remembered, Vocabulary, load, pieces, pretokens
+from gradelake.llm.bpe import SHIFT, ByPiece, Vocabulary, load
 
 _NEVER = 1 << 40
 
@@ -42,10 +42,7 @@ class Encoder:
                 self.automaton.add_word(v.text[t].decode("latin-1"), t)
         self.automaton.make_automaton()
         self.whole = {v.text[t]: t for t, ok in enumerate(valid) if ok}
-        word = Remembered(self._ids_of)
-        join = lambda tokens: b"".join(map(word.__getitem__, tokens))
-        self.first = Remembered(lambda p: join(pretokens(p)), 50_000)
-        self.spaced = Remembered(lambda p: join(pretokens(" " + p)))
+        self.pieces = ByPiece(self._ids_of, b"".join)
 
     def _spine(self, token: int, side: int) -> list[int]:
         kept = (self.lefts, self.rights)[side]
@@ -82,7 +79,7 @@ class Encoder:
     def _compatible(self, a: int, b: int) -> bool:
         key = a << SHIFT | b
         if (ok := self.pairs.get(key)) is None:
-            if len(self.pairs) >= 1_000_000:
+            if len(self.pairs) >= 400_000:
                 self.pairs.clear()
             ok = self.pairs[key] = self._first_crossing(a, b) is None
         return ok
@@ -125,9 +122,7 @@ class Encoder:
             if special:
                 out.append(array("i", [self.vocabulary.special[part]]).tobytes())
                 continue
-            head, *rest = pieces(part)
-            out.append(self.first[head])
-            out.extend(map(self.spaced.__getitem__, rest))
+            out.extend(self.pieces(part))
         return np.frombuffer(b"".join(out), np.int32)
 
 

@@ -9,15 +9,29 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder named by spark.checkpoint.dir; only where the session names none (tests, one machine), one of our own."""
+    sc = spark.sparkContext
+    if sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="gradelake-"))
+    return sc.getCheckpointDir()
+
+
 def checkpoint(df: DataFrame) -> DataFrame:
-    """Cut the lineage of ``df`` in the shared folder named by spark.checkpoint.dir.
+    """Cut the lineage of ``df`` in the shared folder."""
+    shared_folder(df.sparkSession)
+    return df.checkpoint(eager=True)
 
-    Only where the session names none (tests, one machine) a folder of our own is set.
+
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Let Arrow hand texts to Python in batches of at most ``rows`` rows, a few MB, not 10,000.
+
+    Whole texts, their arrays and results are held a batch at a time, which bounds a worker's
+    memory. A smaller setting of the session stays.
     """
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="gradelake-"))
-    return df.checkpoint(eager=True)
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(key)) > rows or int(spark.conf.get(key)) <= 0:
+        spark.conf.set(key, rows)
 
 
 def components(edges: DataFrame, a: str, b: str) -> DataFrame:
@@ -73,4 +87,5 @@ def union_all(frames: list[DataFrame]) -> DataFrame:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

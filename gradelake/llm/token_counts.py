@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gradelake.llm.bpe import SHIFT, Remembered, Vocabulary, load, pieces, pretokens
+from gradelake.llm.bpe import SHIFT, ByPiece, Vocabulary, load
 
 _POS = 40  # bits of a heap entry that hold the position
 
@@ -48,24 +48,16 @@ def merged_length(symbols: list[int], merge: dict[int, int]) -> int:
 
 
 class Counter:
-    """Counts of whole texts; pre-tokens and pieces seen before are remembered in bounded tables."""
+    """Counts of whole texts; pieces seen before are remembered in bounded tables."""
 
     def __init__(self, data: bytes):
         self.vocabulary = load(data, Vocabulary)
         merge = self.vocabulary.merge
-        word = Remembered(lambda w: merged_length(list(w.encode()), merge))
-        self.first = Remembered(lambda p: sum(map(word.__getitem__, pretokens(p))), 50_000)
-        self.spaced = Remembered(lambda p: sum(map(word.__getitem__, pretokens(" " + p))))
+        self.pieces = ByPiece(lambda word: merged_length(list(word.encode()), merge), sum)
 
     def count(self, text: str | None) -> int:
-        total = 0
-        for part, special in self.vocabulary.segments(text or ""):
-            if special:
-                total += 1
-                continue
-            head, *rest = pieces(part)
-            total += self.first[head] + sum(map(self.spaced.__getitem__, rest))
-        return total
+        parts = self.vocabulary.segments(text or "")
+        return sum(1 if special else sum(self.pieces(part)) for part, special in parts)
 
 
 def token_counts(docs: DataFrame, vocabulary_path: str, text_col: str = "text", limit: int = 512, out: str = "n_tokens") -> DataFrame:
