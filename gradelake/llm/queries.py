@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gradelake.llm import bpe_codec, lang_id, secrets, token_counts, url_filter
+from gradelake.llm import bpe_codec, decontam, embedding_dedup, lang_id, paragraph_dedup, secrets, simhash, suffix_dedup, token_counts, url_filter
 from gradelake.llm.common import table
 
 VOCABULARY = "byte_bpe_50k.json"
@@ -18,11 +18,39 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(docs, public_tokenizers.path(VOCABULARY)).select("doc_id", "n_bytes", "n_tokens", "over_limit")
 
 
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = suffix_dedup.suffix_dedup(docs, length=50)
+    return found.select("doc_id", "n_bytes", "n_removed", F.size(F.coalesce("starts", F.array().cast("array<int>"))).cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def op3_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = simhash.simhash_components(docs, words=4, max_bits=4)
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def op4_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label")
+    return embedding_dedup.embedding_classes(vectors, cosine=0.98)
+
+
 def op5_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
     return url_filter.url_filter(pages, URL_RULES).select("page_id", "host", "path", "rule", "verdict", "llr")
 
 
+def op6_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    benchmark = table(spark, sf_dir, "benchmark").select("item_id", "text")
+    return decontam.contamination(docs, benchmark)
+
+
+def op7_paragraph_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return paragraph_dedup.removals(paragraph_dedup.duplicate_paragraphs(docs))
+
+
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     fold = F.crc32(F.col("doc_id").cast("string")) % 4
@@ -44,5 +72,5 @@ def op10_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2("base_list", 256).alias("base_sha256"), F.col("span_list").alias("spans"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op5_url_filters, op8_language_id, op9_bpe_codec, op10_secret_scans)}
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_suffix_dedup, op3_simhash_dedup, op4_embedding_dedup, op5_url_filters, op6_benchmark_decontamination, op7_paragraph_dedup, op8_language_id, op9_bpe_codec, op10_secret_scans)}
 ORACLE: dict[str, str] = {}

@@ -81,3 +81,24 @@ def secret_scan(docs: DataFrame, text_col: str = "text", repo_col: str = "doc_id
     count = lambda k: F.size(F.filter("base_spans", lambda s: s["rank"] == k)).cast("long")
     out = out.withColumns({"n_assign": count(0), "n_access": count(1), "n_hex": count(2), "base_list": _listed(F.col("base_spans")), "span_list": _listed(F.concat("base_spans", "owned_spans"))})
     return out.drop("_wide", "_repo", "_live")
+
+
+def masked(docs: DataFrame, mask: str, text_col: str = "text", **options) -> DataFrame:
+    """The rows with each stretch of ``text_col`` that spans cover replaced by ``mask``; null texts stay null.
+
+    Of a base span of the assign kind the whole match goes, name and value. Overlapping spans
+    are one stretch.
+    """
+    columns = [c for c in docs.columns if c != text_col]
+    found = secret_scan(docs.select(*columns, F.col(text_col)), text_col, **options)
+    spans = F.array_sort(F.concat("base_spans", "owned_spans"))
+
+    def step(state: Column, span: Column) -> Column:
+        start, end = span["start"], F.greatest(span["end"], state["at"])
+        between = F.substring(F.col(text_col), state["at"] + 1, F.greatest(start - state["at"], F.lit(0)))
+        fresh = F.concat(state["out"], between, F.lit(mask))
+        return F.struct(end.alias("at"), F.when(start < state["at"], state["out"]).otherwise(fresh).alias("out"))
+
+    begin = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+    clean = F.aggregate(spans, begin, step, lambda s: F.concat(s["out"], F.substring(F.col(text_col), s["at"] + 1, F.lit(2**31 - 1))))
+    return found.withColumn(text_col, F.when(F.size(spans) > 0, clean).otherwise(F.col(text_col))).select(docs.columns)
