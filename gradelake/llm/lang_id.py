@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 UNKNOWN = "und"
+_AT_ONCE = 1_000_000
 _BITS = 21  # of a code point; three fit one integer
 _letters: list[np.ndarray] = []
 
@@ -57,8 +58,10 @@ def language_profiles(docs: DataFrame, text_col: str = "text", lang_col: str = "
     def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for lang, texts in batch.groupby("lang")["text"]:
-                codes, counts = np.unique(np.concatenate([ngram_codes(t) for t in texts]), return_counts=True)
-                yield pd.DataFrame({"lang": lang, "code": codes, "n": counts})
+                share = np.cumsum(texts.map(len)) // _AT_ONCE  # so much text is sorted at a time
+                for _, some in texts.groupby(share):
+                    codes, counts = np.unique(np.concatenate([ngram_codes(t) for t in some]), return_counts=True)
+                    yield pd.DataFrame({"lang": lang, "code": codes, "n": counts})
 
     rows = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
     totals = rows.mapInPandas(counted, "lang string, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n"))
