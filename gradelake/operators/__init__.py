@@ -1 +1 @@
-
+"""DataFrame operators over course documents, questions, answers, reports and sessions."""
