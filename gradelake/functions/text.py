@@ -42,6 +42,14 @@ TABLE_BLOCK = r"\[TABLE\][\s\S]*?\[/TABLE\]"
 VISUAL_BLOCK = r"\[VISUAL CONTENT[^\]]*\][\s\S]*?\[/VISUAL CONTENT\]"
 
 
+#: A word boundary of letters of any script, whatever \b means in the Java at hand.
+_EDGE = r"(?:(?<=[\p{L}\p{N}_])(?![\p{L}\p{N}_])|(?<![\p{L}\p{N}_])(?=[\p{L}\p{N}_]))"
+
+
+def _edged(pattern: str) -> str:
+    return pattern.replace(r"\b", _EDGE)
+
+
 def strip(text: Column) -> Column:
     """White space off both ends, line breaks and tabs included."""
     return F.regexp_replace(text, r"^\s+|\s+$", "")
@@ -108,9 +116,9 @@ def key_concepts(text: Column, most: int = 20) -> Column:
     """Concept terms by pattern, then capitalised phrases, each once, by first appearance."""
     found = []
     for pattern, group in CONCEPTS:
-        terms = F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(group)), lambda c: F.regexp_replace(strip(c), r"[:.,;]+$", ""))
+        terms = F.transform(F.regexp_extract_all(text, F.lit(_edged(pattern)), F.lit(group)), lambda c: F.regexp_replace(strip(c), r"[:.,;]+$", ""))
         found.append(F.filter(terms, lambda c: (F.length(c) > 3) & (F.length(c) < 50)))
-    found.append(F.filter(F.regexp_extract_all(text, F.lit(LONG_PHRASE), F.lit(0)), lambda c: (F.length(c) > 5) & (F.length(c) < 50)))
+    found.append(F.filter(F.regexp_extract_all(text, F.lit(_edged(LONG_PHRASE)), F.lit(0)), lambda c: (F.length(c) > 5) & (F.length(c) < 50)))
     return F.slice(F.array_distinct(F.concat(*found)), 1, most)
 
 

@@ -13,6 +13,7 @@ from gradelake.operators import chunking, concepts, crud, grading, materials, mo
 from gradelake.operators import questions as Q
 from gradelake.plans import domain as D
 from gradelake.plans.domain import sql
+from gradelake.streaming import sessions as stream_sessions
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -217,3 +218,350 @@ def q_local_grade_mcq(spark, d):
 @query(sql("SELECT id, CASE WHEN coalesce(score / CAST(total AS DOUBLE), 0) >= 0.8 THEN 'strong' WHEN coalesce(score / CAST(total AS DOUBLE), 0) >= 0.5 THEN 'partial' ELSE 'weak' END AS band, CAST(coalesce(floor(score * 100.0::DOUBLE / total + 0.5), 0) AS INTEGER) AS percent FROM scored_submissions", "scored_submissions"))
 def q_bands(spark, d):
     return D.scored_submissions(spark, d).select("id", G.performance_band(F.col("score"), F.col("total")).alias("band"), G.percent(F.col("score"), F.col("total")).alias("percent"))
+
+
+# Concepts and modules
+
+_PHRASE = r"[A-Z][a-z]+(?:\s+[A-Z][a-z]+){0,2}"
+
+
+@query(sql(rf"SELECT concept, n FROM (SELECT p AS concept, count(*) AS n, min((doc_id, chunk_id, i)) AS first FROM (SELECT doc_id, chunk_id, unnest(ps) AS p, unnest(range(len(ps))) AS i FROM (SELECT doc_id, chunk_id, regexp_extract_all(text, '{_PHRASE}') AS ps FROM chunks)) GROUP BY p) ORDER BY n DESC, first LIMIT 20", "chunks"))
+def q_concept_topn(spark, d):
+    return concepts.top_concepts(D.chunks(spark, d))
+
+
+def _concept_sql(content: str) -> str:
+    # Letters beyond ASCII are word characters, which this SQL's \b does not know: a digit stands for them.
+    content, terms = f"regexp_replace({content}, '[^\\x00-\\x7F]', '0', 'g')", []
+    for pattern, group in T.CONCEPTS:
+        terms.append(f"list_filter(list_transform(regexp_extract_all({content}, '{pattern}', {group}), lambda c: regexp_replace(regexp_replace(c, '^\\s+|\\s+$', '', 'g'), '[:.,;]+$', '')), lambda c: length(c) > 3 AND length(c) < 50)")
+    terms.append(f"list_filter(regexp_extract_all({content}, '{T.LONG_PHRASE}'), lambda c: length(c) > 5 AND length(c) < 50)")
+    joined = f"flatten([{', '.join(terms)}])"
+    return f"list_slice(list_filter({joined}, lambda c, i: list_position({joined}, c) = i), 1, 20)"
+
+
+_CONCEPTS = f"kc AS (SELECT doc_id, content, {_concept_sql('content')} AS concepts FROM (SELECT doc_id, content || ' Unit 3: Machine Learning. Privacy and bias, a model of Overfitting. ' || left(content, 400) AS content FROM docs))"
+
+
+def _concept_docs(spark, d):
+    """Documents with a closing line of concept terms, which the invented prose lacks."""
+    docs = D.documents(spark, d)
+    return docs.withColumn("content", F.concat("content", F.lit(" Unit 3: Machine Learning. Privacy and bias, a model of Overfitting. "), F.left("content", F.lit(400))))
+
+
+@query(sql("", "docs").rstrip() + f",\n{_CONCEPTS}\nSELECT doc_id, concept, least(100.0::DOUBLE, (length(lower(content)) - length(replace(lower(content), lower(concept), ''))) // length(concept) * 10.0::DOUBLE + 20.0::DOUBLE) AS coverage FROM (SELECT doc_id, content, unnest(concepts) AS concept FROM kc)")
+def q_concept_coverage(spark, d):
+    return concepts.concept_coverage(_concept_docs(spark, d), "content")
+
+
+@query(sql("", "chunks").rstrip() + f",\n{_CONCEPTS}\nSELECT doc_id, chunk_id, array_to_string(list_slice(list_filter(concepts, lambda k: contains(lower(text), lower(k))), 1, 3), '; ') AS concepts FROM chunks JOIN kc USING (doc_id)")
+def q_concept_match(spark, d):
+    kc = _concept_docs(spark, d).select("doc_id", T.key_concepts(F.col("content")).alias("concepts"))
+    return concepts.chunk_concepts(D.chunks(spark, d), kc).withColumn("concepts", F.array_join("concepts", "; "))
+
+
+_SEGMENTS = rf"""seg0 AS (SELECT doc_id, chunk_id, regexp_extract(text, '(?im)^(?:Module|MODULE|Unit|UNIT)\s+(?:\d+|[IVX]+)[:.\s]') AS h, list_slice(regexp_extract_all(text, '{_PHRASE}'), 1, 3) AS p FROM headed),
+seg1 AS (SELECT *, sum(CASE WHEN h <> '' THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY chunk_id) AS n FROM seg0),
+seg2 AS (SELECT *, CAST(n + CASE WHEN min(n) OVER (PARTITION BY doc_id) = 0 THEN 1 ELSE 0 END AS INTEGER) AS module_no, n = 0 AS d FROM seg1),
+seg AS (SELECT doc_id, module_no, min(CASE WHEN d THEN 'General Content' WHEN h <> '' THEN regexp_replace(regexp_replace(h, '[:.]$', ''), '^\s+|\s+$', '', 'g') END) AS title, CASE WHEN bool_or(d) THEN list_prepend(min(chunk_id), list(chunk_id ORDER BY chunk_id)) ELSE list(chunk_id ORDER BY chunk_id) END AS chunk_indices, flatten(list(CASE WHEN h = '' AND NOT d THEN p ELSE [] END ORDER BY chunk_id)) AS all_topics FROM seg2 GROUP BY doc_id, module_no)"""
+
+
+def _segments(body: str, *views: str) -> str:
+    return sql("", "headed", *views).rstrip() + ",\n" + _SEGMENTS + "\n" + body
+
+
+@query(_segments("SELECT doc_id, module_no, title, array_to_string(chunk_indices, ',') AS chunk_indices, array_to_string(list_filter(all_topics, lambda t, i: list_position(all_topics, t) = i), '; ') AS topics FROM seg"))
+def q_module_segments(spark, d):
+    m = modules.module_segments(D.headed_chunks(spark, d))
+    return m.select("doc_id", "module_no", "title", F.array_join(F.col("chunk_indices").cast("array<string>"), ",").alias("chunk_indices"), F.array_join("topics", "; ").alias("topics"))
+
+
+@query(sql("SELECT doc_id, CAST(chunk_id // w + 1 AS INTEGER) AS module_no, min(chunk_id) AS first_chunk, max(chunk_id) AS last_chunk, count(*) AS n_chunks, 'Module ' || CAST(chunk_id // w + 1 AS INTEGER) AS title FROM (SELECT doc_id, chunk_id, greatest(1, count(*) OVER (PARTITION BY doc_id) // 4) AS w FROM chunks) GROUP BY doc_id, chunk_id // w", "chunks"))
+def q_module_groups(spark, d):
+    return modules.module_groups(D.chunks(spark, d))
+
+
+@query(_segments("""SELECT doc_id, module_no, q AS questions, CAST(greatest(1, floor(q * 0.4 + 0.5)) AS INTEGER) AS mcq, CAST(greatest(1, floor(q * 0.3 + 0.5)) AS INTEGER) AS short, CAST(greatest(1, q - floor(q * 0.4 + 0.5) - floor(q * 0.3 + 0.5)) AS INTEGER) AS conceptual FROM (
+    SELECT doc_id, module_no, CAST(greatest(1, floor(least(greatest(total, 6), 20) * (len(chunk_indices) / CAST(total AS DOUBLE)) + 0.5)) AS INTEGER) AS q FROM (SELECT *, sum(len(list_distinct(chunk_indices))) OVER (PARTITION BY doc_id) AS total FROM seg))"""))
+def q_module_quota(spark, d):
+    return modules.module_quota(modules.module_segments(D.headed_chunks(spark, d)))
+
+
+@query(sql("SELECT doc_id, mcq, short, total - mcq - short AS conceptual FROM (SELECT doc_id, CAST(total AS INTEGER) AS total, CAST(greatest(1, floor(total * 0.4 + 0.5)) AS INTEGER) AS mcq, CAST(greatest(1, floor(total * 0.3 + 0.5)) AS INTEGER) AS short FROM (SELECT doc_id, least(greatest(len(texts), 6), 20) AS total FROM chunk_lists))", "chunk_lists"))
+def q_type_quota(spark, d):
+    total = modules.question_total(F.size(T.chunk_texts(F.col("content"))))
+    mcq, short, rest = modules.type_quota(total)
+    return D.documents(spark, d).select("doc_id", mcq.alias("mcq"), short.alias("short"), rest.alias("conceptual"))
+
+
+def _statement_sql(patterns: list[str], longer: int, default: list[str], most: int) -> str:
+    found = ", ".join(f"regexp_extract_all(content, '{p}')" for p in patterns)
+    clean = f"list_filter(list_transform(flatten([{found}]), lambda s: regexp_replace(regexp_replace(s, '^\\s+|\\s+$', '', 'g'), '\\.+$', '')), lambda s: length(s) > {longer})"
+    fallback = ", ".join(f"'{x}'" for x in default)
+    return f"SELECT doc_id, array_to_string(list_slice(CASE WHEN len(c) > 0 THEN list_transform(c, lambda s: upper(left(s, 1)) || lower(substr(s, 2))) ELSE [{fallback}] END, 1, {most}), '; ') AS found FROM (SELECT doc_id, {clean} AS c FROM od)"
+
+
+_OD = "od AS (SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 'Students will master the basics of ' || left(content, 60) || '. Prior experience with ' || left(content, 40) || '. ' ELSE '' END || content AS content FROM docs)"
+
+
+def _objective_docs(spark, d):
+    docs = D.documents(spark, d)
+    lead = F.concat(F.lit("Students will master the basics of "), F.left("content", F.lit(60)), F.lit(". Prior experience with "), F.left("content", F.lit(40)), F.lit(". "))
+    return docs.withColumn("content", F.concat(F.when(F.col("doc_id") % 2 == 0, lead).otherwise(F.lit("")), F.col("content")))
+
+
+@query(sql("", "docs").rstrip() + f",\n{_OD}\n" + _statement_sql(T.OBJECTIVES, 15, T.DEFAULT_OBJECTIVES, 10))
+def q_objectives(spark, d):
+    return _objective_docs(spark, d).select("doc_id", F.array_join(T.learning_objectives(F.col("content")), "; ").alias("found"))
+
+
+@query(sql("", "docs").rstrip() + f",\n{_OD}\n" + _statement_sql(T.PREREQUISITES, 10, T.DEFAULT_PREREQUISITES, 6))
+def q_prereqs(spark, d):
+    return _objective_docs(spark, d).select("doc_id", F.array_join(T.prerequisites(F.col("content")), "; ").alias("found"))
+
+
+@query(sql("", "docs").rstrip() + f",\n{_CONCEPTS}\nSELECT doc_id, CASE WHEN length(h) > 300 THEN left(h, 300) || '...' ELSE h END || ' This syllabus covers ' || len(concepts) || ' key concepts including ' || array_to_string(list_slice(concepts, 1, 5), ', ') || '.' AS summary FROM (SELECT doc_id, concepts, array_to_string(list_slice(string_split(content, '. '), 1, 3), '. ') AS h FROM kc)")
+def q_summary(spark, d):
+    return _concept_docs(spark, d).select("doc_id", T.summary(F.col("content"), T.key_concepts(F.col("content"))).alias("summary"))
+
+
+# Question sets
+
+_SELECTED = """w AS (SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN 0 ELSE (doc_id % 10) / 10.0::DOUBLE END AS weight FROM docs WHERE doc_id < 40),
+pool AS (SELECT c.*, CASE WHEN coalesce(w.weight, 0) = 0 THEN 1 / 40.0::DOUBLE ELSE w.weight END AS weight FROM chunks c JOIN w USING (doc_id)),
+sel AS (SELECT *, CAST(row_number() OVER (ORDER BY weight DESC, doc_id, chunk_id) - 1 AS INTEGER) AS place FROM pool QUALIFY place < 12)"""
+
+
+def _selected(spark, d):
+    """A teacher's selection of forty documents with weights, some of them unset."""
+    docs = D.documents(spark, d).where("doc_id < 40")
+    weights = docs.select("doc_id", F.when(F.col("doc_id") % 4 == 0, 0.0).otherwise((F.col("doc_id") % 10) / F.lit(10.0)).alias("weight"))
+    pool = Q.pooled(chunking.chunk_documents(docs, "doc_id", F.col("content"), F.col("title")), weights, 40)
+    return Q.weighted_selection(pool, 6)
+
+
+def _selection(body: str) -> str:
+    return sql("", "chunks").rstrip() + ",\n" + _SELECTED + "\n" + body
+
+
+@query(_selection("SELECT doc_id, chunk_id, round(weight, 6) AS weight, place FROM sel"))
+def q_weighted_select(spark, d):
+    return _selected(spark, d).select("doc_id", "chunk_id", F.round("weight", 6).alias("weight"), "place")
+
+
+@query(sql("SELECT doc_id, round(greatest(0.1, least(1.0, v)) / sum(greatest(0.1, least(1.0, v))) OVER (), 9) AS share FROM (SELECT doc_id, (doc_id % 13) / 10.0::DOUBLE AS v FROM docs)", "docs"))
+def q_weight_shares(spark, d):
+    w = D.documents(spark, d).select("doc_id", ((F.col("doc_id") % 13) / F.lit(10.0)).alias("weight"))
+    return Q.normalised_weights(w).select("doc_id", F.round("share", 9).alias("share"))
+
+
+@query(_segments("SELECT h.doc_id, h.chunk_id FROM headed h WHERE (h.doc_id, h.chunk_id) IN (SELECT doc_id, unnest(chunk_indices) FROM seg WHERE module_no = 2)"))
+def q_module_filter(spark, d):
+    headed = D.headed_chunks(spark, d)
+    m = modules.module_segments(headed)
+    return Q.in_modules(headed, m, F.col("module_no") == 2).select("doc_id", "chunk_id")
+
+
+@query(sql("SELECT doc_id, chunk_id FROM chunks", "chunks"))
+def q_module_filter_fallback(spark, d):
+    headed = D.headed_chunks(spark, d)
+    m = modules.module_segments(headed)
+    return Q.in_modules(headed, m, F.col("module_no") == -1).select("doc_id", "chunk_id")
+
+
+def _template_sql() -> str:
+    import re
+
+    def filled(pattern: str) -> str:
+        parts = re.split(r"\{(\d+)\}", pattern)
+        return " || ".join(f"left(txt, {p})" if i % 2 else "'" + p.replace("'", "''") + "'" for i, p in enumerate(parts) if i % 2 or p)
+
+    def pick(make) -> str:
+        cases = " ".join(f"WHEN t = '{t}' AND k = {k} THEN {make(x)}" for t in Q.TYPES for k, x in enumerate(Q.TEMPLATES[t][:2]))
+        return f"CASE {cases} END"
+
+    slots = ", ".join(f"({i}, '{t}', {k})" for i, (t, k) in enumerate((t, k) for t in Q.TYPES for k in range(2)))
+    clean = T.clean_text.__name__ and "regexp_replace(text, '^\\s+|\\s+$', '', 'g')"
+    return f"""cl AS (SELECT place, {clean} AS text FROM sel),
+    con AS (SELECT list_slice(list_filter(l, lambda c, i: list_position(l, c) = i), 1, 20) AS cs FROM (SELECT flatten(list(list_slice(regexp_extract_all(text, '{_PHRASE}'), 1, 3) ORDER BY place)) AS l FROM cl)),
+    slots(i, t, k) AS (VALUES {slots}),
+    q AS (SELECT i, t, k, cl.text AS txt, cs[i % len(cs) + 1] AS tag FROM slots JOIN cl ON cl.place = i % (SELECT count(*) FROM cl) CROSS JOIN con)
+    SELECT CAST(i AS INTEGER) AS question_no, t AS question_type, {pick(lambda x: filled(x[2]))} AS question_text, {pick(lambda x: filled(x[3]))} AS correct_answer, tag AS concept_tag, {pick(lambda x: f"'{x[0]}'")} AS difficulty, CAST({pick(lambda x: str(x[1]))} AS INTEGER) AS points, txt AS grounding_chunk FROM q"""
+
+
+@query(_selection("").rstrip() + ",\n" + _template_sql())
+def q_generate_local(spark, d):
+    made = Q.template_questions(_selected(spark, d))
+    return made.select("question_no", "question_type", "question_text", "correct_answer", "concept_tag", "difficulty", "points", "grounding_chunk")
+
+
+@query(_selection("SELECT item_id, CASE WHEN contains((SELECT string_agg(text, ' ' ORDER BY place) FROM sel), left(cite, 40)) THEN cite ELSE (SELECT left(text, 220) FROM sel WHERE place = 0) END AS grounding_chunk FROM (SELECT item_id, CASE WHEN item_id % 2 = 0 THEN text ELSE (SELECT substr(text, 5, 90) FROM sel WHERE place = 3) END AS cite FROM benchmark)"))
+def q_grounding_guard(spark, d):
+    selected = _selected(spark, d)
+    third = selected.where("place = 3").select(F.substring("text", 5, 90).alias("_c"), F.lit(1).alias("_k"))
+    cited = D.table(spark, d, "benchmark").withColumn("_k", F.lit(1)).join(third, "_k")
+    cited = cited.select("item_id", F.when(F.col("item_id") % 2 == 0, F.col("text")).otherwise(F.col("_c")).alias("grounding_chunk"))
+    return Q.grounded(cited, selected)
+
+
+# Model replies and options
+
+
+@query("""SELECT event_id, CAST(json_extract(props, '$.k') AS INTEGER) AS k, CASE WHEN event_id % 3 = 0 THEN 0 ELSE 1 END AS n FROM events""")
+def q_json_recover(spark, d):
+    e = D.table(spark, d, "events")
+    fenced = F.concat(F.lit("Here you are:\n```json\n["), F.when(F.col("event_id") % 3 != 0, F.col("props")).otherwise(F.lit("")), F.lit("]\n```\nbye"))
+    wrapped = F.concat(F.lit("noise "), F.col("props"), F.lit(" tail"))
+    item = F.from_json(T.json_array(fenced), "array<struct<k:int>>")
+    return e.select("event_id", F.get_json_object(T.json_object(wrapped), "$.k").cast("int").alias("k"), F.size(item).alias("n"))
+
+
+@query("SELECT p_partkey AS id, CAST(CASE p_partkey % 4 WHEN 0 THEN 2 ELSE 0 END AS INTEGER) AS n_options FROM part")
+def q_options_parse(spark, d):
+    p = D.table(spark, d, "part")
+    k = F.col("p_partkey") % 4
+    stored = F.when(k == 0, F.to_json(F.array("p_type", "p_brand"))).when(k == 1, F.lit("x")).when(k == 2, F.lit(None)).otherwise(F.lit('{"a":1}'))
+    return p.select(F.col("p_partkey").alias("id"), F.size(T.parsed_options(stored)).alias("n_options"))
+
+
+# Materials
+
+
+def _material_rows(spark, d):
+    p = D.table(spark, d, "pages")
+    kinds = F.array(*map(F.lit, ["syllabus", "notes", "assignment"]))
+    name = F.concat(F.lit("page."), F.col("page_id").cast("string"), F.when(F.col("page_id") % 2 == 0, ".HTML").otherwise(".txt"))
+    return p.select(F.col("page_id").alias("id"), F.col("url").alias("title"), F.when(F.col("page_id") % 3 == 0, F.lit("Lecture Notes")).alias("description"), name.alias("file_name"), F.get(kinds, (F.col("page_id") % 3).cast("int")).alias("category"), F.col("html"))
+
+
+_MATERIALS = "m AS (SELECT page_id AS id, url AS title, CASE WHEN page_id % 3 = 0 THEN 'Lecture Notes' END AS description, 'page.' || page_id || CASE WHEN page_id % 2 = 0 THEN '.HTML' ELSE '.txt' END AS file_name, ['syllabus', 'notes', 'assignment'][page_id % 3 + 1] AS category, html FROM pages)"
+
+
+@query(f"WITH {_MATERIALS} SELECT id, title FROM m WHERE category = 'syllabus' AND (contains(lower(title), 'lecture') OR contains(lower(coalesce(description, '')), 'lecture'))")
+def q_material_search(spark, d):
+    return materials.searched(_material_rows(spark, d), "syllabus", "Lecture").select("id", "title")
+
+
+@query(f"WITH {_MATERIALS} SELECT c.category, coalesce(n, 0) AS n FROM (VALUES ('syllabus'), ('notes'), ('assignment'), ('reference')) c(category) LEFT JOIN (SELECT category, count(*) AS n FROM m GROUP BY category) x ON x.category = c.category")
+def q_category_counts(spark, d):
+    return reports.category_counts(_material_rows(spark, d))
+
+
+@query(f"WITH {_MATERIALS} SELECT id, regexp_replace(file_name, '\\.[^/.]+$', '') AS title, lower(list_extract(string_split(file_name, '.'), -1)) AS file_type, CAST(strlen(html) AS BIGINT) AS file_size, md5(base64(encode(html))) AS data_md5, CASE WHEN strlen(html) < 1024 THEN strlen(html) || ' B' ELSE printf('%.1f KB', floor(strlen(html) / 102.4::DOUBLE + 0.5) / 10) END AS shown FROM m WHERE strlen(html) > 0")
+def q_store_material(spark, d):
+    m = materials.stored(_material_rows(spark, d).where(F.octet_length("html") > 0).drop("title"), F.col("file_name"), F.encode("html", "UTF-8"))
+    data = F.regexp_replace("file_data", r"\s", "")
+    return m.select("id", "title", "file_type", "file_size", F.md5(data).alias("data_md5"), T.human_size(F.col("file_size")).alias("shown"))
+
+
+@query("SELECT doc_id, doc_id % 6 = 0 AND doc_id IN (SELECT page_id FROM pages) AS is_shared FROM documents")
+def q_shared_flag(spark, d):
+    docs = D.table(spark, d, "documents").select("doc_id", F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("page."), F.col("doc_id").cast("string"), F.lit(".HTML"))).alias("original_name"))
+    return materials.shared_flag(docs, _material_rows(spark, d)).select("doc_id", "is_shared")
+
+
+@query(sql("SELECT id, email FROM students WHERE lower(email) IN (SELECT lower(upper(email)) FROM students WHERE id % 10 = 0)", "students"))
+def q_email_lookup(spark, d):
+    s = D.students(spark, d)
+    return materials.by_email(s, s.where("id % 10 = 0").select(F.upper("email").alias("email"))).select("id", "email")
+
+
+@query(sql("SELECT set_id, document_id FROM (SELECT id AS set_id, id * 3 AS document_id FROM question_sets UNION SELECT set_id, arg_min(id % 500, id) AS document_id FROM questions GROUP BY set_id) WHERE document_id IN (SELECT doc_id FROM docs)", "question_sets", "docs"))
+def q_or_join(spark, d):
+    docs = D.documents(spark, d).select(F.col("doc_id").alias("id"))
+    sets = D.question_sets(spark, d).select("id", (F.col("id") * 3).alias("document_id"))
+    q = D.questions(spark, d).select("id", "set_id", (F.col("id") % 500).alias("document_id"))
+    return materials.attempt_documents(docs, sets, q)
+
+
+@query(sql("SELECT l.o_orderkey AS id, coalesce(a.name, b.name) AS name FROM orders l LEFT JOIN students a ON a.id = CASE WHEN l.o_orderkey % 2 = 0 THEN l.o_custkey END LEFT JOIN students b ON b.email = 'customer#' || lpad(CAST(l.o_custkey AS VARCHAR), 9, '0') || '@example.edu'", "students"))
+def q_profile_lookup(spark, d):
+    o = D.table(spark, d, "orders")
+    email = F.concat(F.lit("customer#"), F.lpad(F.col("o_custkey").cast("string"), 9, "0"), F.lit("@example.edu"))
+    keys = o.select(F.col("o_orderkey").alias("order_id"), F.when(F.col("o_orderkey") % 2 == 0, F.col("o_custkey")).alias("id_key"), email.alias("other_key"))
+    return materials.by_either(D.students(spark, d), keys, "id", "email").select(F.col("order_id").alias("id"), F.col("found.name").alias("name"))
+
+
+# Inserts, updates, deletes
+
+
+@query(sql("SELECT id, name, email FROM students WHERE id % 2 = 0 UNION ALL SELECT id + 100000, upper(name), email FROM students WHERE id % 3 = 0 AND id % 2 <> 0", "students"))
+def q_insert_if_absent(spark, d):
+    s = D.students(spark, d).select("id", "name", "email")
+    new = s.where("id % 3 = 0").select((F.col("id") + 100000).alias("id"), F.upper("name").alias("name"), "email")
+    return crud.inserted_if_absent(s.where("id % 2 = 0"), new, "email")
+
+
+@query(sql("SELECT 'submissions' AS t, count(*) AS n FROM submissions WHERE student_id % 7 <> 0 UNION ALL SELECT 'answers', count(*) FROM answers WHERE submission_id NOT IN (SELECT id FROM submissions WHERE student_id % 7 = 0) UNION ALL SELECT 'students', count(*) FROM students WHERE id % 7 <> 0", "students", "submissions", "answers"))
+def q_cascade_delete(spark, d):
+    numbered = D.answers(spark, d).withColumn("id", F.monotonically_increasing_id())
+    left = crud.cascaded({"students": D.students(spark, d), "submissions": D.submissions(spark, d), "answers": numbered}, "students", D.students(spark, d).where("id % 7 = 0"))
+    counts = [df.agg(F.count(F.lit(1)).alias("n")).select(F.lit(t).alias("t"), "n") for t, df in left.items()]
+    return counts[0].unionAll(counts[1]).unionAll(counts[2])
+
+
+@query(sql(f"SELECT id, id % 3 = 0 AS is_published, CASE WHEN id % 3 = 0 THEN DATE '{NOW}' END AS published_at FROM question_sets", "question_sets"))
+def q_publish(spark, d):
+    return crud.published(D.question_sets(spark, d), F.col("id") % 3 == 0, F.to_date(F.lit(NOW))).select("id", "is_published", "published_at")
+
+
+@query(sql("SELECT id, CASE id % 3 WHEN 0 THEN due_date WHEN 1 THEN NULL ELSE CAST(DATE '2024-06-01' AS DATE) END AS due_date, CAST(CASE id % 2 WHEN 0 THEN NULL ELSE 45 END AS INTEGER) AS time_limit_minutes FROM question_sets", "question_sets"))
+def q_sparse_patch(spark, d):
+    s = D.question_sets(spark, d).select("id", "due_date", F.lit(45).alias("time_limit_minutes"))
+    p = s.select("id", F.when(F.col("id") % 3 == 2, F.to_date(F.lit("2024-06-01"))).alias("due_date"), (F.col("id") % 3 != 0).alias("set_due_date"), F.lit(0).alias("time_limit_minutes"), (F.col("id") % 2 == 0).alias("set_time_limit_minutes"))
+    return crud.patched(s, p, "id", ["due_date", "time_limit_minutes"])
+
+
+@query("SELECT p_partkey AS id, p_size <= 17 AND p_partkey % 3 <> 0 AS valid FROM part")
+def q_valid_quarantine(spark, d):
+    p = D.table(spark, d, "part")
+    rows = p.select(F.col("p_partkey").alias("id"), F.col("p_name").alias("question_text"), F.lit("mcq").alias("question_type"), F.when(F.col("p_partkey") % 3 != 0, F.col("p_type")).alias("correct_answer"), F.when(F.col("p_size") <= 17, "Easy").otherwise("Impossible").alias("difficulty"))
+    good, bad = crud.valid_and_quarantined(rows, "questions")
+    return good.select("id", F.lit(True).alias("valid")).unionAll(bad.select("id", F.lit(False).alias("valid")))
+
+
+@query(sql("SELECT id, score FROM (SELECT o_orderkey AS id, coalesce(CASE WHEN o_orderkey % 2 = 0 THEN CAST(floor(o_totalprice) AS BIGINT) END, -1) AS score FROM orders)"))
+def q_update(spark, d):
+    o = D.table(spark, d, "orders")
+    rows = o.select(F.col("o_orderkey").alias("id"), F.lit(-1).cast("long").alias("score"))
+    changes = o.select(F.col("o_orderkey").alias("id"), F.when(F.col("o_orderkey") % 2 == 0, F.floor("o_totalprice").cast("long")).alias("score"))
+    return crud.updated(rows, changes, "id", ["score"])
+
+
+# Sessions
+
+
+@query(sql("""SELECT user_id, count(*) FILTER (type = 'click') AS total_clicks, count(*) FILTER (type = 'scroll') AS total_scrolls, coalesce(max(depth_pct) FILTER (type = 'scroll'), 0) AS max_scroll_depth_pct,
+    count(DISTINCT element) FILTER (type = 'click') AS unique_elements_clicked, coalesce(min(t) FILTER (type = 'click' AND t > 0), min(t) FILTER (type = 'click')) AS time_to_first_click_ms, coalesce(min(t) FILTER (type = 'scroll' AND t > 0), min(t) FILTER (type = 'scroll')) AS time_to_first_scroll_ms,
+    CAST(floor(sum(dist) + 0.5) AS BIGINT) AS cursor_distance_px, max(t) AS duration_ms FROM (SELECT *, coalesce(sqrt(power(x - lag(x) OVER w, 2) + power(y - lag(y) OVER w, 2)), 0) AS dist FROM interactions WINDOW w AS (PARTITION BY user_id ORDER BY t, event_id)) GROUP BY user_id""", "interactions"))
+def q_session_summary(spark, d):
+    return sessions.summaries(D.interactions(spark, d), "user_id", "t", "event_id")
+
+
+@query(sql("SELECT user_id, unnest(list_reduce(list_prepend([]::BIGINT[], list_transform(ts, lambda t: [t])), lambda a, x: CASE WHEN len(a) = 0 OR x[1] - a[-1] >= 3600000 THEN list_concat(a, x) ELSE a END)) AS kept_ms FROM (SELECT user_id, list_sort(list(DISTINCT t)) AS ts FROM interactions GROUP BY user_id)", "interactions"))
+def q_sampling_throttle(spark, d):
+    return sessions.throttled(D.interactions(spark, d), "user_id", "t", "event_id", 3_600_000)
+
+
+@query(sql("SELECT user_id, count(*) AS n FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY t, event_id) AS r FROM interactions WHERE t < 864000000) WHERE r <= 20 GROUP BY user_id", "interactions"))
+def q_session_caps(spark, d):
+    kept = sessions.capped(D.interactions(spark, d), "user_id", "t", "event_id", most=20, most_ms=864_000_000)
+    return kept.groupBy("user_id").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT o_orderkey AS id, lpad(CAST(o_orderkey % 7000 // 60 AS VARCHAR), CASE WHEN o_orderkey % 7000 // 60 > 99 THEN 3 ELSE 2 END, '0') || ':' || lpad(CAST(o_orderkey % 60 AS VARCHAR), 2, '0') AS timer FROM (SELECT o_orderkey FROM orders WHERE o_orderkey % 7000 % 60 = o_orderkey % 60 AND o_orderkey % 7000 < 6000)")
+def q_timer(spark, d):
+    o = D.table(spark, d, "orders").where((F.col("o_orderkey") % 7000 % 60 == F.col("o_orderkey") % 60) & (F.col("o_orderkey") % 7000 < 6000))
+    return o.select(F.col("o_orderkey").alias("id"), T.minutes_seconds(F.col("o_orderkey") % 7000).alias("timer"))
+
+
+# Sessions of the event stream, on its batch form
+
+
+@query(
+    """SELECT user_id, count(*) AS n_events, count(*) FILTER (event_type = 'click') AS n_clicks, count(*) FILTER (event_type = 'view') AS n_views, epoch_us(min(ts)) AS start_us FROM (
+    SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS s FROM (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) < INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS new FROM events)) GROUP BY user_id, s"""
+)
+def q_session_windows(spark, d):
+    found = stream_sessions.session_counts(D.table(spark, d, "events"))
+    return found.select("user_id", "n_events", "n_clicks", "n_views", F.unix_micros("session_start").alias("start_us"))
