@@ -4,7 +4,7 @@ Every window of ``length`` bytes belongs to its least hash of ``GRAM``-byte gram
 windows of different documents belong to the same hash. Hashes that a single document holds
 are left out first; what is left is cut into fragments (maximal runs of windows of one hash),
 equal fragments become one, and a suffix array over the fragments of each shard tells which
-windows are equal.
+windows are equal. Exact copies of whole texts are set aside before all that.
 """
 
 from __future__ import annotations
@@ -75,43 +75,39 @@ def _covered(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return starts[first], ends[np.append(first[1:], len(ends)) - 1]
 
 
-def shard_repeats(texts: list[bytes], keys: np.ndarray, least: np.ndarray, length: int) -> list[np.ndarray]:
-    """For each fragment a mask of its windows: is it in a fragment with a smaller ``least`` id?
+def shard_repeats(texts: list[bytes], keys: np.ndarray, least: np.ndarray, length: int) -> Iterator[tuple[int, int, int]]:
+    """(fragment, start, end) of the maximal runs of windows that a fragment with a smaller ``least`` id has too.
 
     ``keys`` are the fragments' hashes; fragments whose hash no other fragment has cannot
     share a window and stay out of the suffix array.
     """
-    sizes = np.array([len(t) for t in texts])
-    masks = [np.zeros(n - length + 1, bool) for n in sizes]
     _, inverse, counts = np.unique(keys, return_inverse=True, return_counts=True)
     picked = np.flatnonzero(counts[inverse] > 1)
     if not len(picked):
-        return masks
-    joined = np.frombuffer(b"".join(texts[i] for i in picked), np.uint8)
-    n = sizes[picked]
-    owner = np.repeat(np.arange(len(n)), n + 1)
+        return
+    n = np.array([len(texts[i]) for i in picked])
     begin = np.cumsum(n + 1) - (n + 1)
-    t = np.ones(int(n.sum() + len(n)), np.int64)  # 1 parts fragments, bytes are 2 and more
-    inside = np.arange(len(t)) - begin[owner] < n[owner]
-    t[inside] = joined.astype(np.int64) + 2
+    owner = np.repeat(np.arange(len(n)), n + 1)
+    t = np.frombuffer(b"\0".join([*(texts[i] for i in picked), b""]), np.uint8).astype(np.int64) + 2
+    t[begin + n] = 1  # parts fragments; bytes are 2 and more
     t = np.append(t, 0)
     sa = suffix_array(t, 258)
     shared = common_prefixes(t, sa)
-    left = np.append(begin[owner] + n[owner], 0) - np.arange(len(t))  # bytes of the fragment from here on
+    left = np.append((begin + n)[owner], 0) - np.arange(len(t))  # bytes of the fragment from here on
     order = sa[left[sa] >= length]
-    # Suffixes without a whole window may stand between two equal windows: not so, those share
-    # fewer than ``length`` symbols with either, and equal windows are neighbours in order.
+    # A suffix without a whole window never stands between two equal windows, with which it
+    # would have to share ``length`` symbols; so equal windows are neighbours in this order.
     new = shared[order] < length
     new[:1] = True
-    group = np.cumsum(new) - 1
     ids = least[picked][owner[order]]
     first = np.minimum.reduceat(ids, np.flatnonzero(new))
-    earlier = first[group] < ids
-    flag = np.zeros(len(t), bool)
-    flag[order[earlier]] = True
-    for k, i in enumerate(picked):
-        masks[i] = flag[begin[k] : begin[k] + n[k] - length + 1]
-    return masks
+    earlier = first[np.cumsum(new) - 1] < ids
+    flag = np.zeros(len(t) + 1, np.int8)
+    flag[order[earlier]] = 1
+    edges = np.diff(flag, prepend=0)
+    starts, ends = np.flatnonzero(edges == 1), np.flatnonzero(edges == -1)
+    for k, a, b in zip(owner[starts].tolist(), starts.tolist(), ends.tolist(), strict=True):
+        yield int(picked[k]), a - int(begin[k]), b - int(begin[k]) + length - 1
 
 
 def repeated_ranges(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", length: int = 50, buckets: int | None = None) -> tuple[DataFrame, DataFrame]:
@@ -144,8 +140,9 @@ def repeated_ranges(docs: DataFrame, text_col: str = "text", id_col: str = "doc_
             by = np.argsort(h % buckets, kind="stable")
             h, d = h[by], d[by]
             a, b = _runs(h % buckets)
-            low = h.astype("<i8").view(np.uint8).reshape(-1, 8)[:, :5]
-            yield pd.DataFrame({"bucket": h[a] % buckets, "kind": 0, "id": 0, "hs": [low[x:y].tobytes() for x, y in zip(a, b, strict=True)], "ids": [d[x:y].tobytes() for x, y in zip(a, b, strict=True)]})
+            # Byte by byte, so that the upper bytes of ids, which are alike, compress to nothing.
+            low, wide = h.astype("<i8").view(np.uint8).reshape(-1, 8)[:, :5], d.astype("<i8").view(np.uint8).reshape(-1, 8)
+            yield pd.DataFrame({"bucket": h[a] % buckets, "kind": 0, "id": 0, "hs": [low[x:y].tobytes() for x, y in zip(a, b, strict=True)], "ids": [wide[x:y].T.tobytes() for x, y in zip(a, b, strict=True)]})
 
     def met(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         """(id, hashes) of the hashes that two documents hold; a bucket's distinct hashes are held at a time."""
@@ -155,7 +152,8 @@ def repeated_ranges(docs: DataFrame, text_col: str = "text", id_col: str = "doc_
             low = np.frombuffer(b"".join(hs), np.uint8).reshape(-1, 5)
             h = np.zeros((len(low), 8), np.uint8)
             h[:, :5] = low
-            h, d = h.view("<i8").reshape(-1).astype(np.int64), np.frombuffer(b"".join(ids), np.int64)
+            h = h.view("<i8").reshape(-1).astype(np.int64)
+            d = np.concatenate([np.ascontiguousarray(np.frombuffer(x, np.uint8).reshape(8, -1).T).view("<i8").reshape(-1) for x in ids]).astype(np.int64)
             order = np.lexsort((d, h))
             h, d = h[order], d[order]
             start, end = _runs(h)
@@ -185,9 +183,11 @@ def repeated_ranges(docs: DataFrame, text_col: str = "text", id_col: str = "doc_
             yield close()
 
     def fragments(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Fragments by hash, one of each kind in a batch, its least id; what else holds it in the batch loses it (kind 1)."""
         for batch in batches:
-            out = []
-            for doc, text, packed in zip(batch["id"], batch["text"], batch["hs"], strict=True):
+            least: dict[bytes, tuple[int, int, list[int]]] = {}
+            lost: list[tuple[int, int, int]] = []
+            for doc, text, packed in sorted(zip(batch["id"], batch["text"], batch["hs"], strict=True), key=lambda r: r[0]):
                 data = text.encode("utf-8", "replace")
                 keys = window_keys(np.frombuffer(data, np.uint8), length)
                 if not len(keys):
@@ -195,32 +195,57 @@ def repeated_ranges(docs: DataFrame, text_col: str = "text", id_col: str = "doc_
                 wanted = np.unique(np.concatenate([np.frombuffer(p, np.int64) for p in packed]))
                 a, b = _runs(keys)
                 at = np.minimum(np.searchsorted(wanted, keys[a]), len(wanted) - 1)
-                for i in np.flatnonzero(wanted[at] == keys[a]):
-                    out.append((doc, int(a[i]), int(keys[a[i]]), data[a[i] : b[i] + length - 1]))
-            yield pd.DataFrame(out, columns=["id", "start", "h", "fragment"])
+                hit = wanted[at] == keys[a]
+                for x, y, h in zip(a[hit].tolist(), (b[hit] + length - 1).tolist(), keys[a[hit]].tolist(), strict=True):
+                    fragment = data[x:y]
+                    first = least.setdefault(fragment, (doc, h, []))
+                    if first[0] < doc:
+                        lost.append((doc, x, y))
+                    else:
+                        first[2].append(x)  # equal ones in one document say nothing of each other
+            out = [(h, doc, x, 0, fragment) for fragment, (doc, h, xs) in least.items() for x in xs]
+            yield pd.DataFrame(out, columns=["key", "id", "start", "end", "fragment"])
+            if lost:
+                ids, starts, ends = zip(*lost, strict=True)
+                yield pd.DataFrame({"key": ids, "id": ids, "start": starts, "end": ends, "fragment": b""})
 
     def shards(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held, size = [], 0
         for batch in batches:
+            known = batch["end"] > 0
+            if known.any():
+                yield batch.loc[known, ["id", "start", "end"]]
+                batch = batch[~known]
+            if not len(batch):
+                continue
             held.append(batch)
             size += int(batch["fragment"].map(len).sum())
             if size >= _SHARD:
                 rows = pd.concat(held, ignore_index=True)
-                whole = (rows["h"] != rows["h"].iat[-1]).to_numpy()
+                whole = (rows["key"] != rows["key"].iat[-1]).to_numpy()
                 if whole.any():
                     yield told(rows[whole])
                     rows = rows[~whole]
                 held, size = [rows], int(rows["fragment"].map(len).sum())
-        if held and sum(map(len, held)):
+        if held:
             yield told(pd.concat(held, ignore_index=True))
 
     def told(rows: pd.DataFrame) -> pd.DataFrame:
-        masks = shard_repeats(rows["fragment"].to_list(), rows["h"].to_numpy(), rows["least"].to_numpy(), length)
-        out_a, out_b = [], []
-        for mask in masks:
-            at = np.flatnonzero(np.diff(np.concatenate([[0], mask.view(np.int8), [0]])))
-            out_a.append(at[::2].tolist()), out_b.append((at[1::2] + length - 1).tolist())
-        return pd.DataFrame({"h": rows["h"], "f": rows["f"], "least": rows["least"], "a": out_a, "b": out_b})
+        """The ranges that the occurrences of a shard lose."""
+        rows = rows.sort_values(["fragment", "id"], kind="stable")
+        one = ~rows.duplicated("fragment").to_numpy()
+        which = np.cumsum(one) - 1
+        distinct = rows[one]
+        ids, starts = rows["id"].to_numpy(), rows["start"].to_numpy()
+        least = distinct["id"].to_numpy()
+        whole = ids > least[which]  # an earlier document has all of it
+        ends = starts + rows["fragment"].map(len).to_numpy()
+        out = [np.stack([ids[whole], starts[whole], ends[whole]], 1)]
+        own = np.flatnonzero(~whole)
+        of = [own[i:j] for i, j in zip(*_runs(which[own]), strict=True)]
+        for k, a, b in shard_repeats(distinct["fragment"].to_list(), distinct["key"].to_numpy(), least, length):
+            out += [[(ids[r], starts[r] + a, starts[r] + b)] for r in of[k]]
+        return pd.DataFrame(np.concatenate(out), columns=["id", "start", "end"])
 
     def united(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -231,21 +256,17 @@ def repeated_ranges(docs: DataFrame, text_col: str = "text", id_col: str = "doc_
             yield pd.DataFrame({"id": batch["id"], "starts": a, "ends": b})
 
     texts = docs.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    packed = texts.mapInPandas(dealt, "bucket int, kind int, id long, hs binary, ids binary")
+    # Exact copies first: one with an earlier equal text loses all that is long enough.
+    digests = texts.select("id", F.unhex(F.sha2("text", 256)).alias("digest"), F.octet_length("text").alias("n"))
+    firsts = digests.groupBy("digest").agg(F.min("id").alias("first"))
+    copies = digests.join(firsts, "digest").where("id > first").select("id", "n").distinct()
+    packed = texts.join(copies.select("id"), "id", "left_anti").mapInPandas(dealt, "bucket int, kind int, id long, hs binary, ids binary")
     repeated = packed.repartition("bucket").sortWithinPartitions("bucket").mapInPandas(met, "id long, hs binary")
     wanted = repeated.groupBy("id").agg(F.collect_list("hs").alias("hs"))
-    cut = texts.join(wanted, "id").mapInPandas(fragments, "id long, start int, h long, fragment binary")
-    cut = cut.select("id", "start", "h", F.xxhash64("fragment").alias("f"), "fragment")
-    distinct = cut.groupBy("h", "f", "fragment").agg(F.min("id").alias("least"))
-    shared = distinct.repartition("h").sortWithinPartitions("h").mapInPandas(shards, "h long, f long, least long, a array<int>, b array<int>")
-    places = cut.select("id", "start", "h", "f", F.octet_length("fragment").alias("n"))
-    found = places.join(shared, ["h", "f"])
-    # Other documents than a fragment's first have all of it from there; the first has what the array told.
-    later = F.col("id") > F.col("least")
-    a = F.when(later, F.array(F.col("start"))).otherwise(F.transform("a", lambda x: x + F.col("start")))
-    b = F.when(later, F.array(F.col("start") + F.col("n"))).otherwise(F.transform("b", lambda x: x + F.col("start")))
-    found = found.select("id", a.alias("a"), b.alias("b")).where(F.size("a") > 0)
-    ranges = found.groupBy("id").agg(F.flatten(F.collect_list("a")).alias("starts"), F.flatten(F.collect_list("b")).alias("ends"))
+    cut = texts.join(wanted, "id").mapInPandas(fragments, "key long, id long, start int, end int, fragment binary")
+    found = cut.repartition("key").sortWithinPartitions("key").mapInPandas(shards, "id long, start int, end int")
+    found = found.unionByName(copies.where(F.col("n") >= length).select("id", F.lit(0).alias("start"), F.col("n").alias("end")))
+    ranges = found.groupBy("id").agg(F.collect_list("start").alias("starts"), F.collect_list("end").alias("ends"))
     return ranges.mapInPandas(united, "id long, starts array<int>, ends array<int>"), texts
 
 
