@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gradelake.llm.common import checkpoint
+
 # The patterns of the base kinds, in their listed order. Runs of hex digits and
 # access keys are taken only at the least length; a shorter run cannot hold a longer one.
 ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -70,6 +72,7 @@ def secret_scan(docs: DataFrame, text_col: str = "text", repo_col: str = "doc_id
 
     value = F.explode(F.array_distinct(F.transform(F.concat("base_spans", "_wide"), lambda s: F.sha2(s["value"], 256))))
     held = found.select(F.col(repo_col).alias("_repo"), F.col(owner_col).alias("_owner"), value.alias("_hash")).distinct()
+    held = checkpoint(held)  # small, read three times, and the patterns are what costs
     by_repo = held.groupBy("_hash", "_repo").agg(F.lit(1).alias("_x")).groupBy("_hash").agg(F.count(F.lit(1)).alias("_repos"))
     by_owner = held.groupBy("_hash", "_owner").agg(F.lit(1).alias("_x")).groupBy("_hash").agg(F.count(F.lit(1)).alias("_owners"))
     alone = by_repo.where(F.col("_repos") <= max_repos).join(by_owner.where(F.col("_owners") <= max_owners), "_hash").select("_hash")
