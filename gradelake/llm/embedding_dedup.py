@@ -19,13 +19,16 @@ class CapFilters:
 
     The space is turned at random and halved; each half has ``words`` random unit code words,
     and each pair of words is a filter. A vector passes the filters whose direction it meets at
-    a cosine above ``cap``, set so that a random vector passes ``filters`` on average.
+    a cosine above ``cap``, set so that a random vector passes ``filters`` on average; one
+    that lies far from the code words takes its best ``least`` filters all the same, as its
+    neighbours do.
     """
 
-    def __init__(self, dim: int, words: int, filters: float, seed: int):
+    def __init__(self, dim: int, words: int, filters: float, least: int, seed: int):
         rng = np.random.default_rng([seed, dim])
         self.turn = np.linalg.qr(rng.standard_normal((dim, dim)))[0]
-        self.half, self.words = (dim + 1) // 2, words
+        self.half, self.least = (dim + 1) // 2, least
+        words = self.words = min(words, 8 * 4 ** (self.half - 1))  # few dimensions have few directions
         self.codes = []
         for size in (self.half, dim - self.half):
             code = rng.standard_normal((words, size))
@@ -33,7 +36,7 @@ class CapFilters:
         probe = rng.standard_normal((2000, dim))
         a, b = self._scores(probe / np.linalg.norm(probe, axis=1, keepdims=True))
         pick = rng.integers(0, words, (2, 2000))
-        self.cap = float(np.quantile(a[:, pick[0]] + b[:, pick[1]], 1 - filters / words**2))
+        self.cap = float(np.quantile(a[:, pick[0]] + b[:, pick[1]], max(0.0, 1 - filters / words**2)))
         self.planes = rng.standard_normal((dim, 64))
 
     def _scores(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -41,10 +44,11 @@ class CapFilters:
         return x[:, : self.half] @ self.codes[0].T, x[:, self.half :] @ self.codes[1].T
 
     def passed(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(row, filter) of all filters passed, and of the best filter of each row in any case.
+        """(row, filter) of all filters passed.
 
         The second block's scores are sorted, so that for each word of the first block the
-        passing words of the second are a prefix.
+        passing words of the second are a prefix. Where too few pass, the cap is lowered by
+        halving until ``least`` do.
         """
         a, b = self._scores(x)
         order = np.argsort(-b, axis=1)
@@ -52,8 +56,13 @@ class CapFilters:
         for i in range(len(x)):
             down = -b[i, order[i]]
             take = np.searchsorted(down, a[i] - self.cap + 1e-12)
-            first = int(np.argmax(a[i]))
-            take[first] = max(take[first], 1)
+            if take.sum() < self.least:
+                low, high = self.cap - 1.0, self.cap
+                for _ in range(12):
+                    cap = (low + high) / 2
+                    take = np.searchsorted(down, a[i] - cap + 1e-12)
+                    low, high = (cap, high) if take.sum() >= self.least else (low, cap)
+                take = np.searchsorted(down, a[i] - low + 1e-12)
             each = np.repeat(np.arange(self.words), take)
             second = order[i, np.arange(len(each)) - np.repeat(np.cumsum(take) - take, take)]
             rows.append(np.full(len(each), i))
@@ -73,7 +82,7 @@ def _dot(a: str, b: str) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
 
 
-def embedding_links(reps: DataFrame, cosine: float, filters: float = 90, words: int = 640, seed: int = 11, block_rows: int = 2048) -> DataFrame:
+def embedding_links(reps: DataFrame, cosine: float, filters: float = 90, words: int = 640, least: int = 48, seed: int = 11, block_rows: int = 2048) -> DataFrame:
     """Distinct links (a, b, a < b) between the rows of ``reps`` (rep, label, vector of doubles) of at least ``cosine``."""
 
     def dealt(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -81,7 +90,7 @@ def embedding_links(reps: DataFrame, cosine: float, filters: float = 90, words:
         for batch in batches:
             for dim, part in batch.groupby(batch["vector"].map(len)):
                 if dim not in made:
-                    made[dim] = CapFilters(dim, words, filters, seed)
+                    made[dim] = CapFilters(dim, words, filters, least, seed)
                 x = np.stack(part["vector"].to_list()).astype(float)
                 x /= np.abs(x).max(axis=1, keepdims=True)
                 x /= np.linalg.norm(x, axis=1, keepdims=True)
@@ -93,7 +102,7 @@ def embedding_links(reps: DataFrame, cosine: float, filters: float = 90, words:
     def near(rows: pd.DataFrame) -> pd.DataFrame:
         out = []
         for _, block in rows.groupby("task", sort=False):
-            ids, s = block["rep"].to_numpy(), block["sketch"].to_numpy()
+            ids, s = block["rep"].to_numpy(), block["sketch"].to_numpy().view(np.uint64)  # bits of a signed number count its size
             other = (block["blk"] != block["blk_i"]).to_numpy()
             own, second = ~other, other if block["blk_i"].iat[0] != block["blk_j"].iat[0] else ~other
             a, b = np.nonzero(np.bitwise_count(s[own][:, None] ^ s[second][None, :]) <= _SKETCH_BITS)
