@@ -157,7 +157,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, text_col: str = "text",
 
         spread = rows.withColumn("row", F.xxhash64("text")).mapInPandas(hashed, "id long, row long, hs array<long>")
         spread = spread.select("id", "row", F.posexplode("hs").alias("p", "h"))
-        hits = spread.join(seeds, "h").groupBy("id", "row", "item", "n").agg(F.collect_list(F.struct("p", "q")).alias("s"))
+        hits = spread.join(seeds, "h").groupBy("id", "row", "item", "n").agg(F.collect_set(F.struct("p", "q")).alias("s"))
         pairs = hits.select("id", "item", "n", F.col("s.p").alias("p"), F.col("s.q").alias("q"))
 
     @F.pandas_udf("n_tiles int, longest int, covered int")

@@ -16,54 +16,30 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gradelake.llm.shared_keys import over_runs, runs, shared_keys
 from gradelake.llm.suffix_array import common_prefixes, suffix_array
 
 GRAM = 20
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _SHARD = 2_000_000  # bytes of fragments in one suffix array
-_NO_ID = np.iinfo(np.int64).max
 
 
 def _power(n: int) -> np.uint64:
     return np.uint64(pow(int(_BASE), n, 1 << 64))
 
 
-def _combined(x: np.ndarray, n: int, join) -> np.ndarray:
-    """``join`` over every run of n values, by doubling: join(left, right, size of right)."""
-    out, size, held = None, 1, x
-    whole = 0
-    while True:
-        if n & size:
-            if out is None:
-                out, whole = held, size
-            else:
-                m = min(len(held) - whole, len(out))
-                # out covers ``whole`` values; held covers ``size`` values after them
-                out = join(out[: len(held) - whole], held[whole:], size) if m > 0 else out[:0]
-                whole += size
-        if whole == n:
-            return out
-        held = join(held[: max(0, len(held) - size)], held[size:], size)
-        size *= 2
-
-
 def window_keys(data: np.ndarray, length: int) -> np.ndarray:
     """For each window of ``length`` bytes the least hash (40 bits) of the grams in it."""
     if len(data) < length:
         return np.empty(0, np.int64)
     x = data.astype(np.uint64) + np.uint64(1)
     gram = min(GRAM, length)
-    h = _combined(x, gram, lambda a, b, n: a * _power(n) + b)
+    h = over_runs(x, gram, lambda a, b, n: a * _power(n) + b)
     h ^= h >> np.uint64(31)
     h *= np.uint64(0xBF58476D1CE4E5B9)
     h ^= h >> np.uint64(29)
     h = (h >> np.uint64(24)).astype(np.int64)
-    return _combined(h, length - gram + 1, lambda a, b, n: np.minimum(a, b))
-
-
-def _runs(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    start = np.flatnonzero(np.concatenate([[True], values[1:] != values[:-1]]))
-    return start, np.append(start[1:], len(values))
+    return over_runs(h, length - gram + 1, lambda a, b, n: np.minimum(a, b))
 
 
 def _covered(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -112,75 +88,10 @@ def shard_repeats(texts: list[bytes], keys: np.ndarray, least: np.ndarray, lengt
 
 def repeated_ranges(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", length: int = 50, buckets: int | None = None) -> tuple[DataFrame, DataFrame]:
     """((id, starts, ends) of the byte ranges to remove, the texts by id they were found in)."""
-    spark = docs.sparkSession
-    buckets = buckets or 16 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-
-    def dealt(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """Distinct (hash, id) of a batch, packed by bucket; hashes that repeat within the batch are known and sent once."""
-        for batch in batches:
-            hashes, ids = [], []
-            for doc, text in zip(batch["id"], batch["text"], strict=True):
-                keys = np.unique(window_keys(np.frombuffer(text.encode("utf-8", "replace"), np.uint8), length))
-                hashes.append(keys), ids.append(np.full(len(keys), doc, np.int64))
-            h, d = np.concatenate(hashes), np.concatenate(ids)
-            if not len(h):
-                continue
-            order = np.lexsort((d, h))
-            h, d = h[order], d[order]
-            fresh = np.concatenate([[True], (h[1:] != h[:-1]) | (d[1:] != d[:-1])])
-            h, d = h[fresh], d[fresh]
-            start, end = _runs(h)
-            known = np.repeat(end - start > 1, end - start)
-            if known.any():
-                by = np.argsort(d[known], kind="stable")
-                kd, kh = d[known][by], h[known][by]
-                a, b = _runs(kd)
-                yield pd.DataFrame({"bucket": kd[a] % buckets, "kind": 1, "id": kd[a], "hs": [kh[x:y].tobytes() for x, y in zip(a, b, strict=True)], "ids": b""})
-            h, d = h[start], d[start]  # one of each hash, to meet those of other batches
-            by = np.argsort(h % buckets, kind="stable")
-            h, d = h[by], d[by]
-            a, b = _runs(h % buckets)
-            # Byte by byte, so that the upper bytes of ids, which are alike, compress to nothing.
-            low, wide = h.astype("<i8").view(np.uint8).reshape(-1, 8)[:, :5], d.astype("<i8").view(np.uint8).reshape(-1, 8)
-            yield pd.DataFrame({"bucket": h[a] % buckets, "kind": 0, "id": 0, "hs": [low[x:y].tobytes() for x, y in zip(a, b, strict=True)], "ids": [wide[x:y].T.tobytes() for x, y in zip(a, b, strict=True)]})
-
-    def met(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """(id, hashes) of the hashes that two documents hold; a bucket's distinct hashes are held at a time."""
-        bucket, hs, ids = None, [], []
 
-        def close() -> pd.DataFrame:
-            low = np.frombuffer(b"".join(hs), np.uint8).reshape(-1, 5)
-            h = np.zeros((len(low), 8), np.uint8)
-            h[:, :5] = low
-            h = h.view("<i8").reshape(-1).astype(np.int64)
-            d = np.concatenate([np.ascontiguousarray(np.frombuffer(x, np.uint8).reshape(8, -1).T).view("<i8").reshape(-1) for x in ids]).astype(np.int64)
-            order = np.lexsort((d, h))
-            h, d = h[order], d[order]
-            start, end = _runs(h)
-            same = d[start] == d[end - 1]  # batches may share a document only if its id repeats
-            keep = np.repeat(~same, end - start)
-            h, d = h[keep], d[keep]
-            by = np.argsort(d, kind="stable")
-            h, d = h[by], d[by]
-            if not len(d):
-                return pd.DataFrame({"id": [], "hs": []})
-            a, b = _runs(d)
-            return pd.DataFrame({"id": d[a], "hs": [h[x:y].tobytes() for x, y in zip(a, b, strict=True)]})
-
-        for batch in batches:
-            forward = batch[batch["kind"] == 1]
-            if len(forward):
-                yield forward[["id", "hs"]]
-            for b, h, d in zip(batch["bucket"], batch["hs"], batch["ids"], strict=True):
-                if not len(d):
-                    continue
-                if b != bucket and hs:
-                    yield close()
-                    hs, ids = [], []
-                bucket = b
-                hs.append(h), ids.append(d)
-        if hs:
-            yield close()
+    def keys_of(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        keys = [np.unique(window_keys(np.frombuffer(t.encode("utf-8", "replace"), np.uint8), length)) for t in texts]
+        return np.concatenate(keys), np.repeat(np.arange(len(keys)), [len(k) for k in keys])
 
     def fragments(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         """Fragments by hash, one of each kind in a batch, its least id; what else holds it in the batch loses it (kind 1)."""
@@ -193,7 +104,7 @@ def repeated_ranges(docs: DataFrame, text_col: str = "text", id_col: str = "doc_
                 if not len(keys):
                     continue
                 wanted = np.unique(np.concatenate([np.frombuffer(p, np.int64) for p in packed]))
-                a, b = _runs(keys)
+                a, b = runs(keys)
                 at = np.minimum(np.searchsorted(wanted, keys[a]), len(wanted) - 1)
                 hit = wanted[at] == keys[a]
                 for x, y, h in zip(a[hit].tolist(), (b[hit] + length - 1).tolist(), keys[a[hit]].tolist(), strict=True):
@@ -242,7 +153,7 @@ def repeated_ranges(docs: DataFrame, text_col: str = "text", id_col: str = "doc_
         ends = starts + rows["fragment"].map(len).to_numpy()
         out = [np.stack([ids[whole], starts[whole], ends[whole]], 1)]
         own = np.flatnonzero(~whole)
-        of = [own[i:j] for i, j in zip(*_runs(which[own]), strict=True)]
+        of = [own[i:j] for i, j in zip(*runs(which[own]), strict=True)]
         for k, a, b in shard_repeats(distinct["fragment"].to_list(), distinct["key"].to_numpy(), least, length):
             out += [[(ids[r], starts[r] + a, starts[r] + b)] for r in of[k]]
         return pd.DataFrame(np.concatenate(out), columns=["id", "start", "end"])
@@ -260,9 +171,7 @@ def repeated_ranges(docs: DataFrame, text_col: str = "text", id_col: str = "doc_
     digests = texts.select("id", F.unhex(F.sha2("text", 256)).alias("digest"), F.octet_length("text").alias("n"))
     firsts = digests.groupBy("digest").agg(F.min("id").alias("first"))
     copies = digests.join(firsts, "digest").where("id > first").select("id", "n").distinct()
-    packed = texts.join(copies.select("id"), "id", "left_anti").mapInPandas(dealt, "bucket int, kind int, id long, hs binary, ids binary")
-    repeated = packed.repartition("bucket").sortWithinPartitions("bucket").mapInPandas(met, "id long, hs binary")
-    wanted = repeated.groupBy("id").agg(F.collect_list("hs").alias("hs"))
+    wanted = shared_keys(texts.join(copies.select("id"), "id", "left_anti"), keys_of, buckets)
     cut = texts.join(wanted, "id").mapInPandas(fragments, "key long, id long, start int, end int, fragment binary")
     found = cut.repartition("key").sortWithinPartitions("key").mapInPandas(shards, "id long, start int, end int")
     found = found.unionByName(copies.where(F.col("n") >= length).select("id", F.lit(0).alias("start"), F.col("n").alias("end")))
@@ -279,9 +188,8 @@ def suffix_dedup(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id"
     take nothing from others; rows that repeat an id are one document to each other and lose
     the ranges that any of them loses only if their texts are equal, which is assumed.
 
-    Hashes are packed by bucket and met within tasks before they are shuffled; of a hash that
-    many documents hold, a batch sends one. ``buckets`` (16 times the shuffle partitions by
-    default) bounds what a task holds.
+    Of a hash or fragment that many documents hold, a batch sends one. ``buckets`` (see
+    ``shared_keys``) bounds what a task holds.
     """
     ranges, texts = repeated_ranges(docs, text_col, id_col, length, buckets)
 
