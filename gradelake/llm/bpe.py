@@ -107,7 +107,7 @@ class Remembered(dict):
     there, the others are forgotten. Long keys are not kept.
     """
 
-    def __init__(self, make, limit: int = 250_000, longest: int = 48):
+    def __init__(self, make, limit: int = 200_000, longest: int = 48):
         super().__init__()
         self.make, self.limit, self.longest, self.old = make, limit, longest, {}
 

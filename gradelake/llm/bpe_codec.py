@@ -79,7 +79,7 @@ class Encoder:
     def _compatible(self, a: int, b: int) -> bool:
         key = a << SHIFT | b
         if (ok := self.pairs.get(key)) is None:
-            if len(self.pairs) >= 400_000:
+            if len(self.pairs) >= 200_000:
                 self.pairs.clear()
             ok = self.pairs[key] = self._first_crossing(a, b) is None
         return ok

@@ -29,7 +29,7 @@ class Tokens:
     """Token numbers of texts; words seen before are remembered in a bounded table."""
 
     def __init__(self):
-        self.of = Remembered(_token)
+        self.of = Remembered(_token, 120_000)
 
     def __call__(self, text: str | None) -> np.ndarray:
         words = (text or "").split()

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 UNKNOWN = "und"
-_AT_ONCE = 1_000_000
+_AT_ONCE = 200_000
 _BITS = 21  # of a code point; three fit one integer
 _letters: list[np.ndarray] = []
 
