@@ -120,7 +120,7 @@ def extracted(found: DataFrame, readers: dict[str, Callable[[bytes], str]] | Non
             yield pd.DataFrame(out, columns=["text", "error"])
 
     rows = found.withColumn("kind", file_kind(F.col("path")))
-    plain = F.regexp_replace(F.decode("content", "UTF-8"), "�", "")
+    plain = F.replace(F.make_valid_utf8(F.col("content").cast("string")), F.lit("\ufffd"), F.lit(""))
     is_text = F.coalesce(F.col("kind") == "text", F.lit(False))
     text_rows = rows.where(is_text).withColumns({"text": plain, "error": F.lit(None).cast("string")})
     unknown = rows.where("kind is null").withColumns({"text": F.lit(None).cast("string"), "error": F.lit("Unsupported file type")})
