@@ -10,6 +10,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+_ROW = 23  # bits below a key of 40
+_PACKED = ["bucket", "kind", "id", "hs", "ids"]
+
+
 def over_runs(x: np.ndarray, n: int, join) -> np.ndarray:
     """``join`` over every run of n values, by doubling: join(left, right, size of right)."""
     out, size, held = None, 1, x
@@ -35,8 +39,31 @@ def runs(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return start, np.append(start[1:], len(values))
 
 
+def five(h: np.ndarray) -> np.ndarray:
+    """The five bytes of each key."""
+    return np.ascontiguousarray(h.astype("<i8").view(np.uint8).reshape(-1, 8)[:, :5])
+
+
+def unpacked(blobs: list[bytes]) -> np.ndarray:
+    """The keys of blobs of five bytes each, end to end."""
+    low = np.frombuffer(b"".join(blobs), np.uint8).reshape(-1, 5)
+    h = np.zeros((len(low), 8), np.uint8)
+    h[:, :5] = low
+    return h.view("<i8").reshape(-1).astype(np.int64)
+
+
+def by_id(h: np.ndarray, d: np.ndarray) -> pd.DataFrame:
+    """(id, hs): keys packed by the id that has them."""
+    if not len(d):
+        return pd.DataFrame({"id": np.empty(0, np.int64), "hs": []})
+    order = np.argsort(d, kind="stable")
+    d, low = d[order], five(h[order])
+    a, b = runs(d)
+    return pd.DataFrame({"id": d[a], "hs": [low[x:y].tobytes() for x, y in zip(a, b, strict=True)]})
+
+
 def shared_keys(texts: DataFrame, keys_of: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], buckets: int | None = None) -> DataFrame:
-    """(id, hs): for each document of ``texts`` (id, text) its keys that a second holder has, as packed arrays of int64.
+    """(id, hs): for each document of ``texts`` (id, text) its keys that a second holder has, packed (see ``unpacked``).
 
     ``keys_of`` gives (key, index of the text) for a list of texts, keys below 2^40. Two
     holders are two documents, or one that gives a key twice.
@@ -52,47 +79,34 @@ def shared_keys(texts: DataFrame, keys_of: Callable[[list[str]], tuple[np.ndarra
         for batch in batches:
             if not len(batch):
                 continue
+            batch = batch.sort_values("id")
             h, row = keys_of(batch["text"].to_list())
-            d = batch["id"].to_numpy()[row]
             if not len(h):
                 continue
-            order = np.lexsort((d, h))
-            h, d = h[order], d[order]
+            both = np.sort(h << _ROW | row)  # a batch has far fewer than 2^23 texts
+            h, d = both >> _ROW, batch["id"].to_numpy()[both & ((1 << _ROW) - 1)]
             start, end = runs(h)
             known = np.repeat(end - start > 1, end - start)
             if known.any():
-                by = np.lexsort((h[known], d[known]))
-                kd, kh = d[known][by], h[known][by]
-                a, b = runs(kd)
-                yield pd.DataFrame({"bucket": kd[a] % buckets, "kind": 1, "id": kd[a], "hs": [kh[x:y].tobytes() for x, y in zip(a, b, strict=True)], "ids": b""})
+                yield by_id(h[known], d[known]).assign(bucket=lambda x: x["id"] % buckets, kind=1, ids=b"")[_PACKED]
             h, d = h[start], d[start]  # one of each key, to meet those of other batches
-            by = np.argsort(h % buckets, kind="stable")
-            h, d = h[by], d[by]
-            a, b = runs(h % buckets)
+            bucket = h * buckets >> 40
+            a, b = runs(bucket)
+            low, wide = five(h), d.astype("<i8").view(np.uint8).reshape(-1, 8)
             # Byte by byte, so that the upper bytes of ids, which are alike, compress to nothing.
-            low, wide = h.astype("<i8").view(np.uint8).reshape(-1, 8)[:, :5], d.astype("<i8").view(np.uint8).reshape(-1, 8)
-            yield pd.DataFrame({"bucket": h[a] % buckets, "kind": 0, "id": 0, "hs": [low[x:y].tobytes() for x, y in zip(a, b, strict=True)], "ids": [wide[x:y].T.tobytes() for x, y in zip(a, b, strict=True)]})
+            yield pd.DataFrame({"bucket": bucket[a], "kind": 0, "id": 0, "hs": [low[x:y].tobytes() for x, y in zip(a, b, strict=True)], "ids": [wide[x:y].T.tobytes() for x, y in zip(a, b, strict=True)]})
 
     def met(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         bucket, hs, ids = None, [], []
 
         def close() -> pd.DataFrame:
-            low = np.frombuffer(b"".join(hs), np.uint8).reshape(-1, 5)
-            h = np.zeros((len(low), 8), np.uint8)
-            h[:, :5] = low
-            h = h.view("<i8").reshape(-1).astype(np.int64)
+            h = unpacked(hs)
             d = np.concatenate([np.ascontiguousarray(np.frombuffer(x, np.uint8).reshape(8, -1).T).view("<i8").reshape(-1) for x in ids]).astype(np.int64)
-            order = np.lexsort((d, h))
+            order = np.argsort(h, kind="stable")  # sorted stretches are merged
             h, d = h[order], d[order]
             start, end = runs(h)
-            several = np.repeat(d[start] != d[end - 1], end - start)
-            h, d = h[several], d[several]
-            if not len(d):
-                return pd.DataFrame({"id": [], "hs": []})
-            by = np.argsort(d, kind="stable")
-            h, d = h[by], d[by]
-            a, b = runs(d)
-            return pd.DataFrame({"id": d[a], "hs": [h[x:y].tobytes() for x, y in zip(a, b, strict=True)]})
+            several = np.repeat(np.minimum.reduceat(d, start) != np.maximum.reduceat(d, start), end - start)
+            return by_id(h[several], d[several])
 
         for batch in batches:
             told = batch[batch["kind"] == 1]

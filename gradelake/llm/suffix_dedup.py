@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gradelake.llm.shared_keys import over_runs, runs, shared_keys
+from gradelake.llm.shared_keys import over_runs, runs, shared_keys, unpacked
 from gradelake.llm.suffix_array import common_prefixes, suffix_array
 
 GRAM = 20
@@ -103,7 +103,7 @@ def repeated_ranges(docs: DataFrame, text_col: str = "text", id_col: str = "doc_
                 keys = window_keys(np.frombuffer(data, np.uint8), length)
                 if not len(keys):
                     continue
-                wanted = np.unique(np.concatenate([np.frombuffer(p, np.int64) for p in packed]))
+                wanted = np.unique(unpacked(packed))
                 a, b = runs(keys)
                 at = np.minimum(np.searchsorted(wanted, keys[a]), len(wanted) - 1)
                 hit = wanted[at] == keys[a]

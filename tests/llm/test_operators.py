@@ -246,15 +246,16 @@ def test_contamination(spark, broadcast_seeds):
 
 
 def paragraphs_brute(text, words, reach):
-    """(start, end, words) straight from the rule."""
+    """(first word, last word, words) straight from the rule."""
     out, number = [], paragraph_dedup._word_number
     for line in re.finditer(r"[^\n]+", text):
         spans = [(line.start() + m.start(), line.start() + m.end()) for m in re.finditer(r"\S+", line[0])]
         x = [number(text[a:b]) for a, b in spans]
+        before = len(text[: line.start()].split())
         starts = [0] + [i for i in range(reach, len(x) - reach) if x[i] < min(x[i - reach : i]) and x[i] <= min(x[i + 1 : i + reach + 1])]
         for a, b in zip(starts, [*starts[1:], len(x)]):
             if b - a >= words:
-                out.append((spans[a][0], spans[b - 1][1], b - a))
+                out.append((before + a, before + b, b - a))
     return out
 
 
