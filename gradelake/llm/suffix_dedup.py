@@ -16,11 +16,13 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gradelake.llm.common import checkpoint
 from gradelake.llm.shared_keys import over_runs, runs, shared_keys, unpacked
 from gradelake.llm.suffix_array import common_prefixes, suffix_array
 
 GRAM = 20
 _BASE = np.uint64(0x9E3779B97F4A7C15)
+_TOGETHER = 200_000  # bytes of texts hashed in one call
 _SHARD = 2_000_000  # bytes of fragments in one suffix array
 
 
@@ -42,6 +44,25 @@ def window_keys(data: np.ndarray, length: int) -> np.ndarray:
     return over_runs(h, length - gram + 1, lambda a, b, n: np.minimum(a, b))
 
 
+def windows(texts: list[bytes], length: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(key, text, start) of the runs of windows of one key, some texts at a time."""
+    first = 0
+    while first < len(texts):
+        last, size = first, 0
+        while last < len(texts) and (last == first or size < _TOGETHER):
+            size += len(texts[last])
+            last += 1
+        sizes = np.array([len(t) for t in texts[first:last]])
+        keys = window_keys(np.frombuffer(b"".join(texts[first:last]), np.uint8), length)
+        row, end = np.repeat(np.arange(first, last), sizes)[: len(keys)], np.repeat(np.cumsum(sizes), sizes)[: len(keys)]
+        at = np.flatnonzero(np.arange(len(keys)) + length <= end)  # no window reaches into the next text
+        if len(at):
+            keys, row = keys[at], row[at]
+            new = np.flatnonzero(np.concatenate([[True], (keys[1:] != keys[:-1]) | (row[1:] != row[:-1])]))
+            yield keys[new], row[new], at[new] - (np.cumsum(sizes) - sizes)[row[new] - first]
+        first = last
+
+
 def _covered(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Union of byte ranges, touching ones joined."""
     order = np.argsort(starts, kind="stable")
@@ -90,30 +111,37 @@ def repeated_ranges(docs: DataFrame, text_col: str = "text", id_col: str = "doc_
     """((id, starts, ends) of the byte ranges to remove, the texts by id they were found in)."""
 
     def keys_of(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        keys = [np.unique(window_keys(np.frombuffer(t.encode("utf-8", "replace"), np.uint8), length)) for t in texts]
-        return np.concatenate(keys), np.repeat(np.arange(len(keys)), [len(k) for k in keys])
+        found = [(np.empty(0, np.int64), np.empty(0, np.int64)), *((k, r) for k, r, _ in windows([t.encode("utf-8", "replace") for t in texts], length))]
+        keys, row = (np.concatenate(x) for x in zip(*found, strict=True))
+        order = np.lexsort((row, keys))
+        keys, row = keys[order], row[order]
+        new = np.concatenate([[True], (keys[1:] != keys[:-1]) | (row[1:] != row[:-1])])[: len(keys)]
+        return keys[new], row[new]
 
     def fragments(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         """Fragments by hash, one of each kind in a batch, its least id; what else holds it in the batch loses it (kind 1)."""
         for batch in batches:
             least: dict[bytes, tuple[int, int, list[int]]] = {}
             lost: list[tuple[int, int, int]] = []
-            for doc, text, packed in sorted(zip(batch["id"], batch["text"], batch["hs"], strict=True), key=lambda r: r[0]):
-                data = text.encode("utf-8", "replace")
-                keys = window_keys(np.frombuffer(data, np.uint8), length)
-                if not len(keys):
-                    continue
-                wanted = np.unique(unpacked(packed))
-                a, b = runs(keys)
-                at = np.minimum(np.searchsorted(wanted, keys[a]), len(wanted) - 1)
-                hit = wanted[at] == keys[a]
-                for x, y, h in zip(a[hit].tolist(), (b[hit] + length - 1).tolist(), keys[a[hit]].tolist(), strict=True):
-                    fragment = data[x:y]
-                    first = least.setdefault(fragment, (doc, h, []))
-                    if first[0] < doc:
-                        lost.append((doc, x, y))
-                    else:
-                        first[2].append(x)  # equal ones in one document say nothing of each other
+            batch = batch.sort_values("id")
+            ids, texts = batch["id"].to_list(), [t.encode("utf-8", "replace") for t in batch["text"]]
+            wanted = [np.unique(unpacked(packed)) for packed in batch["hs"]]
+            for keys, row, start in windows(texts, length):
+                stop = np.append(start[1:], 0)
+                last = np.append(row[1:] != row[:-1], True)
+                stop[last] = [len(texts[r]) - length + 1 for r in row[last]]
+                for a, b in zip(*runs(row), strict=True):
+                    r = int(row[a])
+                    at = np.minimum(np.searchsorted(wanted[r], keys[a:b]), len(wanted[r]) - 1)
+                    hit = a + np.flatnonzero(wanted[r][at] == keys[a:b])
+                    doc, data = ids[r], texts[r]
+                    for x, y, h in zip(start[hit].tolist(), (stop[hit] + length - 1).tolist(), keys[hit].tolist(), strict=True):
+                        fragment = data[x:y]
+                        first = least.setdefault(fragment, (doc, h, []))
+                        if first[0] < doc:
+                            lost.append((doc, x, y))
+                        else:
+                            first[2].append(x)  # equal ones in one document say nothing of each other
             out = [(h, doc, x, 0, fragment) for fragment, (doc, h, xs) in least.items() for x in xs]
             yield pd.DataFrame(out, columns=["key", "id", "start", "end", "fragment"])
             if lost:
@@ -166,12 +194,16 @@ def repeated_ranges(docs: DataFrame, text_col: str = "text", id_col: str = "doc_
                 a.append(x), b.append(y)
             yield pd.DataFrame({"id": batch["id"], "starts": a, "ends": b})
 
-    texts = docs.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    rows = docs.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    # All three uses below read this one exchange.
+    texts = rows.repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "id")
     # Exact copies first: one with an earlier equal text loses all that is long enough.
-    digests = texts.select("id", F.unhex(F.sha2("text", 256)).alias("digest"), F.octet_length("text").alias("n"))
-    firsts = digests.groupBy("digest").agg(F.min("id").alias("first"))
-    copies = digests.join(firsts, "digest").where("id > first").select("id", "n").distinct()
-    wanted = shared_keys(texts.join(copies.select("id"), "id", "left_anti"), keys_of, buckets)
+    digests = rows.select("id", F.unhex(F.sha2("text", 256)).alias("digest"), F.octet_length("text").alias("n"))
+    least = digests.groupBy("digest").agg(F.min("id").alias("first"))
+    copies = checkpoint(digests.join(least, "digest").where("id > first").select("id", "n").distinct())
+    # An anti join would be moved below the exchange and shuffle the texts on its own.
+    firsts = texts.join(copies.select("id", F.lit(1).alias("copy")), "id", "left").where("copy is null").select("id", "text")
+    wanted = shared_keys(firsts, keys_of, buckets)
     cut = texts.join(wanted, "id").mapInPandas(fragments, "key long, id long, start int, end int, fragment binary")
     found = cut.repartition("key").sortWithinPartitions("key").mapInPandas(shards, "id long, start int, end int")
     found = found.unionByName(copies.where(F.col("n") >= length).select("id", F.lit(0).alias("start"), F.col("n").alias("end")))
@@ -206,5 +238,6 @@ def suffix_dedup(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id"
     kinds = "id long, n_bytes long, n_removed long, starts array<int>, ends array<int>, kept binary"
     rest = docs.where(F.col(id_col).isNull() | F.col(text_col).isNull()).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     none = F.lit(None).cast("array<int>")
-    rows = texts.join(ranges, "id", "left").unionByName(rest.withColumns({"starts": none, "ends": none}))
-    return rows.mapInPandas(kept, kinds).withColumnRenamed("id", id_col)
+    rest = rest.withColumns({"starts": none, "ends": none}).mapInPandas(kept, kinds)
+    # United only after the map: a union below would give the texts' exchange a plan of its own.
+    return texts.join(ranges, "id", "left").mapInPandas(kept, kinds).unionByName(rest).withColumnRenamed("id", id_col)
