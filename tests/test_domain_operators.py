@@ -196,7 +196,8 @@ def test_extraction_passes(spark):
 def test_streams(spark, tmp_path):
     rows = [(u, f"2024-01-01 {h:02d}:{m:02d}:00", k) for u in (1, 2) for h in (1, 3) for m, k in ((0, "click"), (10, "view"), (20, "click"))]
     e = spark.createDataFrame(rows, "user_id long, t string, event_type string").select("user_id", F.to_timestamp("t").alias("ts"), "event_type")
-    e.write.parquet(str(tmp_path / "in" / "a"))
+    # One file: several are read in an order that chance gives, and the watermark then drops rows as late.
+    e.coalesce(1).write.parquet(str(tmp_path / "in" / "a"))
     spark.createDataFrame([(9, "2024-01-02 00:00:00", "view")], "user_id long, t string, event_type string").select("user_id", F.to_timestamp("t").alias("ts"), "event_type").write.parquet(str(tmp_path / "in" / "b"))
     stream = streams.event_stream(spark, str(tmp_path / "in" / "*"), e.schema)
     streams.flushed(streams.session_counts(stream), str(tmp_path / "out"), str(tmp_path / "state"))
