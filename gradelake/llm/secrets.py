@@ -12,8 +12,10 @@ from gradelake.llm.common import checkpoint
 ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]{16,}"
 HEX = r"[0-9a-f]{24,}"
-#: Candidates of the ownership method: long runs of key characters with a digit and a letter.
-CANDIDATE = r"(?<![A-Za-z0-9+/_.=-])(?=[A-Za-z+/_.=-]*[0-9])(?=[0-9+/_.=-]*[A-Za-z])[A-Za-z0-9+/_-]{20,}={0,2}"
+#: Candidates of the ownership method: web tokens of three parts, and long runs of key characters
+#: with a digit and a letter. An equals sign is part of a run only as padding at its end, so that
+#: the value of NAME=value is a run of its own.
+CANDIDATE = r"(?<![A-Za-z0-9+/_-])(?:eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{4,}\.[A-Za-z0-9_-]{8,}|(?=[A-Za-z+/_-]*[0-9])(?=[0-9+/_-]*[A-Za-z])[A-Za-z0-9+/_-]{20,}(?:={1,2}(?![A-Za-z0-9+/_=-]))?)"
 KINDS = ("assign", "access", "hex", "owned")
 _SPAN = "array<struct<start:int,end:int,rank:int,value:string>>"
 
@@ -47,18 +49,18 @@ def _listed(spans: Column) -> Column:
     return F.array_join(F.transform(F.array_sort(spans), lambda s: F.concat_ws(":", F.get(kind, s["rank"]), s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
-def secret_scan(docs: DataFrame, text_col: str = "text", repo_col: str = "doc_id", owner_col: str = "source", max_repos: int = 2, max_owners: int = 1) -> DataFrame:
+def secret_scan(docs: DataFrame, text_col: str = "text", repo_col: str = "doc_id", owner_col: str = "source", max_owners: int = 1) -> DataFrame:
     """Add ``base_spans``, ``owned_spans``, ``live_spans`` (arrays of start, end, rank, value), the three base counts, ``base_list`` and ``span_list``.
 
-    Base kinds are the three fixed patterns. The method adds candidates, that is long mixed
-    runs that no base span overlaps, whose value occurs in at most ``max_repos`` distinct
-    repositories and ``max_owners`` distinct owners over the whole corpus: widely copied
-    examples are left out, what one owner alone has counts as live. ``live_spans`` are the
-    base spans whose value passes the same test. By default a document is a repository and
-    its source the owner; a null owner or repository counts as one of its own.
+    Base kinds are the three fixed patterns. The method adds candidates, that is web tokens
+    and long mixed runs that no base span overlaps, whose value occurs with at most
+    ``max_owners`` distinct owners over the whole corpus: widely copied examples are left out,
+    what one owner alone has counts as live in however many repositories or copies.
+    ``live_spans`` are the base spans whose value passes the same test. By default a document
+    is a repository and its source the owner; a null owner counts as one of its own.
 
     A null or empty text has no spans. Repeated rows count once for a repository and each get
-    their spans. Frequencies are pre-aggregated by value, owner and repository before each
+    their spans. Frequencies are pre-aggregated by value and owner before each
     shuffle, so a value that a third of all rows hold is a few rows by then. Other columns
     pass through; columns named as a result are replaced.
     """
@@ -72,10 +74,9 @@ def secret_scan(docs: DataFrame, text_col: str = "text", repo_col: str = "doc_id
 
     value = F.explode(F.array_distinct(F.transform(F.concat("base_spans", "_wide"), lambda s: F.sha2(s["value"], 256))))
     held = found.select(F.col(repo_col).alias("_repo"), F.col(owner_col).alias("_owner"), value.alias("_hash")).distinct()
-    held = checkpoint(held)  # small, read three times, and the patterns are what costs
-    by_repo = held.groupBy("_hash", "_repo").agg(F.lit(1).alias("_x")).groupBy("_hash").agg(F.count(F.lit(1)).alias("_repos"))
+    held = checkpoint(held)  # small, read twice, and the patterns are what costs
     by_owner = held.groupBy("_hash", "_owner").agg(F.lit(1).alias("_x")).groupBy("_hash").agg(F.count(F.lit(1)).alias("_owners"))
-    alone = by_repo.where(F.col("_repos") <= max_repos).join(by_owner.where(F.col("_owners") <= max_owners), "_hash").select("_hash")
+    alone = by_owner.where(F.col("_owners") <= max_owners).select("_hash")
     mine = held.join(alone, "_hash").groupBy("_repo").agg(F.collect_set("_hash").alias("_live"))
 
     out = found.join(mine, F.col(repo_col).eqNullSafe(F.col("_repo")), "left")

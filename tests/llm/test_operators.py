@@ -363,6 +363,23 @@ def test_secret_scan(spark):
     assert secrets.secret_scan(df.limit(0)).count() == 0
 
 
+def test_secrets_behind_names_in_queries_and_with_one_owner(spark):
+    key, aws = "ghp_A1b2C3d4E5f6G7h8I9j0K1", "wJalrXUtnFEMI/K7MDENG/bPxRfiCYEXAMPL3KEY"
+    jwt = "eyJhbGciOiJIUzI1NiIsInR5cCI6IkpXVCJ9.eyJzdWIiOiIxMjM0NTY3ODkwIn0.dozjgNryP4J3jVmNHl0w5N_XgL0n3I9PlFUP0THsR8U"
+    padded, sig, own, wide = "QUJDREVGR0hJSktMTU5PUFFSU1QxMjM0NQ==", "S1g2" * 6, "0wnKey99" * 3, "w1deKey8" * 3
+    texts = [
+        (1, f"GH_PAT={key} x", "a", "GH_PAT=[M] x"),
+        (2, f"export AWS_SECRET_ACCESS_KEY={aws}", "a", "export AWS_SECRET_ACCESS_KEY=[M]"),
+        (3, f"get /x?a=1&sig={sig}&b=2", "b", "get /x?a=1&sig=[M]&b=2"),
+        (4, f"Bearer {jwt}, {padded}.", "b", "Bearer [M], [M]."),
+        *[(5 + i, f"page {i} has {own}", "c", f"page {i} has [M]") for i in range(3)],
+        *[(8 + i, f"copy {own}", "c", "copy [M]") for i in range(3)],
+        *[(11 + i, f"sample {wide}", f"o{i}", f"sample {wide}") for i in range(2)],
+    ]
+    df = spark.createDataFrame([(i, t, s) for i, t, s, _ in texts], "doc_id long, text string, source string")
+    assert {r.doc_id: r.text for r in secrets.masked(df, "[M]").collect()} == {i: want for i, _, _, want in texts}
+
+
 def test_components(spark):
     r = random.Random(1)
     chain = [(i, i + 1) for i in range(0, 200)]
