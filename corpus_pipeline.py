@@ -12,7 +12,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gradelake.llm import bpe_codec, decontam, lang_id, secrets, simhash
+from gradelake.llm import bpe_codec, decontam, lang_id, near_documents, secrets
 from gradelake.llm.common import shared_folder, small_batches, table
 from gradelake.llm.queries import VOCABULARY
 
@@ -28,9 +28,9 @@ def languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays: five words, at most 7 of 64 bits apart."""
+    """One document of each group of near copies stays: an exact Jaccard similarity of 0.8 in five words."""
     small_batches(spark)
-    return simhash.keep_one(docs, words=5, max_bits=7).select(docs.columns)
+    return near_documents.keep_one(docs, words=5, similarity=0.8).select(docs.columns)
 
 
 def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

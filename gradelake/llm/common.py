@@ -93,6 +93,18 @@ def split_hot(rows: DataFrame, key: list[str], unit: Column, block_rows: int) ->
     return dealt.withColumn("blk_i", F.least("blk", "_j")).withColumn("blk_j", F.greatest("blk", "_j")).drop("_b", "_j")
 
 
+def kept_rows(docs: DataFrame, kept: DataFrame, text_col: str, id_col: str) -> DataFrame:
+    """The rows whose (id, hash of text) is in ``kept``, those that repeat both once, and the rows without an id.
+
+    Of rows that repeat both, the first in the order of their columns stays.
+    """
+    rows = docs.where(F.col(id_col).isNotNull()).withColumns({"_id": F.col(id_col), "_th": F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))})
+    kept = kept.toDF("_kid", "_kth")
+    rows = rows.join(kept, (F.col("_id") == F.col("_kid")) & (F.col("_th") == F.col("_kth")), "left_semi")
+    once = rows.groupBy("_id", "_th").agg(F.min(F.struct(*docs.columns)).alias("_row")).select("_row.*")
+    return once.unionByName(docs.where(F.col(id_col).isNull()))
+
+
 def union_all(frames: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, frames)
 

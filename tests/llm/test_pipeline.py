@@ -45,6 +45,42 @@ def test_pipeline_equals_its_stages_in_plain_python(spark, tmp_path):
         assert list(got[i].ids) == LIBRARY.encode(t, add_special_tokens=False).ids and got[i].n_tokens == len(got[i].ids) and got[i].round_trip
 
 
+def jaccard(a, b):
+    a, b = (set(zip(*(t.lower().split()[k:] for k in range(5)), strict=False)) for t in (a, b))
+    return len(a & b) / len(a | b)
+
+
+def test_near_copies_go_by_jaccard_and_only_by_it(spark, tmp_path):
+    r = random.Random(5)
+    texts = {}
+    for g in range(60):
+        base = prose(1000 + g, 150).split()
+        edited = list(base)
+        for at in r.sample(range(2, 148), 3):
+            edited[at] = f"other{r.randrange(10**6)}"
+        texts[2 * g], texts[2 * g + 1] = " ".join(base), " ".join(edited)
+    texts[500], texts[501] = "a b c d e f g h", "a b c d e f g x"  # Jaccard 0.6
+    group = {i: i for i in texts}
+    for i in texts:
+        for j in texts:
+            if j < i and jaccard(texts[i], texts[j]) >= 0.8:
+                a, b = sorted((group[i], group[j]))
+                group = {k: a if g == b else g for k, g in group.items()}
+    want = {i for i in texts if group[i] == i}
+    far = sum((simhash.fingerprint(texts[2 * g], 5) ^ simhash.fingerprint(texts[2 * g + 1], 5)).bit_count() > 7 for g in range(60) if group[2 * g + 1] == 2 * g)
+    assert far > 10 and {500, 501} <= want
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in texts.items()], SCHEMA)
+    assert {x.doc_id for x in corpus_pipeline.near_copies(spark, docs, str(tmp_path)).collect()} == want
+
+
+def test_rows_of_one_id_and_different_texts_are_judged_apart(spark, tmp_path):
+    one, two = prose(1, 60), prose(2, 60)
+    rows = [(1, one, "en", "s", 1), (2, one, "en", "s", 1), (2, two, "en", "s", 1), (3, two, "en", "b", 1), (2, two, "en", "a", 1), (None, one, "en", "s", 1)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    got = corpus_pipeline.near_copies(spark, docs, str(tmp_path)).collect()
+    assert sorted(((x.doc_id, x.text, x.source) for x in got), key=repr) == sorted([(1, one, "s"), (2, two, "a"), (None, one, "s")], key=repr)
+
+
 def test_stages_keep_their_columns_and_stand_empty_tables(spark, tmp_path):
     write(spark, str(tmp_path), [])
     docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
