@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gradelake.llm.common import checkpoint, components, split_hot
+from gradelake.llm.common import checkpoint, components, kept_rows, split_hot
 
 SEED = 42
 _LEAF = 64  # node pairs of up to so many value pairs are compared at once
@@ -219,9 +219,11 @@ def simhash_components(docs: DataFrame, text_col: str = "text", id_col: str = "d
 def keep_one(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", words: int = 5, max_bits: int = 7) -> DataFrame:
     """The rows whose id is the smallest of its component; their columns are unchanged.
 
-    Rows without an id are kept, and rows that repeat a kept id are kept once.
+    Rows without an id are kept, and rows that repeat both id and text are kept once: rows
+    of one id and different texts are judged apart.
     """
-    found = simhash_components(docs.where(F.col(id_col).isNotNull()), text_col, id_col, words, max_bits)
-    kept = found.where(F.col(id_col) == F.col("component_id")).select(F.col(id_col).alias("_kept")).distinct()
-    once = docs.where(F.col(id_col).isNotNull()).dropDuplicates([id_col])
-    return once.join(kept, once[id_col] == kept["_kept"], "left_semi").unionByName(docs.where(F.col(id_col).isNull()))
+    node = F.struct(F.col(id_col).alias("id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("th"))
+    nodes = docs.where(F.col(id_col).isNotNull()).select(node.alias("_node"), F.col(text_col).alias("_text"))
+    found = simhash_components(nodes, "_text", "_node", words, max_bits)
+    kept = found.where(F.col("_node") == F.col("component_id")).select("_node.id", "_node.th").distinct()
+    return kept_rows(docs, kept, text_col, id_col)

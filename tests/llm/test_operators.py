@@ -135,6 +135,12 @@ def test_simhash_components(spark):
     assert 1 in kept and 2 not in kept and kept.count(8) == 1 and kept.count(None) == 2
 
 
+def test_keep_one_judges_rows_of_one_id_by_their_texts(spark):
+    one, two = prose(1, 60), prose(2, 60)
+    docs = spark.createDataFrame([(1, one, "s"), (2, one, "s"), (2, two, "s"), (2, two, "a"), (3, two, "s")], "doc_id long, text string, source string")
+    assert sorted(tuple(r) for r in simhash.keep_one(docs).collect()) == [(1, one, "s"), (2, two, "a")]
+
+
 @pytest.mark.parametrize("max_bits,block_rows", [(4, 2048), (7, 5)])
 def test_hamming_links_are_whole_when_hot(spark, max_bits, block_rows):
     rng = np.random.default_rng(3)
