@@ -52,6 +52,17 @@ def patched(rows: DataFrame, patches: DataFrame, key: str, columns: list[str]) -
     return out.withColumns(done).select(*rows.columns)
 
 
+def analysed(documents: DataFrame, sources: DataFrame, analysis: DataFrame, key: str = "id") -> DataFrame:
+    """The documents, those in ``sources`` with the one analysis row's syllabus_analysis and module_structure."""
+    made = analysis.select(F.col("syllabus_analysis").alias("_analysis"), F.col("module_structure").alias("_modules"))
+    new = sources.select(F.col(key).alias("_key")).distinct().crossJoin(made)
+    met = documents.join(new, documents[key] == new["_key"], "left")
+    hit = F.col("_key").isNotNull()
+    values = {"syllabus_analysis": "_analysis", "module_structure": "_modules"}
+    old = lambda c: F.col(c) if c in documents.columns else F.lit(None)
+    return met.withColumns({c: F.when(hit, F.col(v)).otherwise(old(c)) for c, v in values.items()}).drop("_key", "_analysis", "_modules")
+
+
 def published(rows: DataFrame, flag: Column, now: Column) -> DataFrame:
     """Rows published or withdrawn: ``published_at`` is ``now`` for the former and null for the latter."""
     return rows.withColumns({"is_published": flag, "published_at": F.when(flag, now)})

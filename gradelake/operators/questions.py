@@ -101,6 +101,13 @@ def weighted_selection(chunks: DataFrame, total: int, doc_col: str = "doc_id", s
     return best.withColumn("place", F.row_number().over(Window.partitionBy(F.lit(1)).orderBy(*tie_columns)) - 1)
 
 
+def focus_sample(chunks: DataFrame, total: int, seed: str, doc_col: str = "doc_id") -> DataFrame:
+    """``total`` chunks, or all if fewer, first by a digest of ``seed`` with document and chunk; ``place`` counts from 0."""
+    order = [F.md5(F.concat_ws(":", F.lit(seed), F.col(doc_col), F.col("chunk_id"))), doc_col, "chunk_id"]
+    best = chunks.orderBy(*order).limit(total)
+    return best.withColumn("place", F.row_number().over(Window.partitionBy(F.lit(1)).orderBy(*order)) - 1)
+
+
 def _filled(pattern: str, text: Column) -> Column:
     """The pattern with each {n} replaced by the first n characters of the text."""
     parts = re.split(r"\{(\d+)\}", pattern)

@@ -212,3 +212,26 @@ def test_streams(spark, tmp_path):
     (folder / "f.txt").write_text("Another text that is certainly long enough to be ingested here.")
     streams.ingest_stream(*args)
     assert sorted(r.original_name for r in spark.read.parquet(str(tmp_path / "docs")).collect()) == ["a.txt", "c.docx", "f.txt"]
+
+
+def test_concepts_list_all_modules(spark):
+    from gradelake.operators import concepts
+
+    found = spark.createDataFrame([("A", 3), ("B", 1)], "concept string, n long")
+    mods = spark.createDataFrame([(2, "Second"), (1, "First")], "module_no int, title string")
+    assert {r.concept: list(r.modules) for r in concepts.concepts_with_modules(found, mods).collect()} == {c: ["First", "Second"] for c in "AB"}
+    assert [list(r.modules) for r in concepts.concepts_with_modules(found, mods.limit(0)).collect()] == [[], []]
+
+
+def test_one_analysis_goes_to_every_source_document(spark):
+    docs = spark.createDataFrame([(1, None, "m"), (2, "old", "m"), (3, "old", "m")], "id long, syllabus_analysis string, module_structure string")
+    made = spark.createDataFrame([("new", "[]")], "syllabus_analysis string, module_structure string")
+    got = {r.id: (r.syllabus_analysis, r.module_structure) for r in crud.analysed(docs, spark.createDataFrame([(1,), (2,), (2,)], "id long"), made).collect()}
+    assert got == {1: ("new", "[]"), 2: ("new", "[]"), 3: ("old", "m")}
+
+
+def test_focus_sample_is_seeded(spark):
+    chunks = chunk_table(spark, [(d, i, "t") for d in range(4) for i in range(5)])
+    pick = lambda n, seed: [(r.doc_id, r.chunk_id) for r in Q.focus_sample(chunks, n, seed).orderBy("place").collect()]
+    assert pick(6, "a") == pick(6, "a") == pick(20, "a")[:6] and pick(20, "a") != pick(20, "b")
+    assert len(set(pick(50, "a"))) == 20
