@@ -26,6 +26,7 @@ PREREQUISITES = [
     r"(?i)(?:prerequisite|require|background|prior|assume|familiar)\s+[^.]{10,80}",
     r"(?i)(?:knowledge of|experience with|understanding of)\s+[^.]{10,80}",
 ]
+# The sentences given where a document states none.
 DEFAULT_OBJECTIVES = [
     "Understand fundamental concepts and principles",
     "Apply theoretical knowledge to practical problems",
@@ -38,6 +39,8 @@ DEFAULT_PREREQUISITES = [
     "Fundamental mathematics (algebra, calculus)",
     "Understanding of core computer science concepts",
 ]
+# Markers of extracted blocks, and the address of avatar pictures.
+AVATAR = "https://api.dicebear.com/7.x/initials/svg?seed="
 TABLE_BLOCK = r"\[TABLE\][\s\S]*?\[/TABLE\]"
 VISUAL_BLOCK = r"\[VISUAL CONTENT[^\]]*\][\s\S]*?\[/VISUAL CONTENT\]"
 
@@ -193,9 +196,17 @@ def parsed_options(options: Column) -> Column:
 
 
 def or_default(value: Column, default) -> Column:
-    """``value`` unless it is null, empty or zero: what counts as missing in stored records."""
-    default = default if isinstance(default, Column) else F.lit(default)
-    return F.when(F.coalesce(value.cast("string"), F.lit("")).isin("", "0", "0.0", "false"), default).otherwise(value)
+    """``value`` unless it counts as missing in stored records, by kind: null, and '' for texts, 0 for numbers, false for truth values.
+
+    The kind is that of ``default``; a column as default stands for texts. The texts "0" and "false" are values.
+    """
+    if isinstance(default, bool):
+        missing = ~F.coalesce(value, F.lit(False))
+    elif isinstance(default, (int, float)):
+        missing = F.coalesce(value, F.lit(0)) == 0
+    else:
+        missing = F.coalesce(value, F.lit("")) == ""
+    return F.when(missing, default if isinstance(default, Column) else F.lit(default)).otherwise(value)
 
 
 def compact(prompt: Column, most: int = 1600) -> Column:
@@ -218,9 +229,43 @@ def human_size(size: Column) -> Column:
 
 
 def minutes_seconds(seconds: Column) -> Column:
-    part = lambda x: F.lpad(F.floor(x).cast("string"), 2, "0")
+    """mm:ss, each of two digits at least; 100 minutes and more keep their three."""
+
+    def part(x: Column) -> Column:
+        digits = F.floor(x).cast("string")
+        return F.when(F.length(digits) < 2, F.lpad(digits, 2, "0")).otherwise(digits)
+
     return F.concat(part(seconds / 60), F.lit(":"), part(seconds % 60))
 
 
+def scroll_depth(top: Column, seen: Column, page: Column) -> Column:
+    """Whole percent of a page's height that has been in view, 100 at most; a page that fits is all seen."""
+    share = F.floor((top + seen) * F.lit(100.0) / page + F.lit(0.5))
+    return F.when(page > seen, F.least(F.lit(100), share)).otherwise(F.lit(100)).cast("int")
+
+
+def toggled(chosen: Column, item: Column) -> Column:
+    """A selection without ``item`` if it was in it, else with it at the end."""
+    return F.when(F.array_contains(chosen, item), F.array_remove(chosen, item)).otherwise(F.array_append(chosen, item))
+
+
+def incomplete(answers: Column) -> Column:
+    """Whether any answer (of array<string>) is null or blank: such a set is only submitted when the time is over."""
+    return F.exists(answers, lambda a: strip(F.coalesce(a, F.lit(""))) == "")
+
+
+def text_total(parts: Column) -> Column:
+    """Characters of all parts of an extraction; null parts have none."""
+    return F.aggregate(parts, F.lit(0), lambda n, p: n + F.length(F.coalesce(p, F.lit(""))))
+
+
 def email_name(email: Column) -> Column:
     return F.split_part(email, F.lit("@"), F.lit(1))
+
+
+def avatar_url(name: Column, email: Column) -> Column:
+    """The address of a picture of initials, by name or else by e-mail, as a query of percent-encoded UTF-8."""
+    encoded = F.replace(F.url_encode(or_default(name, email)), F.lit("+"), F.lit("%20"))
+    for code, plain in (("%21", "!"), ("%27", "'"), ("%28", "("), ("%29", ")"), ("%7E", "~")):
+        encoded = F.replace(encoded, F.lit(code), F.lit(plain))
+    return F.concat(F.lit(AVATAR), encoded)

@@ -114,3 +114,33 @@ def single(rows: DataFrame) -> DataFrame:
     if len(found := rows.limit(2).collect()) != 1:
         raise ValueError(f"expected one row, found {'none' if not found else 'more'}")
     return rows
+
+
+def submitted(payloads: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """New submissions and their answers from payloads (id, student_id, set_id, document_id, answers array<struct<question_id,student_answer,max_score>>).
+
+    A submission starts as 'submitted' with no points; its answers start ungraded, worth 10
+    points where the payload does not say. A payload without answers is a submission alone.
+    """
+    zero = F.lit(0)
+    rows = payloads.select("id", "student_id", "set_id", "document_id", F.lit("submitted").alias("status"), zero.alias("score"), zero.alias("total"))
+    each = payloads.select(F.col("id").alias("submission_id"), F.explode("answers").alias("a"))
+    none = F.lit(None).cast("string")
+    worth = F.when(F.coalesce("a.max_score", zero) == 0, 10).otherwise(F.col("a.max_score")).cast("int")
+    answers = each.select("submission_id", "a.question_id", "a.student_answer", F.lit(False).alias("is_correct"), zero.alias("score"), worth.alias("max_score"), none.alias("feedback"), none.alias("conceptual_gap"))
+    return rows, answers
+
+
+def question_set(payloads: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """New sets and their questions from payloads (id, document_id, question_types, module_filter, document_weights, questions array<struct>).
+
+    A set counts its questions; each question carries the set and document it belongs to.
+    """
+    rows = payloads.select("id", "document_id", F.size(F.coalesce("questions", F.array())).alias("total_questions"), "question_types", "module_filter", "document_weights")
+    each = payloads.select(F.col("id").alias("set_id"), "document_id", F.explode("questions").alias("q"))
+    return rows, each.select("set_id", "document_id", "q.*")
+
+
+def stamped(rows: DataFrame, now: Column) -> DataFrame:
+    """Rows with ``updated_at`` set to now, as every change leaves them."""
+    return rows.withColumn("updated_at", now)

@@ -9,13 +9,30 @@ from gradelake.functions import grading as G
 
 
 def graded_answers(answers: DataFrame, questions: DataFrame) -> DataFrame:
-    """Answers with a known question (inner join), with is_correct, score, matched keywords and gap reason."""
-    q = questions.select(F.col("id").alias("question_id"), "question_type", "correct_answer", "options", "points", "concept_tag")
+    """Answers with a known question (inner join), with is_correct, score, max_score, matched keywords, gap reason, feedback and conceptual_gap.
+
+    The cited chunk (``grounding_chunk``) may be missing from ``questions``; it is empty then.
+    """
+    chunk = F.col("grounding_chunk") if "grounding_chunk" in questions.columns else F.lit(None).cast("string")
+    q = questions.select(F.col("id").alias("question_id"), "question_type", "correct_answer", "options", "points", "concept_tag", chunk.alias("grounding_chunk"))
     met = answers.join(q, "question_id")
     g = G.grade(F.col("question_type"), F.col("correct_answer"), F.col("options"), F.col("points"), F.col("student_answer"))
-    low = (F.coalesce("question_type", F.lit("")) != "mcq") & (F.length(F.trim(F.coalesce("student_answer", F.lit("")))) >= 2) & (g.coverage < 0.65)
+    low = (F.coalesce("question_type", F.lit("")) != "mcq") & ~g.blank & (g.coverage < 0.65)
     gap = F.when(low, G.gap_reason(F.col("concept_tag"), F.col("correct_answer")))
-    return met.withColumns({"is_correct": g.is_correct, "score": g.score, "matched": g.matched, "n_keywords": g.n_keywords, "gap": gap})
+    said, missing = G.feedback(g, F.col("question_type"), F.col("correct_answer"), F.col("concept_tag"), F.col("grounding_chunk"), F.col("student_answer"))
+    return met.withColumns({"is_correct": g.is_correct, "score": g.score, "max_score": F.col("points"), "matched": g.matched, "n_keywords": g.n_keywords, "gap": gap, "feedback": said, "conceptual_gap": missing})
+
+
+WRITTEN = ["is_correct", "score", "max_score", "feedback", "conceptual_gap"]
+
+
+def written_back(answers: DataFrame, graded: DataFrame, key: list[str]) -> DataFrame:
+    """Answers with what the grader found; those it did not grade (no known question) keep what they had."""
+    new = graded.select(*key, F.lit(True).alias("_graded"), *[F.col(c).alias(f"_{c}") for c in WRITTEN])
+    met = answers.join(new, key, "left")
+    old = lambda c: F.col(c) if c in answers.columns else F.lit(None)
+    met = met.withColumns({c: F.when(F.col("_graded"), F.col(f"_{c}")).otherwise(old(c)) for c in WRITTEN})
+    return met.drop("_graded", *[f"_{c}" for c in WRITTEN])
 
 
 def clamped_answers(answers: DataFrame, questions: DataFrame) -> DataFrame:

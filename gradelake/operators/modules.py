@@ -11,6 +11,8 @@ from gradelake.functions.grading import rounded
 
 HEADER = r"(?im)^(?:Module|MODULE|Unit|UNIT)\s+(?:\d+|[IVX]+)[:.\s]"
 
+TOPICS = "array<struct<id:string,title:string,key_concepts:array<string>,learning_objectives:array<string>,chunk_indices:array<int>>>"
+
 
 def module_segments(chunks: DataFrame, doc_col: str = "doc_id", dedupe_default: bool = False) -> DataFrame:
     """(doc, module_no, title, chunk_indices, topics): a header starts a module, chunks before one are 'General Content'.
@@ -35,6 +37,32 @@ def module_segments(chunks: DataFrame, doc_col: str = "doc_id", dedupe_default:
     return grouped.select(doc_col, "module_no", "title", twice.alias("chunk_indices"), topics.alias("topics"))
 
 
+def topic_tree(chunks: DataFrame, documents: DataFrame | None = None, doc_col: str = "doc_id") -> DataFrame:
+    """``module_segments`` with topics as records (id, title, key_concepts, learning_objectives, chunk_indices).
+
+    A topic belongs to the chunk that first names it in its module. With ``documents`` (doc,
+    title), those without chunks get one module under their title, with the topic of core
+    concepts and no chunks.
+    """
+    found = module_segments(chunks, doc_col)
+    titled = found.select(doc_col, "module_no", F.posexplode("topics").alias("no", "topic"))
+    phrases = chunks.select(doc_col, "chunk_id", F.regexp_extract("text", HEADER, 0).alias("_h"), F.slice(T.phrases(F.col("text")), 1, 3).alias("_p"))
+    named = phrases.where("_h = ''").select(doc_col, "chunk_id", F.explode("_p").alias("topic"))
+    of = found.select(doc_col, "module_no", F.explode(F.array_distinct("chunk_indices")).alias("chunk_id"))
+    first = named.join(of, [doc_col, "chunk_id"]).groupBy(doc_col, "module_no", "topic").agg(F.min("chunk_id").alias("chunk_id"))
+    number = F.concat_ws(".", "module_no", F.col("no") + 1)
+    record = F.struct(number.alias("id"), F.col("topic").alias("title"), F.array("topic").alias("key_concepts"), F.array(F.concat(F.lit("Understand "), "topic")).alias("learning_objectives"), F.array("chunk_id").alias("chunk_indices"))
+    listed = titled.join(first, [doc_col, "module_no", "topic"]).groupBy(doc_col, "module_no").agg(F.transform(F.array_sort(F.collect_list(F.struct("no", record.alias("r")))), lambda x: x["r"]).alias("topics"))
+    out = found.drop("topics").join(listed, [doc_col, "module_no"], "left")
+    out = out.withColumn("topics", F.coalesce("topics", F.array().cast(TOPICS)))
+    if documents is None:
+        return out
+    bare = documents.join(found.select(doc_col).distinct(), doc_col, "left_anti")
+    none = F.array().cast("array<int>")
+    core = F.struct(F.lit("1.1").alias("id"), F.lit("Core Concepts").alias("title"), F.array(F.lit("Core Concepts")).alias("key_concepts"), F.array(F.lit("Understand the main concepts")).alias("learning_objectives"), none.alias("chunk_indices"))
+    return out.unionByName(bare.select(doc_col, F.lit(1).alias("module_no"), "title", none.alias("chunk_indices"), F.array(core).cast(TOPICS).alias("topics")))
+
+
 def module_groups(chunks: DataFrame, doc_col: str = "doc_id") -> DataFrame:
     """(doc, module_no, title, first_chunk, last_chunk, n_chunks): modules of a quarter of the chunks each, at least one."""
     n = F.count(F.lit(1)).over(Window.partitionBy(doc_col))
@@ -69,3 +97,15 @@ def module_quota(modules: DataFrame, doc_col: str = "doc_id") -> DataFrame:
     out = modules.select(doc_col, "module_no", mine.alias("questions"))
     q = F.col("questions")
     return out.withColumns({"mcq": F.greatest(F.lit(1), rounded(q * 0.4)), "short": F.greatest(F.lit(1), rounded(q * 0.3)), "conceptual": F.greatest(F.lit(1), q - rounded(q * 0.4) - rounded(q * 0.3))})
+
+
+def third_quota(total: Column) -> tuple[Column, Column, Column]:
+    """(mcq, short, conceptual): whole thirds, one at least, and the rest."""
+    third = F.greatest(F.lit(1), F.floor(total / 3)).cast("int")
+    return third, third, total - 2 * third
+
+
+def difficulty_quota(total: Column) -> tuple[Column, Column, Column]:
+    """(easy, medium, hard): a quarter, a half and a quarter, whole, one at least of each."""
+    part = lambda n: F.greatest(F.lit(1), F.floor(total / n)).cast("int")
+    return part(4), part(2), part(4)

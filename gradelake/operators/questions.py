@@ -79,11 +79,15 @@ def pooled(chunks: DataFrame, weights: DataFrame, n_docs: int, doc_col: str = "d
 
 
 def in_modules(chunks: DataFrame, modules: DataFrame, wanted: Column, doc_col: str = "doc_id") -> DataFrame:
-    """Chunks that the wanted modules list, by document and chunk; all chunks if they list none.
+    """Chunks that the wanted modules or their topics list, by document and chunk; all chunks if they list none.
 
     The fall-back is one flag, joined to the chunks; nothing is counted on the driver.
     """
-    listed = modules.where(wanted).select(doc_col, F.explode("chunk_indices").alias("chunk_id")).distinct()
+    indices = F.col("chunk_indices")
+    kind = modules.schema["topics"].dataType.simpleString() if "topics" in modules.columns else ""
+    if "chunk_indices" in kind:  # a tree: topics list chunks of their own
+        indices = F.concat(indices, F.flatten(F.transform("topics", lambda t: t["chunk_indices"])))
+    listed = modules.where(wanted).select(doc_col, F.explode(indices).alias("chunk_id")).distinct()
     kept = chunks.join(listed.withColumn("_in", F.lit(True)), [doc_col, "chunk_id"], "left")
     any_kept = kept.agg(F.coalesce(F.bool_or("_in"), F.lit(False)).alias("_any")).withColumn("_k", F.lit(1))
     out = kept.withColumn("_k", F.lit(1)).join(any_kept, "_k").where(F.col("_in") | ~F.col("_any"))
@@ -170,18 +174,22 @@ def grounded(questions: DataFrame, selected: DataFrame) -> DataFrame:
     return met.withColumn("grounding_chunk", F.when(lost, F.left("_first", F.lit(220))).otherwise(F.col("grounding_chunk"))).drop("_k", "_all", "_first")
 
 
-def normalised_replies(replies: DataFrame, raw_col: str, least: int = 4) -> DataFrame:
+def normalised_replies(replies: DataFrame, raw_col: str, least: int = 4, total: int | None = None, selected: DataFrame | None = None) -> DataFrame:
     """Questions from model replies: the JSON array found in each, its fields under either name, with defaults.
 
-    A reply that does not parse or holds fewer than ``least`` questions gives none.
+    A reply that does not parse or holds fewer than ``least`` questions gives none; of others
+    the first ``total`` are taken. A missing citation is the start of the first chunk of
+    ``selected`` (place, text), and one that its chunks do not hold is replaced by it.
     """
     item = "struct<question_text:string,question:string,question_type:string,options:array<string>,correct_answer:string,answer:string,concept_tag:string,concept:string,difficulty:string,explanation:string,grounding_chunk:string,points:int>"
     parsed = F.from_json(T.json_array(F.col(raw_col)), f"array<{item}>")
     rows = replies.withColumn("_q", parsed).where(F.size(F.coalesce("_q", F.array().cast(f"array<{item}>"))) >= least)
-    rows = rows.select(*[c for c in replies.columns if c != raw_col], F.posexplode("_q").alias("question_no", "_q"))
+    taken = F.col("_q") if total is None else F.slice("_q", 1, total)
+    rows = rows.select(*[c for c in replies.columns if c != raw_col], F.posexplode(taken).alias("question_no", "_q"))
     f = lambda name: F.col(f"_q.{name}")
     difficulty = T.or_default(f("difficulty"), "Medium")
-    return rows.withColumns(
+    by_difficulty = F.when(f("difficulty") == "Hard", 15).when(f("difficulty") == "Easy", 5).otherwise(10)
+    made = rows.withColumns(
         {
             "question_text": T.or_default(f("question_text"), T.or_default(f("question"), "Untitled")),
             "question_type": F.lower(T.or_default(f("question_type"), "short")),
@@ -191,6 +199,34 @@ def normalised_replies(replies: DataFrame, raw_col: str, least: int = 4) -> Data
             "difficulty": difficulty,
             "explanation": T.or_default(f("explanation"), ""),
             "grounding_chunk": T.or_default(f("grounding_chunk"), ""),
-            "points": F.when(F.coalesce(f("points"), F.lit(0)) != 0, f("points")).otherwise(F.when(difficulty == "Hard", 15).when(difficulty == "Easy", 5).otherwise(10)),
+            "points": F.when(F.coalesce(f("points"), F.lit(0)) != 0, f("points")).otherwise(by_difficulty),
         }
     ).drop("_q")
+    if selected is None:
+        return made
+    first = selected.where("place = 0").select(F.left("text", F.lit(220)).alias("_first"), F.lit(1).alias("_k"))
+    cited = made.withColumn("_k", F.lit(1)).join(first, "_k", "left").withColumn("grounding_chunk", T.or_default(F.col("grounding_chunk"), F.coalesce("_first", F.lit("")))).drop("_k", "_first")
+    return grounded(cited, selected)
+
+
+def existing_prompt(questions: DataFrame, most: int = 100) -> DataFrame:
+    """(existing, tags): the first 80 characters of up to ``most`` known questions as a list, and their distinct concepts.
+
+    The first by id are taken, so that the prompt is the same in every run.
+    """
+    rows = questions.orderBy("id").limit(most)
+    listed = F.array_sort(F.collect_list(F.struct("id", F.left("question_text", F.lit(80)).alias("t"), "concept_tag")))
+    texts = F.transform("_l", lambda x: x["t"])
+    tags = F.array_distinct(F.transform("_l", lambda x: x["concept_tag"]))
+    return rows.agg(listed.alias("_l")).select(F.array_join(texts, "\n- ").alias("existing"), F.array_join(tags, ", ").alias("tags"))
+
+
+def chunk_prompt(selected: DataFrame, focus: bool = False) -> DataFrame:
+    """(prompt): the chunks of a selection (place, title, page, text) as labelled paragraphs, or as focus chunks."""
+    number = (F.col("place") + 1).cast("string")
+    page, title = F.col("page").cast("string"), F.col("title")
+    if focus:
+        line = F.concat(F.lit("FOCUS CHUNK "), number, F.lit(" (Doc: "), title, F.lit(" | p"), page, F.lit("): "), F.col("text"))
+    else:
+        line = F.concat(F.lit("[Chunk "), number, F.lit(" | Doc: "), title, F.lit(" | p"), page, F.lit("]: "), F.col("text"))
+    return selected.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", line.alias("line")))), lambda x: x["line"]), "\n\n").alias("prompt"))

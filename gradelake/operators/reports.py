@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-CATEGORIES = ["syllabus", "notes", "assignment", "reference"]
+# The categories of study material.
+CATEGORIES = ["syllabus", "notes", "slides", "reference"]
 
 
 def _evaluated(column: str) -> Column:
@@ -74,3 +75,38 @@ def category_counts(materials: DataFrame, categories: list[str] = CATEGORIES) ->
     listed = materials.sparkSession.createDataFrame([(c,) for c in categories], "category string")
     n = materials.groupBy("category").agg(F.count(F.lit(1)).alias("n"))
     return listed.join(n, "category", "left").select("category", F.coalesce("n", F.lit(0)).alias("n"))
+
+
+def listed(rows: DataFrame, column: str, descending: bool = False, limit: int | None = None, ties: list[str] | None = None) -> DataFrame:
+    """Rows in the order of a stored list: newest first with nulls on top, or ascending with nulls at the end; the first ``limit``.
+
+    ``ties`` are columns, ascending, that make the order (and so the cut) the same in every run.
+    """
+    order = F.desc_nulls_first(column) if descending else F.asc_nulls_last(column)
+    out = rows.orderBy(order, *[F.asc_nulls_last(c) for c in ties or []])
+    return out if limit is None else out.limit(limit)
+
+
+def selection_totals(documents: DataFrame, n_chunks: Column, group: list[str], order: str) -> DataFrame:
+    """Per selection of documents (``group``): the titles in order, joined, the contents, and the sum of chunks.
+
+    A selection is what one person picked by hand, a few documents.
+    """
+    rows = documents.withColumn("_n", F.coalesce(n_chunks, F.lit(0)))
+    picked = F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.coalesce("title", F.lit("")).alias("t"), F.coalesce("content", F.lit("")).alias("c"))))
+    part = lambda field, sep: F.array_join(F.transform("_l", lambda x: x[field]), sep)
+    filled = F.array_join(F.transform(F.filter("_l", lambda x: x["c"] != ""), lambda x: x["c"]), "\n\n")
+    out = rows.groupBy(*group).agg(picked.alias("_l"), F.sum("_n").cast("long").alias("n_chunks"))
+    return out.select(*group, part("t", ", ").alias("sources"), part("t", " + ").alias("title"), filled.alias("content"), "n_chunks")
+
+
+def submission_list(submissions: DataFrame, students: DataFrame, documents: DataFrame) -> DataFrame:
+    """Every submission with its student's name and e-mail and its document's title, where they are known."""
+    s = students.select(F.col("id").alias("student_id"), F.col("name").alias("student_name"), F.col("email").alias("student_email"))
+    d = documents.select(F.col("id").alias("document_id"), F.col("title").alias("document_title"))
+    return submissions.join(s, "student_id", "left").join(d, "document_id", "left")
+
+
+def filtered_by(rows: DataFrame, column: str, wanted: str) -> DataFrame:
+    """The rows of one set or concept, compared as text; all of them for "All"."""
+    return rows if wanted == "All" else rows.where(F.col(column).cast("string") == wanted)

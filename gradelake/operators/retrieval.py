@@ -18,31 +18,36 @@ def scored_chunks(queries: DataFrame, chunks: DataFrame, top_k: int, query_col:
 
     The score is 0.7 x the words in common over the mean number of words, and 0.3 x the
     chunk's grounding score; ties go by document and chunk. A chunk without a common word
-    still scores by its grounding, so the ``top_k`` chunks by grounding alone are met with
-    every query; no other such chunk can be among the best, and no cross join is needed.
+    still scores by its grounding, so the ``top_k`` chunks by grounding alone stand with every
+    query at an overlap of 0; no other such chunk can be among the best. Those few are read
+    first and go into the plan. Words meet in one equi-join; of what each task finds, only its
+    best by query is shuffled. ``chunks`` are read twice: hand in a stored table.
     """
     chunk_key = [doc_col, "chunk_id"]
-    sized = chunks.select(*chunk_key, "text", "grounding_score", F.size(T.words(F.col("text"))).alias("n_chunk"))
+    sized = chunks.select(*chunk_key, "grounding_score", F.size(T.words(F.col("text"))).alias("n_chunk"), "text")
     asked = queries.select(query_col, "query", F.size(T.words(F.col("query"))).alias("n_query"))
-    q = _tokens(asked, [query_col], "query").withColumnRenamed("n", "nq")
-    c = _tokens(sized, chunk_key, "text")
-    common = c.join(q, "word").groupBy(query_col, *chunk_key).agg(F.sum(F.least("n", "nq")).cast("int").alias("overlap"))
-    met = common.join(sized.drop("text"), chunk_key).join(asked.drop("query"), query_col)
-    best = sized.drop("text").orderBy(F.desc("grounding_score"), *chunk_key).limit(top_k)
-    # top_k rows with each query: as many rows again as the result may have
-    alone = best.withColumn("_k", F.lit(1)).join(asked.drop("query").withColumn("_k", F.lit(1)), "_k").drop("_k")
-    alone = alone.join(common.select(query_col, *chunk_key), [query_col, *chunk_key], "left_anti").withColumn("overlap", F.lit(0))
-    both = met.unionByName(alone)
+    q = _tokens(asked, [query_col, "n_query"], "query").withColumnRenamed("n", "nq")
+    c = _tokens(sized, [*chunk_key, "grounding_score", "n_chunk"], "text")
+    found = [query_col, "n_query", *chunk_key, "n_chunk", "grounding_score"]
+    common = c.join(q, "word").groupBy(*found).agg(F.sum(F.least("n", "nq")).cast("int").alias("overlap"))
+    best = sized.drop("text").orderBy(F.desc("grounding_score"), *chunk_key).limit(top_k).collect()
+    kind = sized.drop("text").schema.simpleString()
+    alone = asked.drop("query").withColumn("_b", F.explode(F.array(*[F.struct(*[F.lit(v).alias(n) for n, v in r.asDict().items()]) for r in best]).cast(f"array<{kind}>")))
+    alone = alone.select(query_col, "n_query", "_b.*").withColumn("overlap", F.lit(0)).select(*found, "overlap")
     norm = (F.col("n_query") + F.col("n_chunk")) / F.lit(2.0)
     lexical = F.when(norm > 0, F.col("overlap") / norm).otherwise(0.0)
-    scored = both.withColumn("score", F.round(lexical * 0.7 + F.col("grounding_score") * 0.3, 6))
+    scored = common.unionByName(alone).withColumn("score", F.round(lexical * 0.7 + F.col("grounding_score") * 0.3, 6))
+    order = Window.partitionBy(query_col).orderBy(F.desc("score"), *chunk_key, F.desc("overlap"))
+    # A chunk may stand twice, with its overlap and with 0: twice as many are surely enough.
+    few = scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= 2 * top_k)
+    once = few.groupBy(query_col, *chunk_key).agg(F.max(F.struct("score", "overlap")).alias("_s")).select(query_col, *chunk_key, "_s.overlap", "_s.score")
     order = Window.partitionBy(query_col).orderBy(F.desc("score"), *chunk_key)
-    return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top_k).select(query_col, *chunk_key, "overlap", "score", "rank")
+    return once.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top_k).select(query_col, *chunk_key, "overlap", "score", "rank")
 
 
 def contexts(ranked: DataFrame, chunks: DataFrame, limit: int = 5, query_col: str = "query_id", doc_col: str = "doc_id") -> DataFrame:
     """(query, context): the chunks of each query in rank order as labelled lines."""
-    label = F.concat(F.lit("[Chunk "), (F.col("chunk_id") + 1).cast("string"), F.lit(" | p"), F.col("page").cast("string"), F.lit(" | "), F.col("tokens").cast("string"), F.lit(" tok | g="), F.format_string("%.3f", "grounding_score"), F.lit("]: "), F.col("text"))
+    label = F.concat(F.lit("[Chunk "), (F.col("chunk_id") + 1).cast("string"), F.lit(" | p"), F.col("page").cast("string"), F.lit(" | "), F.col("tokens").cast("string"), F.lit(" tok | g="), F.col("grounding_score").cast("string"), F.lit("]: "), F.col("text"))
     lines = ranked.where(F.col("rank") <= limit).join(chunks, [doc_col, "chunk_id"]).select(query_col, "rank", label.alias("line"))
     listed = F.array_sort(F.collect_list(F.struct("rank", "line")))
     return lines.groupBy(query_col).agg(F.array_join(F.transform(listed, lambda x: x["line"]), "\n\n").alias("context"))

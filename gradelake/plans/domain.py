@@ -7,10 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from gradelake.operators.chunking import chunk_documents
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+from gradelake.sources.tables import table, written
 
 
 def students(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -68,10 +65,16 @@ def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunk_documents(d, "doc_id", F.col("content"), F.col("title"))
 
 
-def headed_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+def chunk_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The chunks written once, for queries that use them more than once, as documents are chunked once when they come in."""
+    return written(chunks(spark, sf_dir), "chunks")
+
+
+def headed_chunks(spark: SparkSession, sf_dir: str, stored: bool = False) -> DataFrame:
     """Chunks of which every fourth from the second on starts with a module header."""
+    rows = chunk_table(spark, sf_dir) if stored else chunks(spark, sf_dir)
     head = F.concat(F.lit("Module "), F.floor((F.col("chunk_id") + 2) / 4).cast("string"), F.lit(": "))
-    return chunks(spark, sf_dir).withColumn("text", F.when((F.col("chunk_id") % 4 == 2) & (F.col("doc_id") % 3 != 0), F.concat(head, F.col("text"))).otherwise(F.col("text")))
+    return rows.withColumn("text", F.when((F.col("chunk_id") % 4 == 2) & (F.col("doc_id") % 3 != 0), F.concat(head, F.col("text"))).otherwise(F.col("text")))
 
 
 def queries(spark: SparkSession, sf_dir: str) -> DataFrame:

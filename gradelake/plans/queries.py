@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from gradelake.functions import grading as G
 from gradelake.functions import text as T
@@ -95,17 +96,17 @@ def _retrieval(body: str) -> str:
 
 @query(_retrieval("SELECT * FROM ranked WHERE rank <= 5"))
 def q_retrieve_topk(spark, d):
-    return retrieval.scored_chunks(D.queries(spark, d), D.chunks(spark, d), 5)
+    return retrieval.scored_chunks(D.queries(spark, d), D.chunk_table(spark, d), 5)
 
 
 @query(_retrieval("SELECT query_id, doc_id, chunk_id, score FROM ranked WHERE rank = 1"))
 def q_best_grounding(spark, d):
-    return retrieval.scored_chunks(D.queries(spark, d), D.chunks(spark, d), 1).select("query_id", "doc_id", "chunk_id", "score")
+    return retrieval.scored_chunks(D.queries(spark, d), D.chunk_table(spark, d), 1).select("query_id", "doc_id", "chunk_id", "score")
 
 
-@query(_retrieval("""SELECT query_id, string_agg('[Chunk ' || (chunk_id + 1) || ' | p' || page || ' | ' || tokens || ' tok | g=' || printf('%.3f', grounding_score) || ']: ' || text, chr(10) || chr(10) ORDER BY rank) AS context FROM ranked JOIN chunks USING (doc_id, chunk_id) WHERE rank <= 5 GROUP BY query_id"""))
+@query(_retrieval("""SELECT query_id, string_agg('[Chunk ' || (chunk_id + 1) || ' | p' || page || ' | ' || tokens || ' tok | g=' || CAST(grounding_score AS VARCHAR) || ']: ' || text, chr(10) || chr(10) ORDER BY rank) AS context FROM ranked JOIN chunks USING (doc_id, chunk_id) WHERE rank <= 5 GROUP BY query_id"""))
 def q_context(spark, d):
-    chunks = D.chunks(spark, d)
+    chunks = D.chunk_table(spark, d)
     return retrieval.contexts(retrieval.scored_chunks(D.queries(spark, d), chunks, 5), chunks)
 
 
@@ -200,6 +201,67 @@ def q_local_grade_short(spark, d):
     return grading.graded_answers(given, q).select("conv_id", "turn", "is_correct", "score", "matched", "n_keywords", "gap")
 
 
+_SAID = """SELECT conv_id, turn, CASE WHEN length(sa) < 2 THEN 'No substantive answer — the grounded chunk notes: "' || left(chunk, 120) || '…". Gemma flags missing engagement with the cited source.'
+    WHEN coverage >= 0.85 THEN 'Strong — you hit ' || matched || '/' || len(kw) || ' key ideas (' || array_to_string(list_slice(kw, 1, 3), ', ') || ') and track the grounded chunk: "' || left(chunk, 100) || '…".'
+    WHEN coverage >= 0.65 THEN 'Partial — ' || matched || '/' || len(kw) || ' core ideas present but missing nuance: expected direction "' || left(correct_answer, 120) || '…" (chunk: "' || left(chunk, 90) || '…").'
+    ELSE 'Grounded expectation: "' || left(correct_answer, 140) || '…" (chunk: "' || left(chunk, 100) || '…"). Your answer "' || left(student_answer, 120) || '…" diverges from that lineage.' END AS feedback,
+    CASE WHEN length(sa) < 2 THEN 'Gap: Absence of retrieval — re-read the cited chunk and restate the core idea in one sentence focusing on WHY.'
+    WHEN coverage >= 0.85 THEN 'Minor gap: expression depth — connect the idea to a concrete example to cement transfer.'
+    WHEN coverage >= 0.65 THEN 'Gap: incomplete conceptual chain. You covered ' || matched || ' ideas yet missed the link the chunk stresses. Next: rewrite adding the missing link in one sentence.'
+    ELSE CASE WHEN contains(tag, 'overfit') OR contains(qa, 'generalization') THEN 'Classic overfitting fallacy: training accuracy ≠ generalization — variance and validation matter per the chunk.'
+    WHEN contains(tag, 'paradigm') THEN 'Paradigms conflated: theory-driven (interpretable/low-data) vs data-driven (perceptual/large-data) — trade-off missed.'
+    WHEN contains(tag, 'iterat') THEN 'Feedback-loop rationale missed — single-pass cannot revise early errors per the iterative chunk.'
+    ELSE 'Answer diverges from the grounded source — indicates retrieval without grounding.' END || ' Action: re-read the cited chunk, then explain the concept to a peer in 30s focusing on WHY.' END AS conceptual_gap,
+    length(sa) >= 2 AND coverage >= 0.7 AS is_correct, CAST(CASE WHEN length(sa) < 2 THEN 0 WHEN coverage >= 0.85 THEN 10 WHEN coverage >= 0.65 THEN 6 ELSE 2 END AS INTEGER) AS score
+    FROM (SELECT c.*, a.student_answer, a.correct_answer, left(a.correct_answer, 200) AS chunk, CASE conv_id % 4 WHEN 0 THEN 'overfitting' WHEN 1 THEN 'paradigms' WHEN 2 THEN 'iteration' ELSE '' END AS tag FROM c JOIN free_answers a USING (conv_id, turn))"""
+
+
+def _asked_freely(spark, d):
+    """Questions and answers of conversations, as the grader takes them."""
+    a = D.free_answers(spark, d)
+    none = F.lit(None).cast("string")
+    tags = F.array(*map(F.lit, ["Overfitting", "Paradigms", "Iteration", ""]))
+    q = a.select(F.concat_ws(":", "conv_id", "turn").alias("id"), F.lit("short").alias("question_type"), "correct_answer", none.alias("options"), F.lit(10).alias("points"), F.get(tags, (F.col("conv_id") % 4).cast("int")).alias("concept_tag"), F.left("correct_answer", F.lit(200)).alias("grounding_chunk"))
+    return a.select(F.concat_ws(":", "conv_id", "turn").alias("question_id"), "conv_id", "turn", "student_answer"), q
+
+
+@query(sql("", "free_answers").rstrip() + ",\n" + _GRADED + f"\nSELECT conv_id, turn, feedback, conceptual_gap FROM ({_SAID})")
+def q_feedback(spark, d):
+    return grading.graded_answers(*_asked_freely(spark, d)).select("conv_id", "turn", "feedback", "conceptual_gap")
+
+
+@query(sql("", "free_answers").rstrip() + ",\n" + _GRADED + f"\nSELECT a.conv_id, a.turn, s.is_correct, s.score, CASE WHEN s.score IS NOT NULL THEN 10 END AS max_score, s.feedback, s.conceptual_gap FROM free_answers a LEFT JOIN (SELECT * FROM ({_SAID}) WHERE conv_id % 5 <> 0) s USING (conv_id, turn)")
+def q_answers_write_back(spark, d):
+    """A fifth of the answers have lost their question and stay as they were."""
+    answers, q = _asked_freely(spark, d)
+    known = q.where(F.split_part("id", F.lit(":"), F.lit(1)).cast("long") % 5 != 0)
+    done = grading.written_back(answers, grading.graded_answers(answers, known), ["question_id"])
+    return done.select("conv_id", "turn", "is_correct", "score", "max_score", "feedback", "conceptual_gap")
+
+
+@query(
+    """WITH a AS (SELECT p_partkey AS id, p_type AS correct, [p_type, p_brand, p_name] AS opts, CASE p_partkey % 5 WHEN 0 THEN ' ' || upper(p_type) || ' ' WHEN 1 THEN p_brand WHEN 2 THEN left(p_type, 5) WHEN 3 THEN 'zz' ELSE '' END AS given, p_name AS chunk FROM part),
+    b AS (SELECT *, lower(trim(given)) AS sa, lower(correct) AS qa, len(list_filter(opts, lambda o: trim(lower(o)) = lower(trim(given)))) > 0 AS listed FROM a)
+    SELECT id, CASE WHEN length(sa) < 2 THEN 'No substantive answer — the grounded chunk notes: "' || left(chunk, 120) || '…". Gemma flags missing engagement with the cited source.'
+    WHEN listed AND trim(qa) = sa THEN 'Correct — aligns with the grounded source: "' || left(chunk, 110) || '…". You discriminated the diagnostic distractors.'
+    WHEN listed THEN 'Your choice "' || given || '" does not match the grounded expectation "' || correct || '". The chunk states: "' || left(chunk, 120) || '…".'
+    WHEN sa = qa OR contains(qa, left(sa, 12)) OR contains(sa, left(qa, 12)) THEN 'Correct — matches the grounded answer and the chunk: "' || left(chunk, 110) || '…".'
+    ELSE 'Not aligned with the grounded answer "' || correct || '". Grounded source: "' || left(chunk, 120) || '…".' END AS feedback,
+    CASE WHEN length(sa) < 2 THEN 'Gap: Absence of retrieval — re-read the cited chunk and restate the core idea in one sentence focusing on WHY.'
+    WHEN listed AND trim(qa) = sa THEN 'No gap. Stretch: write one sentence for why each distractor is wrong.'
+    WHEN listed THEN 'Misconception: distractor maps to surface familiarity, not the grounded principle. Annotate the chunk and explain why the correct option follows from it.'
+    WHEN sa = qa OR contains(qa, left(sa, 12)) OR contains(sa, left(qa, 12)) THEN 'No gap. Next: link this concept to a concrete example from the lecture.'
+    ELSE 'Gap: shallow pattern match vs grounded reasoning. Re-read the chunk and justify the correct choice in one sentence.' END AS conceptual_gap FROM b"""
+)
+def q_feedback_mcq(spark, d):
+    p = D.table(spark, d, "part")
+    k = F.col("p_partkey") % 5
+    given = F.when(k == 0, F.concat(F.lit(" "), F.upper("p_type"), F.lit(" "))).when(k == 1, F.col("p_brand")).when(k == 2, F.left("p_type", F.lit(5))).when(k == 3, "zz").otherwise("")
+    g = G.grade(F.lit("mcq"), F.col("p_type"), F.to_json(F.array("p_type", "p_brand", "p_name")), F.lit(10), given)
+    said, gap = G.feedback(g, F.lit("mcq"), F.col("p_type"), F.lit(""), F.col("p_name"), given)
+    return p.select(F.col("p_partkey").alias("id"), said.alias("feedback"), gap.alias("conceptual_gap"))
+
+
 @query(
     """WITH a AS (SELECT p_partkey AS id, p_type AS correct, [p_type, p_brand, p_name] AS opts, CASE p_partkey % 5 WHEN 0 THEN ' ' || upper(p_type) || ' ' WHEN 1 THEN p_brand WHEN 2 THEN left(p_type, 5) WHEN 3 THEN 'zz' ELSE '' END AS given, CASE WHEN p_size <= 17 THEN 5 WHEN p_size <= 34 THEN 10 ELSE 15 END AS points FROM part),
     b AS (SELECT *, lower(trim(given)) AS sa, lower(correct) AS qa FROM a),
@@ -294,6 +356,34 @@ def q_type_quota(spark, d):
     return D.documents(spark, d).select("doc_id", mcq.alias("mcq"), short.alias("short"), rest.alias("conceptual"))
 
 
+@query(sql("SELECT doc_id, t AS total, greatest(1, t // 3) AS mcq, greatest(1, t // 3) AS short, t - 2 * greatest(1, t // 3) AS conceptual, greatest(1, t // 4) AS easy, greatest(1, t // 2) AS medium, greatest(1, t // 4) AS hard FROM (SELECT doc_id, CAST(least(greatest(len(texts) // 2, 6), 20) AS INTEGER) AS t FROM chunk_lists)", "chunk_lists"))
+def q_library_quota(spark, d):
+    total = modules.question_total(F.size(T.chunk_texts(F.col("content"))), halved=True)
+    (mcq, short, rest), (easy, medium, hard) = modules.third_quota(F.col("total")), modules.difficulty_quota(F.col("total"))
+    return D.documents(spark, d).select("doc_id", total.alias("total")).select("doc_id", "total", mcq.alias("mcq"), short.alias("short"), rest.alias("conceptual"), easy.alias("easy"), medium.alias("medium"), hard.alias("hard"))
+
+
+_TREE = rf"""tp AS (SELECT s.doc_id, s.module_no, t.chunk_id, t.p, t.i FROM (SELECT doc_id, module_no, unnest(list_distinct(chunk_indices)) AS chunk_id FROM seg) s JOIN (SELECT doc_id, chunk_id, unnest(p) AS p, unnest(range(len(p))) AS i FROM seg0 WHERE h = '') t USING (doc_id, chunk_id) JOIN seg1 USING (doc_id, chunk_id) WHERE seg1.n > 0),
+tf AS (SELECT doc_id, module_no, p AS title, min(chunk_id) AS chunk_id, min((chunk_id, i)) AS k FROM tp GROUP BY ALL),
+tn AS (SELECT doc_id, module_no, title, chunk_id, row_number() OVER (PARTITION BY doc_id, module_no ORDER BY k) AS no FROM tf)"""
+
+
+@query(sql("", "headed").rstrip() + ",\n" + _SEGMENTS + ",\n" + _TREE + "\nSELECT doc_id, module_no, module_no || '.' || no AS id, title, 'Understand ' || title AS objective, chunk_id FROM tn UNION ALL SELECT doc_id, 1, '1.1', 'Core Concepts', 'Understand the main concepts', NULL FROM docs WHERE doc_id NOT IN (SELECT doc_id FROM headed)")
+def q_topic_tree(spark, d):
+    docs = D.documents(spark, d).select("doc_id", "title")
+    tree = modules.topic_tree(D.headed_chunks(spark, d, stored=True), docs)
+    rows = tree.select("doc_id", "module_no", F.explode("topics").alias("t"))
+    return rows.select("doc_id", "module_no", "t.id", "t.title", F.get("t.learning_objectives", F.lit(0)).alias("objective"), F.get("t.chunk_indices", F.lit(0)).alias("chunk_id"))
+
+
+@query(sql("", "docs").rstrip() + f",\n{_CONCEPTS},\ncv AS (SELECT doc_id, concept, least(100.0::DOUBLE, (length(lower(content)) - length(replace(lower(content), lower(concept), ''))) // length(concept) * 10.0::DOUBLE + 20.0::DOUBLE) AS coverage FROM (SELECT doc_id, content, unnest(concepts) AS concept FROM kc))\nSELECT doc_id, concept, coverage, CAST(place AS INTEGER) AS place, 0.0::DOUBLE AS by_id FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY coverage DESC, concept) AS place FROM cv) WHERE place <= 3")
+def q_coverage_display(spark, d):
+    maps = concepts.coverage_map(concepts.concept_coverage(_concept_docs(spark, d), "content"))
+    by_id = concepts.covered(F.col("coverage"), F.lit("1.1")).alias("by_id")
+    shown = concepts.most_covered(maps, 3)
+    return shown.join(maps.select("doc_id", by_id), "doc_id").select("doc_id", "concept", "coverage", "place", "by_id")
+
+
 def _statement_sql(patterns: list[str], longer: int, default: list[str], most: int) -> str:
     found = ", ".join(f"regexp_extract_all(content, '{p}')" for p in patterns)
     clean = f"list_filter(list_transform(flatten([{found}]), lambda s: regexp_replace(regexp_replace(s, '^\\s+|\\s+$', '', 'g'), '\\.+$', '')), lambda s: length(s) > {longer})"
@@ -327,17 +417,16 @@ def q_summary(spark, d):
 
 # Question sets
 
-_SELECTED = """w AS (SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN 0 ELSE (doc_id % 10) / 10.0::DOUBLE END AS weight FROM docs WHERE doc_id < 40),
-pool AS (SELECT c.*, CASE WHEN coalesce(w.weight, 0) = 0 THEN 1 / 40.0::DOUBLE ELSE w.weight END AS weight FROM chunks c JOIN w USING (doc_id)),
+_SELECTED = """w AS (SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN 0 ELSE (doc_id % 10) / 10.0::DOUBLE END AS weight FROM docs),
+pool AS (SELECT c.*, CASE WHEN coalesce(w.weight, 0) = 0 THEN 1.0::DOUBLE / (SELECT count(*) FROM docs) ELSE w.weight END AS weight FROM chunks c JOIN w USING (doc_id)),
 sel AS (SELECT *, CAST(row_number() OVER (ORDER BY weight DESC, doc_id, chunk_id) - 1 AS INTEGER) AS place FROM pool QUALIFY place < 12)"""
 
 
 def _selected(spark, d):
-    """A teacher's selection of forty documents with weights, some of them unset."""
-    docs = D.documents(spark, d).where("doc_id < 40")
+    """The heaviest chunks of all documents under a teacher's weights, some of them unset."""
+    docs = D.documents(spark, d)
     weights = docs.select("doc_id", F.when(F.col("doc_id") % 4 == 0, 0.0).otherwise((F.col("doc_id") % 10) / F.lit(10.0)).alias("weight"))
-    pool = Q.pooled(chunking.chunk_documents(docs, "doc_id", F.col("content"), F.col("title")), weights, 40)
-    return Q.weighted_selection(pool, 6)
+    return Q.weighted_selection(Q.pooled(D.chunks(spark, d), weights, docs.count()), 6)
 
 
 def _selection(body: str) -> str:
@@ -357,14 +446,14 @@ def q_weight_shares(spark, d):
 
 @query(_segments("SELECT h.doc_id, h.chunk_id FROM headed h WHERE (h.doc_id, h.chunk_id) IN (SELECT doc_id, unnest(chunk_indices) FROM seg WHERE module_no = 2)"))
 def q_module_filter(spark, d):
-    headed = D.headed_chunks(spark, d)
+    headed = D.headed_chunks(spark, d, stored=True)
     m = modules.module_segments(headed)
     return Q.in_modules(headed, m, F.col("module_no") == 2).select("doc_id", "chunk_id")
 
 
 @query(sql("SELECT doc_id, chunk_id FROM chunks", "chunks"))
 def q_module_filter_fallback(spark, d):
-    headed = D.headed_chunks(spark, d)
+    headed = D.headed_chunks(spark, d, stored=True)
     m = modules.module_segments(headed)
     return Q.in_modules(headed, m, F.col("module_no") == -1).select("doc_id", "chunk_id")
 
@@ -381,7 +470,7 @@ def _template_sql() -> str:
         return f"CASE {cases} END"
 
     slots = ", ".join(f"({i}, '{t}', {k})" for i, (t, k) in enumerate((t, k) for t in Q.TYPES for k in range(2)))
-    clean = T.clean_text.__name__ and "regexp_replace(text, '^\\s+|\\s+$', '', 'g')"
+    clean = "regexp_replace(text, '^\\s+|\\s+$', '', 'g')"  # the prose holds no blocks to be cleaned away
     return f"""cl AS (SELECT place, {clean} AS text FROM sel),
     con AS (SELECT list_slice(list_filter(l, lambda c, i: list_position(l, c) = i), 1, 20) AS cs FROM (SELECT flatten(list(list_slice(regexp_extract_all(text, '{_PHRASE}'), 1, 3) ORDER BY place)) AS l FROM cl)),
     slots(i, t, k) AS (VALUES {slots}),
@@ -416,6 +505,53 @@ def q_json_recover(spark, d):
     return e.select("event_id", F.get_json_object(T.json_object(wrapped), "$.k").cast("int").alias("k"), F.size(item).alias("n"))
 
 
+@query(
+    """SELECT id, question_no, CASE question_no WHEN 0 THEN name WHEN 1 THEN brand WHEN 2 THEN 'Untitled' ELSE 'q3' END AS question_text, CASE question_no WHEN 0 THEN 'mcq' ELSE 'short' END AS question_type,
+    CASE question_no WHEN 0 THEN 'false' WHEN 1 THEN '0' WHEN 2 THEN type ELSE '' END AS correct_answer, CASE question_no WHEN 0 THEN brand ELSE 'General' END AS concept_tag,
+    CASE question_no WHEN 0 THEN 'Hard' WHEN 1 THEN 'Easy' ELSE 'Medium' END AS difficulty, CASE question_no WHEN 0 THEN 15 WHEN 1 THEN 5 WHEN 2 THEN 7 ELSE 10 END AS points,
+    CASE question_no WHEN 0 THEN left(type, 30) ELSE 'The first chunk of the selection.' END AS grounding_chunk
+    FROM (SELECT p_partkey AS id, p_name AS name, p_brand AS brand, p_type AS type FROM part WHERE p_partkey % 3 <> 0) CROSS JOIN (SELECT unnest([0, 1, 2, 3]) AS question_no)
+    WHERE question_no <> 0 OR contains('The first chunk of the selection. ' || (SELECT string_agg(p_type, ' ') FROM (SELECT DISTINCT p_type FROM part)), left(left(type, 30), 40))"""
+)
+def q_reply_defaults(spark, d):
+    """Replies of five questions, of which four are asked for; a third of the replies hold too few."""
+    p = D.table(spark, d, "part")
+    field = lambda **kw: F.struct(*[c.alias(n) for n, c in kw.items()])
+    none, lit = F.lit(None).cast("string"), F.lit
+    of = lambda qt=none, q=none, t=none, ca=none, a=none, ct=none, c=none, df=none, g=none, pt=F.lit(None).cast("int"): field(question_text=qt, question=q, question_type=t, correct_answer=ca, answer=a, concept_tag=ct, concept=c, difficulty=df, grounding_chunk=g, points=pt)
+    asked = F.array(
+        of(qt=F.col("p_name"), t=lit("MCQ"), ca=lit("false"), c=F.col("p_brand"), df=lit("Hard"), g=F.left("p_type", lit(30))),
+        of(q=F.col("p_brand"), qt=lit(""), a=lit("0"), df=lit("Easy"), g=lit("made up, in no chunk of the selection at all")),
+        of(ca=lit(""), a=F.col("p_type"), pt=lit(7)),
+        of(qt=lit("q3"), t=lit("")),
+        of(qt=lit("one too many")),
+    )
+    kept = F.when(F.col("p_partkey") % 3 == 0, F.slice(asked, 1, 3)).otherwise(asked)
+    replies = p.select(F.col("p_partkey").alias("id"), F.concat(lit("Sure:\n```json\n"), F.to_json(kept), lit("\n```")).alias("raw"))
+    texts = p.select(F.col("p_type").alias("text")).distinct().withColumn("place", F.lit(1))
+    selected = spark.createDataFrame([("The first chunk of the selection.", 0)], "text string, place int").unionByName(texts)
+    made = Q.normalised_replies(replies, "raw", total=4, selected=selected)
+    return made.select("id", "question_no", "question_text", "question_type", "correct_answer", "concept_tag", "difficulty", "points", "grounding_chunk")
+
+
+@query("SELECT item_id AS id, 'https://api.dicebear.com/7.x/initials/svg?seed=' || url_encode(CASE WHEN item_id % 2 = 0 THEN left(text, 20) ELSE 'a.b@c.edu' END) AS avatar, 'a.b' AS name FROM benchmark WHERE text IS NOT NULL")
+def q_avatar(spark, d):
+    b = D.table(spark, d, "benchmark").where("text is not null")
+    email = F.lit("a.b@c.edu")
+    name = F.when(F.col("item_id") % 2 == 0, F.left("text", F.lit(20))).otherwise("")
+    return b.select(F.col("item_id").alias("id"), T.avatar_url(name, email).alias("avatar"), T.email_name(email).alias("name"))
+
+
+@query("SELECT p_partkey AS id, p_partkey % 3 <> 0 AS incomplete, array_to_string(CASE WHEN p_size % 2 = 0 THEN ['m1', 'm3'] ELSE ['m1', 'm2', 'm3', 'm4'] END, ',') AS chosen, CAST(length(p_name) + length(p_type) AS INTEGER) AS n_text FROM part")
+def q_attempt_form(spark, d):
+    """The form of an attempt: answers left blank, a selection with one item switched, the length of all parts."""
+    p = D.table(spark, d, "part")
+    k = F.col("p_partkey") % 3
+    answers = F.array("p_name", F.when(k == 0, F.col("p_type")).when(k == 1, F.lit(" \t\n")), F.lit("x"))
+    item = F.when(F.col("p_size") % 2 == 0, "m2").otherwise("m4")
+    return p.select(F.col("p_partkey").alias("id"), T.incomplete(answers).alias("incomplete"), F.array_join(T.toggled(F.array(*map(F.lit, ["m1", "m2", "m3"])), item), ",").alias("chosen"), T.text_total(F.array("p_name", F.lit(None).cast("string"), F.col("p_type"))).alias("n_text"))
+
+
 @query("SELECT p_partkey AS id, CAST(CASE p_partkey % 4 WHEN 0 THEN 2 ELSE 0 END AS INTEGER) AS n_options FROM part")
 def q_options_parse(spark, d):
     p = D.table(spark, d, "part")
@@ -429,12 +565,12 @@ def q_options_parse(spark, d):
 
 def _material_rows(spark, d):
     p = D.table(spark, d, "pages")
-    kinds = F.array(*map(F.lit, ["syllabus", "notes", "assignment"]))
+    kinds = F.array(*map(F.lit, ["syllabus", "notes", "slides"]))
     name = F.concat(F.lit("page."), F.col("page_id").cast("string"), F.when(F.col("page_id") % 2 == 0, ".HTML").otherwise(".txt"))
     return p.select(F.col("page_id").alias("id"), F.col("url").alias("title"), F.when(F.col("page_id") % 3 == 0, F.lit("Lecture Notes")).alias("description"), name.alias("file_name"), F.get(kinds, (F.col("page_id") % 3).cast("int")).alias("category"), F.col("html"))
 
 
-_MATERIALS = "m AS (SELECT page_id AS id, url AS title, CASE WHEN page_id % 3 = 0 THEN 'Lecture Notes' END AS description, 'page.' || page_id || CASE WHEN page_id % 2 = 0 THEN '.HTML' ELSE '.txt' END AS file_name, ['syllabus', 'notes', 'assignment'][page_id % 3 + 1] AS category, html FROM pages)"
+_MATERIALS = "m AS (SELECT page_id AS id, url AS title, CASE WHEN page_id % 3 = 0 THEN 'Lecture Notes' END AS description, 'page.' || page_id || CASE WHEN page_id % 2 = 0 THEN '.HTML' ELSE '.txt' END AS file_name, ['syllabus', 'notes', 'slides'][page_id % 3 + 1] AS category, html FROM pages)"
 
 
 @query(f"WITH {_MATERIALS} SELECT id, title FROM m WHERE category = 'syllabus' AND (contains(lower(title), 'lecture') OR contains(lower(coalesce(description, '')), 'lecture'))")
@@ -442,7 +578,7 @@ def q_material_search(spark, d):
     return materials.searched(_material_rows(spark, d), "syllabus", "Lecture").select("id", "title")
 
 
-@query(f"WITH {_MATERIALS} SELECT c.category, coalesce(n, 0) AS n FROM (VALUES ('syllabus'), ('notes'), ('assignment'), ('reference')) c(category) LEFT JOIN (SELECT category, count(*) AS n FROM m GROUP BY category) x ON x.category = c.category")
+@query(f"WITH {_MATERIALS} SELECT c.category, coalesce(n, 0) AS n FROM (VALUES ('syllabus'), ('notes'), ('slides'), ('reference')) c(category) LEFT JOIN (SELECT category, count(*) AS n FROM m GROUP BY category) x ON x.category = c.category")
 def q_category_counts(spark, d):
     return reports.category_counts(_material_rows(spark, d))
 
@@ -482,6 +618,37 @@ def q_profile_lookup(spark, d):
     return materials.by_either(D.students(spark, d), keys, "id", "email").select(F.col("order_id").alias("id"), F.col("found.name").alias("name"))
 
 
+@query(sql("SELECT s.id, s.status, st.name AS student_name, st.email AS student_email, d.title AS document_title FROM (SELECT *, id % 700 AS document_id FROM submissions) s LEFT JOIN (SELECT * FROM students WHERE id % 3 <> 0) st ON s.student_id = st.id LEFT JOIN docs d ON s.document_id = d.doc_id WHERE s.set_id = 4", "submissions", "students", "docs"))
+def q_submission_list(spark, d):
+    subs = D.submissions(spark, d).withColumn("document_id", F.col("id") % 700)
+    docs = D.documents(spark, d).select(F.col("doc_id").alias("id"), "title")
+    out = reports.submission_list(subs, D.students(spark, d).where("id % 3 <> 0"), docs)
+    return reports.filtered_by(reports.filtered_by(out, "set_id", "4"), "status", "All").select("id", "status", "student_name", "student_email", "document_title")
+
+
+@query(sql("SELECT * FROM (SELECT id, due_date, CAST(row_number() OVER (ORDER BY due_date DESC NULLS FIRST, id) AS INTEGER) AS place FROM question_sets) WHERE place <= 10", "question_sets"))
+def q_newest_first(spark, d):
+    rows = reports.listed(D.question_sets(spark, d), "due_date", descending=True, limit=10, ties=["id"])
+    order = Window.partitionBy(F.lit(1)).orderBy(F.desc_nulls_first("due_date"), "id")
+    return rows.select("id", "due_date", F.row_number().over(order).alias("place"))
+
+
+@query(sql("SELECT doc_id // 3 AS pick, string_agg(title, ', ' ORDER BY doc_id) AS sources, string_agg(title, ' + ' ORDER BY doc_id) AS title, coalesce(string_agg(content, chr(10) || chr(10) ORDER BY doc_id) FILTER (content <> ''), '') AS content, CAST(sum(len(texts)) AS BIGINT) AS n_chunks FROM docs JOIN chunk_lists c USING (doc_id, title) GROUP BY doc_id // 3", "docs", "chunk_lists"))
+def q_selection_totals(spark, d):
+    docs = D.documents(spark, d).withColumn("pick", F.floor(F.col("doc_id") / 3))
+    return reports.selection_totals(docs, F.size(T.chunk_texts(F.col("content"))), ["pick"], "doc_id")
+
+
+@query(_selection("SELECT string_agg('[Chunk ' || (place + 1) || ' | Doc: ' || title || ' | p' || page || ']: ' || text, chr(10) || chr(10) ORDER BY place) AS prompt FROM sel"))
+def q_chunk_prompt(spark, d):
+    return Q.chunk_prompt(_selected(spark, d))
+
+
+@query(sql("SELECT string_agg(left(question_text, 80), chr(10) || '- ' ORDER BY id) AS existing, (SELECT string_agg(concept_tag, ', ' ORDER BY i) FROM (SELECT concept_tag, min(id) AS i FROM (SELECT * FROM questions ORDER BY id LIMIT 100) GROUP BY concept_tag)) AS tags FROM (SELECT * FROM questions ORDER BY id LIMIT 100)", "questions"))
+def q_existing_prompt(spark, d):
+    return Q.existing_prompt(D.questions(spark, d))
+
+
 # Inserts, updates, deletes
 
 
@@ -500,6 +667,28 @@ def q_cascade_delete(spark, d):
     return counts[0].unionAll(counts[1]).unionAll(counts[2])
 
 
+@query("SELECT l_orderkey AS submission_id, 'submitted' AS status, o_custkey AS student_id, l_partkey AS question_id, l_returnflag AS student_answer, FALSE AS is_correct, 0 AS score, CASE l_linenumber % 3 WHEN 0 THEN 10 ELSE l_linenumber % 3 END AS max_score FROM lineitem JOIN orders ON o_orderkey = l_orderkey UNION ALL SELECT o_orderkey, 'submitted', o_custkey, NULL, NULL, NULL, NULL, NULL FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem)")
+def q_submit(spark, d):
+    """Payloads of answers, one an order, taken apart into submissions and answers and met again."""
+    line = D.table(spark, d, "lineitem")
+    answer = F.struct(F.col("l_partkey").alias("question_id"), F.col("l_returnflag").alias("student_answer"), (F.col("l_linenumber") % 3).alias("max_score"))
+    given = line.groupBy(F.col("l_orderkey").alias("id")).agg(F.collect_list(answer).alias("answers"))
+    o = D.table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("student_id"), F.lit(1).alias("set_id"), F.lit(1).alias("document_id"))
+    subs, answers = crud.submitted(o.join(given, "id", "left"))
+    met = subs.select(F.col("id").alias("submission_id"), "status", "student_id").join(answers, "submission_id", "left")
+    return met.select("submission_id", "status", "student_id", "question_id", "student_answer", "is_correct", F.col("score").cast("int").alias("score"), "max_score")
+
+
+@query(sql("SELECT s.id AS set_id, s.document_id, n AS total_questions, q.id AS question_id, q.question_text, q.points FROM (SELECT set_id AS id, set_id * 3 AS document_id, CAST(count(*) AS INTEGER) AS n FROM questions GROUP BY set_id) s JOIN questions q ON q.set_id = s.id", "questions"))
+def q_create_set(spark, d):
+    q = D.questions(spark, d)
+    payload = q.groupBy("set_id").agg(F.collect_list(F.struct(F.col("id").alias("question_id"), "question_text", "points")).alias("questions"))
+    none = F.lit(None).cast("string")
+    payload = payload.select(F.col("set_id").alias("id"), (F.col("set_id") * 3).alias("document_id"), none.alias("question_types"), none.alias("module_filter"), none.alias("document_weights"), "questions")
+    sets, rows = crud.question_set(payload)
+    return sets.select(F.col("id").alias("set_id"), "total_questions").join(rows, "set_id").select("set_id", "document_id", "total_questions", "question_id", "question_text", "points")
+
+
 @query(sql(f"SELECT id, id % 3 = 0 AS is_published, CASE WHEN id % 3 = 0 THEN DATE '{NOW}' END AS published_at FROM question_sets", "question_sets"))
 def q_publish(spark, d):
     return crud.published(D.question_sets(spark, d), F.col("id") % 3 == 0, F.to_date(F.lit(NOW))).select("id", "is_published", "published_at")
@@ -549,12 +738,18 @@ def q_session_caps(spark, d):
     return kept.groupBy("user_id").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("SELECT o_orderkey AS id, lpad(CAST(o_orderkey % 7000 // 60 AS VARCHAR), CASE WHEN o_orderkey % 7000 // 60 > 99 THEN 3 ELSE 2 END, '0') || ':' || lpad(CAST(o_orderkey % 60 AS VARCHAR), 2, '0') AS timer FROM (SELECT o_orderkey FROM orders WHERE o_orderkey % 7000 % 60 = o_orderkey % 60 AND o_orderkey % 7000 < 6000)")
+@query("SELECT o_orderkey AS id, CASE WHEN m < 10 THEN '0' || m ELSE CAST(m AS VARCHAR) END || ':' || CASE WHEN r < 10 THEN '0' || r ELSE CAST(r AS VARCHAR) END AS timer FROM (SELECT o_orderkey, o_orderkey % 7000 // 60 AS m, o_orderkey % 7000 % 60 AS r FROM orders)")
 def q_timer(spark, d):
-    o = D.table(spark, d, "orders").where((F.col("o_orderkey") % 7000 % 60 == F.col("o_orderkey") % 60) & (F.col("o_orderkey") % 7000 < 6000))
+    o = D.table(spark, d, "orders")
     return o.select(F.col("o_orderkey").alias("id"), T.minutes_seconds(F.col("o_orderkey") % 7000).alias("timer"))
 
 
+@query("SELECT event_id, CAST(CASE WHEN page > 800 THEN least(100, floor((top + 800) * 100.0::DOUBLE / page + 0.5)) ELSE 100 END AS INTEGER) AS depth FROM (SELECT event_id, event_id * 7 % 3000 AS top, event_id * 13 % 5000 AS page FROM events)")
+def q_scroll_depth(spark, d):
+    e = D.table(spark, d, "events")
+    return e.select("event_id", T.scroll_depth(F.col("event_id") * 7 % 3000, F.lit(800), F.col("event_id") * 13 % 5000).alias("depth"))
+
+
 # Sessions of the event stream, on its batch form
 
 

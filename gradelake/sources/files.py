@@ -10,6 +10,7 @@ import importlib.util
 import io
 import zipfile
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 from xml.etree import ElementTree
 
 import pandas as pd
@@ -20,6 +21,7 @@ from gradelake.functions import text as T
 from gradelake.operators import chunking
 
 _WORD = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
+_ASIDE = "\ufdd0\ufdd1"  # noncharacters, which no text interchange has
 LEAST_IMAGE_BYTES = 5000
 LEAST_PAGE_TEXT = 100
 KINDS = {"pdf": "pdf", "docx": "docx", "doc": "docx", "txt": "text", "md": "text"}
@@ -100,6 +102,65 @@ def worth_rendering(page_text: Column, n_images: Column) -> Column:
     return (F.length(F.coalesce(page_text, F.lit(""))) < LEAST_PAGE_TEXT) & (n_images == 0)
 
 
+@dataclass
+class PdfReaders:
+    """What a PDF needs of libraries and models, each replaceable and each allowed to fail."""
+
+    first: Callable[[bytes], str] = pdf_text
+    fallback: Callable[[bytes], str] | None = None
+    #: (text, images, rendered page) of each page
+    pages: Callable[[bytes], list[tuple[str, list[bytes], bytes]]] | None = None
+    describe: Callable[[bytes], str | None] | None = None
+    ocr: Callable[[bytes], str] | None = None
+
+
+def pdf_documents(found: DataFrame, readers: PdfReaders) -> DataFrame:
+    """(path, text) of PDF files in up to three passes (see ``passes``).
+
+    Pages are exploded, and only images and renderings worth it are described, each on its own;
+    OCR reads only files that the first passes left with little text. A reader that fails
+    counts as one that found nothing.
+    """
+
+    def tried(reader, content, none):
+        try:
+            return none if reader is None else reader(content) or none
+        except Exception:  # noqa: BLE001
+            return none
+
+    @F.pandas_udf("first string, fallback string, pages array<struct<text:string,images:array<binary>,rendered:binary>>")
+    def read(contents: pd.Series) -> pd.DataFrame:
+        rows = []
+        for c in contents:
+            first = tried(readers.first, c, "")
+            pages = [{"text": t, "images": list(images), "rendered": rendered} for t, images, rendered in (tried(readers.pages, c, []) if readers.describe else [])]
+            rows.append((first, "" if first else tried(readers.fallback, c, ""), pages))
+        return pd.DataFrame(rows, columns=["first", "fallback", "pages"])
+
+    @F.pandas_udf("string")
+    def described(pictures: pd.Series) -> pd.Series:
+        return pictures.map(lambda p: tried(readers.describe, p, None))
+
+    @F.pandas_udf("string")
+    def recognised(contents: pd.Series) -> pd.Series:
+        return contents.map(lambda c: None if c is None else tried(readers.ocr, c, None))
+
+    rows = found.select("path", "content", read("content").alias("_r")).select("path", "content", "_r.*")
+    pages = rows.select("path", F.posexplode("pages").alias("page", "p"))
+    whole = F.when(worth_rendering(T.strip(F.col("p.text")), F.size("p.images")) & (F.octet_length("p.rendered") > LEAST_IMAGE_BYTES), F.array("p.rendered"))
+    pictures = F.concat(F.filter("p.images", worth_describing), F.coalesce(whole, F.array().cast("array<binary>")))
+    seen = pages.select("path", "page", F.posexplode(pictures).alias("i", "picture")).withColumn("said", described("picture")).where("said <> ''")
+    block = F.concat(F.lit("\n[VISUAL CONTENT — Page "), (F.col("page") + 1).cast("string"), F.lit("]\n"), F.col("said"), F.lit("\n[/VISUAL CONTENT]\n"))
+    listed = F.array_sort(F.collect_list(F.struct("page", "i", block.alias("b"))))
+    visual = seen.groupBy("path").agg(F.array_join(F.transform(listed, lambda x: x["b"]), "\n\n").alias("described"))
+    met = rows.join(visual, "path", "left")
+    none = F.lit(None).cast("string")
+    before = passes(F.col("first"), F.col("fallback"), F.col("described"), none)
+    little = (F.length(before) < LEAST_PAGE_TEXT) & ((before == "") | (F.coalesce("described", F.lit("")) != ""))
+    met = met.withColumn("ocr", recognised(F.when(little, F.col("content"))))
+    return met.select("path", passes(F.col("first"), F.col("fallback"), F.col("described"), F.col("ocr")).alias("text"))
+
+
 def extracted(found: DataFrame, readers: dict[str, Callable[[bytes], str]] | None = None) -> DataFrame:
     """Files with ``kind``, ``text`` and ``error``: unsupported kinds and unreadable files say why.
 
@@ -120,7 +181,9 @@ def extracted(found: DataFrame, readers: dict[str, Callable[[bytes], str]] | Non
             yield pd.DataFrame(out, columns=["text", "error"])
 
     rows = found.withColumn("kind", file_kind(F.col("path")))
-    plain = F.replace(F.make_valid_utf8(F.col("content").cast("string")), F.lit("\ufffd"), F.lit(""))
+    # Undecodable bytes become U+FFFD and go; one that the text holds itself is put aside meanwhile.
+    aside = F.replace(F.col("content").cast("string"), F.lit("\ufffd"), F.lit(_ASIDE))
+    plain = F.replace(F.replace(F.make_valid_utf8(aside), F.lit("\ufffd"), F.lit("")), F.lit(_ASIDE), F.lit("\ufffd"))
     is_text = F.coalesce(F.col("kind") == "text", F.lit(False))
     text_rows = rows.where(is_text).withColumns({"text": plain, "error": F.lit(None).cast("string")})
     unknown = rows.where("kind is null").withColumns({"text": F.lit(None).cast("string"), "error": F.lit("Unsupported file type")})
@@ -143,3 +206,11 @@ def ingested(found: DataFrame, readers: dict[str, Callable[[bytes], str]] | None
 def written(documents: DataFrame, path: str, fmt: str = "parquet") -> None:
     """Append documents as Parquet, or as JSON lines."""
     documents.write.mode("append").format(fmt).save(path)
+
+
+def results(spark: SparkSession, path: str, schema: str) -> tuple[DataFrame, DataFrame]:
+    """(rows, lines that hold none) of a file of JSON results, one a line, whatever was printed before the first brace."""
+    lines = spark.read.text(path)
+    parsed = lines.withColumn("_j", F.from_json(T.json_object(F.col("value")), f"{schema}, _broken string", {"columnNameOfCorruptRecord": "_broken"}))
+    hit = F.contains("value", F.lit("{")) & F.col("_j").isNotNull() & F.col("_j._broken").isNull()
+    return parsed.where(hit).select("_j.*").drop("_broken"), parsed.where(~hit).select("value")

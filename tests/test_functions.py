@@ -85,7 +85,11 @@ def test_display_functions(spark):
     assert one(spark, [0, 61, 600], T.minutes_seconds, "long") == ["00:00", "01:01", "10:00"]
     assert one(spark, ["a.b.TXT"], T.file_extension) == ["txt"] and one(spark, ["a.b.TXT"], T.file_title) == ["a.b"]
     assert one(spark, ["ann@x.org"], T.email_name) == ["ann"]
-    assert one(spark, [None, "", "0", "x"], lambda c: T.or_default(c, "d")) == ["d", "d", "d", "x"]
+    assert one(spark, [6000, 7000, 359999], T.minutes_seconds, "long") == ["100:00", "116:40", "5999:59"]
+    assert one(spark, [None, "", "0", "false", "x"], lambda c: T.or_default(c, "d")) == ["d", "d", "0", "false", "x"]
+    assert one(spark, [None, 0, 3], lambda c: T.or_default(c, 10), "int") == [10, 10, 3]
+    assert one(spark, [None, False, True], lambda c: T.or_default(c, True), "boolean") == [True, True, True]
+    assert one(spark, ["a  b", " x" * 2000], T.compact) == ["a b", "x " * 800]
 
 
 CASES = [
