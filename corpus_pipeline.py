@@ -12,7 +12,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gradelake.llm import bpe_codec, decontam, lang_id, near_documents, secrets
+from gradelake.llm import bpe_codec, decontam, lang_id, secrets, simhash
 from gradelake.llm.common import shared_folder, small_batches, table
 from gradelake.llm.queries import VOCABULARY
 
@@ -20,7 +20,12 @@ MASK = "[SECRET]"
 
 
 def languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without a language (null, or not one letter) go; ``lang`` becomes what the text says."""
+    """Texts without a language (null, or not one letter) go; ``lang`` becomes what the text says.
+
+    Profiles are learned from the rows themselves that name a language. Nulls in other columns,
+    repeated rows, long texts and columns of any name are kept as they are; an empty table, or
+    one that names no language, gives no rows.
+    """
     small_batches(spark)
     judged = lang_id.identify(docs, lang_id.language_profiles(docs))
     kept = judged.where(F.col("lang_pred") != lang_id.UNKNOWN).withColumn("lang", F.col("lang_pred"))
@@ -28,18 +33,29 @@ def languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays: an exact Jaccard similarity of 0.8 in five words."""
+    """One document of each group of near copies stays: proposed by SimHash, an exact Jaccard similarity of 0.8 in five words.
+
+    Documents without an id stay; null and empty texts are equal to each other, so one of them stays.
+    """
     small_batches(spark)
-    return near_documents.keep_one(docs, words=5, similarity=0.8).select(docs.columns)
+    return simhash.keep_one(docs, words=5, similarity=0.8).select(docs.columns)
 
 
 def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a benchmark item, in whatever order, go."""
+    """Documents that hold a benchmark item, in whatever order, go.
+
+    Documents without a text or id stay; repeated rows share their fate; an empty table or
+    benchmark takes nothing away.
+    """
     return decontam.without_contaminated(docs, table(spark, sf_dir, "benchmark")).select(docs.columns)
 
 
 def secret_masks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Secrets in the text are masked, and ``n_chars`` follows."""
+    """Secrets in the text are masked, and ``n_chars`` follows.
+
+    Null and empty texts stay as they are, repeated rows are masked alike, texts are masked over
+    their whole length, and no row goes.
+    """
     masked = secrets.masked(docs, MASK)
     if "n_chars" in docs.columns:
         masked = masked.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
@@ -47,7 +63,10 @@ def secret_masks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of each text, their number, and whether decoding gives the text again."""
+    """Token ids of each text, their number, and whether decoding gives the text again.
+
+    A null or empty text has no ids; repeated rows repeat theirs; an empty table gives none.
+    """
     small_batches(spark)
     coded = bpe_codec.encode_decode(docs.select("doc_id", "text", "lang", "source"), public_tokenizers.path(VOCABULARY))
     return coded.select("doc_id", "lang", "source", "ids", F.size("ids").cast("long").alias("n_tokens"), (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("round_trip"))

@@ -75,13 +75,20 @@ class Vocabulary:
                 yield part, bool(i % 2)
 
 
+_KEPT = 3  # a vocabulary, its encoder and its decoder
 _loaded: dict[str, object] = {}
 
 
 def load(data: bytes, make=Vocabulary):
-    """What ``make`` builds from the file's bytes, kept for the life of a Python worker."""
+    """What ``make`` builds from the file's bytes, kept by a Python worker while nothing else crowds it out.
+
+    A worker outlives its task, so tables of earlier stages would pile up: a new one beyond
+    ``_KEPT`` forgets all others.
+    """
     key = f"{make.__name__}:{hashlib.md5(data).hexdigest()}"
     if key not in _loaded:
+        if len(_loaded) >= _KEPT:
+            _loaded.clear()
         _loaded[key] = make(data)
     return _loaded[key]
 

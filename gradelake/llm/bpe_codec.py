@@ -180,8 +180,19 @@ def encode_decode(docs: DataFrame, vocabulary_path: str, text_col: str = "text")
     """Add ``ids`` (array<int>) and ``decoded`` (string) to each row; one narrow pass, no shuffle.
 
     A null or empty text has no ids and decodes to "". Special strings inside a text are the
-    special tokens. Other columns pass through; a column named as a result is replaced.
+    special tokens. Texts of any length are taken whole, repeated rows repeat their result and
+    an empty table gives none. Other columns pass through; a column named as a result is
+    replaced. A task's tables and caches are of bounded size.
     """
-    spark = docs.sparkSession
-    encoded = docs.withColumn("ids", bpe_ids(spark, F.col(text_col), vocabulary_path))
-    return encoded.withColumn("decoded", bpe_text(spark, F.col("ids"), vocabulary_path))
+    file = _file(docs.sparkSession, vocabulary_path)
+
+    @F.pandas_udf("ids array<int>, decoded string")
+    def both(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        encoder, decoder = load(file.value, Encoder), load(file.value, Decoder)
+        for texts in batches:
+            ids = [encoder.encode(t) for t in texts]
+            yield pd.DataFrame({"ids": ids, "decoded": [decoder.decode(x) for x in ids]})
+
+    # Marked so that the plan runs it once a row, however often its fields are used.
+    coded = docs.withColumn("_coded", both.asNondeterministic()(F.coalesce(F.col(text_col), F.lit(""))))
+    return coded.withColumns({"ids": F.col("_coded.ids"), "decoded": F.col("_coded.decoded")}).drop("_coded")

@@ -2,20 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from functools import reduce
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; only where the session names none (tests, one machine), one of our own."""
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="gradelake-"))
-    return sc.getCheckpointDir()
+from gradelake.sources.tables import shared_folder, written  # noqa: F401
+from gradelake.sources.tables import table as stored_table
 
 
 def checkpoint(df: DataFrame) -> DataFrame:
@@ -24,13 +18,6 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` as a table written to the shared folder and read again."""
-    path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.parquet(path)
-
-
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:
     """Let Arrow hand texts to Python in batches of at most ``rows`` rows, a few MB, not 10,000.
 
@@ -78,6 +65,22 @@ def components(edges: DataFrame, a: str, b: str) -> DataFrame:
     return checkpoint(labels.join(least, "component").select(F.col("node.n").alias("node"), F.col("least").alias("component")))
 
 
+def forest(i: np.ndarray, j: np.ndarray, n: int, parent: np.ndarray | None = None) -> np.ndarray:
+    """The smallest index linked with each of n indices, directly or not."""
+    parent = np.arange(n) if parent is None else parent
+    while len(i):
+        a, b = parent[i], parent[j]
+        apart = a != b
+        i, j, a, b = i[apart], j[apart], a[apart], b[apart]
+        np.minimum.at(parent, np.maximum(a, b), np.minimum(a, b))
+        while True:
+            up = parent[parent]
+            if (up == parent).all():
+                break
+            parent = up
+    return parent
+
+
 def split_hot(rows: DataFrame, key: list[str], unit: Column, block_rows: int) -> DataFrame:
     """Deal the rows of each key into tasks (blk_i, blk_j) of at most about 2 x block_rows rows.
 
@@ -111,4 +114,4 @@ def union_all(frames: list[DataFrame]) -> DataFrame:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     small_batches(spark)
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return stored_table(spark, sf_dir, name)

@@ -12,7 +12,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gradelake.llm.bpe import Remembered
+from gradelake.llm.bpe import Remembered, load
+from gradelake.llm.common import union_all, written
 
 _WORD = re.compile(r"\w+")
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -28,8 +29,8 @@ def _token(word: str) -> int:
 class Tokens:
     """Token numbers of texts; words seen before are remembered in a bounded table."""
 
-    def __init__(self):
-        self.of = Remembered(_token, 120_000)
+    def __init__(self, _: bytes = b""):
+        self.of = Remembered(_token, 60_000)
 
     def __call__(self, text: str | None) -> np.ndarray:
         words = (text or "").split()
@@ -84,96 +85,106 @@ def tiles(p: np.ndarray, q: np.ndarray, width: int) -> list[tuple[int, int, int]
     return sorted(out)
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", id_col: str = "doc_id", item_col: str = "item_id", item_text_col: str = "text", width: int = 5, coverage: float = 0.5, broadcast_seeds: int = 2_000_000) -> DataFrame:
+class Seeds:
+    """The seeds of some benchmark items: hashes in order, with the item, place and tokens behind each."""
+
+    def __init__(self, items: list[tuple[str, np.ndarray]], width: int):
+        self.ids, self.tokens, self.width = [i for i, _ in items], [t for _, t in items], width
+        hashes = [rolling(t, width) for t in self.tokens]
+        h = np.concatenate([np.empty(0, np.uint64), *hashes])
+        which = np.repeat(np.arange(len(hashes)), [len(x) for x in hashes])
+        place = np.concatenate([np.empty(0, np.int64), *(np.arange(len(x)) for x in hashes)])
+        order = np.argsort(h, kind="stable")
+        self.which, self.place = which[order], place[order]
+        self.distinct, self.start = np.unique(h[order], return_index=True)
+        self.end = np.append(self.start[1:], len(h)).astype(np.int64)
+        self.sieve = np.zeros(1 << _SIEVE, bool)
+        self.sieve[(self.distinct >> np.uint64(64 - _SIEVE)).astype(np.int64)] = True
+
+    def met(self, tokens: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """(item, p, q): by item the places of a text and of the item that share ``width`` tokens.
+
+        Equal Karp-Rabin hashes are candidates; the tokens themselves decide.
+        """
+        h = rolling(tokens, self.width)
+        p = np.flatnonzero(self.sieve[(h >> np.uint64(64 - _SIEVE)).astype(np.int64)])
+        if not len(p) or not len(self.distinct):
+            return
+        at = np.minimum(np.searchsorted(self.distinct, h[p]), len(self.distinct) - 1)
+        hit = self.distinct[at] == h[p]
+        p, at = p[hit], at[hit]
+        times = self.end[at] - self.start[at]
+        k = np.repeat(self.start[at], times) + np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+        p = np.repeat(p, times)
+        order = np.argsort(self.which[k], kind="stable")
+        k, p = k[order], p[order]
+        for part in np.split(np.arange(len(k)), np.flatnonzero(np.diff(self.which[k])) + 1):
+            if len(part):
+                item, ps, qs = self.which[k[part[0]]], p[part], self.place[k[part]]
+                same = np.ones(len(part), bool)
+                for i in range(self.width):
+                    same &= tokens[ps + i] == self.tokens[item][qs + i]
+                if same.any():
+                    yield item, ps[same], qs[same]
+
+
+def contamination(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", id_col: str = "doc_id", item_col: str = "item_id", item_text_col: str = "text", width: int = 5, coverage: float = 0.5, tokens_at_once: int = 1_000_000) -> DataFrame:
     """(id, item, n_tiles, longest, covered, coverage) of each text and benchmark item with enough in common.
 
     Tokens are white-space-separated words reduced to letters and digits in lower case.
     ``coverage`` is the share of the item's tokens that tiles of ``width`` tokens or more
     cover in whatever order; runs of 4 shared tokens and fewer are chance. Items of fewer than
-    ``width`` tokens, null and empty texts match nothing. Rows with equal ids and texts repeat
-    their result once; equal ids with different texts are judged as rows of their own and the
-    best coverage is given.
-
-    The seeds of the benchmark are counted first. Up to ``broadcast_seeds`` of them go to the
-    tasks, each text is met with them in a single pass, and nothing but hits is shuffled.
-    Beyond that the text's hashes are joined with the seeds by a shuffle, with the same result.
+    ``width`` tokens, null and empty texts match nothing, and neither do items without an id;
+    rows without an id are judged as one. Ids may be of any kind. Rows with equal ids and texts repeat their result
+    once; equal ids with different texts are judged as rows of their own and the best coverage
+    is given. Of tiles of equal length the first in the text, then in the item, is marked
+    first. Texts of any length are taken whole, an empty table on either side gives no rows,
+    and of other columns, whatever their names, nothing is read.
+
+    Each task meets its texts with the items in one pass, and nothing but results is shuffled.
+    Items go to the tasks in parts of about ``tokens_at_once`` tokens (by a hash of the item),
+    one pass over the texts for each part, so that what is broadcast is bounded (8 MB of
+    tokens, 40 MB with their tables) however large the benchmark is.
     """
     spark = docs.sparkSession
+    items = benchmark.where(F.col(item_col).isNotNull() & F.col(item_text_col).isNotNull())
+    items = items.select(F.col(item_col).cast("string").alias("item"), F.col(item_text_col).alias("text")).distinct()
+    size = items.agg(F.sum(F.size(F.split("text", r"\s+")))).first()[0] or 0
+    parts = max(1, -(-size // tokens_at_once))
+    rows = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text"))
 
-    def seeds_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def judged(part: int) -> DataFrame:
+        some = items.where(F.pmod(F.xxhash64("item", "text"), F.lit(parts)) == part)
         tokens = Tokens()
-        for batch in batches:
-            for item, text in zip(batch["item"], batch["text"], strict=True):
-                h = rolling(t := tokens(text), width)
-                yield pd.DataFrame({"item": np.full(len(h), item), "n": np.full(len(h), len(t)), "q": np.arange(len(h)), "h": h.view(np.int64)})
-
-    items = benchmark.where(F.col(item_col).isNotNull() & F.col(item_text_col).isNotNull())
-    items = items.select(F.col(item_col).cast("long").alias("item"), F.col(item_text_col).alias("text")).distinct()
-    seeds = items.mapInPandas(seeds_of, "item long, n int, q int, h long").persist()
-    rows = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-
-    if seeds.count() <= broadcast_seeds:
-        known = seeds.toPandas().sort_values("h", kind="stable")
-        values = known["h"].to_numpy().view(np.uint64)
-        distinct, start = np.unique(np.sort(values), return_index=True)
-        known = known.iloc[np.argsort(values, kind="stable")]
-        sieve = np.zeros(1 << _SIEVE, bool)
-        sieve[(distinct >> np.uint64(64 - _SIEVE)).astype(np.int64)] = True
-        ends = np.append(start[1:], len(values))
-        shared = spark.sparkContext.broadcast((distinct, start, ends, known["item"].to_numpy(), known["q"].to_numpy(), known["n"].to_numpy(), sieve))
+        shared = spark.sparkContext.broadcast(Seeds([(r["item"], t) for r in some.toLocalIterator() if len(t := tokens(r["text"])) >= width], width))
 
         def met(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            distinct, start, ends, item, place, size, sieve = shared.value
-            tokens = Tokens()
+            seeds, tokens = shared.value, load(b"", Tokens)
             for batch in batches:
                 out = []
                 for doc, text in zip(batch["id"], batch["text"], strict=True):
-                    h = rolling(tokens(text), width)
-                    p = np.flatnonzero(sieve[(h >> np.uint64(64 - _SIEVE)).astype(np.int64)])
-                    if not len(p) or not len(distinct):
-                        continue
-                    at = np.minimum(np.searchsorted(distinct, h[p]), len(distinct) - 1)
-                    hit = distinct[at] == h[p]
-                    p, at = p[hit], at[hit]
-                    if not len(p):
-                        continue
-                    times = ends[at] - start[at]
-                    k = np.repeat(start[at], times) + np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
-                    p = np.repeat(p, times)
-                    order = np.argsort(item[k], kind="stable")
-                    k, p = k[order], p[order]
-                    cut = np.flatnonzero(np.diff(item[k])) + 1
-                    for ks, ps in zip(np.split(k, cut), np.split(p, cut), strict=True):
-                        out.append((doc, item[ks[0]], size[ks[0]], ps.tolist(), place[ks].tolist()))
-                yield pd.DataFrame(out, columns=["id", "item", "n", "p", "q"])
-
-        pairs = rows.mapInPandas(met, "id long, item long, n int, p array<int>, q array<int>")
-    else:
-
-        def hashed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            tokens = Tokens()
-            for batch in batches:
-                yield pd.DataFrame({"id": batch["id"], "row": batch["row"], "hs": [rolling(tokens(t), width).view(np.int64) for t in batch["text"]]})
-
-        spread = rows.withColumn("row", F.xxhash64("text")).mapInPandas(hashed, "id long, row long, hs array<long>")
-        spread = spread.select("id", "row", F.posexplode("hs").alias("p", "h"))
-        hits = spread.join(seeds, "h").groupBy("id", "row", "item", "n").agg(F.collect_set(F.struct("p", "q")).alias("s"))
-        pairs = hits.select("id", "item", "n", F.col("s.p").alias("p"), F.col("s.q").alias("q"))
+                    for item, p, q in seeds.met(tokens(text)):
+                        n = len(seeds.tokens[item])
+                        # No tiling covers more than the tokens that seeds reach: too few are left out before it.
+                        reach = len(np.unique(q)) * width
+                        if reach >= n * coverage:
+                            found = [x for _, _, x in tiles(p, q, width)]
+                            out.append((doc, seeds.ids[item], len(found), max(found), sum(found), sum(found) / n))
+                yield pd.DataFrame([x for x in out if x[-1] >= coverage], columns=["id", "item", "n_tiles", "longest", "covered", "coverage"])
 
-    @F.pandas_udf("n_tiles int, longest int, covered int")
-    def tiled(p: pd.Series, q: pd.Series) -> pd.DataFrame:
-        found = [[n for _, _, n in tiles(np.asarray(a), np.asarray(b), width)] for a, b in zip(p, q, strict=True)]
-        return pd.DataFrame([(len(x), max(x), sum(x)) for x in found], columns=["n_tiles", "longest", "covered"])
+        return rows.mapInPandas(met, "id string, item string, n_tiles int, longest int, covered int, coverage double")
 
-    # No tiling covers more than the tokens that seeds reach: too few are left out before it.
-    reach = F.size(F.array_distinct("q")) + (width - 1) * F.least(F.size(F.array_distinct("q")), F.lit(1 << 20))
-    likely = pairs.where(reach >= F.col("n") * coverage).withColumn("t", tiled("p", "q"))
-    judged = likely.select("id", "item", "t.n_tiles", "t.longest", "t.covered", (F.col("t.covered") / F.col("n")).alias("coverage")).where(F.col("coverage") >= coverage)
-    best = judged.groupBy("id", "item").agg(F.max(F.struct("coverage", "covered", "n_tiles", "longest")).alias("b"))
-    return best.select(F.col("id").alias(id_col), F.col("item").alias(item_col), "b.n_tiles", "b.longest", "b.covered", "b.coverage")
+    found = union_all([judged(part) for part in range(parts)])
+    best = found.groupBy("id", "item").agg(F.max(F.struct("coverage", "covered", "n_tiles", "longest")).alias("b"))
+    return best.select(F.col("id").cast(docs.schema[id_col].dataType).alias(id_col), F.col("item").cast(benchmark.schema[item_col].dataType).alias(item_col), "b.n_tiles", "b.longest", "b.covered", "b.coverage")
 
 
 def without_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", id_col: str = "doc_id", **options) -> DataFrame:
-    """The rows that no benchmark item covers; their columns are unchanged, rows without an id or text stay."""
+    """The rows that no benchmark item covers; their columns are unchanged, rows without an id or text stay.
+
+    The ids found are written to the shared folder first, so that the join knows their size:
+    where they are few, Spark sends them to the rows, and the texts are not shuffled.
+    """
     found = contamination(docs, benchmark, text_col, id_col, **options).select(F.col(id_col).alias("_found")).distinct()
+    found = written(found, "contaminated")
     return docs.join(found, F.col(id_col) == F.col("_found"), "left_anti")

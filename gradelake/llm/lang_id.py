@@ -52,7 +52,8 @@ def language_profiles(docs: DataFrame, text_col: str = "text", lang_col: str = "
     """(lang, rank, code): the ``size`` most frequent n-grams of each non-null language, over all rows.
 
     Tasks count their own rows and pass on distinct n-grams only (pre-aggregated), so a
-    language that holds most rows does not meet in one task as texts.
+    language that holds most rows does not meet in one task as texts. Rows without a text or
+    language teach nothing, repeated rows count each, and an empty table gives no profiles.
     """
 
     def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -69,23 +70,22 @@ def language_profiles(docs: DataFrame, text_col: str = "text", lang_col: str = "
     return totals.withColumn("rank", F.row_number().over(order) - 1).where(F.col("rank") < size).select("lang", "rank", "code")
 
 
-def identify(docs: DataFrame, profiles: DataFrame, text_col: str = "text", size: int = 400, max_languages: int = 1000) -> DataFrame:
+def identify(docs: DataFrame, profiles: DataFrame, text_col: str = "text", size: int = 400) -> DataFrame:
     """Add ``lang_pred`` and ``score`` (1 for the profile's own order, 0 for nothing in common) to each row.
 
     The distance of a text to a language is the mean over the text's ``size`` most frequent
     n-grams of how far each is out of its place in the profile, an absent one counting
     ``size`` places; the score is 1 less that over ``size``. Ties go to the first language by
     name. A null text or one without a letter is ``und`` with score 0, and so is every text if
-    no language was learned. Other columns pass through; columns named as a result are replaced.
+    no language was learned. Texts of any length are read whole; among n-grams of a text that are
+    equally frequent, the smaller code goes first. Repeated rows repeat their result and an empty
+    table gives none. Other columns pass through; columns named as a result are replaced.
 
-    The profiles are at most ``size`` x ``max_languages`` rows (more is an error) and go to
-    the tasks with the function; texts are not shuffled.
+    The profiles are ``size`` rows a language, however long its texts are, and go to the tasks
+    with the function; texts are not shuffled.
     """
-    rows = profiles.orderBy("lang", "rank").limit(size * max_languages + 1).collect()
-    if len(rows) > size * max_languages:
-        raise ValueError(f"more than {max_languages} languages")
     learned: dict[str, list[int]] = {}
-    for r in rows:
+    for r in profiles.orderBy("lang", "rank").toLocalIterator():
         learned.setdefault(r["lang"], []).append(r["code"])
     names = sorted(learned)
     tables = []
@@ -114,5 +114,6 @@ def identify(docs: DataFrame, profiles: DataFrame, text_col: str = "text", size:
         for texts in batches:
             yield pd.DataFrame([one(t) for t in texts], columns=["lang_pred", "score"])
 
-    out = docs.withColumn("_judged", judged(F.col(text_col)))
+    # Marked so that the plan runs it once a row, also where a filter asks for the language.
+    out = docs.withColumn("_judged", judged.asNondeterministic()(F.col(text_col)))
     return out.withColumns({"lang_pred": F.col("_judged.lang_pred"), "score": F.col("_judged.score")}).drop("_judged")

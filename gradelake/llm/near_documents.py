@@ -1,4 +1,4 @@
-"""Near copies of whole documents: MinHash banding, exact Jaccard, one document of each group stays."""
+"""Near copies of whole documents: every pair of a candidate group by exact Jaccard of word shingles."""
 
 from __future__ import annotations
 
@@ -11,88 +11,56 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gradelake.llm.bpe import Remembered, load
-from gradelake.llm.common import checkpoint, components, kept_rows, split_hot, written
+from gradelake.llm.common import split_hot, written
 from gradelake.llm.decontam import rolling
-from gradelake.llm.paragraph_dedup import _KEY, Paragraphs, _near, band_keys
+from gradelake.llm.paragraph_dedup import near_pairs
 from gradelake.llm.shared_keys import five
 
+_KEY = np.uint64(24)  # shingles travel as their upper 40 bits
+
 
 def token_numbers(_: bytes) -> Remembered:
     """The numbers of tokens seen, one table per Python worker."""
-    return Remembered(lambda token: xxhash.xxh64_intdigest(token) | 1, 120_000)
-
+    return Remembered(lambda token: xxhash.xxh64_intdigest(token) | 1, 60_000)
 
-def documents(texts: list[str], number, words: int) -> Paragraphs:
-    """Each text as one paragraph of its ``words``-word shingles; words are those of SimHash.
 
-    A text of fewer words is one shingle, and so is one without words.
-    """
-    tokens = [[number[t] for t in text.encode("utf-8", "replace").lower().split()] for text in texts]
-    size = np.array([len(t) for t in tokens], np.int64)
-    parts = [rolling(np.array(t, np.uint64), min(words, len(t))) if t else np.zeros(1, np.uint64) for t in tokens]
-    count = np.array([len(p) for p in parts], np.int64)
-    flat = np.concatenate(parts) if parts else np.empty(0, np.uint64)
-    return Paragraphs(np.arange(len(texts)), np.zeros(len(texts), np.int64), size, flat, np.cumsum(count) - count, count)
+def shingles(tokens: list[bytes], number, words: int) -> np.ndarray:
+    """Hashes of the ``words``-word shingles; a text of fewer words is one, and so is one without words."""
+    if not tokens:
+        return np.zeros(1, np.uint64)
+    return rolling(np.fromiter(map(number.__getitem__, tokens), np.uint64, len(tokens)), min(words, len(tokens)))
 
 
-def keep_one(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", words: int = 5, similarity: float = 0.8, bands: int = 16, rows: int = 4, block_rows: int = 512) -> DataFrame:
-    """The rows of one document, the smallest by id, of each group of near copies; their columns are unchanged.
+def similar_documents(source: DataFrame, proposed: DataFrame, words: int, similarity: float, block_rows: int = 512) -> DataFrame:
+    """Links (a, b) of pids that connect all documents of a group with enough exact Jaccard similarity.
 
-    Two documents are linked if their sets of ``words``-word shingles have an exact Jaccard
-    similarity of at least ``similarity``; groups are the connected ones. Banding proposes a
-    pair at the bound with probability 1 - (1 - s^rows)^bands, 0.9998 by default, and equal
-    texts always. Rows without an id are kept, a null text is an empty one, and rows that
-    repeat both id and text are kept once.
-
-    Texts equal in their words are one before anything is joined. Buckets of the same
-    documents are verified once, large ones in pairs of bounded blocks; shingles are cut again
-    only for documents that share a bucket.
+    ``source`` is (id, th, text), ``proposed`` (pid, least, key): one document (its id and th)
+    of each pid, and its candidate group. Groups of one document go no further; the others'
+    shingles are cut once, and each block pair of a group is one bounded task, which gives no
+    more links than it has rows.
     """
-    kind = docs.schema[id_col].dataType.simpleString()
-    source = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    source = source.withColumn("th", F.xxhash64("text"))
-
-    def keyed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            found = documents(batch["text"].to_list(), load(b"", token_numbers), words)
-            yield pd.DataFrame({"id": batch["id"], "th": batch["th"], "pid": found.pid().view(np.int64), "keys": list(band_keys(found, bands, rows))})
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        number = load(b"", token_numbers)
         for batch in batches:
-            found = documents(batch["text"].to_list(), load(b"", token_numbers), words)
-            stored = five((found.shingles >> _KEY).astype(np.int64))
-            yield pd.DataFrame({"pid": batch["pid"], "shingles": [stored[a : a + n].tobytes() for a, n in zip(found.first, found.count, strict=True)]})
-
-    first = F.struct("id", "th")
-    prints = source.mapInPandas(keyed, f"id {kind}, th long, pid long, keys array<long>")
-    distinct = checkpoint(prints.groupBy("pid").agg(F.min(first).alias("least"), F.first("keys").alias("keys")))
-    banded = distinct.select("pid", F.explode("keys").alias("key"))
-    buckets = banded.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("pid")).alias("who")).where("n > 1")
-    buckets = buckets.groupBy("n", "who").agg(F.min("key").alias("key")).select("key")
-    shared = checkpoint(banded.join(buckets, "key"))
-
-    asked = distinct.join(shared.select("pid").distinct(), "pid").select("pid", F.col("least.id").alias("id"), F.col("least.th").alias("th"))
-    shingles = written(source.join(asked, ["id", "th"]).select("pid", "text").mapInPandas(cut, "pid long, shingles binary"), "documents")
-    shingles = shingles.groupBy("pid").agg(F.first("shingles").alias("shingles"))  # repeated rows
-    tasks = split_hot(shared, ["key"], F.col("pid"), block_rows).withColumn("task", F.xxhash64("key", "blk_i", "blk_j"))
-    tasks = tasks.select("task", "pid", "blk", "blk_i", "blk_j").join(shingles, "pid")
+            found = [five((shingles(t.encode("utf-8", "replace").lower().split(), number, words) >> _KEY).astype(np.int64)).tobytes() for t in batch["text"]]
+            yield pd.DataFrame({"pid": batch["pid"], "key": batch["key"], "shingles": found})
 
     def verified(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held = None
         for batch in batches:
             held = batch if held is None else pd.concat([held, batch], ignore_index=True)
             whole = held["task"] != held["task"].iat[-1]
-            if len(held) >= 4 * block_rows and whole.any():
-                yield near(held[whole])
+            if len(held) >= 2 * block_rows and whole.any():
+                yield near_pairs(held[whole], similarity)
                 held = held[~whole]
         if held is not None and len(held):
-            yield near(held)
-
-    def near(some: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame([x for _, block in some.groupby("task", sort=False) for x in _near(block, similarity)], columns=["a", "b"])
-
-    links = tasks.select("task", "pid", "shingles", "blk", "blk_i", "blk_j").repartition("task").sortWithinPartitions("task").mapInPandas(verified, "a long, b long")
-    reached = components(links, "a", "b")
-    label = distinct.join(reached, distinct["pid"] == reached["node"], "left").select("least", F.coalesce("component", "pid").alias("label"))
-    kept = label.groupBy("label").agg(F.min("least").alias("least")).select("least.id", "least.th")
-    return kept_rows(docs, kept, text_col, id_col)
+            yield near_pairs(held, similarity)
+
+    several = proposed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
+    asked = proposed.join(several, "key").select("pid", "key", F.col("least.id").alias("id"), F.col("least.th").alias("th"))
+    cuts = source.join(asked, ["id", "th"]).select("pid", "key", "text").mapInPandas(cut, "pid long, key long, shingles binary")
+    cuts = written(cuts, "documents").groupBy("pid", "key").agg(F.first("shingles").alias("shingles"))  # repeated rows
+    tasks = split_hot(cuts, ["key"], F.col("pid"), block_rows).withColumn("task", F.xxhash64("key", "blk_i", "blk_j"))
+    tasks = tasks.select("task", "pid", "shingles", "blk", "blk_i", "blk_j")
+    return tasks.repartition("task").sortWithinPartitions("task").mapInPandas(verified, "a long, b long")

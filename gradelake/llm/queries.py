@@ -68,8 +68,9 @@ def op9_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
-    found = secrets.secret_scan(docs)
-    return found.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2("base_list", 256).alias("base_sha256"), F.col("span_list").alias("spans"))
+    found = secrets.secret_scan(docs, keep_text=False)
+    n = lambda c: F.size(c).cast("long")
+    return found.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2("base_list", 256).alias("base_sha256"), F.col("span_list").alias("spans"), n("owned_spans").alias("n_owned"), n("copied_spans").alias("n_copied"))
 
 
 QUERIES = {f.__name__: f for f in (op1_token_counts, op2_suffix_dedup, op3_simhash_dedup, op4_embedding_dedup, op5_url_filters, op6_benchmark_decontamination, op7_paragraph_dedup, op8_language_id, op9_bpe_codec, op10_secret_scans)}

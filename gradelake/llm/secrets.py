@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gradelake.llm.common import checkpoint
+from gradelake.llm.common import written
 
 # The patterns of the base kinds, in their listed order. Runs of hex digits and
 # access keys are taken only at the least length; a shorter run cannot hold a longer one.
@@ -46,63 +46,122 @@ def _spans(text: Column, pattern: str, rank: int, value_group: int = 0, least: i
 def _listed(spans: Column) -> Column:
     """kind:start:end by start, then kind as listed, joined by commas."""
     kind = F.array(*map(F.lit, KINDS))
-    return F.array_join(F.transform(F.array_sort(spans), lambda s: F.concat_ws(":", F.get(kind, s["rank"]), s["start"].cast("string"), s["end"].cast("string"))), ",")
+    keyed = F.array_sort(F.transform(spans, lambda s: F.struct(s["start"], s["rank"], s["end"])))
+    return F.array_join(F.transform(keyed, lambda s: F.concat_ws(":", F.get(kind, s["rank"]), s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
-def secret_scan(docs: DataFrame, text_col: str = "text", repo_col: str = "doc_id", owner_col: str = "source", max_owners: int = 1) -> DataFrame:
-    """Add ``base_spans``, ``owned_spans``, ``live_spans`` (arrays of start, end, rank, value), the three base counts, ``base_list`` and ``span_list``.
+def _hash(span: Column) -> Column:
+    return F.sha2(span["value"], 256)
 
-    Base kinds are the three fixed patterns. The method adds candidates, that is web tokens
-    and long mixed runs that no base span overlaps, whose value occurs with at most
-    ``max_owners`` distinct owners over the whole corpus: widely copied examples are left out,
-    what one owner alone has counts as live in however many repositories or copies.
-    ``live_spans`` are the base spans whose value passes the same test. By default a document
-    is a repository and its source the owner; a null owner counts as one of its own.
 
-    A null or empty text has no spans. Repeated rows count once for a repository and each get
-    their spans. Frequencies are pre-aggregated by value and owner before each
-    shuffle, so a value that a third of all rows hold is a few rows by then. Other columns
-    pass through; columns named as a result are replaced.
+def suspicious(text: Column) -> Column:
+    """Whether a text holds a base match or a candidate run; a null text does not."""
+    return F.coalesce(F.regexp_like(text, F.lit(ASSIGN)) | F.regexp_like(text, F.lit(ACCESS)) | F.regexp_like(text, F.lit(HEX)) | F.regexp_like(text, F.lit(CANDIDATE)), F.lit(False))
+
+
+def scan(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """Add ``base_spans`` and ``candidates`` (arrays of start, end, rank, value) to each row; one narrow pass.
+
+    Candidates are the credentials themselves: the value of each base span (of an assignment
+    only what is assigned), and each web token or long mixed run that no base span overlaps.
     """
-    made = ["base_spans", "owned_spans", "live_spans", "n_assign", "n_access", "n_hex", "base_list", "span_list"]
-    docs = docs.drop(*[c for c in docs.columns if c in made and c not in (text_col, repo_col, owner_col)])
     text = F.coalesce(F.col(text_col), F.lit(""))
     base = F.concat(_spans(text, ASSIGN, 0, 2, 6), _spans(text, ACCESS, 1), _spans(text, HEX, 2))
     found = docs.withColumn("base_spans", base).withColumn("_wide", _spans(text, CANDIDATE, 3))
     apart = F.filter("_wide", lambda c: ~F.exists("base_spans", lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"])))
-    found = found.withColumn("_wide", apart)
-
-    value = F.explode(F.array_distinct(F.transform(F.concat("base_spans", "_wide"), lambda s: F.sha2(s["value"], 256))))
-    held = found.select(F.col(repo_col).alias("_repo"), F.col(owner_col).alias("_owner"), value.alias("_hash")).distinct()
-    held = checkpoint(held)  # small, read twice, and the patterns are what costs
-    by_owner = held.groupBy("_hash", "_owner").agg(F.lit(1).alias("_x")).groupBy("_hash").agg(F.count(F.lit(1)).alias("_owners"))
-    alone = by_owner.where(F.col("_owners") <= max_owners).select("_hash")
-    mine = held.join(alone, "_hash").groupBy("_repo").agg(F.collect_set("_hash").alias("_live"))
-
-    out = found.join(mine, F.col(repo_col).eqNullSafe(F.col("_repo")), "left")
-    live = lambda s: F.coalesce(F.array_contains(F.col("_live"), F.sha2(s["value"], 256)), F.lit(False))
-    out = out.withColumns({"owned_spans": F.filter("_wide", live), "live_spans": F.filter("base_spans", live)})
+    # The value of an assignment ends where the match ends.
+    of_base = F.transform("base_spans", lambda b: F.struct((b["end"] - F.length(b["value"])).alias("start"), b["end"].alias("end"), F.lit(3).alias("rank"), b["value"].alias("value")))
+    return found.withColumn("candidates", F.array_distinct(F.concat(of_base, apart))).drop("_wide")
+
+
+def ownership(found: DataFrame, repo_col: str = "doc_id", owner_col: str = "source") -> DataFrame:
+    """(hash, n_repos, n_owners) of each candidate value of a scanned table, over the whole corpus.
+
+    A null repository counts as one, and so does a null owner. Rows are counted by value,
+    owner and repository before each shuffle, and a repository counts for each owner it has.
+    """
+    each = found.select(F.col(repo_col).alias("repo"), F.col(owner_col).alias("owner"), F.explode(F.array_distinct(F.transform("candidates", _hash))).alias("hash"))
+    by_owner = each.distinct().groupBy("hash", "owner").agg(F.count(F.lit(1)).alias("n"))
+    return by_owner.groupBy("hash").agg(F.sum("n").alias("n_repos"), F.count(F.lit(1)).alias("n_owners"))
+
+
+def judged(found: DataFrame, owners: DataFrame, repo_col: str = "doc_id", max_owners: int = 1) -> DataFrame:
+    """Scanned rows with ``owned_spans``, ``copied_spans``, the base counts, ``base_list`` and ``span_list``.
+
+    Only the rows that have a candidate are joined with ``owners`` (hash, n_repos, n_owners):
+    each of their distinct values once, by the value, and back by a number of the row.
+    """
+    found = found.withColumn("_row", F.xxhash64(F.col(repo_col), F.col("candidates")))
+    asked = found.where(F.size("candidates") > 0).select("_row", "candidates").distinct()
+    asked = asked.select("_row", F.explode(F.array_distinct(F.transform("candidates", _hash))).alias("hash"))
+    few = owners.where(F.col("n_owners") <= max_owners).select("hash")
+    live = asked.join(few, "hash").groupBy("_row").agg(F.collect_set("hash").alias("_live"))
+    live = live.withColumnRenamed("_row", "_lrow")
+    some = F.size("candidates") > 0
+    joined = found.where(some).join(live, F.col("_row") == F.col("_lrow"), "left").drop("_lrow")
+    out = joined.unionByName(found.where(~some).withColumn("_live", F.lit(None).cast("array<string>"))).drop("_row")
+    is_live = lambda s: F.coalesce(F.array_contains(F.col("_live"), _hash(s)), F.lit(False))
+    out = out.withColumns({"owned_spans": F.filter("candidates", is_live), "copied_spans": F.filter("candidates", lambda s: ~is_live(s))})
     count = lambda k: F.size(F.filter("base_spans", lambda s: s["rank"] == k)).cast("long")
     out = out.withColumns({"n_assign": count(0), "n_access": count(1), "n_hex": count(2), "base_list": _listed(F.col("base_spans")), "span_list": _listed(F.concat("base_spans", "owned_spans"))})
-    return out.drop("_wide", "_repo", "_live")
+    return out.drop("_live", "candidates")
+
+
+_MADE = ["base_spans", "candidates", "owned_spans", "copied_spans", "n_assign", "n_access", "n_hex", "base_list", "span_list"]
 
 
-def masked(docs: DataFrame, mask: str, text_col: str = "text", **options) -> DataFrame:
+def secret_scan(docs: DataFrame, text_col: str = "text", repo_col: str = "doc_id", owner_col: str = "source", max_owners: int = 1, keep_text: bool = True) -> DataFrame:
+    """Add ``base_spans``, ``owned_spans``, ``copied_spans`` (arrays of start, end, rank, value), the three base counts, ``base_list`` and ``span_list``.
+
+    Base kinds are the three fixed patterns. The method adds spans of kind ``owned``: candidate
+    credentials (values of base spans, web tokens and long mixed runs) that at most
+    ``max_owners`` distinct owners hold over the whole corpus, in however many repositories or
+    copies: they look live. Candidates that more owners hold are ``copied_spans``: widely
+    copied examples. By default a document is a repository and its source the owner; a null
+    owner counts as one of its own, and so does a null repository.
+
+    A null or empty text has no spans; texts of any length are taken whole; spans that start
+    alike are listed by kind, then end. Repeated rows count once for a repository and each get
+    their spans; an empty table gives none. Other columns pass through; columns named as a
+    result are replaced.
+
+    Without ``keep_text`` the text goes, and what one pass of the patterns found is written to
+    the shared folder and read for the counts and the result. With it, the rows with a match or
+    candidate are written there, the others are only told by the patterns.
+    """
+    docs = docs.drop(*[c for c in docs.columns if c in _MADE and c not in (text_col, repo_col, owner_col)])
+    if not keep_text:
+        found = written(scan(docs, text_col).drop(text_col), "scanned")
+        return judged(found, written(ownership(found, repo_col, owner_col), "owners"), repo_col, max_owners)
+    hot = suspicious(F.col(text_col))
+    found = written(scan(docs.where(hot), text_col), "scanned")
+    out = judged(found, written(ownership(found, repo_col, owner_col), "owners"), repo_col, max_owners)
+    none, zero = F.array().cast(_SPAN), F.lit(0).cast("long")
+    empty = {"base_spans": none, "owned_spans": none, "copied_spans": none, "n_assign": zero, "n_access": zero, "n_hex": zero, "base_list": F.lit(""), "span_list": F.lit("")}
+    return out.unionByName(docs.where(~hot).withColumns(empty))
+
+
+def masked(docs: DataFrame, mask: str, text_col: str = "text", repo_col: str = "doc_id", owner_col: str = "source", max_owners: int = 1) -> DataFrame:
     """The rows with each stretch of ``text_col`` that spans cover replaced by ``mask``; null texts stay null.
 
     Of a base span of the assign kind the whole match goes, name and value. Overlapping spans
-    are one stretch.
+    are one stretch. Texts without a match or candidate are told by the patterns alone and are
+    neither joined nor shuffled. Nulls, long texts, repeated rows, clashing names and empty
+    tables are as in ``secret_scan``.
     """
-    columns = [c for c in docs.columns if c != text_col]
-    found = secret_scan(docs.select(*columns, F.col(text_col)), text_col, **options)
+    row = docs.select(F.struct(*docs.columns).alias("row"), F.col(text_col).alias("text"), F.col(repo_col).alias("repo"), F.col(owner_col).alias("owner"))
+    found = written(scan(row.where(suspicious(F.col("text")))), "scanned")
+    found = judged(found, written(ownership(found, "repo", "owner"), "owners"), "repo", max_owners)
     spans = F.array_sort(F.concat("base_spans", "owned_spans"))
 
     def step(state: Column, span: Column) -> Column:
         start, end = span["start"], F.greatest(span["end"], state["at"])
-        between = F.substring(F.col(text_col), state["at"] + 1, F.greatest(start - state["at"], F.lit(0)))
+        between = F.substring("text", state["at"] + 1, F.greatest(start - state["at"], F.lit(0)))
         fresh = F.concat(state["out"], between, F.lit(mask))
         return F.struct(end.alias("at"), F.when(start < state["at"], state["out"]).otherwise(fresh).alias("out"))
 
     begin = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    clean = F.aggregate(spans, begin, step, lambda s: F.concat(s["out"], F.substring(F.col(text_col), s["at"] + 1, F.lit(2**31 - 1))))
-    return found.withColumn(text_col, F.when(F.size(spans) > 0, clean).otherwise(F.col(text_col))).select(docs.columns)
+    clean = F.aggregate(spans, begin, step, lambda s: F.concat(s["out"], F.substring("text", s["at"] + 1, F.lit(2**31 - 1))))
+    clean = F.when(F.size(spans) > 0, clean).otherwise(F.col("text"))
+    changed = found.select(*[(clean if c == text_col else F.col("row")[c]).alias(c) for c in docs.columns])
+    return docs.where(~suspicious(F.col(text_col))).unionByName(changed)

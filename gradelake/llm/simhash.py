@@ -11,16 +11,25 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gradelake.llm.common import checkpoint, components, kept_rows, split_hot
+from gradelake.llm.common import checkpoint, components, forest, kept_rows, split_hot
+from gradelake.llm.near_documents import similar_documents
 
 SEED = 42
 _LEAF = 64  # node pairs of up to so many value pairs are compared at once
 _CHUNK = 200_000  # node pairs, value pairs or rows handled in one step
 
 
+def split_words(text: str | None) -> list[bytes]:
+    """The runs of anything but ASCII white space, A-Z lower-cased."""
+    return (text or "").encode("utf-8", "replace").lower().split()
+
+
 def fingerprint(text: str | None, words: int) -> int:
     """64 bits; bit b is 1 if set in over half the XXH64 hashes of the word shingles, repeats included."""
-    tokens = (text or "").encode("utf-8", "replace").lower().split()
+    return print_of(split_words(text), words)
+
+
+def print_of(tokens: list[bytes], words: int) -> int:
     if not tokens:
         return 0
     n = max(1, len(tokens) - words + 1)
@@ -119,22 +128,6 @@ def trie_links(v: np.ndarray, a: np.ndarray, b: np.ndarray, depth: int, max_bits
         stack.append((depth + 1, na[keep], nb[keep], spent[keep]))
 
 
-def forest(i: np.ndarray, j: np.ndarray, n: int, parent: np.ndarray | None = None) -> np.ndarray:
-    """The smallest index linked with each of n indices, directly or not."""
-    parent = np.arange(n) if parent is None else parent
-    while len(i):
-        a, b = parent[i], parent[j]
-        apart = a != b
-        i, j, a, b = i[apart], j[apart], a[apart], b[apart]
-        np.minimum.at(parent, np.maximum(a, b), np.minimum(a, b))
-        while True:
-            up = parent[parent]
-            if (up == parent).all():
-                break
-            parent = up
-    return parent
-
-
 def _joined(layout: Layout, max_bits: int, rows: pd.DataFrame) -> pd.DataFrame:
     """Links among the rows of whole tasks, as a spanning forest of each table's rows."""
     out = []
@@ -202,7 +195,9 @@ def simhash_components(docs: DataFrame, text_col: str = "text", id_col: str = "d
     Words are runs of anything but ASCII white space, A-Z lower-cased; a text of fewer than
     ``words`` words is one shingle, one without words (null, empty, blank) has fingerprint 0
     and is linked like any other. Equal fingerprints are linked. Repeated rows stay; a null id
-    is nobody's smallest unless a component has no other.
+    is nobody's smallest unless a component has no other. A bit that half the shingles set is 0.
+    Texts of any length are taken whole, an empty table gives no rows, and of other columns,
+    whatever their names, nothing is read; ids may be of any kind that has an order.
 
     Exact copies are one fingerprint before anything is joined, and the joins by fingerprint
     and by component are plain equi-joins whose hot keys Spark can split.
@@ -216,14 +211,42 @@ def simhash_components(docs: DataFrame, text_col: str = "text", id_col: str = "d
     return prints.join(label.join(least, "label").select("fingerprint", "component_id"), "fingerprint").select(F.col("id").alias(id_col), "fingerprint", "component_id")
 
 
-def keep_one(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", words: int = 5, max_bits: int = 7) -> DataFrame:
-    """The rows whose id is the smallest of its component; their columns are unchanged.
+def keep_one(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", words: int = 5, similarity: float = 0.8, print_words: int = 2, max_bits: int = 10) -> DataFrame:
+    """The rows of one document, the smallest by id, of each group of near copies; their columns are unchanged.
 
-    Rows without an id are kept, and rows that repeat both id and text are kept once: rows
-    of one id and different texts are judged apart.
+    Two documents are linked if their sets of ``words``-word shingles have an exact Jaccard
+    similarity of at least ``similarity``; groups are the connected ones. SimHash proposes: the
+    fingerprints of ``print_words``-word shingles within ``max_bits`` of each other (directly or
+    by others) are a candidate group, and all of a group's texts are compared by their shingles.
+    Fingerprints are of shorter shingles than the decision because an altered word alters as
+    many shingles as these have words: at a similarity of 0.8 in five words, fingerprints of
+    five words differ in 10 bits of 64 on average, those of two words in 6.
+
+    Rows without an id are kept, a null text is an empty one, texts equal in their words are
+    linked, and rows that repeat both id and text are kept once (the first in the order of their
+    columns); rows of one id and different texts are judged apart. Texts of any length are
+    taken whole; an empty table gives none; clashing column names pass through.
+
+    Texts equal in their words are one before anything is joined; shingles are cut only of
+    documents in a candidate group, and a large group is compared in pairs of bounded blocks.
     """
-    node = F.struct(F.col(id_col).alias("id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("th"))
-    nodes = docs.where(F.col(id_col).isNotNull()).select(node.alias("_node"), F.col(text_col).alias("_text"))
-    found = simhash_components(nodes, "_text", "_node", words, max_bits)
-    kept = found.where(F.col("_node") == F.col("component_id")).select("_node.id", "_node.th").distinct()
+    kind = docs.schema[id_col].dataType.simpleString()
+    source = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    source = source.withColumn("th", F.xxhash64("text"))
+
+    def printed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            tokens = [split_words(t) for t in batch["text"]]
+            pid = np.array([xxhash.xxh64_intdigest(b" ".join(t)) for t in tokens], np.uint64).view(np.int64)
+            bits = np.array([print_of(t, print_words) for t in tokens], np.uint64).view(np.int64)
+            yield pd.DataFrame({"id": batch["id"], "th": batch["th"], "pid": pid, "fingerprint": bits})
+
+    prints = source.mapInPandas(printed, f"id {kind}, th long, pid long, fingerprint long")
+    distinct = checkpoint(prints.groupBy("pid").agg(F.min(F.struct("id", "th")).alias("least"), F.first("fingerprint").alias("fingerprint")))
+    reached = components(hamming_links(distinct, "fingerprint", max_bits), "a", "b")
+    proposed = distinct.join(reached, distinct["fingerprint"] == reached["node"], "left").select("pid", "least", F.coalesce("component", "fingerprint").alias("key"))
+    links = similar_documents(source, proposed, words, similarity)
+    linked = components(links, "a", "b")
+    label = distinct.join(linked, distinct["pid"] == linked["node"], "left").select("least", F.coalesce("component", "pid").alias("label"))
+    kept = label.groupBy("label").agg(F.min("least").alias("least")).select("least.id", "least.th")
     return kept_rows(docs, kept, text_col, id_col)

@@ -63,8 +63,10 @@ class Counter:
 def token_counts(docs: DataFrame, vocabulary_path: str, text_col: str = "text", limit: int = 512, out: str = "n_tokens") -> DataFrame:
     """Add ``n_bytes`` (UTF-8), ``out`` (tokens) and ``over_limit`` (tokens > limit) to each row.
 
-    One narrow pass, no shuffle. A null or empty text has 0 bytes and 0 tokens. Rows repeat
-    as they come; other columns pass through, and a column of a result's name is replaced.
+    One narrow pass, no shuffle. A null or empty text has 0 bytes and 0 tokens; texts of any
+    length are counted whole, in tables and caches of bounded size; ranks do not tie, and equal
+    pairs merge leftmost first. Rows repeat as they come, an empty table gives none; other
+    columns pass through, and a column of a result's name is replaced.
     The vocabulary file (a few MB) is read once on the driver and broadcast.
     """
     file = docs.sparkSession.sparkContext.broadcast(Path(vocabulary_path).read_bytes())
