@@ -11,7 +11,19 @@ from pyspark.sql import functions as F
 
 from gradelake.llm.common import checkpoint, components, split_hot
 
-_SKETCH_BITS = 20  # of 64 sign bits; at a cosine of 0.98 they differ in 4.1 on average, deviation 2
+_MOST_WORDS = 4096  # code words a block: 16.8 million filters
+_PAIRS = 500_000  # pairs compared in one step
+
+
+def sketch_bits(cosine: float) -> int:
+    """How many of 64 sign bits may differ: the mean at the bound and eight deviations more."""
+    p = float(np.arccos(np.clip(cosine, -1, 1))) / np.pi
+    return min(64, int(np.ceil(64 * p + 8 * np.sqrt(64 * p * (1 - p)))))
+
+
+def code_words(rows: int, filters: float, per_filter: float = 8) -> int:
+    """Code words a block so that a filter is passed by about ``per_filter`` of ``rows`` vectors, whatever their number."""
+    return int(min(_MOST_WORDS, max(64, np.ceil(np.sqrt(rows * filters / per_filter)))))
 
 
 class CapFilters:
@@ -39,6 +51,17 @@ class CapFilters:
         self.cap = float(np.quantile(a[:, pick[0]] + b[:, pick[1]], max(0.0, 1 - filters / words**2)))
         self.planes = rng.standard_normal((dim, 64))
 
+    def recall(self, cosine: float, pairs: int = 400) -> float:
+        """The share of random pairs at ``cosine`` that pass a common filter."""
+        rng = np.random.default_rng(5)
+        dim = len(self.turn)
+        x, y = (z / np.linalg.norm(z, axis=1, keepdims=True) for z in rng.standard_normal((2, pairs, dim)))
+        y -= (x * y).sum(1, keepdims=True) * x
+        y = cosine * x + np.sqrt(1 - cosine**2) * y / np.maximum(np.linalg.norm(y, axis=1, keepdims=True), 1e-12)
+        (i, f), (j, g) = self.passed(x), self.passed(y)
+        shared = np.intersect1d(i * self.words**2 + f, j * self.words**2 + g)
+        return len(np.unique(shared // self.words**2)) / pairs
+
     def _scores(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         x = x @ self.turn
         return x[:, : self.half] @ self.codes[0].T, x[:, self.half :] @ self.codes[1].T
@@ -82,36 +105,73 @@ def _dot(a: str, b: str) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
 
 
-def embedding_links(reps: DataFrame, cosine: float, filters: float = 90, words: int = 640, least: int = 48, seed: int = 11, block_rows: int = 2048) -> DataFrame:
-    """Distinct links (a, b, a < b) between the rows of ``reps`` (rep, label, vector of doubles) of at least ``cosine``."""
+def calibrated(dim: int, cosine: float, words: int, filters: float, seed: int, recall: float) -> CapFilters | None:
+    """Filters of which a pair at ``cosine`` shares one with a probability of ``recall``, or none if that takes too many.
+
+    The number of filters a vector passes is doubled from ``filters`` up to 16 times. The seed
+    is fixed, so that all tasks make the same.
+    """
+    for times in (1, 2, 4, 8, 16) if dim > 1 else ():
+        made = CapFilters(dim, words, filters * times, int(filters * times) // 2, seed)
+        if made.recall(cosine) >= recall:
+            return made
+    return None
+
+
+def close_pairs(rows: pd.DataFrame, bits: int) -> pd.DataFrame:
+    """Pairs (a < b) within whole tasks, sorted by task, whose sketches differ in at most ``bits`` bits.
+
+    A task of one block is compared with itself, one of two blocks across them. Pairs of all
+    tasks are numbered through and compared some at a time.
+    """
+    rows = rows.sort_values("task", kind="stable")
+    ids, s = rows["rep"].to_numpy(), rows["sketch"].to_numpy().view(np.uint64)  # bits of a signed number count its size
+    across = (rows["blk_i"] != rows["blk_j"]).to_numpy()
+    other = (rows["blk"] != rows["blk_i"]).to_numpy()
+    task = rows["task"].to_numpy()
+    end = np.append(np.flatnonzero(task[1:] != task[:-1]) + 1, len(task))
+    after = np.repeat(end, np.diff(end, prepend=0)) - np.arange(len(task)) - 1  # rows of the task after each
+    out, at = [], 0
+    total = np.cumsum(after)
+    while at < len(task):
+        stop = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + _PAIRS, "right")))
+        n = after[at:stop]
+        i = np.repeat(np.arange(at, stop), n)
+        j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(n) - n, n)
+        near = (np.bitwise_count(s[i] ^ s[j]) <= bits) & (~across[i] | (other[i] != other[j]))
+        a, b = ids[i[near]], ids[j[near]]
+        out.append(np.stack([np.minimum(a, b), np.maximum(a, b)], 1))
+        at = stop
+    found = pd.DataFrame(np.concatenate(out), columns=["a", "b"]).drop_duplicates()
+    return found[found["a"] < found["b"]]
+
+
+def embedding_links(reps: DataFrame, cosine: float, filters: float = 48, words: int | None = None, recall: float = 0.998, seed: int = 11, block_rows: int = 2048) -> DataFrame:
+    """Distinct links (a, b, a < b) between the rows of ``reps`` (rep, label, vector of doubles) of at least ``cosine``.
+
+    The number of filters follows the number of rows (``code_words``), so that a filter holds
+    about as many at every size. Where no affordable number of filters a vector reaches
+    ``recall`` at ``cosine`` (low cosines, one dimension), all vectors of a label share one.
+    """
+    words = words or code_words(reps.count(), filters)
+    bits = sketch_bits(cosine)
 
     def dealt(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        made: dict[int, CapFilters] = {}
+        made: dict[int, tuple[CapFilters | None, CapFilters]] = {}
         for batch in batches:
             for dim, part in batch.groupby(batch["vector"].map(len)):
                 if dim not in made:
-                    made[dim] = CapFilters(dim, words, filters, least, seed)
+                    found = calibrated(dim, cosine, words, filters, seed, recall)
+                    made[dim] = found, found or CapFilters(dim, 1, 1, 1, seed)
+                caps, sketches = made[dim]
                 x = np.stack(part["vector"].to_list()).astype(float)
                 x /= np.abs(x).max(axis=1, keepdims=True)
                 x /= np.linalg.norm(x, axis=1, keepdims=True)
                 for at in range(0, len(x), 1000):
-                    rows, passed = made[dim].passed(x[at : at + 1000])
-                    rows = rows + at
-                    yield pd.DataFrame({"rep": part["rep"].to_numpy()[rows], "kind": part["kind"].to_numpy()[rows], "filter": passed, "sketch": made[dim].sketch(x)[rows]})
-
-    def near(rows: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        for _, block in rows.groupby("task", sort=False):
-            ids, s = block["rep"].to_numpy(), block["sketch"].to_numpy().view(np.uint64)  # bits of a signed number count its size
-            other = (block["blk"] != block["blk_i"]).to_numpy()
-            own, second = ~other, other if block["blk_i"].iat[0] != block["blk_j"].iat[0] else ~other
-            a, b = np.nonzero(np.bitwise_count(s[own][:, None] ^ s[second][None, :]) <= _SKETCH_BITS)
-            a, b = ids[own][a], ids[second][b]
-            if own is not second and other.any():
-                a, b = np.minimum(a, b), np.maximum(a, b)
-            keep = a < b
-            out.append(np.stack([a[keep], b[keep]], 1))
-        return pd.DataFrame(np.concatenate(out), columns=["a", "b"]).drop_duplicates()
+                    some = x[at : at + 1000]
+                    rows, passed = caps.passed(some) if caps else (np.arange(len(some)), np.full(len(some), -1))
+                    sketch, rows = sketches.sketch(some)[rows], rows + at
+                    yield pd.DataFrame({"rep": part["rep"].to_numpy()[rows], "kind": part["kind"].to_numpy()[rows], "filter": passed, "sketch": sketch})
 
     def joined(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held = None
@@ -119,10 +179,10 @@ def embedding_links(reps: DataFrame, cosine: float, filters: float = 90, words:
             held = batch if held is None else pd.concat([held, batch], ignore_index=True)
             whole = held["task"] != held["task"].iat[-1]
             if len(held) >= 8 * block_rows and whole.any():
-                yield near(held[whole])
+                yield close_pairs(held[whole], bits)
                 held = held[~whole]
         if held is not None and len(held):
-            yield near(held)
+            yield close_pairs(held, bits)
 
     kind = F.xxhash64("label", F.size("vector"))
     passed = reps.select("rep", "vector", kind.alias("kind")).repartition("rep").mapInPandas(dealt, "rep long, kind long, filter long, sketch long")
@@ -144,11 +204,16 @@ def embedding_classes(vectors: DataFrame, vector_col: str = "embedding", id_col:
     as vectors of their own, one that repeats with other vectors takes the links of all of
     them; rows with a null id are left out.
 
+    Vectors of any length are taken whole; an empty table gives none; of other columns, whatever
+    their names, nothing is read. Among links there are no ties to break, and equal cosines are
+    links alike.
+
     Equal vectors are one representative with a count before anything is joined, so a vector
     that a third of all rows hold costs no more than another; its rows meet again only in an
     equi-join on the vector, which Spark can split. Filters miss a pair only if none of the
-    filters of the one (``filters`` on average) is passed by the other: at a cosine of 0.98
-    that is less than one in a thousand pairs.
+    filters of the one (``filters`` on average) is passed by the other: the number is raised
+    until simulated pairs at the bound share one with a probability of ``recall``. Sketches
+    drop candidates that are eight deviations and more from what the bound lets expect.
     """
     vector = F.transform(F.col(vector_col).cast("array<double>"), lambda v: v + F.lit(0.0))
     rows = vectors.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.when(_usable(vector, F.col(label_col)), vector).alias("vector"), F.col(label_col).alias("label"))
