@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 
+_ROUNDS = 1000  # longest run of a type that is induced in rounds
 _FEW = 1024  # alphabets of up to so many symbols are induced bucket by bucket in whole arrays
 
 
@@ -66,7 +67,7 @@ def _induce_few(t: np.ndarray, small: np.ndarray, order: np.ndarray, k: int) ->
     return sa
 
 
-def _induce_many(t: np.ndarray, small: np.ndarray, order: np.ndarray, k: int) -> np.ndarray:
+def _induce_lists(t: np.ndarray, small: np.ndarray, order: np.ndarray, k: int) -> np.ndarray:
     n = len(t)
     tails = np.cumsum(np.bincount(t, minlength=k))
     heads = [0, *tails[:-1].tolist()]
@@ -92,6 +93,54 @@ def _induce_many(t: np.ndarray, small: np.ndarray, order: np.ndarray, k: int) ->
     return np.array(sa, np.int64)
 
 
+def _settled(first: np.ndarray, then: np.ndarray, sub: np.ndarray, where: np.ndarray, unit: int) -> None:
+    """Rank the suffixes ``where`` by first symbol, class of the next suffix and its rank, which is ranked alike.
+
+    A rank is the place of the first suffix of its kind. A round takes the order one suffix
+    further down the runs of a type, for suffixes not yet told apart; it ends when none are.
+    """
+    if not len(where):
+        return
+    n = len(sub)
+    order = np.argsort(each := (first * unit + then) * n + sub[where + 1])
+    each, live = each[order], where[order]
+    place = np.arange(len(live))
+    new = np.concatenate([[True], each[1:] != each[:-1]])
+    rank = np.maximum.accumulate(np.where(new, place, 0))
+    sub[live] = rank
+    while True:
+        tied = ~(new & np.append(new[1:], True))
+        live, rank = live[tied], rank[tied]
+        if not len(live):
+            return
+        order = np.argsort(each := rank * n + sub[live + 1])
+        each, live, rank = each[order], live[order], rank[order]
+        new = np.concatenate([[True], each[1:] != each[:-1]])
+        whole = np.concatenate([[True], rank[1:] != rank[:-1]])
+        if new.sum() == whole.sum():
+            return
+        place = np.arange(len(live))
+        rank = rank + np.maximum.accumulate(np.where(new, place, 0)) - np.maximum.accumulate(np.where(whole, place, 0))
+        sub[live] = rank
+
+
+def _induce_many(t: np.ndarray, small: np.ndarray, order: np.ndarray, k: int) -> np.ndarray:
+    """As ``_induce_few``, for large alphabets: a type's suffixes are induced in rounds over whole arrays.
+
+    A suffix goes by its first symbol and the suffix after it; in a bucket the larger type comes
+    first. Long runs of one type, or numbers that do not fit, are left to lists.
+    """
+    n = len(t)
+    edges = np.flatnonzero(np.concatenate([[True], small[1:] != small[:-1], [True]]))
+    if np.diff(edges).max() > _ROUNDS or 2 * k * k * n >= 1 << 62:
+        return _induce_lists(t, small, order, k)
+    kind, sub = 2 * t + small, np.zeros(n, np.int64)
+    sub[order] = np.arange(len(order))
+    for where in (np.flatnonzero(~small), np.flatnonzero(small[:-1])):
+        _settled(t[where], kind[where + 1], sub, where, 2 * k)
+    return np.argsort(kind * n + sub)
+
+
 def suffix_array(t: np.ndarray, k: int) -> np.ndarray:
     """Start places of all suffixes in order, in linear time, for symbols below ``k``.
 
@@ -130,6 +179,15 @@ def suffix_array(t: np.ndarray, k: int) -> np.ndarray:
     return induce(t, small, ordered, k)
 
 
+def _sevens(t: np.ndarray) -> np.ndarray:
+    """At each place, the seven symbols (below 512) from there on as one number; missing ones are 0."""
+    out, rest = np.zeros(len(t), np.int64), t
+    for k in range(min(7, len(t))):
+        out[: len(t) - k] |= rest << (9 * (6 - k))
+        rest = rest[1:]
+    return out
+
+
 def common_prefixes(t: np.ndarray, sa: np.ndarray) -> np.ndarray:
     """For each place, how many symbols it shares with the suffix before it in order.
 
@@ -142,13 +200,16 @@ def common_prefixes(t: np.ndarray, sa: np.ndarray) -> np.ndarray:
     fresh = np.ones(n, bool)
     fresh[1:] = (before[1:] < 1) | (t[:-1] != t[before[1:] - 1])
     at = np.flatnonzero(fresh & (before >= 0))
-    shared, live = np.zeros(len(at), np.int64), np.arange(len(at))
-    while len(live):
-        a, b = at[live] + shared[live], before[at[live]] + shared[live]
-        live = live[(a < n) & (b < n)]
-        a, b = at[live] + shared[live], before[at[live]] + shared[live]
-        live = live[t[a] == t[b]]
-        shared[live] += 1
+    shared = np.zeros(len(at), np.int64)
+    for step in (7, 1):  # seven symbols of up to nine bits at a time, then the rest one by one
+        word = t if step == 1 else _sevens(t)
+        live = np.arange(len(at)) if t.max(initial=0) < 512 or step == 1 else np.empty(0, int)
+        while len(live):
+            a, b = at[live] + shared[live], before[at[live]] + shared[live]
+            inside = np.maximum(a, b) <= n - step
+            live, a, b = live[inside], a[inside], b[inside]
+            live = live[word[a] == word[b]]
+            shared[live] += step
     out = np.zeros(n, np.int64)
     out[at] = shared
     last = np.maximum.accumulate(np.where(fresh, np.arange(n), 0))

@@ -13,6 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -24,6 +25,7 @@ GRAM = 20
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _TOGETHER = 200_000  # bytes of texts hashed in one call
 _SHARD = 2_000_000  # bytes of fragments in one suffix array
+_FRAGMENT = ["key", "id", "start", "end", "fragment"]
 
 
 def _power(n: int) -> np.uint64:
@@ -149,42 +151,69 @@ def repeated_ranges(docs: DataFrame, text_col: str = "text", id_col: str = "doc_
                 yield pd.DataFrame({"key": ids, "id": ids, "start": starts, "end": ends, "fragment": b""})
 
     def shards(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held, size = [], 0
+        """The ranges to remove (with an end), told by whole keys at a time, and of a key too large for that its windows (without)."""
+        held, size, over = [], 0, None
+
+        def joined() -> pd.DataFrame:
+            return held[0] if len(held) == 1 else pd.concat(held, ignore_index=True)
+
         for batch in batches:
-            known = batch["end"] > 0
+            known = (batch["end"] > 0).to_numpy()
             if known.any():
-                yield batch.loc[known, ["id", "start", "end"]]
+                yield gone(batch["id"][known], batch["start"][known], batch["end"][known])
                 batch = batch[~known]
+            if over is not None:
+                same = (batch["key"] == over).to_numpy()
+                yield from windowed(batch[same])
+                batch = batch[~same]
             if not len(batch):
                 continue
             held.append(batch)
             size += int(batch["fragment"].map(len).sum())
-            if size >= _SHARD:
-                rows = pd.concat(held, ignore_index=True)
-                whole = (rows["key"] != rows["key"].iat[-1]).to_numpy()
-                if whole.any():
-                    yield told(rows[whole])
-                    rows = rows[~whole]
-                held, size = [rows], int(rows["fragment"].map(len).sum())
+            if size < _SHARD:
+                continue
+            rows = joined()
+            whole = (rows["key"] != rows["key"].iat[-1]).to_numpy()
+            if whole.any():
+                yield told(rows[whole])
+                rows = rows[~whole]
+            # What is left is one key: of equal fragments the earliest document's stay, the others have lost them.
+            rows, later = collapsed(rows)
+            yield gone(later["id"], later["start"], later["start"] + later["fragment"].map(len))
+            held, size = [rows], int(rows["fragment"].map(len).sum())
+            if size >= 2 * _SHARD and rows["fragment"].map(len).max() > length:
+                yield from windowed(rows)
+                held, size, over = [], 0, rows["key"].iat[0]
         if held:
-            yield told(pd.concat(held, ignore_index=True))
+            yield told(joined())
+
+    def gone(ids, starts, ends) -> pd.DataFrame:
+        rows = pd.DataFrame({"id": np.asarray(ids, np.int64), "start": np.asarray(starts, np.int64), "end": np.asarray(ends, np.int64)})
+        return rows.assign(key=rows["id"], fragment=b"")[_FRAGMENT]
+
+    def windowed(rows: pd.DataFrame) -> Iterator[pd.DataFrame]:
+        for at in range(0, len(rows), 2000):
+            out = [(xxhash.xxh64_intdigest(w := x[k : k + length]) >> 24, doc, start + k, 0, w) for doc, start, x in rows[["id", "start", "fragment"]].iloc[at : at + 2000].itertuples(index=False) for k in range(len(x) - length + 1)]
+            yield pd.DataFrame(out, columns=_FRAGMENT)
+
+    def collapsed(rows: pd.DataFrame) -> tuple[pd.DataFrame, pd.DataFrame]:
+        rows = rows.sort_values(["fragment", "id"], kind="stable").reset_index(drop=True)
+        one = ~rows.duplicated("fragment").to_numpy()
+        least = rows["id"].to_numpy()[one][np.cumsum(one) - 1]
+        later = rows["id"].to_numpy() > least
+        return rows[~later], rows[later]
 
     def told(rows: pd.DataFrame) -> pd.DataFrame:
         """The ranges that the occurrences of a shard lose."""
-        rows = rows.sort_values(["fragment", "id"], kind="stable")
+        rows, later = collapsed(rows)  # an earlier document has all of it
         one = ~rows.duplicated("fragment").to_numpy()
-        which = np.cumsum(one) - 1
         distinct = rows[one]
         ids, starts = rows["id"].to_numpy(), rows["start"].to_numpy()
-        least = distinct["id"].to_numpy()
-        whole = ids > least[which]  # an earlier document has all of it
-        ends = starts + rows["fragment"].map(len).to_numpy()
-        out = [np.stack([ids[whole], starts[whole], ends[whole]], 1)]
-        own = np.flatnonzero(~whole)
-        of = [own[i:j] for i, j in zip(*runs(which[own]), strict=True)]
-        for k, a, b in shard_repeats(distinct["fragment"].to_list(), distinct["key"].to_numpy(), least, length):
-            out += [[(ids[r], starts[r] + a, starts[r] + b)] for r in of[k]]
-        return pd.DataFrame(np.concatenate(out), columns=["id", "start", "end"])
+        out = [np.stack([later["id"], later["start"], later["start"] + later["fragment"].map(len)], 1).astype(np.int64)]
+        of = np.append(np.flatnonzero(one), len(rows))
+        for k, a, b in shard_repeats(distinct["fragment"].to_list(), distinct["key"].to_numpy(), distinct["id"].to_numpy(), length):
+            out += [[(ids[r], starts[r] + a, starts[r] + b)] for r in range(of[k], of[k + 1])]
+        return gone(*np.concatenate(out).T)
 
     def united(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -205,8 +234,12 @@ def repeated_ranges(docs: DataFrame, text_col: str = "text", id_col: str = "doc_
     firsts = texts.join(copies.select("id", F.lit(1).alias("copy")), "id", "left").where("copy is null").select("id", "text")
     wanted = shared_keys(firsts, keys_of, buckets)
     cut = texts.join(wanted, "id").mapInPandas(fragments, "key long, id long, start int, end int, fragment binary")
-    found = cut.repartition("key").sortWithinPartitions("key").mapInPandas(shards, "id long, start int, end int")
-    found = found.unionByName(copies.where(F.col("n") >= length).select("id", F.lit(0).alias("start"), F.col("n").alias("end")))
+    kinds = "key long, id long, start int, end int, fragment binary"
+    # A key with too many different contexts comes back as single windows, dealt by what they are;
+    # ranges pass the second time as they are. All is one query, which reads the texts' exchange.
+    first = cut.repartition("key").sortWithinPartitions("key").mapInPandas(shards, kinds)
+    second = first.repartition("key").sortWithinPartitions("key").mapInPandas(shards, kinds)
+    found = second.select("id", "start", "end").unionByName(copies.where(F.col("n") >= length).select("id", F.lit(0).alias("start"), F.col("n").alias("end")))
     ranges = found.groupBy("id").agg(F.collect_list("start").alias("starts"), F.collect_list("end").alias("ends"))
     return ranges.mapInPandas(united, "id long, starts array<int>, ends array<int>"), texts
 
@@ -217,11 +250,15 @@ def suffix_dedup(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id"
     Texts are UTF-8 bytes, matches never cross documents, overlaps count and strings are judged
     on the input. ``starts`` and ``ends`` are the maximal removed runs, ``kept`` the other bytes
     end to end (binary). A null or empty text has no bytes; rows with a null id lose nothing and
-    take nothing from others; rows that repeat an id are one document to each other and lose
-    the ranges that any of them loses only if their texts are equal, which is assumed.
+    take nothing from others. Rows that repeat an id are one document: they take nothing from
+    each other, and each loses the byte ranges that any of them loses, cut to its own length
+    (with equal texts, these are its own).
 
     Of a hash or fragment that many documents hold, a batch sends one. ``buckets`` (see
-    ``shared_keys``) bounds what a task holds.
+    ``shared_keys``) bounds what a task holds. A hash with so many different contexts that they
+    fill two shards is dealt out again, window by window. Texts of any length are taken whole,
+    an empty table gives none, and of other columns, whatever their names, nothing is read; ids
+    are whole numbers.
     """
     ranges, texts = repeated_ranges(docs, text_col, id_col, length, buckets)
 
@@ -230,7 +267,7 @@ def suffix_dedup(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id"
             out = []
             for doc, text, starts, ends in zip(batch["id"], batch["text"], batch["starts"], batch["ends"], strict=True):
                 data = (text or "").encode("utf-8", "replace")
-                starts, ends = ([], []) if starts is None else (list(starts), list(ends))
+                starts, ends = ([], []) if starts is None else ([a for a in starts if a < len(data)], [min(b, len(data)) for a, b in zip(starts, ends, strict=True) if a < len(data)])
                 left = b"".join(data[a:b] for a, b in zip([0, *ends], [*starts, len(data)], strict=True))
                 out.append((doc, len(data), len(data) - len(left), starts, ends, left))
             yield pd.DataFrame(out, columns=["id", "n_bytes", "n_removed", "starts", "ends", "kept"]).astype({"id": "Int64"})
