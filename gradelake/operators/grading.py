@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gradelake.functions import grading as G
+from gradelake.functions import text as T
 
 
 def graded_answers(answers: DataFrame, questions: DataFrame) -> DataFrame:
@@ -59,3 +60,17 @@ def applied_grades(submissions: DataFrame, totals: DataFrame) -> DataFrame:
     known = F.col("_total").isNotNull()
     out = {"score": F.when(known, F.col("_score")).otherwise(F.col("score")), "total": F.when(known, F.col("_total")).otherwise(F.col("total")), "status": F.when(known, "evaluated").otherwise(F.col("status"))}
     return met.withColumns(out).drop("_score", "_total")
+
+
+def evaluated(graded: DataFrame, reply_col: str) -> DataFrame:
+    """Graded answers, with a model's judgement in place of the rules' where its reply holds one.
+
+    A reply counts if the JSON object in it has a truth value ``is_correct`` and a number
+    ``score``, which is rounded and held to the question's points; any other leaves the rules'.
+    """
+    reply = F.from_json(T.json_object(F.col(reply_col)), "is_correct string, score string, feedback string, conceptual_gap string")
+    rows = graded.withColumn("_m", reply)
+    score = F.try_to_number("_m.score", F.lit("S9999999999.9999999999")).cast("double")
+    ok = F.col("_m.is_correct").isin("true", "false") & score.isNotNull()
+    new = {"is_correct": F.col("_m.is_correct") == "true", "score": G.clamped(G.rounded(score), F.col("max_score")).cast("int"), "feedback": F.coalesce("_m.feedback", F.lit("")), "conceptual_gap": F.coalesce("_m.conceptual_gap", F.lit(""))}
+    return rows.withColumns({c: F.when(ok, v).otherwise(F.col(c)) for c, v in new.items()}).drop("_m")

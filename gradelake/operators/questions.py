@@ -230,3 +230,9 @@ def chunk_prompt(selected: DataFrame, focus: bool = False) -> DataFrame:
     else:
         line = F.concat(F.lit("[Chunk "), number, F.lit(" | Doc: "), title, F.lit(" | p"), page, F.lit("]: "), F.col("text"))
     return selected.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", line.alias("line")))), lambda x: x["line"]), "\n\n").alias("prompt"))
+
+
+def with_fallback(made: DataFrame, local: DataFrame, keys: list[str]) -> DataFrame:
+    """What a model made, and for keys of which it made nothing, what the rules make; columns of ``local``."""
+    missing = local.join(made.select(*keys).distinct(), keys, "left_anti")
+    return made.select(*local.columns).unionByName(missing)

@@ -110,3 +110,9 @@ def submission_list(submissions: DataFrame, students: DataFrame, documents: Data
 def filtered_by(rows: DataFrame, column: str, wanted: str) -> DataFrame:
     """The rows of one set or concept, compared as text; all of them for "All"."""
     return rows if wanted == "All" else rows.where(F.col(column).cast("string") == wanted)
+
+
+def set_list(sets: DataFrame, documents: DataFrame) -> DataFrame:
+    """Every set with the title of its document, where it is known."""
+    d = documents.select(F.col("id").alias("document_id"), F.col("title").alias("document_title"))
+    return sets.join(d, "document_id", "left")

@@ -9,8 +9,12 @@ from pyspark.sql.window import Window
 from gradelake.functions import text as T
 
 
-def _tokens(rows: DataFrame, keys: list[str], text_col: str) -> DataFrame:
-    return rows.select(*keys, F.explode(T.words(F.col(text_col))).alias("word")).groupBy(*keys, "word").agg(F.count(F.lit(1)).cast("int").alias("n"))
+def _numbered(rows: DataFrame, text_col: str, size_col: str, keys: list[str]) -> DataFrame:
+    """(keys, size_col, word): each word with the number of its occurrence, so that two texts share as many as their multisets of words do."""
+    # In columns of their own, as a function over an array would work out the array anew for each element.
+    ordered = rows.select(*keys, F.array_sort(T.words(F.col(text_col))).alias("_w"))
+    numbered = F.transform("_w", lambda w, i: F.concat_ws(" ", w, (i - F.array_position(F.col("_w"), w)).cast("string")))
+    return ordered.select(*keys, F.size("_w").alias(size_col), F.explode(numbered).alias("word"))
 
 
 def scored_chunks(queries: DataFrame, chunks: DataFrame, top_k: int, query_col: str = "query_id", doc_col: str = "doc_id") -> DataFrame:
@@ -21,18 +25,18 @@ def scored_chunks(queries: DataFrame, chunks: DataFrame, top_k: int, query_col:
     still scores by its grounding, so the ``top_k`` chunks by grounding alone stand with every
     query at an overlap of 0; no other such chunk can be among the best. Those few are read
     first and go into the plan. Words meet in one equi-join; of what each task finds, only its
-    best by query is shuffled. ``chunks`` are read twice: hand in a stored table.
+    best by query is shuffled for the order. ``chunks`` are read twice: hand in a stored table.
     """
     chunk_key = [doc_col, "chunk_id"]
-    sized = chunks.select(*chunk_key, "grounding_score", F.size(T.words(F.col("text"))).alias("n_chunk"), "text")
-    asked = queries.select(query_col, "query", F.size(T.words(F.col("query"))).alias("n_query"))
-    q = _tokens(asked, [query_col, "n_query"], "query").withColumnRenamed("n", "nq")
-    c = _tokens(sized, [*chunk_key, "grounding_score", "n_chunk"], "text")
     found = [query_col, "n_query", *chunk_key, "n_chunk", "grounding_score"]
-    common = c.join(q, "word").groupBy(*found).agg(F.sum(F.least("n", "nq")).cast("int").alias("overlap"))
-    best = sized.drop("text").orderBy(F.desc("grounding_score"), *chunk_key).limit(top_k).collect()
-    kind = sized.drop("text").schema.simpleString()
-    alone = asked.drop("query").withColumn("_b", F.explode(F.array(*[F.struct(*[F.lit(v).alias(n) for n, v in r.asDict().items()]) for r in best]).cast(f"array<{kind}>")))
+    # A chunk's words stay in its task, where most of the counting is done.
+    c = _numbered(chunks, "text", "n_chunk", [*chunk_key, "grounding_score"])
+    common = c.join(_numbered(queries, "query", "n_query", [query_col]), "word").groupBy(*found).agg(F.count(F.lit(1)).cast("int").alias("overlap"))
+    asked = queries.select(query_col, F.size(T.words(F.col("query"))).alias("n_query"))
+    best = chunks.select(*chunk_key, "grounding_score", "text").orderBy(F.desc("grounding_score"), *chunk_key).limit(top_k)
+    best = best.select(*chunk_key, "grounding_score", F.size(T.words(F.col("text"))).alias("n_chunk")).collect()
+    kind = c.drop("word").select(*chunk_key, "grounding_score", "n_chunk").schema.simpleString()
+    alone = asked.withColumn("_b", F.explode(F.array(*[F.struct(*[F.lit(v).alias(n) for n, v in r.asDict().items()]) for r in best]).cast(f"array<{kind}>")))
     alone = alone.select(query_col, "n_query", "_b.*").withColumn("overlap", F.lit(0)).select(*found, "overlap")
     norm = (F.col("n_query") + F.col("n_chunk")) / F.lit(2.0)
     lexical = F.when(norm > 0, F.col("overlap") / norm).otherwise(0.0)

@@ -62,3 +62,13 @@ def auto_submitted(attempts: DataFrame, started: str, limit_minutes: str, submit
     """``closed_at``: the submission, or the end of the time limit if that comes first; once per attempt."""
     end = F.col(started) + F.make_dt_interval(mins=F.col(limit_minutes))
     return attempts.withColumn("closed_at", F.coalesce(F.least(F.col(submitted), end), F.col(submitted), end))
+
+
+def halved_on_overflow(events: DataFrame, user: str, time_ms: str, order: str, most: int) -> DataFrame:
+    """A session's events after its store overflowed: the oldest half goes, again and again, until ``most`` fit."""
+    by_user = Window.partitionBy(user)
+    n = F.count(F.lit(1)).over(by_user)
+    times = F.greatest(F.lit(0), F.ceil(F.log2(n / F.lit(float(most))))).cast("int")
+    kept = F.ceil(n / F.pow(F.lit(2.0), times))
+    newest = F.row_number().over(by_user.orderBy(F.desc(time_ms), F.desc(order)))
+    return events.withColumns({"_k": kept, "_r": newest}).where("_r <= _k").drop("_k", "_r")

@@ -239,6 +239,16 @@ def q_answers_write_back(spark, d):
     return done.select("conv_id", "turn", "is_correct", "score", "max_score", "feedback", "conceptual_gap")
 
 
+@query(sql("", "free_answers").rstrip() + ",\n" + _GRADED + f"""\nSELECT conv_id, turn, CASE turn % 3 WHEN 0 THEN TRUE ELSE is_correct END AS is_correct, CAST(CASE turn % 3 WHEN 0 THEN least(10, conv_id % 14) ELSE score END AS INTEGER) AS score,
+    CASE turn % 3 WHEN 0 THEN 'By the model.' ELSE feedback END AS feedback, CASE turn % 3 WHEN 0 THEN '' ELSE conceptual_gap END AS conceptual_gap FROM ({_SAID})""")
+def q_model_evaluation(spark, d):
+    """Replies of a model on a third of the answers, without a score or broken on the others."""
+    graded = grading.graded_answers(*_asked_freely(spark, d))
+    said = F.concat(F.lit('Sure: {"is_correct": true, "score": '), (F.col("conv_id") % 14).cast("string"), F.lit('.2, "feedback": "By the model."} done'))
+    reply = F.when(F.col("turn") % 3 == 0, said).when(F.col("turn") % 3 == 1, F.lit('{"is_correct": true, "feedback": "no score"}')).otherwise(F.lit("{broken"))
+    return grading.evaluated(graded.withColumn("reply", reply), "reply").select("conv_id", "turn", "is_correct", "score", "feedback", "conceptual_gap")
+
+
 @query(
     """WITH a AS (SELECT p_partkey AS id, p_type AS correct, [p_type, p_brand, p_name] AS opts, CASE p_partkey % 5 WHEN 0 THEN ' ' || upper(p_type) || ' ' WHEN 1 THEN p_brand WHEN 2 THEN left(p_type, 5) WHEN 3 THEN 'zz' ELSE '' END AS given, p_name AS chunk FROM part),
     b AS (SELECT *, lower(trim(given)) AS sa, lower(correct) AS qa, len(list_filter(opts, lambda o: trim(lower(o)) = lower(trim(given)))) > 0 AS listed FROM a)
@@ -466,10 +476,10 @@ def _template_sql() -> str:
         return " || ".join(f"left(txt, {p})" if i % 2 else "'" + p.replace("'", "''") + "'" for i, p in enumerate(parts) if i % 2 or p)
 
     def pick(make) -> str:
-        cases = " ".join(f"WHEN t = '{t}' AND k = {k} THEN {make(x)}" for t in Q.TYPES for k, x in enumerate(Q.TEMPLATES[t][:2]))
+        cases = " ".join(f"WHEN t = '{t}' AND k = {k} THEN {make(x)}" for t in Q.TYPES for k, x in enumerate(Q.TEMPLATES[t]))
         return f"CASE {cases} END"
 
-    slots = ", ".join(f"({i}, '{t}', {k})" for i, (t, k) in enumerate((t, k) for t in Q.TYPES for k in range(2)))
+    slots = ", ".join(f"({i}, '{t}', {k})" for i, (t, k) in enumerate((t, k) for t in Q.TYPES for k in range(6)))
     clean = "regexp_replace(text, '^\\s+|\\s+$', '', 'g')"  # the prose holds no blocks to be cleaned away
     return f"""cl AS (SELECT place, {clean} AS text FROM sel),
     con AS (SELECT list_slice(list_filter(l, lambda c, i: list_position(l, c) = i), 1, 20) AS cs FROM (SELECT flatten(list(list_slice(regexp_extract_all(text, '{_PHRASE}'), 1, 3) ORDER BY place)) AS l FROM cl)),
@@ -480,7 +490,7 @@ def _template_sql() -> str:
 
 @query(_selection("").rstrip() + ",\n" + _template_sql())
 def q_generate_local(spark, d):
-    made = Q.template_questions(_selected(spark, d))
+    made = Q.template_questions(_selected(spark, d), {t: 6 for t in Q.TYPES})
     return made.select("question_no", "question_type", "question_text", "correct_answer", "concept_tag", "difficulty", "points", "grounding_chunk")
 
 
@@ -626,6 +636,20 @@ def q_submission_list(spark, d):
     return reports.filtered_by(reports.filtered_by(out, "set_id", "4"), "status", "All").select("id", "status", "student_name", "student_email", "document_title")
 
 
+@query(sql("SELECT s.id, d.title AS document_title FROM (SELECT id, id * 9 AS document_id FROM question_sets) s LEFT JOIN docs d ON d.doc_id = s.document_id", "question_sets", "docs"))
+def q_set_list(spark, d):
+    sets = D.question_sets(spark, d).withColumn("document_id", F.col("id") * 9)
+    return reports.set_list(sets, D.documents(spark, d).select(F.col("doc_id").alias("id"), "title")).select("id", "document_title")
+
+
+@query(sql("SELECT set_id, question_text, CASE WHEN set_id % 2 = 0 THEN 'model' ELSE 'rules' END AS made_by FROM questions", "questions"))
+def q_model_or_rules(spark, d):
+    """A model made the questions of every second set; the rules fill in the others."""
+    local = D.questions(spark, d).select("set_id", "question_text", F.lit("rules").alias("made_by"))
+    made = local.where("set_id % 2 = 0").withColumn("made_by", F.lit("model"))
+    return Q.with_fallback(made, local, ["set_id"])
+
+
 @query(sql("SELECT * FROM (SELECT id, due_date, CAST(row_number() OVER (ORDER BY due_date DESC NULLS FIRST, id) AS INTEGER) AS place FROM question_sets) WHERE place <= 10", "question_sets"))
 def q_newest_first(spark, d):
     rows = reports.listed(D.question_sets(spark, d), "due_date", descending=True, limit=10, ties=["id"])
@@ -750,6 +774,11 @@ def q_scroll_depth(spark, d):
     return e.select("event_id", T.scroll_depth(F.col("event_id") * 7 % 3000, F.lit(800), F.col("event_id") * 13 % 5000).alias("depth"))
 
 
+@query(sql("SELECT user_id, event_id FROM (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY t DESC, event_id DESC) AS r, count(*) OVER (PARTITION BY user_id) AS n FROM interactions) WHERE r <= CASE WHEN n <= 40 THEN n WHEN n <= 80 THEN ceil(n / 2.0) WHEN n <= 160 THEN ceil(n / 4.0) WHEN n <= 320 THEN ceil(n / 8.0) WHEN n <= 640 THEN ceil(n / 16.0) WHEN n <= 1280 THEN ceil(n / 32.0) WHEN n <= 2560 THEN ceil(n / 64.0) ELSE ceil(n / 128.0) END", "interactions"))
+def q_recorder_overflow(spark, d):
+    return sessions.halved_on_overflow(D.interactions(spark, d), "user_id", "t", "event_id", 40).select("user_id", "event_id")
+
+
 # Sessions of the event stream, on its batch form
 
 
