@@ -49,7 +49,7 @@ def scored_submissions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents")
+    d = table(spark, sf_dir, "documents", spread=True)
     return d.select("doc_id", F.concat(F.lit("doc-"), F.col("doc_id").cast("string")).alias("title"), F.col("text").alias("content"), F.col("source").alias("category"), "lang")
 
 

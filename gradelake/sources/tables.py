@@ -29,13 +29,15 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A Parquet table; one that is too small to give every core a split is dealt out by rows.
+def table(spark: SparkSession, sf_dir: str, name: str, spread: bool = False) -> DataFrame:
+    """A Parquet table; with ``spread``, one that is too small to give every core a split is dealt out by rows.
 
-    A small file may be one row group, which a single task would read and work on alone. A
-    table that fills the cores is read as it lies, without a shuffle.
+    A small file may be one row group, which a single task would read and work on alone: texts
+    are worth a shuffle then. A table that fills the cores is read as it lies.
     """
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    if not spread:
+        return df
     cores = spark.sparkContext.defaultParallelism
     size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     split = int(spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes())

@@ -82,7 +82,7 @@ def test_small_form_functions(spark):
 
 def test_small_tables_are_dealt_to_all_cores(spark, tmp_path):
     spark.range(100).coalesce(1).write.parquet(f"{tmp_path}/t.parquet")
-    df = tables.table(spark, str(tmp_path), "t")
+    df = tables.table(spark, str(tmp_path), "t", spread=True)
     assert df.rdd.getNumPartitions() == spark.sparkContext.defaultParallelism and df.count() == 100
     kept = tables.written(df, "t")
     assert kept.count() == 100 and kept.inputFiles()[0].startswith(tables.shared_folder(spark).replace("file:/", "file:///").replace("////", "///")[:8])
