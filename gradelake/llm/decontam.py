@@ -2,40 +2,26 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pandas as pd
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gradelake.llm.bpe import Remembered, load
 from gradelake.llm.common import union_all, written
+from gradelake.llm.words import words
 
-_WORD = re.compile(r"\w+")
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _SIEVE = 20  # bits of the table that is asked before the seeds
 
 
-def _token(word: str) -> int:
-    """A number for a white-space-separated word: its letters and digits in lower case; 0 without any."""
-    core = "".join(_WORD.findall(word.lower()))
-    return xxhash.xxh64_intdigest(core) | 1 if core else 0
-
-
-class Tokens:
-    """Token numbers of texts; words seen before are remembered in a bounded table."""
-
-    def __init__(self, _: bytes = b""):
-        self.of = Remembered(_token, 60_000)
-
-    def __call__(self, text: str | None) -> np.ndarray:
-        words = (text or "").split()
-        out = np.fromiter(map(self.of.__getitem__, words), np.uint64, len(words))
-        return out[out != 0]
+def tokens_of(texts: list[str]) -> list[np.ndarray]:
+    """The token numbers of each text: its white-space-separated words by letters and digits in lower case, those without any left out."""
+    found = words(texts)
+    number, row = found.number[~found.empty], found.row[~found.empty]
+    return np.split(number, np.searchsorted(row, np.arange(1, len(texts)))) if len(texts) else []
 
 
 def rolling(tokens: np.ndarray, width: int) -> np.ndarray:
@@ -155,15 +141,14 @@ def contamination(docs: DataFrame, benchmark: DataFrame, text_col: str = "text",
 
     def judged(part: int) -> DataFrame:
         some = items.where(F.pmod(F.xxhash64("item", "text"), F.lit(parts)) == part)
-        tokens = Tokens()
-        shared = spark.sparkContext.broadcast(Seeds([(r["item"], t) for r in some.toLocalIterator() if len(t := tokens(r["text"])) >= width], width))
+        shared = spark.sparkContext.broadcast(Seeds([(r["item"], t) for r in some.toLocalIterator() if len(t := tokens_of([r["text"]])[0]) >= width], width))
 
         def met(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            seeds, tokens = shared.value, load(b"", Tokens)
+            seeds = shared.value
             for batch in batches:
                 out = []
-                for doc, text in zip(batch["id"], batch["text"], strict=True):
-                    for item, p, q in seeds.met(tokens(text)):
+                for doc, tokens in zip(batch["id"], tokens_of(batch["text"].to_list()), strict=True):
+                    for item, p, q in seeds.met(tokens):
                         n = len(seeds.tokens[item])
                         # No tiling covers more than the tokens that seeds reach: too few are left out before it.
                         reach = len(np.unique(q)) * width
