@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -96,6 +98,24 @@ def split_hot(rows: DataFrame, key: list[str], unit: Column, block_rows: int) ->
     return dealt.withColumn("blk_i", F.least("blk", "_j")).withColumn("blk_j", F.greatest("blk", "_j")).drop("_b", "_j")
 
 
+def whole_tasks(batches: Iterator[pd.DataFrame], rows: int) -> Iterator[pd.DataFrame]:
+    """Batches sorted by ``task`` put together so that no task is cut, of about ``rows`` rows or one task each."""
+    held: list[pd.DataFrame] = []
+    size = 0
+    for batch in batches:
+        held.append(batch)
+        size += len(batch)
+        if size >= rows:
+            some = pd.concat(held, ignore_index=True)
+            whole = (some["task"] != some["task"].iat[-1]).to_numpy()
+            if whole.any():
+                yield some[whole]
+                some = some[~whole]
+            held, size = [some], len(some)
+    if size:
+        yield pd.concat(held, ignore_index=True)
+
+
 def kept_rows(docs: DataFrame, kept: DataFrame, text_col: str, id_col: str) -> DataFrame:
     """The rows whose (id, hash of text) is in ``kept``, those that repeat both once, and the rows without an id.
 
@@ -114,4 +134,4 @@ def union_all(frames: list[DataFrame]) -> DataFrame:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     small_batches(spark)
-    return stored_table(spark, sf_dir, name)
+    return stored_table(spark, sf_dir, name, spread=True)

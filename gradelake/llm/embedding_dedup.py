@@ -9,7 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gradelake.llm.common import checkpoint, components, split_hot
+from gradelake.llm.common import checkpoint, components, forest, split_hot, whole_tasks, written
+from gradelake.llm.shared_keys import runs
 
 _MOST_WORDS = 4096  # code words a block: 16.8 million filters
 _PAIRS = 500_000  # pairs compared in one step
@@ -101,8 +102,11 @@ def _usable(vector: Column, label: Column) -> Column:
     return label.isNotNull() & vector.isNotNull() & F.coalesce(finite, F.lit(False)) & F.exists(vector, lambda v: v != 0)
 
 
-def _dot(a: str, b: str) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
+def _units(vectors: pd.Series) -> np.ndarray:
+    """Rows of length 1; scaled first, so that no square overflows or vanishes."""
+    x = np.stack(vectors.to_list()).astype(float)
+    x /= np.abs(x).max(axis=1, keepdims=True)
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
 def calibrated(dim: int, cosine: float, words: int, filters: float, seed: int, recall: float) -> CapFilters | None:
@@ -118,11 +122,12 @@ def calibrated(dim: int, cosine: float, words: int, filters: float, seed: int, r
     return None
 
 
-def close_pairs(rows: pd.DataFrame, bits: int) -> pd.DataFrame:
-    """Pairs (a < b) within whole tasks, sorted by task, whose sketches differ in at most ``bits`` bits.
+def close_links(rows: pd.DataFrame, bits: int) -> pd.DataFrame:
+    """Links (a, b) that connect all rows of a task, sorted by task, whose sketches differ in at most ``bits`` bits.
 
     A task of one block is compared with itself, one of two blocks across them. Pairs of all
-    tasks are numbered through and compared some at a time.
+    tasks are numbered through and compared some at a time; of the close ones a spanning
+    forest is kept, so there are fewer links than rows.
     """
     rows = rows.sort_values("task", kind="stable")
     ids, s = rows["rep"].to_numpy(), rows["sketch"].to_numpy().view(np.uint64)  # bits of a signed number count its size
@@ -131,23 +136,22 @@ def close_pairs(rows: pd.DataFrame, bits: int) -> pd.DataFrame:
     task = rows["task"].to_numpy()
     end = np.append(np.flatnonzero(task[1:] != task[:-1]) + 1, len(task))
     after = np.repeat(end, np.diff(end, prepend=0)) - np.arange(len(task)) - 1  # rows of the task after each
-    out, at = [], 0
-    total = np.cumsum(after)
+    total, at, parent = np.cumsum(after), 0, np.arange(len(task))
     while at < len(task):
         stop = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + _PAIRS, "right")))
         n = after[at:stop]
         i = np.repeat(np.arange(at, stop), n)
         j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(n) - n, n)
         near = (np.bitwise_count(s[i] ^ s[j]) <= bits) & (~across[i] | (other[i] != other[j]))
-        a, b = ids[i[near]], ids[j[near]]
-        out.append(np.stack([np.minimum(a, b), np.maximum(a, b)], 1))
+        parent = forest(i[near], j[near], len(task), parent)
         at = stop
-    found = pd.DataFrame(np.concatenate(out), columns=["a", "b"]).drop_duplicates()
-    return found[found["a"] < found["b"]]
+    linked = np.flatnonzero(parent != np.arange(len(task)))
+    a, b = ids[linked], ids[parent[linked]]
+    return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)}).drop_duplicates()
 
 
-def embedding_links(reps: DataFrame, cosine: float, filters: float = 48, words: int | None = None, recall: float = 0.998, seed: int = 11, block_rows: int = 2048) -> DataFrame:
-    """Distinct links (a, b, a < b) between the rows of ``reps`` (rep, label, vector of doubles) of at least ``cosine``.
+def candidate_links(reps: DataFrame, cosine: float, filters: float = 48, words: int | None = None, recall: float = 0.998, seed: int = 11, block_rows: int = 2048) -> DataFrame:
+    """Links (a, b) that connect the rows of ``reps`` (rep, label, vector of doubles) that share a filter and are close by sketch.
 
     The number of filters follows the number of rows (``code_words``), so that a filter holds
     about as many at every size. Where no affordable number of filters a vector reaches
@@ -164,9 +168,7 @@ def embedding_links(reps: DataFrame, cosine: float, filters: float = 48, words:
                     found = calibrated(dim, cosine, words, filters, seed, recall)
                     made[dim] = found, found or CapFilters(dim, 1, 1, 1, seed)
                 caps, sketches = made[dim]
-                x = np.stack(part["vector"].to_list()).astype(float)
-                x /= np.abs(x).max(axis=1, keepdims=True)
-                x /= np.linalg.norm(x, axis=1, keepdims=True)
+                x = _units(part["vector"])
                 for at in range(0, len(x), 1000):
                     some = x[at : at + 1000]
                     rows, passed = caps.passed(some) if caps else (np.arange(len(some)), np.full(len(some), -1))
@@ -174,24 +176,47 @@ def embedding_links(reps: DataFrame, cosine: float, filters: float = 48, words:
                     yield pd.DataFrame({"rep": part["rep"].to_numpy()[rows], "kind": part["kind"].to_numpy()[rows], "filter": passed, "sketch": sketch})
 
     def joined(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held = None
-        for batch in batches:
-            held = batch if held is None else pd.concat([held, batch], ignore_index=True)
-            whole = held["task"] != held["task"].iat[-1]
-            if len(held) >= 8 * block_rows and whole.any():
-                yield close_pairs(held[whole], bits)
-                held = held[~whole]
-        if held is not None and len(held):
-            yield close_pairs(held, bits)
+        for rows in whole_tasks(batches, 8 * block_rows):
+            yield close_links(rows, bits)
 
     kind = F.xxhash64("label", F.size("vector"))
     passed = reps.select("rep", "vector", kind.alias("kind")).repartition("rep").mapInPandas(dealt, "rep long, kind long, filter long, sketch long")
     rows = passed.select(F.xxhash64("kind", "filter").alias("key"), "rep", "sketch")
     tasks = split_hot(rows, ["key"], F.col("rep"), block_rows).withColumn("task", F.xxhash64("key", "blk_i", "blk_j"))
-    pairs = tasks.select("task", "rep", "sketch", "blk", "blk_i", "blk_j").repartition("task").sortWithinPartitions("task").mapInPandas(joined, "a long, b long").distinct()
-    side = lambda n: reps.select(F.col("rep").alias(n), F.col("label").alias(f"l{n}"), F.col("vector").alias(f"v{n}"), F.sqrt(_dot("vector", "vector")).alias(f"n{n}"))
-    both = pairs.join(side("a"), "a").join(side("b"), "b").where((F.col("la") == F.col("lb")) & (F.size("va") == F.size("vb")))
-    return both.where(_dot("va", "vb") / F.col("na") / F.col("nb") >= cosine).select("a", "b")
+    return tasks.select("task", "rep", "sketch", "blk", "blk_i", "blk_j").repartition("task").sortWithinPartitions("task").mapInPandas(joined, "a long, b long").distinct()
+
+
+def verified_links(reps: DataFrame, groups: DataFrame, cosine: float, block_rows: int = 512) -> DataFrame:
+    """(rep, others, parent): how many vectors of its group a row is linked with, and a spanning forest of the links.
+
+    ``reps`` is (rep, label, vector, n), n rows being equal to each; ``groups`` is (node,
+    component). All pairs of a group are compared in double precision, by products of blocks
+    of vectors; a large group is many bounded tasks, and no pair leaves its task. A row comes
+    once from each task it is in.
+    """
+
+    def compared(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in whole_tasks(batches, 4 * block_rows):
+            start, end = runs(rows["task"].to_numpy())
+            rep, n, x, other = rows["rep"].to_numpy(), rows["n"].to_numpy(), rows["vector"], (rows["blk"] != rows["blk_i"]).to_numpy()
+            others, parent = np.zeros(len(rows), np.int64), rep.copy()
+            for a, b in zip(start, end, strict=True):
+                unit, own = _units(x.iloc[a:b]), np.flatnonzero(~other[a:b])
+                across = rows["blk_i"].iat[a] != rows["blk_j"].iat[a]
+                second = np.flatnonzero(other[a:b]) if across else own
+                near = unit[own] @ unit[second].T >= cosine
+                if not across:
+                    np.fill_diagonal(near, False)
+                others[a + own] += near @ n[a + second]
+                if across:
+                    others[a + second] += near.T @ n[a + own]
+                i, j = np.nonzero(near)
+                parent[a:b] = rep[a + forest(own[i], second[j], b - a)]
+            yield pd.DataFrame({"rep": rep, "others": others, "parent": parent})
+
+    rows = reps.join(groups, reps["rep"] == groups["node"]).withColumn("dim", F.size("vector"))
+    tasks = split_hot(rows, ["component", "label", "dim"], F.col("rep"), block_rows).withColumn("task", F.xxhash64("component", "label", "dim", "blk_i", "blk_j"))
+    return tasks.select("task", "rep", "n", "vector", "blk", "blk_i", "blk_j").repartition("task").sortWithinPartitions("task").mapInPandas(compared, "rep long, others long, parent long")
 
 
 def embedding_classes(vectors: DataFrame, vector_col: str = "embedding", id_col: str = "vec_id", label_col: str = "label", cosine: float = 0.98, **options) -> DataFrame:
@@ -219,11 +244,10 @@ def embedding_classes(vectors: DataFrame, vector_col: str = "embedding", id_col:
     rows = vectors.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.when(_usable(vector, F.col(label_col)), vector).alias("vector"), F.col(label_col).alias("label"))
     usable = rows.where("vector is not null")
     reps = checkpoint(usable.groupBy("label", "vector").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("n")))
-    links = checkpoint(embedding_links(reps.select("rep", "label", "vector"), cosine, **options))
-    both = links.unionAll(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    counts = reps.select(F.col("rep").alias("b"), "n").groupBy("b").agg(F.sum("n").alias("n"))
-    linked = both.join(counts, "b").groupBy("a").agg(F.sum("n").alias("others"))
-    groups = components(links, "a", "b")
+    proposed = components(candidate_links(reps.select("rep", "label", "vector"), cosine, **options), "a", "b")
+    links = written(verified_links(reps, proposed, cosine), "links")
+    linked = links.groupBy(F.col("rep").alias("a")).agg(F.sum("others").alias("others"))
+    groups = components(links.where("rep <> parent"), "rep", "parent")
     known = reps.join(linked, F.col("rep") == F.col("a"), "left").join(groups, F.col("rep") == F.col("node"), "left")
     known = known.select(F.col("label").alias("l"), F.col("vector").alias("v"), (F.coalesce("others", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
     out = usable.join(known, (F.col("label") == F.col("l")) & (F.col("vector") == F.col("v"))).select("id", "n_links", "component_id")

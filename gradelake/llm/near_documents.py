@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gradelake.llm.bpe import Remembered, load
-from gradelake.llm.common import split_hot, written
+from gradelake.llm.common import split_hot, whole_tasks, written
 from gradelake.llm.decontam import rolling
 from gradelake.llm.paragraph_dedup import near_pairs
 from gradelake.llm.shared_keys import five
@@ -47,15 +47,8 @@ def similar_documents(source: DataFrame, proposed: DataFrame, words: int, simila
             yield pd.DataFrame({"pid": batch["pid"], "key": batch["key"], "shingles": found})
 
     def verified(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held = None
-        for batch in batches:
-            held = batch if held is None else pd.concat([held, batch], ignore_index=True)
-            whole = held["task"] != held["task"].iat[-1]
-            if len(held) >= 2 * block_rows and whole.any():
-                yield near_pairs(held[whole], similarity)
-                held = held[~whole]
-        if held is not None and len(held):
-            yield near_pairs(held, similarity)
+        for rows in whole_tasks(batches, 2 * block_rows):
+            yield near_pairs(rows, similarity)
 
     several = proposed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
     asked = proposed.join(several, "key").select("pid", "key", F.col("least.id").alias("id"), F.col("least.th").alias("th"))

@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gradelake.llm.common import checkpoint, components, forest, kept_rows, split_hot
+from gradelake.llm.common import checkpoint, components, forest, kept_rows, split_hot, whole_tasks
 from gradelake.llm.near_documents import similar_documents
 
 SEED = 42
@@ -171,17 +171,8 @@ def hamming_links(fingerprints: DataFrame, col: str, max_bits: int, block_rows:
                 yield pd.DataFrame({"key": key, "v": v.view(np.int64)})
 
     def joined(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held = None
-        for batch in batches:
-            held = batch if held is None else pd.concat([held, batch], ignore_index=True)
-            if len(held) >= _CHUNK:
-                last = held["task"].iat[-1]
-                whole = held["task"] != last
-                if whole.any():
-                    yield _joined(layout, max_bits, held[whole])
-                    held = held[~whole]
-        if held is not None and len(held):
-            yield _joined(layout, max_bits, held)
+        for rows in whole_tasks(batches, _CHUNK):
+            yield _joined(layout, max_bits, rows)
 
     rows = fingerprints.select(F.col(col).alias("f")).where("f is not null").distinct().mapInPandas(dealt, "key long, v long")
     tasks = split_hot(rows, ["key"], F.col("v"), block_rows).withColumn("task", F.xxhash64("key", "blk_i", "blk_j"))
