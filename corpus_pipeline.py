@@ -6,14 +6,12 @@ read again as the docs of the next. All but the last return the columns they wer
 
 from __future__ import annotations
 
-import uuid
-
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gradelake.llm import bpe_codec, decontam, lang_id, secrets, simhash
-from gradelake.llm.common import shared_folder, small_batches, table
+from gradelake.llm.common import small_batches, table, written
 from gradelake.llm.queries import VOCABULARY
 
 MASK = "[SECRET]"
@@ -79,8 +77,6 @@ ORACLE_SQL = None  # SQL has no byte-pair merges; tests hold the stages against
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages in order over ``documents``, each written to the shared folder and read again."""
     docs = table(spark, sf_dir, "documents")
-    folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
     for name, stage in STAGES:
-        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
-        docs = spark.read.parquet(f"{folder}/{name}")
+        docs = written(stage(spark, docs, sf_dir), f"pipeline-{name}")
     return docs

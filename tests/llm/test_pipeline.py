@@ -3,6 +3,7 @@
 import random
 
 import public_tokenizers
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
@@ -87,3 +88,21 @@ def test_stages_keep_their_columns_and_stand_empty_tables(spark, tmp_path):
     for name, stage in corpus_pipeline.STAGES:
         out = stage(spark, docs, str(tmp_path))
         assert out.count() == 0 and (name == "bpe_codec" or out.columns == docs.columns)
+
+
+def test_stages_stand_awkward_rows_and_clashing_names(spark, tmp_path):
+    """Null and repeated ids, nulls in any column, long texts, and columns named like what operators make."""
+    write(spark, str(tmp_path), [])
+    long = prose(9, 20000)
+    texts = [(1, prose(1, 80)), (1, prose(1, 80)), (1, prose(2, 80)), (None, prose(3, 80)), (None, None), (4, None), (5, long), (6, "token = hunter2hunter2"), (7, ""), (8, " \n ")]
+    extra = ["id", "th", "pid", "key", "row", "repo", "owner", "_live", "ids", "component", "fingerprint", "lang_pred", "score", "base_spans", "candidates", "h"]
+    docs = spark.createDataFrame([(i, t, None, None, None, *["x"] * len(extra)) for i, t in texts], SCHEMA + "".join(f", {c} string" for c in extra))
+    named = docs.withColumn("lang", F.lit("en"))
+    assert corpus_pipeline.languages(spark, named, str(tmp_path)).count() == 6
+    near = corpus_pipeline.near_copies(spark, docs, str(tmp_path)).collect()
+    assert sorted((r.doc_id, r.text) for r in near if r.doc_id is not None) == sorted([(1, texts[0][1]), (1, texts[2][1]), (4, None), (5, long), (6, texts[7][1])])
+    assert corpus_pipeline.benchmark_leaks(spark, docs, str(tmp_path)).count() == len(texts)
+    masked = corpus_pipeline.secret_masks(spark, docs, str(tmp_path))
+    assert masked.columns == docs.columns and sorted((r.text or "" for r in masked.collect())) == sorted((t or "").replace("token = hunter2hunter2", corpus_pipeline.MASK) for _, t in texts)
+    assert all(r.id == "x" and r.candidates == "x" and r.row == "x" for r in masked.collect())
+    assert sorted(r.n_tokens for r in corpus_pipeline.tokens(spark, docs, str(tmp_path)).collect()) == sorted(len(LIBRARY.encode(t or "", add_special_tokens=False).ids) for _, t in texts)
