@@ -12,7 +12,7 @@ from gradelake.functions import text as T
 def _numbered(rows: DataFrame, text_col: str, size_col: str, keys: list[str]) -> DataFrame:
     """(keys, size_col, word): each word with the number of its occurrence, so that two texts share as many as their multisets of words do."""
     # In columns of their own, as a function over an array would work out the array anew for each element.
-    ordered = rows.select(*keys, F.array_sort(T.words(F.col(text_col))).alias("_w"))
+    ordered = rows.select(*keys, F.sort_array(T.words(F.col(text_col))).alias("_w"))
     numbered = F.transform("_w", lambda w, i: F.concat_ws(" ", w, (i - F.array_position(F.col("_w"), w)).cast("string")))
     return ordered.select(*keys, F.size("_w").alias(size_col), F.explode(numbered).alias("word"))
 
