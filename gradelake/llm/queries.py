@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gradelake.llm import bpe_codec, decontam, embedding_dedup, lang_id, manifest, paragraph_dedup, periodic_runs, secrets, simhash, suffix_dedup, token_counts, url_filter
+from gradelake.llm import bpe_codec, decontam, embedding_dedup, katz, lang_id, manifest, paragraph_dedup, periodic_runs, secrets, simhash, suffix_dedup, token_counts, url_filter
 from gradelake.llm.common import table
 
 VOCABULARY = "byte_bpe_50k.json"
@@ -108,6 +108,13 @@ def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "n_runs", start.alias("start"), F.col("_b.l").alias("length"), period.alias("period"), F.floor(F.col("_b.l") * 1000 / period).alias("exponent_milli"), "runs_sha256", "collapsed_sha256")
 
 
+def op13_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    fold = F.crc32(F.col("doc_id").cast("string")) % 7
+    scored = katz.katz_scores(docs, fold != 2)
+    return scored.select("doc_id", F.coalesce(fold == 2, F.lit(False)).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 _PART = "CASE WHEN {0} IS NULL THEN '-' ELSE strlen(CAST({0} AS VARCHAR)) || ':' || {0} END"
 _LEAF = " || ".join(_PART.format(c) for c in ("doc_id", "source", "lang", "n_chars", "{text}"))
 
@@ -131,5 +138,5 @@ w AS (SELECT doc_id, any_value(subroot) AS subroot, arg_max(acc, level) AS folde
 SELECT i.doc_id, i.leaf, w.subroot, (SELECT h FROM u WHERE n = 1) AS root, w.proof_sha256, w.folded_root, w.folded_root = (SELECT h FROM u WHERE n = 1) AS verified FROM i JOIN w USING (doc_id)"""
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op2_suffix_dedup, op3_simhash_dedup, op4_embedding_dedup, op5_url_filters, op6_benchmark_decontamination, op7_paragraph_dedup, op8_language_id, op9_bpe_codec, op10_secret_scans, op11_merkle_manifest, op12_periodic_runs)}
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_suffix_dedup, op3_simhash_dedup, op4_embedding_dedup, op5_url_filters, op6_benchmark_decontamination, op7_paragraph_dedup, op8_language_id, op9_bpe_codec, op10_secret_scans, op11_merkle_manifest, op12_periodic_runs, op13_lm_scoring)}
 ORACLE: dict[str, str] = {"op11_merkle_manifest": _MANIFEST}
