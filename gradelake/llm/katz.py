@@ -20,8 +20,8 @@ from gradelake.llm.common import written
 
 MOST = 5  # counts up to this are discounted
 HOT = 1 << 20  # at most so many words can have a share of 1 / HOT of the text: these go to all tasks
-SLICE = 8_000_000  # words of the text for each slice of the tables
-_FLUSH = 4_000_000  # words of one task held before they are sorted and passed on
+SLICE = 4_000_000  # words of the text for each slice of the tables
+_FLUSH = 3_000_000  # words of one task held before they are sorted and passed on
 _BYTES = 6
 _MASK = np.uint64((1 << 8 * _BYTES) - 1)
 #: No word is empty or holds a blank, so these hashes stand for the borders of a text.
@@ -229,14 +229,17 @@ def packed_counts(texts: DataFrame, shared) -> DataFrame:
     return texts.select("text").mapInArrow(counted, PACKED)
 
 
-def _merged(h: np.ndarray, w: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Equal pairs put together, by code: (code, h, w, c)."""
+def _merged(held: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The pairs of several parts put together by code: (code, h, w, c). The parts are used up."""
+    h, w, c = (np.concatenate(x) for x in zip(*held, strict=True))
+    held.clear()
     code = pair_code(h, w)
     order = np.argsort(code)
     code = code[order]
-    first = np.flatnonzero(np.concatenate([[True], code[1:] != code[:-1]])) if len(code) else np.empty(0, np.int64)
-    c = np.add.reduceat(c[order], first) if len(first) else c
-    return code[first], h[order][first], w[order][first], c
+    first = np.flatnonzero(np.concatenate([[True], code[1:] != code[:-1]]))
+    c = np.add.reduceat(c[order], first, dtype=np.int64)
+    order = order[first]
+    return code[first], h[order], w[order], c
 
 
 HISTOGRAM = [f"n{r}" for r in range(1, MOST + 2)]
@@ -277,19 +280,20 @@ def pair_tables(packed: DataFrame, shared) -> DataFrame:
 
         now, held, size = None, [], 0
         for batch in batches:
-            for r in batch.to_pylist():
+            for i in range(batch.num_rows):
+                r = {x: batch.column(x)[i].as_py() for x in ("slice", "h", "n", "w", "c")}
                 if now is not None and r["slice"] != now:
-                    yield from out(now, *_merged(*(np.concatenate(x) for x in zip(*held, strict=True))))
+                    yield from out(now, *_merged(held))
                     held, size = [], 0
                 now = r["slice"]
                 h = np.repeat(unpack(r["h"]), np.frombuffer(r["n"], "<u4"))
-                held.append((h, unpack(r["w"]), np.frombuffer(r["c"], "<u4").astype(np.int64)))
+                held.append((h, unpack(r["w"]), np.frombuffer(r["c"], "<u4")))
                 size += len(h)
-                if len(held) > 1 and size > 1.5 * len(held[0][0]) + SLICE / 4:
-                    held = [_merged(*(np.concatenate(x) for x in zip(*held, strict=True)))[1:]]
+                if len(held) > 1 and size > 1.5 * len(held[0][0]) + SLICE / 8:
+                    held = [_merged(held)[1:]]
                     size = len(held[0][0])
         if held:
-            yield from out(now, *_merged(*(np.concatenate(x) for x in zip(*held, strict=True))))
+            yield from out(now, *_merged(held))
 
     return packed.repartition("slice").sortWithinPartitions("slice").mapInArrow(merged, TABLES)
 
