@@ -20,8 +20,8 @@ from gradelake.llm.common import written
 
 MOST = 5  # counts up to this are discounted
 HOT = 1 << 20  # at most so many words can have a share of 1 / HOT of the text: these go to all tasks
-SLICE = 4_000_000  # words of the text for each slice of the tables
-_FLUSH = 3_000_000  # words of one task held before they are sorted and passed on
+SLICE = 6_000_000  # words of the text for each slice of the tables
+_FLUSH = 4_000_000  # words of one task held before they are sorted and passed on
 _BYTES = 6
 _MASK = np.uint64((1 << 8 * _BYTES) - 1)
 #: No word is empty or holds a blank, so these hashes stand for the borders of a text.
@@ -299,12 +299,12 @@ def pair_tables(packed: DataFrame, shared) -> DataFrame:
 
 
 def histories(tables: DataFrame, counts: DataFrame, words: Words) -> tuple[DataFrame, list[float]]:
-    """(h, c, log_total, log_left) of every history, and the factors of pairs.
+    """(h, c, more, log_left) of every history, and the factors of pairs.
 
-    ``c`` is the word's own count (null for the start). A history's followers share what their
-    discounted counts leave; ``log_left`` is the weight of the lower order: what is left over
-    the lower order's probability of all words that do not follow. Where no follower is
-    discounted, one more place than there are is assumed, so that something is left.
+    ``c`` is how many words follow it. Of these its followers have what their discounted counts
+    leave; ``log_left`` is the weight of the lower order: what is left over the lower order's
+    probability of all words that do not follow. Where no follower is discounted, one place
+    ``more`` than there are is assumed, so that something is left.
     """
     sums = tables.where("n1 is not null").groupBy("h").agg(*[F.sum(c).alias(c) for c in (*HISTOGRAM, "more", "p")])
     rare = tables.where("w is not null").select("h", "w").join(counts, "w").groupBy("h").agg(F.sum(words.probability_column(F.col("c"))).alias("q"))
@@ -315,11 +315,8 @@ def histories(tables: DataFrame, counts: DataFrame, words: Words) -> tuple[DataF
     kept = sum((d * r * F.col(f"n{r}") for r, d in enumerate([*factors, 1.0], 1)), F.col("more")).cast("double")
     taken = sum((F.col(f"n{r}") for r, d in enumerate(factors, 1) if d < 1), F.lit(0)) > 0
     unseen = F.greatest(1 - F.col("p") - F.coalesce("q", F.lit(0.0)), F.lit(words.left))
-    shared = F.when(taken, total).otherwise(total + 1)
     left = F.when(taken, 1 - kept / total).otherwise(1 / (total + 1))
-    made = sums.select("h", F.log10(shared).alias("log_total"), F.log10(left / unseen).alias("log_left"))
-    own = counts.select(F.col("w").alias("h"), "c")
-    return own.join(made, "h", "full_outer").where(F.col("h") != END), factors
+    return sums.select("h", total.cast("long").alias("c"), F.when(taken, 0).otherwise(1).alias("more"), F.log10(left / unseen).alias("log_left")), factors
 
 
 def _by_slice(known: DataFrame, shared, parts) -> DataFrame:
@@ -339,9 +336,8 @@ def _by_slice(known: DataFrame, shared, parts) -> DataFrame:
             kept = batch.take(pa.array(row))
             yield pa.RecordBatch.from_arrays([pa.array(of, pa.int32()), pa.array(part, pa.int32()), *kept.columns], ["slice", "part", *kept.schema.names])
 
-    rows = known.select("h", "c", "log_total", "log_left")
-    rows = rows.mapInArrow(dealt, "slice int, part int, h long, c long, log_total double, log_left double")
-    return rows.groupBy("slice", "part").agg(F.collect_list(F.struct("h", "c", "log_total", "log_left")).alias("hist"))
+    rows = known.select("h", "c", "more", "log_left").mapInArrow(dealt, "slice int, part int, h long, c long, more int, log_left double")
+    return rows.groupBy("slice", "part").agg(F.collect_list(F.struct("h", "c", "more", "log_left")).alias("hist"))
 
 
 def _requests(rows: DataFrame, shared, parts) -> DataFrame:
@@ -384,7 +380,7 @@ class _Slice:
 
     def __init__(self):
         self.code, self.count = np.empty(0, np.uint64), np.empty(0, np.uint32)
-        self.h, self.values = np.empty(0, np.uint64), {x: np.empty(0) for x in ("c", "log_total", "log_left")}
+        self.h, self.values = np.empty(0, np.uint64), {x: np.empty(0) for x in ("c", "more", "log_left")}
 
     def take_histories(self, hist: pa.StructArray) -> None:
         h = hist.field("h").to_numpy(zero_copy_only=False).astype(np.uint64)
@@ -397,7 +393,7 @@ class _Slice:
         self.code, self.count = unpack(code), np.frombuffer(count, "<u4")
 
     def history(self, h: np.ndarray) -> dict[str, np.ndarray]:
-        """c, log_total and log_left of histories, 0 for those never seen."""
+        """c, more and log_left of histories, 0 for those never seen."""
         if not len(self.h):
             return {x: np.zeros(len(h)) for x in self.values}
         at = np.minimum(np.searchsorted(self.h, h), len(self.h) - 1)
@@ -458,7 +454,7 @@ def _evaluated(rows: DataFrame, shared, factors: list[float]) -> DataFrame:
                     known = (word & (history["c"] > 0)).astype(float)
                     r = held.counts(h[of], w)
                     seen = r > 0
-                    value = np.where(seen, np.log10(factor[np.minimum(r, MOST + 1)] * np.maximum(r, 1)) - history["log_total"][of], history["log_left"][of])
+                    value = np.where(seen, np.log10(factor[np.minimum(r, MOST + 1)] * np.maximum(r, 1)) - np.log10(np.maximum(history["c"] + history["more"], 1))[of], history["log_left"][of])
                     single = words.look_up(w)
                     hot = ~seen & (single > 0)
                     value[hot] += np.log10(words.probability(single[hot]))
