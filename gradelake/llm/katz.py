@@ -20,8 +20,8 @@ from gradelake.llm.common import written
 
 MOST = 5  # counts up to this are discounted
 HOT = 1 << 20  # at most so many words can have a share of 1 / HOT of the text: these go to all tasks
-SLICE = 6_000_000  # words of the text for each slice of the tables
-_FLUSH = 4_000_000  # words of one task held before they are sorted and passed on
+SLICE = 5_000_000  # words of the text for each slice of the tables
+_FLUSH = 3_000_000  # words of one task held before they are sorted and passed on
 _BYTES = 6
 _MASK = np.uint64((1 << 8 * _BYTES) - 1)
 #: No word is empty or holds a blank, so these hashes stand for the borders of a text.
@@ -320,24 +320,37 @@ def histories(tables: DataFrame, counts: DataFrame, words: Words) -> tuple[DataF
 
 
 def _by_slice(known: DataFrame, shared, parts) -> DataFrame:
-    """Histories packed by (slice, part): one row for each, a word that is dealt out in all its slices."""
+    """Histories packed by slice and part in each task; a word that is dealt out is in all its slices."""
 
     def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, several = shared.value, parts.value
-        for batch in batches:
-            h = batch.column("h").to_numpy(zero_copy_only=False).astype(np.uint64)
+        names = ["slice", "part", "h", "c", "more", "log_left"]
+
+        def out(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            h, c, more, log_left = (np.concatenate([b.column(x).to_numpy(zero_copy_only=False) for b in held]) for x in names[2:])
+            h = h.astype(np.uint64)
             spread = words.spread(h).astype(np.int64)
             row = np.repeat(np.arange(len(h)), spread)
             nth = np.arange(len(row)) - np.repeat(np.cumsum(spread) - spread, spread)
             of = (((mix(h) >> np.uint64(20))[row] + nth.astype(np.uint64)) % np.uint64(words.slices)).astype(np.int64)
-            again = several[of]
-            part = np.arange(again.sum()) - np.repeat(np.cumsum(again) - again, again)
-            row, of = np.repeat(row, again), np.repeat(of, again)
-            kept = batch.take(pa.array(row))
-            yield pa.RecordBatch.from_arrays([pa.array(of, pa.int32()), pa.array(part, pa.int32()), *kept.columns], ["slice", "part", *kept.schema.names])
+            order = np.argsort(of, kind="stable")
+            for some in np.split(order, np.flatnonzero(np.diff(of[order])) + 1):
+                at, s = row[some], int(of[some[0]])
+                blobs = [pa.array([x], pa.binary()) for x in (pack(h[at]), pack(c[at]), more[at].astype("u1").tobytes(), log_left[at].astype("<f8").tobytes())]
+                for part in range(several[s]):
+                    yield pa.RecordBatch.from_arrays([pa.array([s], pa.int32()), pa.array([part], pa.int32()), *blobs], names)
+
+        held, size = [], 0
+        for batch in batches:
+            held.append(batch)
+            size += batch.num_rows
+            if size >= 200_000:
+                yield from out(held)
+                held, size = [], 0
+        if size:
+            yield from out(held)
 
-    rows = known.select("h", "c", "more", "log_left").mapInArrow(dealt, "slice int, part int, h long, c long, more int, log_left double")
-    return rows.groupBy("slice", "part").agg(F.collect_list(F.struct("h", "c", "more", "log_left")).alias("hist"))
+    return known.select("h", "c", "more", "log_left").mapInArrow(dealt, "slice int, part int, h binary, c binary, more binary, log_left binary")
 
 
 def _requests(rows: DataFrame, shared, parts) -> DataFrame:
@@ -380,25 +393,26 @@ class _Slice:
 
     def __init__(self):
         self.code, self.count = np.empty(0, np.uint64), np.empty(0, np.uint32)
-        self.h, self.values = np.empty(0, np.uint64), {x: np.empty(0) for x in ("c", "more", "log_left")}
+        self.parts: list[tuple[np.ndarray, ...]] = [(np.empty(0, np.uint64), *[np.empty(0)] * 3)]
 
-    def take_histories(self, hist: pa.StructArray) -> None:
-        h = hist.field("h").to_numpy(zero_copy_only=False).astype(np.uint64)
-        order = np.argsort(h)
-        self.h = h[order]
-        for x in self.values:
-            self.values[x] = np.nan_to_num(hist.field(x).to_numpy(zero_copy_only=False).astype(float))[order]
+    def take_histories(self, h: bytes, c: bytes, more: bytes, log_left: bytes) -> None:
+        self.parts.append((unpack(h), unpack(c).astype(float), np.frombuffer(more, "u1").astype(float), np.frombuffer(log_left, "<f8")))
 
     def take_pairs(self, code: bytes, count: bytes) -> None:
         self.code, self.count = unpack(code), np.frombuffer(count, "<u4")
 
-    def history(self, h: np.ndarray) -> dict[str, np.ndarray]:
+    def history(self, h: np.ndarray) -> tuple[np.ndarray, ...]:
         """c, more and log_left of histories, 0 for those never seen."""
-        if not len(self.h):
-            return {x: np.zeros(len(h)) for x in self.values}
-        at = np.minimum(np.searchsorted(self.h, h), len(self.h) - 1)
-        met = self.h[at] == h
-        return {x: np.where(met, v[at], 0.0) for x, v in self.values.items()}
+        if len(self.parts) > 1:
+            own = [np.concatenate(x) for x in zip(*self.parts, strict=True)]
+            order = np.argsort(own[0])
+            self.parts = [tuple(x[order] for x in own)]
+        own, *values = self.parts[0]
+        if not len(own):
+            return tuple(np.zeros(len(h)) for _ in values)
+        at = np.minimum(np.searchsorted(own, h), len(own) - 1)
+        met = own[at] == h
+        return tuple(np.where(met, v[at], 0.0) for v in values)
 
     def counts(self, h: np.ndarray, w: np.ndarray) -> np.ndarray:
         if not len(self.code):
@@ -439,7 +453,7 @@ def _evaluated(rows: DataFrame, shared, factors: list[float]) -> DataFrame:
                 if (get("slice"), get("part")) != now:
                     now, held = (get("slice"), get("part")), _Slice()
                 if kinds[i] == 0:
-                    held.take_histories(column("hist")[int(i)].values)
+                    held.take_histories(*map(get, ("h", "c", "more", "log_left")))
                 elif kinds[i] == 1:
                     held.take_pairs(get("code"), get("r"))
                 else:
@@ -447,14 +461,14 @@ def _evaluated(rows: DataFrame, shared, factors: list[float]) -> DataFrame:
                     places = np.frombuffer(get("places"), "<u4")
                     texts, keys = np.frombuffer(get("texts"), "<u2"), np.frombuffer(get("keys"), "<i8")
                     of = np.repeat(np.arange(len(h)), np.frombuffer(get("n"), "<u4"))
-                    history = held.history(h)
+                    c, more, log_left = held.history(h)
                     # A word is counted where it is the history of the next: each once, but for the end.
                     word = h != START
-                    base = np.where(word, np.log10(history["c"] + 1) - add_one, 0.0)
-                    known = (word & (history["c"] > 0)).astype(float)
+                    base = np.where(word, np.log10(c + 1) - add_one, 0.0)
+                    known = (word & (c > 0)).astype(float)
                     r = held.counts(h[of], w)
                     seen = r > 0
-                    value = np.where(seen, np.log10(factor[np.minimum(r, MOST + 1)] * np.maximum(r, 1)) - np.log10(np.maximum(history["c"] + history["more"], 1))[of], history["log_left"][of])
+                    value = np.where(seen, np.log10(factor[np.minimum(r, MOST + 1)] * np.maximum(r, 1)) - np.log10(np.maximum(c + more, 1))[of], log_left[of])
                     single = words.look_up(w)
                     hot = ~seen & (single > 0)
                     value[hot] += np.log10(words.probability(single[hot]))
