@@ -20,22 +20,22 @@ from gradelake.llm.common import written
 
 MOST = 5  # counts up to this are discounted
 HOT = 1 << 20  # at most so many words can have a share of 1 / HOT of the text: these go to all tasks
-SLICE = 5_000_000  # words of the text for each slice of the tables
-_FLUSH = 3_000_000  # words of one task held before they are sorted and passed on
+SLICE = 4_000_000  # words of the text for each slice of the tables
+_FLUSH = 2_000_000  # words of one task held before they are sorted and passed on
 _BYTES = 6
 _MASK = np.uint64((1 << 8 * _BYTES) - 1)
 #: No word is empty or holds a blank, so these hashes stand for the borders of a text.
 START, END = (xxhash.xxh64_intdigest(x) & int(_MASK) for x in (b"", b" "))
 
 
-def pack(x: np.ndarray) -> bytes:
-    """Numbers of 48 bits, 6 bytes each."""
-    return x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :_BYTES].tobytes()
+def pack(x: np.ndarray, width: int = _BYTES) -> bytes:
+    """Numbers of 48 bits, 6 bytes each, or of less."""
+    return x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].tobytes()
 
 
-def unpack(data: bytes) -> np.ndarray:
-    out = np.zeros((len(data) // _BYTES, 8), np.uint8)
-    out[:, :_BYTES] = np.frombuffer(data, np.uint8).reshape(-1, _BYTES)
+def unpack(data: bytes, width: int = _BYTES) -> np.ndarray:
+    out = np.zeros((len(data) // width, 8), np.uint8)
+    out[:, :width] = np.frombuffer(data, np.uint8).reshape(-1, width)
     return out.view("<u8").ravel()
 
 
@@ -163,12 +163,26 @@ class Words:
         d = F.element_at(F.array(*map(F.lit, [*self.factors, 1.0])), F.least(c, F.lit(MOST + 1)).cast("int"))
         return d * c / F.lit(float(self.total if any(x < 1 for x in self.factors) else self.total + 1))
 
-    def look_up(self, w: np.ndarray) -> np.ndarray:
-        """The counts of words, 0 for those not among the hot."""
+    def index(self, w: np.ndarray) -> np.ndarray:
+        """The places of words among the hot, from 1; 0 for others."""
         if not len(self.hot):
             return np.zeros(len(w), np.int64)
         at = np.minimum(np.searchsorted(self.hot, w), len(self.hot) - 1)
-        return np.where(self.hot[at] == w, self.counts[at], 0)
+        return np.where(self.hot[at] == w, at + 1, 0)
+
+    def look_up(self, w: np.ndarray) -> np.ndarray:
+        """The counts of words, 0 for those not among the hot."""
+        return np.concatenate([[0], self.counts])[self.index(w)]
+
+    def pack(self, index: np.ndarray, w: np.ndarray) -> bytes:
+        """Words by their place among the hot, 3 bytes each, then the hashes of the others."""
+        return pack(index, 3) + pack(w[index == 0])
+
+    def unpack(self, data: bytes, n: int) -> np.ndarray:
+        index = unpack(data[: 3 * n], 3).astype(np.int64)
+        w = np.concatenate([np.zeros(1, np.uint64), self.hot])[index]
+        w[index == 0] = unpack(data[3 * n :])
+        return w
 
     def spread(self, h: np.ndarray) -> np.ndarray:
         """Over how many slices a history's pairs are dealt: one, but for words that would fill several."""
@@ -179,15 +193,15 @@ class Words:
         return ((mix(h) >> np.uint64(20)) + (mix(w) >> np.uint64(20)) % spread) % np.uint64(self.slices)
 
 
-def _in_slices(held: Gathered, words: Words) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """For each slice: histories and how many words follow each; words and how many places each has; the texts of the places."""
+def _in_slices(held: Gathered, words: Words) -> Iterator[tuple[int, np.ndarray, np.ndarray, bytes, np.ndarray, np.ndarray]]:
+    """For each slice: histories and how many words follow each; words, packed, and how many places each has; the texts of the places."""
     x = held.triples()
     hashes = held.hashes()
     first = np.flatnonzero(np.concatenate([[True], x[1:] >> np.uint64(16) != x[:-1] >> np.uint64(16)]))
     places = np.diff(np.append(first, len(x)))
     pair = x[first] >> np.uint64(16)
     hn, wn = (pair >> np.uint64(24)).astype(np.int64), (pair & np.uint64(0xFFFFFF)).astype(np.int64)
-    h, w = hashes[hn], hashes[wn]
+    h, w, index = hashes[hn], hashes[wn], words.index(hashes)[wn]
     which = words.slice_of(h, w, words.spread(hashes)[hn]).astype(np.int64)
     order = np.argsort(which, kind="stable")
     which = which[order]
@@ -199,7 +213,7 @@ def _in_slices(held: Gathered, words: Words) -> Iterator[tuple[int, np.ndarray,
         new = np.flatnonzero(np.concatenate([[True], hn[some][1:] != hn[some][:-1]]))
         n = places[some]
         at = np.repeat(first[some] - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
-        yield int(which[begin]), h[some][new], np.diff(np.append(new, len(some))), w[some], n, texts[at]
+        yield int(which[begin]), h[some][new], np.diff(np.append(new, len(some))), words.pack(index[some], w[some]), n, texts[at]
         begin = end
 
 
@@ -214,7 +228,7 @@ def packed_counts(texts: DataFrame, shared) -> DataFrame:
 
         def out(held: Gathered) -> Iterator[pa.RecordBatch]:
             for s, h, n, w, places, _ in _in_slices(held, words):
-                row = [[s], [pack(h)], [n.astype("<u4").tobytes()], [pack(w)], [places.astype("<u4").tobytes()]]
+                row = [[s], [pack(h)], [n.astype("<u4").tobytes()], [w], [places.astype("<u4").tobytes()]]
                 yield pa.RecordBatch.from_arrays([pa.array(row[0], pa.int32()), *(pa.array(x, pa.binary()) for x in row[1:])], ["slice", "h", "n", "w", "c"])
 
         for _, some in _texts(batches, "text"):
@@ -287,7 +301,7 @@ def pair_tables(packed: DataFrame, shared) -> DataFrame:
                     held, size = [], 0
                 now = r["slice"]
                 h = np.repeat(unpack(r["h"]), np.frombuffer(r["n"], "<u4"))
-                held.append((h, unpack(r["w"]), np.frombuffer(r["c"], "<u4")))
+                held.append((h, words.unpack(r["w"], len(h)), np.frombuffer(r["c"], "<u4")))
                 size += len(h)
                 if len(held) > 1 and size > 1.5 * len(held[0][0]) + SLICE / 8:
                     held = [_merged(held)[1:]]
@@ -369,7 +383,7 @@ def _requests(rows: DataFrame, shared, parts) -> DataFrame:
             all_keys = np.array(keys, "<i8")
             for s, h, n, w, places, texts in _in_slices(held, words):
                 of, at = np.unique(texts, return_inverse=True)
-                blobs = {"h": pack(h), "n": n.astype("<u4").tobytes(), "w": pack(w), "places": places.astype("<u4").tobytes(), "texts": at.astype("<u2").tobytes(), "keys": all_keys[of].tobytes()}
+                blobs = {"h": pack(h), "n": n.astype("<u4").tobytes(), "w": w, "places": places.astype("<u4").tobytes(), "texts": at.astype("<u2").tobytes(), "keys": all_keys[of].tobytes()}
                 yield row(1, id_type, slice=[s], part=[keys[0] % int(several[s])], **{k: [v] for k, v in blobs.items()})
 
         for batch in batches:
@@ -457,10 +471,11 @@ def _evaluated(rows: DataFrame, shared, factors: list[float]) -> DataFrame:
                 elif kinds[i] == 1:
                     held.take_pairs(get("code"), get("r"))
                 else:
-                    h, w = unpack(get("h")), unpack(get("w"))
+                    h = unpack(get("h"))
                     places = np.frombuffer(get("places"), "<u4")
                     texts, keys = np.frombuffer(get("texts"), "<u2"), np.frombuffer(get("keys"), "<i8")
                     of = np.repeat(np.arange(len(h)), np.frombuffer(get("n"), "<u4"))
+                    w = words.unpack(get("w"), len(of))
                     c, more, log_left = held.history(h)
                     # A word is counted where it is the history of the next: each once, but for the end.
                     word = h != START
