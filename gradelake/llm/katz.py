@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gradelake.llm.common import written
+from gradelake.llm.common import setting, written
 
 MOST = 5  # counts up to this are discounted
 HOT = 1 << 20  # at most so many words can have a share of 1 / HOT of the text: these go to all tasks
@@ -522,7 +522,8 @@ def katz_scores(docs: DataFrame, learn: Column, text_col: str = "text", id_col:
     hot = counts.where(F.col("c") * HOT >= total).orderBy("w").toPandas()
     words = Words(total, distinct, ends, discounts(seen), seen[0], 1 + total // SLICE, hot["w"].to_numpy(np.uint64), hot["c"].to_numpy(np.int64))
     shared = spark.sparkContext.broadcast(words)
-    tables = written(pair_tables(packed_counts(taught, shared), shared), "katz-pairs")
+    with setting(spark, "spark.sql.execution.arrow.maxBytesPerBatch", "4m"):  # packed rows are large
+        tables = written(pair_tables(packed_counts(taught, shared), shared), "katz-pairs")
     known, factors = histories(tables, counts, words)
 
     # A slice's places decide into how many parts its questions go; its tables go to each part.
@@ -536,7 +537,8 @@ def katz_scores(docs: DataFrame, learn: Column, text_col: str = "text", id_col:
     pairs = sliced.withColumn("part", F.explode(F.sequence(F.lit(0), "more"))).drop("more").withColumn("kind", F.lit(1))
     hist = _by_slice(known, shared, several).withColumn("kind", F.lit(0))
     every = asked.unionByName(pairs, allowMissingColumns=True).unionByName(hist, allowMissingColumns=True)
-    found = written(_evaluated(every, shared, factors), "katz-found")
+    with setting(spark, "spark.sql.execution.arrow.maxBytesPerBatch", "4m"):
+        found = written(_evaluated(every, shared, factors), "katz-found")
 
     p = F.coalesce(words.probability_column(F.col("c")), F.lit(words.left))
     backed_off = found.where("w is not null").select("key", "w").join(counts, "w", "left").select("key", F.log10(p).alias("score"))
