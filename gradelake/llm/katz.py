@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from gradelake.llm.common import setting, written
 
 MOST = 5  # counts up to this are discounted
-HOT = 1 << 20  # at most so many words can have a share of 1 / HOT of the text: these go to all tasks
+HOT = 1 << 22  # at most so many words can have a share of 1 / HOT of the text: these go to all tasks
 SLICE = 4_000_000  # words of the text for each slice of the tables
 _FLUSH = 2_000_000  # words of one task held before they are sorted and passed on
 _BYTES = 6
@@ -39,6 +39,17 @@ def unpack(data: bytes, width: int = _BYTES) -> np.ndarray:
     return out.view("<u8").ravel()
 
 
+def pack_sorted(x: np.ndarray) -> bytes:
+    """Ascending numbers by their steps, in as few bytes each as the largest step needs (the first byte tells)."""
+    steps = np.diff(x, prepend=np.uint64(0))
+    width = max(1, (int(steps.max(initial=0)).bit_length() + 7) // 8)
+    return bytes([width]) + pack(steps, width)
+
+
+def unpack_sorted(data: bytes) -> np.ndarray:
+    return np.cumsum(unpack(data[1:], data[0]), dtype=np.uint64)
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
     return (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
@@ -278,7 +289,7 @@ def pair_tables(packed: DataFrame, shared) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array(given[c], k) if c in given else pa.nulls(n, k) for c, k in zip(names, kinds, strict=True)], names)
 
         def out(s: int, code: np.ndarray, h: np.ndarray, w: np.ndarray, c: np.ndarray) -> Iterator[pa.RecordBatch]:
-            yield rows(1, slice=[s], code=[pack(code)], r=[np.minimum(c, 2**32 - 1).astype("<u4").tobytes()], places=[int(c.sum())])
+            yield rows(1, slice=[s], code=[pack_sorted(code)], r=[np.minimum(c, 2**32 - 1).astype("<u4").tobytes()], places=[int(c.sum())])
             own, of = np.unique(h, return_inverse=True)
             known = words.look_up(w)
             columns = {f"n{r}": np.bincount(of[c == r], minlength=len(own)) for r in range(1, MOST + 2)}
@@ -413,7 +424,7 @@ class _Slice:
         self.parts.append((unpack(h), unpack(c).astype(float), np.frombuffer(more, "u1").astype(float), np.frombuffer(log_left, "<f8")))
 
     def take_pairs(self, code: bytes, count: bytes) -> None:
-        self.code, self.count = unpack(code), np.frombuffer(count, "<u4")
+        self.code, self.count = unpack_sorted(code), np.frombuffer(count, "<u4")
 
     def history(self, h: np.ndarray) -> tuple[np.ndarray, ...]:
         """c, more and log_left of histories, 0 for those never seen."""
