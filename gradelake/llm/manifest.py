@@ -72,9 +72,10 @@ def _siblings(level: int, own: Column) -> Column:
 
 
 def _step(level: int, own: Column) -> Column:
-    """What stands before and after a node at a level, from the siblings found (``_s``)."""
+    """What stands before and after a node at a level, from the nodes found for its block (``_s``)."""
     some = F.coalesce("_s", F.array().cast("array<struct<_level:int,_pos:bigint,digest:binary>>"))
-    here = F.filter(some, lambda s: s["_level"] == level)
+    run = F.shiftright(own, ARITY_BITS)
+    here = F.filter(some, lambda s: (s["_level"] == level) & (F.shiftright(s["_pos"], ARITY_BITS) == run))
     joined = lambda found: F.array_join(F.transform(found, lambda s: _text(s["digest"])), "")
     before, after = F.filter(here, lambda s: s["_pos"] < own), F.filter(here, lambda s: s["_pos"] > own)
     return F.array(F.struct(joined(before).alias("before"), joined(after).alias("after")))
@@ -120,38 +121,39 @@ def roots(nodes: DataFrame) -> DataFrame:
     return nodes.where(F.col("level") == depth(F.col("size"))).select("group", "size", "digest")
 
 
-def paths(nodes: DataFrame, name: str) -> DataFrame:
-    """(group, index, path) of every leaf: for each level up to its group's root, what stands before and after the own digest.
+def paths(leaves: DataFrame, nodes: DataFrame, name: str) -> DataFrame:
+    """``leaves`` with ``path``: for each level up to the group's root, what stands before and after the own digest.
 
     Nodes explode the coordinates of their siblings on the next ``LEVELS`` levels, from their
-    position and the group's size, join the node table, and put them in order; leaves do so for
-    the lowest levels, the nodes of the level above for the next ones, and so on. A node is
-    therefore asked for by at most 64 others, at any size; what is common to a block is looked
-    up once, and handed down to its at most 64 nodes by a join.
+    position and the group's size; those of a block want the same ones, which are asked for
+    once, joined with the node table and put in order. Leaves do so for the lowest levels, the
+    nodes of the level above for the next ones, and so on: what is common to a block is handed
+    down to its at most 64 nodes. So a coordinate is looked up once, at any size.
     """
-    deepest = nodes.agg(F.max(depth(F.col("size")))).first()[0] or 0
+    deepest = leaves.agg(F.max(depth(F.col("size")))).first()[0] or 0
     table = nodes.select("group", F.col("level").alias("_level"), F.col("pos").alias("_pos"), "digest")
     above = None
     for base in reversed(range(0, max(deepest, 1), LEVELS)):
-        units = nodes.where((F.col("level") == base) & ((depth(F.col("size")) > base) | F.lit(base == 0))).select("group", "size", "pos")
+        if base:
+            units = nodes.where((F.col("level") == base) & (depth(F.col("size")) > base)).select("group", "size", "pos")
+        else:
+            units = leaves.withColumn("pos", F.col("index"))
+        units = units.withColumn("_block", F.shiftright("pos", BLOCK_BITS))
         wanted = []
         for k in range(LEVELS):
             coordinates = _siblings(base + k, F.shiftright("pos", ARITY_BITS * k))
             wanted.append(F.when(depth(F.col("size")) > base + k, coordinates).otherwise(F.slice(coordinates, 1, 0)))
-        asked = units.select("group", "pos", F.explode(F.concat(*wanted)).alias("_w")).select("group", "pos", "_w.*")
-        found = asked.join(table, ["group", "_level", "_pos"]).groupBy("group", "pos").agg(F.array_sort(F.collect_list(F.struct("_level", "_pos", "digest"))).alias("_s"))
-        met = units.join(found, ["group", "pos"], "left")
-        steps = []
-        for k in range(LEVELS):
-            step = _step(base + k, F.shiftright("pos", ARITY_BITS * k))
-            steps.append(F.when(depth(F.col("size")) > base + k, step).otherwise(F.array().cast(STEP)))
-        made = met.select("group", "pos", F.concat(*steps).alias("path"))
+        asked = units.select("group", "_block", F.explode(F.concat(*wanted)).alias("_w")).select("group", "_block", "_w.*").distinct()
+        found = asked.join(table, ["group", "_level", "_pos"]).groupBy("group", "_block").agg(F.array_sort(F.collect_list(F.struct("_level", "_pos", "digest"))).alias("_s"))
+        met = units.join(found, ["group", "_block"], "left")
+        if above is not None:
+            met = met.join(above.select("group", F.col("pos").alias("_block"), F.col("path").alias("_up")), ["group", "_block"], "left")
+        steps = [F.when(depth(F.col("size")) > base + k, _step(base + k, F.shiftright("pos", ARITY_BITS * k))).otherwise(F.array().cast(STEP)) for k in range(LEVELS)]
         if above is not None:
-            up = above.select("group", F.col("pos").alias("_block"), F.col("path").alias("_up"))
-            made = made.withColumn("_block", F.shiftright("pos", BLOCK_BITS)).join(up, ["group", "_block"], "left")
-            made = made.select("group", "pos", F.concat("path", F.coalesce("_up", F.array().cast(STEP))).alias("path"))
-        above = made if base == 0 else written(made, f"{name}-{base}")
-    return above.withColumnRenamed("pos", "index")
+            steps.append(F.coalesce("_up", F.array().cast(STEP)))
+        made = met.withColumn("path", F.concat(*steps))
+        above = made.drop("_s", "_up", "_block", "pos") if base == 0 else written(made.select("group", "pos", "path"), f"{name}-{base}")
+    return above
 
 
 def folded(leaf: Column, path: Column) -> Column:
@@ -185,11 +187,11 @@ def manifest(docs: DataFrame, fields: list[str], id_col: str = "doc_id", group_c
     groups = roots(nodes)
     top = numbered(groups.select(F.lit("").alias("group"), F.col("group").alias("of"), "digest"), ["of"], "manifest-groups")
     top_nodes = node_table(top, "manifest-top")
-    top_paths = paths(top_nodes, "manifest-top-paths").join(top.select("index", "of", F.col("digest").alias("subroot")), "index")
+    top_paths = paths(top, top_nodes, "manifest-top-paths")
     whole = roots(top_nodes).first()
     root = _text(F.lit(bytes(whole["digest"]) if whole else b""))
-    top_paths = written(top_paths.select(F.col("of").alias("group"), "subroot", F.col("path").alias("up")), "manifest-subroots")
-    out = leaves.join(paths(nodes, "manifest-paths"), ["group", "index"]).join(top_paths, "group")
+    top_paths = written(top_paths.select(F.col("of").alias("group"), F.col("digest").alias("subroot"), F.col("path").alias("up")), "manifest-subroots")
+    out = paths(leaves, nodes, "manifest-paths").join(top_paths, "group")
     out = out.withColumn("path", F.concat("path", "up"))
     proof = F.array_join(F.transform("path", lambda s: F.concat(s["before"], s["after"])), "")
     out = out.select(F.col("id").alias(id_col), _text(F.col("digest")).alias("leaf"), _text(F.col("subroot")).alias("subroot"), root.alias("root"), proof.alias("proof"), folded(_text(F.coalesce("claim", "digest")), F.col("path")).alias("folded_root"))
