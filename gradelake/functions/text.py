@@ -2,11 +2,29 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+# What counts as white space in texts (the separators of Unicode and the control characters 9 to 13, 28 to 31 and 133).
+SPACES = r"\x09-\x0D\x1C-\x20\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
+
+
+def spaced(pattern: str) -> str:
+    """A pattern whose ``\\s`` is all of ``SPACES``, in classes of its own and in others; Java's is ASCII only."""
+    out, inside = "", False
+    for part in re.split(r"(\\.|\[|\])", pattern):
+        if part == r"\s":
+            part = SPACES if inside else f"[{SPACES}]"
+        elif part in ("[", "]"):
+            inside = part == "["
+        out += part
+    return out
+
+
 # Patterns of the text rules, in Java syntax.
-SENTENCE_GAP = r"(?<=[.!?])\s+"
+SENTENCE_GAP = spaced(r"(?<=[.!?])\s+")
 PHRASE = r"[A-Z][a-z]+(?:\s+[A-Z][a-z]+){0,2}"
 LONG_PHRASE = r"\b[A-Z][a-z]+(?:\s+[A-Z][a-z]+){0,3}\b"
 CONCEPTS = [
@@ -50,12 +68,12 @@ _EDGE = r"(?:(?<=[\p{L}\p{N}_])(?![\p{L}\p{N}_])|(?<![\p{L}\p{N}_])(?=[\p{L}\p{N
 
 
 def _edged(pattern: str) -> str:
-    return pattern.replace(r"\b", _EDGE)
+    return spaced(pattern).replace(r"\b", _EDGE)
 
 
 def strip(text: Column) -> Column:
-    """White space off both ends, line breaks and tabs included."""
-    return F.regexp_replace(text, r"^\s+|\s+$", "")
+    """White space of all scripts off both ends, line breaks and tabs included."""
+    return F.regexp_replace(text, spaced(r"^\s+|\s+$"), "")
 
 
 def chunk_texts(content: Column, size: int = 1100, overlap: int = 140) -> Column:
@@ -97,7 +115,7 @@ def ui_chunk_texts(content: Column, size: int = 320) -> Column:
 
 
 def word_count(text: Column) -> Column:
-    return F.size(F.filter(F.split(text, r"\s+"), lambda w: w != ""))
+    return F.size(F.filter(F.split(text, spaced(r"\s+")), lambda w: w != ""))
 
 
 def grounding_score(text: Column) -> Column:
@@ -112,7 +130,7 @@ def words(text: Column) -> Column:
 
 
 def phrases(text: Column) -> Column:
-    return F.regexp_extract_all(text, F.lit(PHRASE), F.lit(0))
+    return F.regexp_extract_all(text, F.lit(spaced(PHRASE)), F.lit(0))
 
 
 def key_concepts(text: Column, most: int = 20) -> Column:
@@ -145,7 +163,7 @@ def capitalised(text: Column) -> Column:
 
 
 def _statements(text: Column, patterns: list[str], longer_than: int, default: list[str], most: int) -> Column:
-    found = F.concat(*[F.regexp_extract_all(text, F.lit(p), F.lit(0)) for p in patterns])
+    found = F.concat(*[F.regexp_extract_all(text, F.lit(spaced(p)), F.lit(0)) for p in patterns])
     clean = F.filter(F.transform(found, lambda s: F.regexp_replace(strip(s), r"\.+$", "")), lambda s: F.length(s) > longer_than)
     return F.slice(F.when(F.size(clean) > 0, F.transform(clean, capitalised)).otherwise(F.array(*map(F.lit, default))), 1, most)
 
@@ -210,7 +228,8 @@ def or_default(value: Column, default) -> Column:
 
 
 def compact(prompt: Column, most: int = 1600) -> Column:
-    return F.left(F.regexp_replace(strip(prompt), r"\s+", " "), F.lit(most))
+    """A prompt on one line, cut."""
+    return F.left(F.regexp_replace(strip(prompt), spaced(r"\s+"), " "), F.lit(most))
 
 
 def file_extension(name: Column) -> Column:

@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from gradelake.functions import text as T
 from gradelake.functions.grading import rounded
+from gradelake.functions.text import spaced
 
 HEADER = r"(?im)^(?:Module|MODULE|Unit|UNIT)\s+(?:\d+|[IVX]+)[:.\s]"
 
@@ -18,18 +19,19 @@ def module_segments(chunks: DataFrame, doc_col: str = "doc_id", dedupe_default:
     """(doc, module_no, title, chunk_indices, topics): a header starts a module, chunks before one are 'General Content'.
 
     Topics are the first three phrases of chunks other than headers, each once. The default
-    module lists its first chunk twice and takes no topics, as stored data has it;
-    ``dedupe_default`` lists it once.
+    module's first chunk opens it: it gives no topics and is listed twice, as stored data has
+    it; ``dedupe_default`` lists it once.
     """
     by_doc = Window.partitionBy(doc_col).orderBy("chunk_id")
-    header = F.regexp_extract("text", HEADER, 0)
+    header = F.regexp_extract("text", spaced(HEADER), 0)
     rows = chunks.select(doc_col, "chunk_id", header.alias("_h"), F.slice(T.phrases(F.col("text")), 1, 3).alias("_p"))
     rows = rows.withColumn("_n", F.sum((F.col("_h") != "").cast("int")).over(by_doc))
-    first = F.min(F.col("_n")).over(Window.partitionBy(doc_col))
-    rows = rows.withColumn("module_no", (F.col("_n") + F.when(first == 0, 1).otherwise(0)).cast("int")).withColumn("_default", F.col("_n") == 0)
+    whole = Window.partitionBy(doc_col)
+    first, opening = F.min(F.col("_n")).over(whole), F.col("chunk_id") == F.min("chunk_id").over(whole)
+    rows = rows.withColumn("module_no", (F.col("_n") + F.when(first == 0, 1).otherwise(0)).cast("int")).withColumn("_default", F.col("_n") == 0).withColumn("_opens", (F.col("_h") != "") | opening)
     title = F.when(F.col("_default"), "General Content").otherwise(T.strip(F.regexp_replace("_h", r"[:.]$", "")))
     rows = rows.withColumn("_title", F.when((F.col("_h") != "") | F.col("_default"), title))
-    listed = F.array_sort(F.collect_list(F.struct("chunk_id", F.when((F.col("_h") == "") & ~F.col("_default"), F.col("_p")).otherwise(F.array().cast("array<string>")).alias("p"))))
+    listed = F.array_sort(F.collect_list(F.struct("chunk_id", F.when(~F.col("_opens"), F.col("_p")).otherwise(F.array().cast("array<string>")).alias("p"))))
     grouped = rows.groupBy(doc_col, "module_no").agg(F.min("_title").alias("title"), F.first("_default").alias("_default"), listed.alias("_l"))
     indices = F.transform("_l", lambda x: x["chunk_id"])
     twice = F.when(F.col("_default") & F.lit(not dedupe_default), F.concat(F.slice(indices, 1, 1), indices)).otherwise(indices)
@@ -46,9 +48,12 @@ def topic_tree(chunks: DataFrame, documents: DataFrame | None = None, doc_col: s
     """
     found = module_segments(chunks, doc_col)
     titled = found.select(doc_col, "module_no", F.posexplode("topics").alias("no", "topic"))
-    phrases = chunks.select(doc_col, "chunk_id", F.regexp_extract("text", HEADER, 0).alias("_h"), F.slice(T.phrases(F.col("text")), 1, 3).alias("_p"))
+    phrases = chunks.select(doc_col, "chunk_id", F.regexp_extract("text", spaced(HEADER), 0).alias("_h"), F.slice(T.phrases(F.col("text")), 1, 3).alias("_p"))
     named = phrases.where("_h = ''").select(doc_col, "chunk_id", F.explode("_p").alias("topic"))
-    of = found.select(doc_col, "module_no", F.explode(F.array_distinct("chunk_indices")).alias("chunk_id"))
+    # What opens a module names no topics: its header, or the default module's first chunk, which is listed twice.
+    indices = F.col("chunk_indices")
+    naming = F.when(F.get(indices, F.lit(0)) == F.get(indices, F.lit(1)), F.slice(indices, 3, 2**31 - 1)).otherwise(indices)
+    of = found.select(doc_col, "module_no", F.explode(naming).alias("chunk_id"))
     first = named.join(of, [doc_col, "chunk_id"]).groupBy(doc_col, "module_no", "topic").agg(F.min("chunk_id").alias("chunk_id"))
     number = F.concat_ws(".", "module_no", F.col("no") + 1)
     record = F.struct(number.alias("id"), F.col("topic").alias("title"), F.array("topic").alias("key_concepts"), F.array(F.concat(F.lit("Understand "), "topic")).alias("learning_objectives"), F.array("chunk_id").alias("chunk_indices"))

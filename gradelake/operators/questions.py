@@ -179,27 +179,29 @@ def normalised_replies(replies: DataFrame, raw_col: str, least: int = 4, total:
 
     A reply that does not parse or holds fewer than ``least`` questions gives none; of others
     the first ``total`` are taken. A missing citation is the start of the first chunk of
-    ``selected`` (place, text), and one that its chunks do not hold is replaced by it.
+    ``selected`` (place, text), and one that its chunks do not hold is replaced by it. Points
+    count by the whole number they begin with, in quotes or not; options are kept as they came.
     """
-    item = "struct<question_text:string,question:string,question_type:string,options:array<string>,correct_answer:string,answer:string,concept_tag:string,concept:string,difficulty:string,explanation:string,grounding_chunk:string,points:int>"
+    item = "struct<question_text:string,question:string,question_type:string,options:string,correct_answer:string,answer:string,concept_tag:string,concept:string,difficulty:string,explanation:string,grounding_chunk:string,points:string>"
     parsed = F.from_json(T.json_array(F.col(raw_col)), f"array<{item}>")
     rows = replies.withColumn("_q", parsed).where(F.size(F.coalesce("_q", F.array().cast(f"array<{item}>"))) >= least)
     taken = F.col("_q") if total is None else F.slice("_q", 1, total)
     rows = rows.select(*[c for c in replies.columns if c != raw_col], F.posexplode(taken).alias("question_no", "_q"))
     f = lambda name: F.col(f"_q.{name}")
     difficulty = T.or_default(f("difficulty"), "Medium")
+    whole = F.regexp_extract(f("points"), r"^\s*([+-]?\d{1,9})", 1).try_cast("int")
     by_difficulty = F.when(f("difficulty") == "Hard", 15).when(f("difficulty") == "Easy", 5).otherwise(10)
     made = rows.withColumns(
         {
             "question_text": T.or_default(f("question_text"), T.or_default(f("question"), "Untitled")),
             "question_type": F.lower(T.or_default(f("question_type"), "short")),
-            "options": F.to_json(f("options")),
+            "options": T.or_default(f("options"), F.lit(None).cast("string")),
             "correct_answer": T.or_default(f("correct_answer"), T.or_default(f("answer"), "")),
             "concept_tag": T.or_default(f("concept_tag"), T.or_default(f("concept"), "General")),
             "difficulty": difficulty,
             "explanation": T.or_default(f("explanation"), ""),
             "grounding_chunk": T.or_default(f("grounding_chunk"), ""),
-            "points": F.when(F.coalesce(f("points"), F.lit(0)) != 0, f("points")).otherwise(by_difficulty),
+            "points": F.coalesce(F.nullif(whole, F.lit(0)), by_difficulty),
         }
     ).drop("_q")
     if selected is None:

@@ -102,6 +102,9 @@ def interactions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select("user_id", "event_id", F.floor(ms).cast("long").alias("t"), kind.alias("type"), F.concat(F.lit("button:"), k.cast("string")).alias("element"), (k % 101).alias("depth_pct"), (F.col("event_id") % 1000).alias("x"), (F.col("event_id") * 7 % 800).alias("y"))
 
 
+#: White space, as an SQL pattern has it.
+_S = r"[\x09-\x0D\x1C-\x20\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
+
 #: The same views as common table expressions: name -> (views it needs, text).
 VIEWS = {
     "students": ([], "SELECT c_custkey AS id, c_name AS name, lower(c_name) || '@example.edu' AS email, c_mktsegment AS segment FROM customer"),
@@ -113,13 +116,13 @@ VIEWS = {
     "docs": ([], "SELECT doc_id, 'doc-' || doc_id AS title, text AS content, source AS category, lang FROM documents"),
     "marked": (["docs"], r"""SELECT doc_id, title, category, content || CASE WHEN doc_id % 5 = 0 THEN E'\n[TABLE]\n| a | b |\n| --- | --- |\n| 1 | 2 |\n[/TABLE]\n\n\n\n| loose | row |\n' ELSE '' END || CASE WHEN doc_id % 7 = 0 THEN E'\n[VISUAL CONTENT p1]\nA figure.\n[/VISUAL CONTENT]\n[TABLE] left' ELSE '' END AS content FROM docs"""),
     "chunk_lists": (["docs"], r"""SELECT doc_id, title, CASE WHEN trim_cur <> '' THEN list_append(r.out, trim_cur) ELSE r.out END AS texts FROM (
-        SELECT doc_id, title, r, regexp_replace(r.cur, '^\s+|\s+$', '', 'g') AS trim_cur FROM (
+        SELECT doc_id, title, r, regexp_replace(r.cur, '^{S}+|{S}+$', '', 'g') AS trim_cur FROM (
         SELECT doc_id, title, list_reduce(list_prepend({'cur': '', 'out': []::VARCHAR[]}, list_transform(sents, lambda s: {'cur': s, 'out': []::VARCHAR[]})), lambda a, x:
             CASE WHEN a.cur <> '' AND length(a.cur) + length(x.cur) + 1 > 1100
-            THEN {'cur': right(a.cur, 140) || ' ' || x.cur, 'out': list_append(a.out, regexp_replace(a.cur, '^\s+|\s+$', '', 'g'))}
-            ELSE {'cur': regexp_replace(CASE WHEN a.cur <> '' THEN a.cur || ' ' || x.cur ELSE x.cur END, '^\s+|\s+$', '', 'g'), 'out': a.out} END) AS r
-        FROM (SELECT doc_id, title, list_filter(string_split(regexp_replace(regexp_replace(content, '^\s+|\s+$', '', 'g'), '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)), lambda s: regexp_replace(s, '^\s+|\s+$', '', 'g') <> '') AS sents FROM docs)))"""),
-    "chunks": (["chunk_lists"], r"""SELECT doc_id, title, CAST(i - 1 AS INTEGER) AS chunk_id, texts[i] AS text, CAST(len(list_filter(regexp_split_to_array(texts[i], '\s+'), lambda w: w <> '')) AS INTEGER) AS tokens, CAST((i - 1) // 3 + 1 AS INTEGER) AS page, round(0.86 + (('0x' || substr(md5(texts[i]), 1, 8))::BIGINT % 100) / 600.0::DOUBLE, 3) AS grounding_score FROM (SELECT doc_id, title, texts, unnest(range(1, len(texts) + 1)) AS i FROM chunk_lists)"""),
+            THEN {'cur': right(a.cur, 140) || ' ' || x.cur, 'out': list_append(a.out, regexp_replace(a.cur, '^{S}+|{S}+$', '', 'g'))}
+            ELSE {'cur': regexp_replace(CASE WHEN a.cur <> '' THEN a.cur || ' ' || x.cur ELSE x.cur END, '^{S}+|{S}+$', '', 'g'), 'out': a.out} END) AS r
+        FROM (SELECT doc_id, title, list_filter(string_split(regexp_replace(regexp_replace(content, '^{S}+|{S}+$', '', 'g'), '([.!?]){S}+', '\1' || chr(1), 'g'), chr(1)), lambda s: regexp_replace(s, '^{S}+|{S}+$', '', 'g') <> '') AS sents FROM docs)))""".replace("{S}", _S)),
+    "chunks": (["chunk_lists"], r"""SELECT doc_id, title, CAST(i - 1 AS INTEGER) AS chunk_id, texts[i] AS text, CAST(len(list_filter(regexp_split_to_array(texts[i], '{S}+'), lambda w: w <> '')) AS INTEGER) AS tokens, CAST((i - 1) // 3 + 1 AS INTEGER) AS page, round(0.86 + (('0x' || substr(md5(texts[i]), 1, 8))::BIGINT % 100) / 600.0::DOUBLE, 3) AS grounding_score FROM (SELECT doc_id, title, texts, unnest(range(1, len(texts) + 1)) AS i FROM chunk_lists)""".replace("{S}", _S)),
     "headed": (["chunks"], "SELECT * REPLACE (CASE WHEN chunk_id % 4 = 2 AND doc_id % 3 <> 0 THEN 'Module ' || CAST((chunk_id + 2) // 4 AS VARCHAR) || ': ' || text ELSE text END AS text) FROM chunks"),
     "asked": ([], "SELECT item_id AS query_id, text AS query FROM benchmark"),
     "free_answers": ([], "SELECT conv_id, turn, next_text AS correct_answer, left(next_text, CAST(floor(length(next_text) * ([0.0, 0.2, 0.5, 0.8, 1.0]::DOUBLE[])[(conv_id + turn) % 5 + 1]) AS INTEGER)) AS student_answer FROM (SELECT *, lead(role) OVER w AS next_role, lead(text) OVER w AS next_text FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)) WHERE role = 'user' AND next_role = 'assistant'"),
@@ -127,6 +130,11 @@ VIEWS = {
 }
 
 
+def chunked(docs: str) -> str:
+    """The text of ``chunk_lists`` over another view (doc_id, title, content)."""
+    return VIEWS["chunk_lists"][1].replace("FROM docs)", f"FROM {docs})")
+
+
 def sql(body: str, *views: str) -> str:
     """The text of a query over views, with all the views they need before them."""
     order: list[str] = []

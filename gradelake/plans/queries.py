@@ -79,6 +79,20 @@ def q_table_markdown(spark, d):
     return rows.select("r_name", T.table_markdown(F.concat(header, cells)).alias("markdown"))
 
 
+_WIDE = "CASE doc_id % 4 WHEN 0 THEN chr(12288) || replace(content, '. ', '.' || chr(8232)) WHEN 1 THEN replace(content, ' ', chr(160)) WHEN 2 THEN replace(content, '. ', '.' || chr(28)) || chr(8199) ELSE replace(content, ', ', ',' || chr(133)) END"
+
+
+@query(sql("", "docs").rstrip() + f""",\nwide AS (SELECT doc_id, title, {_WIDE} AS content FROM docs), lists AS ({D.chunked("wide")})
+    SELECT doc_id, CAST(i - 1 AS INTEGER) AS chunk_id, md5(texts[i]) AS text_md5, CAST(len(list_filter(regexp_split_to_array(texts[i], '{D._S}+'), lambda w: w <> '')) AS INTEGER) AS tokens FROM (SELECT doc_id, texts, unnest(range(1, len(texts) + 1)) AS i FROM lists)""")
+def q_unicode_chunks(spark, d):
+    """Chunks of documents whose blanks are those of other scripts: wide, fixed, separators of lines and files."""
+    docs = D.documents(spark, d)
+    c, of = F.col("content"), F.col("doc_id") % 4
+    swapped = lambda old, new: F.replace(c, F.lit(old), F.lit(new))
+    wide = F.when(of == 0, F.concat(F.lit("\u3000"), swapped(". ", ".\u2028"))).when(of == 1, swapped(" ", "\u00a0")).when(of == 2, F.concat(swapped(". ", ".\x1c"), F.lit("\u2007"))).otherwise(swapped(", ", ",\x85"))
+    return chunking.chunk_documents(docs, "doc_id", wide).select("doc_id", "chunk_id", F.md5("text").alias("text_md5"), "tokens")
+
+
 # Retrieval
 
 _SCORED = r"""tok AS (SELECT doc_id, chunk_id, word, count(*) AS n FROM (SELECT doc_id, chunk_id, unnest(regexp_extract_all(lower(text), '[a-z]{3,}')) AS word FROM chunks) GROUP BY ALL),
@@ -321,7 +335,12 @@ def _concept_docs(spark, d):
     return docs.withColumn("content", F.concat("content", F.lit(" Unit 3: Machine Learning. Privacy and bias, a model of Overfitting. "), F.left("content", F.lit(400))))
 
 
-@query(sql("", "docs").rstrip() + f",\n{_CONCEPTS}\nSELECT doc_id, concept, least(100.0::DOUBLE, (length(lower(content)) - length(replace(lower(content), lower(concept), ''))) // length(concept) * 10.0::DOUBLE + 20.0::DOUBLE) AS coverage FROM (SELECT doc_id, content, unnest(concepts) AS concept FROM kc)")
+# Occurrences are counted in the chunks' texts, joined by blanks.
+_COVERAGE = f"""{_CONCEPTS}, ktitled AS (SELECT doc_id, '' AS title, content FROM kc), kchunks AS ({D.chunked("ktitled")}),
+cv AS (SELECT doc_id, concept, least(100.0::DOUBLE, (length(content) - length(replace(content, lower(concept), ''))) // length(concept) * 10.0::DOUBLE + 20.0::DOUBLE) AS coverage FROM (SELECT doc_id, lower(array_to_string(texts, ' ')) AS content, unnest(concepts) AS concept FROM kc JOIN kchunks USING (doc_id)))"""
+
+
+@query(sql("", "docs").rstrip() + f",\n{_COVERAGE}\nSELECT doc_id, concept, coverage FROM cv")
 def q_concept_coverage(spark, d):
     return concepts.concept_coverage(_concept_docs(spark, d), "content")
 
@@ -334,8 +353,8 @@ def q_concept_match(spark, d):
 
 _SEGMENTS = rf"""seg0 AS (SELECT doc_id, chunk_id, regexp_extract(text, '(?im)^(?:Module|MODULE|Unit|UNIT)\s+(?:\d+|[IVX]+)[:.\s]') AS h, list_slice(regexp_extract_all(text, '{_PHRASE}'), 1, 3) AS p FROM headed),
 seg1 AS (SELECT *, sum(CASE WHEN h <> '' THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY chunk_id) AS n FROM seg0),
-seg2 AS (SELECT *, CAST(n + CASE WHEN min(n) OVER (PARTITION BY doc_id) = 0 THEN 1 ELSE 0 END AS INTEGER) AS module_no, n = 0 AS d FROM seg1),
-seg AS (SELECT doc_id, module_no, min(CASE WHEN d THEN 'General Content' WHEN h <> '' THEN regexp_replace(regexp_replace(h, '[:.]$', ''), '^\s+|\s+$', '', 'g') END) AS title, CASE WHEN bool_or(d) THEN list_prepend(min(chunk_id), list(chunk_id ORDER BY chunk_id)) ELSE list(chunk_id ORDER BY chunk_id) END AS chunk_indices, flatten(list(CASE WHEN h = '' AND NOT d THEN p ELSE [] END ORDER BY chunk_id)) AS all_topics FROM seg2 GROUP BY doc_id, module_no)"""
+seg2 AS (SELECT *, CAST(n + CASE WHEN min(n) OVER (PARTITION BY doc_id) = 0 THEN 1 ELSE 0 END AS INTEGER) AS module_no, n = 0 AS d, chunk_id = min(chunk_id) OVER (PARTITION BY doc_id) AS opening FROM seg1),
+seg AS (SELECT doc_id, module_no, min(CASE WHEN d THEN 'General Content' WHEN h <> '' THEN regexp_replace(regexp_replace(h, '[:.]$', ''), '^\s+|\s+$', '', 'g') END) AS title, CASE WHEN bool_or(d) THEN list_prepend(min(chunk_id), list(chunk_id ORDER BY chunk_id)) ELSE list(chunk_id ORDER BY chunk_id) END AS chunk_indices, flatten(list(CASE WHEN h = '' AND NOT opening THEN p ELSE [] END ORDER BY chunk_id)) AS all_topics FROM seg2 GROUP BY doc_id, module_no)"""
 
 
 def _segments(body: str, *views: str) -> str:
@@ -373,7 +392,7 @@ def q_library_quota(spark, d):
     return D.documents(spark, d).select("doc_id", total.alias("total")).select("doc_id", "total", mcq.alias("mcq"), short.alias("short"), rest.alias("conceptual"), easy.alias("easy"), medium.alias("medium"), hard.alias("hard"))
 
 
-_TREE = rf"""tp AS (SELECT s.doc_id, s.module_no, t.chunk_id, t.p, t.i FROM (SELECT doc_id, module_no, unnest(list_distinct(chunk_indices)) AS chunk_id FROM seg) s JOIN (SELECT doc_id, chunk_id, unnest(p) AS p, unnest(range(len(p))) AS i FROM seg0 WHERE h = '') t USING (doc_id, chunk_id) JOIN seg1 USING (doc_id, chunk_id) WHERE seg1.n > 0),
+_TREE = rf"""tp AS (SELECT s.doc_id, s.module_no, t.chunk_id, t.p, t.i FROM (SELECT doc_id, module_no, unnest(list_distinct(chunk_indices)) AS chunk_id FROM seg) s JOIN (SELECT doc_id, chunk_id, unnest(p) AS p, unnest(range(len(p))) AS i FROM seg2 WHERE h = '' AND NOT opening) t USING (doc_id, chunk_id)),
 tf AS (SELECT doc_id, module_no, p AS title, min(chunk_id) AS chunk_id, min((chunk_id, i)) AS k FROM tp GROUP BY ALL),
 tn AS (SELECT doc_id, module_no, title, chunk_id, row_number() OVER (PARTITION BY doc_id, module_no ORDER BY k) AS no FROM tf)"""
 
@@ -386,7 +405,7 @@ def q_topic_tree(spark, d):
     return rows.select("doc_id", "module_no", "t.id", "t.title", F.get("t.learning_objectives", F.lit(0)).alias("objective"), F.get("t.chunk_indices", F.lit(0)).alias("chunk_id"))
 
 
-@query(sql("", "docs").rstrip() + f",\n{_CONCEPTS},\ncv AS (SELECT doc_id, concept, least(100.0::DOUBLE, (length(lower(content)) - length(replace(lower(content), lower(concept), ''))) // length(concept) * 10.0::DOUBLE + 20.0::DOUBLE) AS coverage FROM (SELECT doc_id, content, unnest(concepts) AS concept FROM kc))\nSELECT doc_id, concept, coverage, CAST(place AS INTEGER) AS place, 0.0::DOUBLE AS by_id FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY coverage DESC, concept) AS place FROM cv) WHERE place <= 3")
+@query(sql("", "docs").rstrip() + f",\n{_COVERAGE}\nSELECT doc_id, concept, coverage, CAST(place AS INTEGER) AS place, 0.0::DOUBLE AS by_id FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY coverage DESC, concept) AS place FROM cv) WHERE place <= 3")
 def q_coverage_display(spark, d):
     maps = concepts.coverage_map(concepts.concept_coverage(_concept_docs(spark, d), "content"))
     by_id = concepts.covered(F.col("coverage"), F.lit("1.1")).alias("by_id")
@@ -518,7 +537,8 @@ def q_json_recover(spark, d):
 @query(
     """SELECT id, question_no, CASE question_no WHEN 0 THEN name WHEN 1 THEN brand WHEN 2 THEN 'Untitled' ELSE 'q3' END AS question_text, CASE question_no WHEN 0 THEN 'mcq' ELSE 'short' END AS question_type,
     CASE question_no WHEN 0 THEN 'false' WHEN 1 THEN '0' WHEN 2 THEN type ELSE '' END AS correct_answer, CASE question_no WHEN 0 THEN brand ELSE 'General' END AS concept_tag,
-    CASE question_no WHEN 0 THEN 'Hard' WHEN 1 THEN 'Easy' ELSE 'Medium' END AS difficulty, CASE question_no WHEN 0 THEN 15 WHEN 1 THEN 5 WHEN 2 THEN 7 ELSE 10 END AS points,
+    CASE question_no WHEN 0 THEN 'Hard' WHEN 1 THEN 'Easy' ELSE 'Medium' END AS difficulty, CASE question_no WHEN 0 THEN 15 WHEN 1 THEN 5 WHEN 2 THEN 7 ELSE CAST(id % 50 + 2 AS INTEGER) END AS points,
+    CASE question_no WHEN 0 THEN '["' || type || '","' || brand || '"]' WHEN 1 THEN '{"a":"' || brand || '"}' END AS options,
     CASE question_no WHEN 0 THEN left(type, 30) ELSE 'The first chunk of the selection.' END AS grounding_chunk
     FROM (SELECT p_partkey AS id, p_name AS name, p_brand AS brand, p_type AS type FROM part WHERE p_partkey % 3 <> 0) CROSS JOIN (SELECT unnest([0, 1, 2, 3]) AS question_no)
     WHERE question_no <> 0 OR contains('The first chunk of the selection. ' || (SELECT string_agg(p_type, ' ') FROM (SELECT DISTINCT p_type FROM part)), left(left(type, 30), 40))"""
@@ -528,20 +548,23 @@ def q_reply_defaults(spark, d):
     p = D.table(spark, d, "part")
     field = lambda **kw: F.struct(*[c.alias(n) for n, c in kw.items()])
     none, lit = F.lit(None).cast("string"), F.lit
-    of = lambda qt=none, q=none, t=none, ca=none, a=none, ct=none, c=none, df=none, g=none, pt=F.lit(None).cast("int"): field(question_text=qt, question=q, question_type=t, correct_answer=ca, answer=a, concept_tag=ct, concept=c, difficulty=df, grounding_chunk=g, points=pt)
+    of = lambda qt=none, q=none, t=none, ca=none, a=none, ct=none, c=none, df=none, g=none, pt=none, op=none: field(question_text=qt, question=q, question_type=t, correct_answer=ca, answer=a, concept_tag=ct, concept=c, difficulty=df, grounding_chunk=g, points=pt, options=op)
     asked = F.array(
-        of(qt=F.col("p_name"), t=lit("MCQ"), ca=lit("false"), c=F.col("p_brand"), df=lit("Hard"), g=F.left("p_type", lit(30))),
-        of(q=F.col("p_brand"), qt=lit(""), a=lit("0"), df=lit("Easy"), g=lit("made up, in no chunk of the selection at all")),
-        of(ca=lit(""), a=F.col("p_type"), pt=lit(7)),
-        of(qt=lit("q3"), t=lit("")),
+        of(qt=F.col("p_name"), t=lit("MCQ"), ca=lit("false"), c=F.col("p_brand"), df=lit("Hard"), g=F.left("p_type", lit(30)), op=lit("@array")),
+        of(q=F.col("p_brand"), qt=lit(""), a=lit("0"), df=lit("Easy"), g=lit("made up, in no chunk of the selection at all"), op=lit("@object")),
+        of(ca=lit(""), a=F.col("p_type"), pt=lit("7")),
+        of(qt=lit("q3"), t=lit(""), pt=lit("@decimal")),
         of(qt=lit("one too many")),
     )
     kept = F.when(F.col("p_partkey") % 3 == 0, F.slice(asked, 1, 3)).otherwise(asked)
-    replies = p.select(F.col("p_partkey").alias("id"), F.concat(lit("Sure:\n```json\n"), F.to_json(kept), lit("\n```")).alias("raw"))
+    said = F.to_json(kept)
+    for mark, value in (("@array", F.to_json(F.array("p_type", "p_brand"))), ("@object", F.concat(lit('{"a":"'), "p_brand", lit('"}'))), ("@decimal", F.concat((F.col("p_partkey") % 50 + 2).cast("string"), lit(".0")))):
+        said = F.replace(said, lit(f'"{mark}"'), value)
+    replies = p.select(F.col("p_partkey").alias("id"), F.concat(lit("Sure:\n```json\n"), said, lit("\n```")).alias("raw"))
     texts = p.select(F.col("p_type").alias("text")).distinct().withColumn("place", F.lit(1))
     selected = spark.createDataFrame([("The first chunk of the selection.", 0)], "text string, place int").unionByName(texts)
     made = Q.normalised_replies(replies, "raw", total=4, selected=selected)
-    return made.select("id", "question_no", "question_text", "question_type", "correct_answer", "concept_tag", "difficulty", "points", "grounding_chunk")
+    return made.select("id", "question_no", "question_text", "question_type", "correct_answer", "concept_tag", "difficulty", "points", "options", "grounding_chunk")
 
 
 @query("SELECT item_id AS id, 'https://api.dicebear.com/7.x/initials/svg?seed=' || url_encode(CASE WHEN item_id % 2 = 0 THEN left(text, 20) ELSE 'a.b@c.edu' END) AS avatar, 'a.b' AS name FROM benchmark WHERE text IS NOT NULL")

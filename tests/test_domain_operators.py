@@ -43,6 +43,10 @@ def test_module_segments(spark):
     got = {(r.doc_id, r.module_no): (r.title, r.chunk_indices, r.topics) for r in modules.module_segments(chunks).collect()}
     assert got[0, 1] == ("General Content", [0, 0, 1], []) and got[0, 2] == ("Module 1", [2, 3], ["Big Idea", "Other Thing"])
     assert got[1, 1] == ("UNIT IV", [0], []) and got[2, 1] == ("General Content", [0, 0], [])
+    told = chunk_table(spark, [(5, 0, "intro Text"), (5, 1, "Big Idea here"), (5, 2, "Other Thing. Big Idea. Third One. Fourth Two")])
+    assert modules.module_segments(told).collect()[0].topics == ["Big Idea", "Other Thing", "Third One"]
+    topics = modules.topic_tree(told).collect()[0].topics
+    assert [(t.id, t.title, t.chunk_indices) for t in topics] == [("1.1", "Big Idea", [1]), ("1.2", "Other Thing", [2]), ("1.3", "Third One", [2])]
     clean = modules.module_segments(chunks, dedupe_default=True).where("doc_id = 0 and module_no = 1").collect()[0]
     assert clean.chunk_indices == [0, 1]
 

@@ -42,6 +42,16 @@ def test_chunks(spark):
         assert all(s.strip() in " ".join(chunks) for s in re.split(r"(?<=[.!?])\s+", t or ""))
 
 
+def test_white_space_of_all_scripts(spark):
+    blanks = [chr(i) for i in range(0x3100) if chr(i).isspace()]
+    texts = [f"{b}One{b}two.{b}Three{b}{b}four!{b}" + f"word{b}" * 400 for b in [*blanks, "\ufeff", "\u200b", "\x1b"]]
+    assert len(blanks) == 29
+    assert one(spark, texts, T.chunk_texts) == [chunks_brute(t) for t in texts]
+    assert one(spark, texts, T.word_count) == [len(t.split()) for t in texts]
+    assert one(spark, texts, T.strip) == [t.strip() for t in texts]
+    assert one(spark, [f"Machine{b}Learning Unit 3: Deep{b}Nets." for b in blanks], T.phrases)[5] == re.findall(r"[A-Z][a-z]+(?:\s+[A-Z][a-z]+){0,2}", f"Machine{blanks[5]}Learning Unit 3: Deep{blanks[5]}Nets.")
+
+
 def test_ui_chunks(spark):
     got = one(spark, ["a" * 200 + ". " + "b" * 200 + ". c", "short", None], T.ui_chunk_texts)
     assert [len(g) for g in got] == [2, 1, 0] and got[0][1] == "c"
