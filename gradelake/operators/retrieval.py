@@ -2,51 +2,112 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from gradelake.functions import text as T
+from gradelake.sources.tables import written
+
+
+LEXICAL, GROUNDING = 0.7, 0.3
+_SEEDS = 8  # best blocks of each term whose best chunk is scored first
+_GROUP = 150_000  # rows of (query, term, block) that go to all tasks at once
+_ROUNDING = 2e-6  # scores are rounded to six decimals
 
 
-def _numbered(rows: DataFrame, text_col: str, size_col: str, keys: list[str]) -> DataFrame:
-    """(keys, size_col, word): each word with the number of its occurrence, so that two texts share as many as their multisets of words do."""
+def indexed(chunks: DataFrame) -> DataFrame:
+    """Chunks with ``terms``, ``n_chunk`` (their number) and ``block``, as the retrieval index stores them.
+
+    A term is a word with the number of its occurrence, so that two texts share as many terms
+    as their multisets of words do. A block holds chunks of about the same number of words (a
+    quarter apart) and grounding score (0.025 apart), so that what a chunk can score is much the
+    same in all of a block.
+    """
     # In columns of their own, as a function over an array would work out the array anew for each element.
-    ordered = rows.select(*keys, F.sort_array(T.words(F.col(text_col))).alias("_w"))
-    numbered = F.transform("_w", lambda w, i: F.concat_ws(" ", w, (i - F.array_position(F.col("_w"), w)).cast("string")))
-    return ordered.select(*keys, F.size("_w").alias(size_col), F.explode(numbered).alias("word"))
+    rows = chunks.withColumn("_w", F.sort_array(T.words(F.col("text"))))
+    rows = rows.withColumn("terms", F.transform("_w", lambda w, i: F.concat_ws(" ", w, (i - F.array_position(F.col("_w"), w)).cast("string"))))
+    length = F.floor(F.log(F.size("_w") + 1) / F.log(F.lit(1.25)))
+    return rows.withColumns({"n_chunk": F.size("_w"), "block": length * 1000 + F.floor(F.col("grounding_score") * 40)}).drop("_w")
+
+
+def _score(overlap: Column) -> Column:
+    norm = (F.col("n_query") + F.col("n_chunk")) / F.lit(2.0)
+    return F.round(F.when(norm > 0, overlap / norm).otherwise(0.0) * LEXICAL + F.col("grounding_score") * GROUNDING, 6)
+
+
+def _spared(n_chunk: Column, grounding: Column) -> Column:
+    """How many terms a chunk may share with a query and still score below the query's ``threshold``."""
+    return (F.col("threshold") - grounding * GROUNDING) * (F.col("n_query") + n_chunk) / (2 * LEXICAL)
 
 
 def scored_chunks(queries: DataFrame, chunks: DataFrame, top_k: int, query_col: str = "query_id", doc_col: str = "doc_id") -> DataFrame:
-    """The ``top_k`` chunks of each query: (query, doc, chunk_id, score, rank).
-
-    The score is 0.7 x the words in common over the mean number of words, and 0.3 x the
-    chunk's grounding score; ties go by document and chunk. A chunk without a common word
-    still scores by its grounding, so the ``top_k`` chunks by grounding alone stand with every
-    query at an overlap of 0; no other such chunk can be among the best. Those few are read
-    first and go into the plan. Words meet in one equi-join; of what each task finds, only its
-    best by query is shuffled for the order. ``chunks`` are read twice: hand in a stored table.
+    """The ``top_k`` chunks of each query: (query, doc, chunk_id, overlap, score, rank).
+
+    The score is 0.7 x the terms in common over the mean number of terms, and 0.3 x the chunk's
+    grounding score; ties go by document and chunk. Chunks are not scored against all queries:
+
+    1. For each term of a query and each block of chunks, the number of chunks and the one of
+       largest impact are found. The best of a query's terms, and the ``top_k`` chunks by
+       grounding alone (chunks without a common term can be nowhere else among the best), are
+       scored: the last of the best ``top_k`` of these is the query's threshold.
+    2. A query's terms stand from the most common to the rarest. In a block, the first so many
+       of them cannot lift a chunk to the threshold, whatever else is in it: only the rarer
+       terms are looked up there. Common words are thus not looked up but in chunks so short
+       that they count.
+    3. Chunks found so are scored exactly where they lie, and only those that reach the
+       threshold are shuffled for the order.
+
+    The rows of step 2 go to all tasks in groups of queries of a checked size, each reading the
+    index once. ``chunks`` are read several times: hand in a stored table, ``indexed`` best.
     """
-    chunk_key = [doc_col, "chunk_id"]
-    found = [query_col, "n_query", *chunk_key, "n_chunk", "grounding_score"]
-    # A chunk's words stay in its task, where most of the counting is done.
-    c = _numbered(chunks, "text", "n_chunk", [*chunk_key, "grounding_score"])
-    common = c.join(_numbered(queries, "query", "n_query", [query_col]), "word").groupBy(*found).agg(F.count(F.lit(1)).cast("int").alias("overlap"))
-    asked = queries.select(query_col, F.size(T.words(F.col("query"))).alias("n_query"))
-    best = chunks.select(*chunk_key, "grounding_score", "text").orderBy(F.desc("grounding_score"), *chunk_key).limit(top_k)
-    best = best.select(*chunk_key, "grounding_score", F.size(T.words(F.col("text"))).alias("n_chunk")).collect()
-    kind = c.drop("word").select(*chunk_key, "grounding_score", "n_chunk").schema.simpleString()
-    alone = asked.withColumn("_b", F.explode(F.array(*[F.struct(*[F.lit(v).alias(n) for n, v in r.asDict().items()]) for r in best]).cast(f"array<{kind}>")))
-    alone = alone.select(query_col, "n_query", "_b.*").withColumn("overlap", F.lit(0)).select(*found, "overlap")
-    norm = (F.col("n_query") + F.col("n_chunk")) / F.lit(2.0)
-    lexical = F.when(norm > 0, F.col("overlap") / norm).otherwise(0.0)
-    scored = common.unionByName(alone).withColumn("score", F.round(lexical * 0.7 + F.col("grounding_score") * 0.3, 6))
-    order = Window.partitionBy(query_col).orderBy(F.desc("score"), *chunk_key, F.desc("overlap"))
-    # A chunk may stand twice, with its overlap and with 0: twice as many are surely enough.
-    few = scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= 2 * top_k)
-    once = few.groupBy(query_col, *chunk_key).agg(F.max(F.struct("score", "overlap")).alias("_s")).select(query_col, *chunk_key, "_s.overlap", "_s.score")
-    order = Window.partitionBy(query_col).orderBy(F.desc("score"), *chunk_key)
-    return once.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top_k).select(query_col, *chunk_key, "overlap", "score", "rank")
+    spark = chunks.sparkSession
+    key = [doc_col, "chunk_id"]
+    index = chunks if "terms" in chunks.columns else indexed(chunks)
+    index = index.select(*key, "grounding_score", "terms", "n_chunk", "block")
+    asked = written(indexed(queries.select(query_col, F.col("query").alias("text"), F.lit(0.0).alias("grounding_score"))).select(query_col, F.col("n_chunk").alias("n_query"), F.col("terms").alias("_q")), "asked")
+    wanted = asked.select(query_col, "n_query", F.explode("_q").alias("term"))
+
+    # 1. Blocks of each term, and thresholds.
+    impact = 2 * LEXICAL / (F.lit(64) + F.col("n_chunk")) + F.col("grounding_score") * GROUNDING
+    places = index.select(*key, "n_chunk", "grounding_score", "block", F.explode("terms").alias("term")).join(wanted.select("term").distinct(), "term", "left_semi")
+    facts = places.groupBy("term", "block").agg(F.count(F.lit(1)).alias("n"), F.max(F.struct(impact.alias("impact"), *key)).alias("best"), F.min("n_chunk").alias("shortest"), F.max("n_chunk").alias("longest"), F.max("grounding_score").alias("grounded"))
+    facts = written(facts, "term-blocks")
+    by_term = Window.partitionBy("term")
+    best = facts.withColumn("_r", F.row_number().over(by_term.orderBy(F.desc("best")))).where(F.col("_r") <= _SEEDS).select("term", "best.*").drop("impact")
+    first = index.select(*key, "grounding_score").orderBy(F.desc("grounding_score"), *key).limit(top_k).select(*key)
+    first = spark.createDataFrame(first.collect(), first.schema)  # top_k rows
+    every = asked.select(query_col).withColumn("_k", F.lit(1)).join(first.withColumn("_k", F.lit(1)), "_k").drop("_k")
+    seeds = wanted.join(best, "term").select(query_col, *key).unionByName(every).distinct()
+    overlap = F.size(F.array_intersect("terms", "_q"))
+    scored = index.join(seeds, key).join(asked, query_col).select(query_col, *key, overlap.alias("overlap"), _score(overlap).alias("score"))
+    scored = written(scored, "seeds")
+    order = Window.partitionBy(query_col).orderBy(F.desc("score"), *key)
+    last = scored.withColumn("_r", F.row_number().over(order)).where(F.col("_r") == top_k).select(query_col, (F.col("score") - _ROUNDING).alias("threshold"))
+
+    # 2. The terms that have to be looked up, by block.
+    common = facts.groupBy("term").agg(F.sum("n").alias("n"))
+    by_query = Window.partitionBy(query_col).orderBy(F.desc("n"), "term")
+    ranked = wanted.join(common, "term").withColumn("place", F.row_number().over(by_query)).join(last, query_col, "left")
+    ranked = ranked.withColumn("threshold", F.coalesce("threshold", F.lit(-1.0))).drop("n")
+    looked_up = ranked.join(facts.drop("best", "n"), "term").where(F.col("place") > _spared(F.col("shortest"), F.col("grounded")))
+    most = 2 * LEXICAL * F.col("longest") / (F.col("n_query") + F.col("longest")) + F.col("grounded") * GROUNDING
+    looked_up = looked_up.where(most >= F.col("threshold")).select(query_col, "term", "block", "place", "threshold")
+    looked_up = written(looked_up, "looked-up")
+
+    # 3. Exact scores where chunks lie.
+    groups = 1 + looked_up.count() // _GROUP
+    of = F.pmod(F.xxhash64(query_col), F.lit(groups))
+    found = []
+    for g in range(groups):
+        some, mine = (F.broadcast(df.where(of == g)) for df in (looked_up, asked))
+        met = index.withColumn("term", F.explode("terms")).join(some, ["term", "block"]).join(mine, query_col)
+        met = met.where(F.col("place") > _spared(F.col("n_chunk"), F.col("grounding_score")))
+        found.append(met.select(query_col, *key, overlap.alias("overlap"), _score(overlap).alias("score"), "threshold").where("score >= threshold").drop("threshold"))
+    once = reduce(DataFrame.unionByName, [scored, *found]).groupBy(query_col, *key).agg(F.max("overlap").alias("overlap"), F.max("score").alias("score"))
+    return once.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top_k).select(query_col, *key, "overlap", "score", "rank")
 
 
 def contexts(ranked: DataFrame, chunks: DataFrame, limit: int = 5, query_col: str = "query_id", doc_col: str = "doc_id") -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from gradelake.operators.chunking import chunk_documents
+from gradelake.operators.retrieval import indexed
 from gradelake.sources.tables import table, written
 
 
@@ -70,6 +71,11 @@ def chunk_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return written(chunks(spark, sf_dir), "chunks")
 
 
+def chunk_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The chunks with their terms, as the retrieval index stores them."""
+    return written(indexed(chunks(spark, sf_dir)), "chunk-index")
+
+
 def headed_chunks(spark: SparkSession, sf_dir: str, stored: bool = False) -> DataFrame:
     """Chunks of which every fourth from the second on starts with a module header."""
     rows = chunk_table(spark, sf_dir) if stored else chunks(spark, sf_dir)

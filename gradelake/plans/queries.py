@@ -110,17 +110,17 @@ def _retrieval(body: str) -> str:
 
 @query(_retrieval("SELECT * FROM ranked WHERE rank <= 5"))
 def q_retrieve_topk(spark, d):
-    return retrieval.scored_chunks(D.queries(spark, d), D.chunk_table(spark, d), 5)
+    return retrieval.scored_chunks(D.queries(spark, d), D.chunk_index(spark, d), 5)
 
 
 @query(_retrieval("SELECT query_id, doc_id, chunk_id, score FROM ranked WHERE rank = 1"))
 def q_best_grounding(spark, d):
-    return retrieval.scored_chunks(D.queries(spark, d), D.chunk_table(spark, d), 1).select("query_id", "doc_id", "chunk_id", "score")
+    return retrieval.scored_chunks(D.queries(spark, d), D.chunk_index(spark, d), 1).select("query_id", "doc_id", "chunk_id", "score")
 
 
 @query(_retrieval("""SELECT query_id, string_agg('[Chunk ' || (chunk_id + 1) || ' | p' || page || ' | ' || tokens || ' tok | g=' || CAST(grounding_score AS VARCHAR) || ']: ' || text, chr(10) || chr(10) ORDER BY rank) AS context FROM ranked JOIN chunks USING (doc_id, chunk_id) WHERE rank <= 5 GROUP BY query_id"""))
 def q_context(spark, d):
-    chunks = D.chunk_table(spark, d)
+    chunks = D.chunk_index(spark, d)
     return retrieval.contexts(retrieval.scored_chunks(D.queries(spark, d), chunks, 5), chunks)
 
 
