@@ -802,6 +802,45 @@ def q_recorder_overflow(spark, d):
     return sessions.halved_on_overflow(D.interactions(spark, d), "user_id", "t", "event_id", 40).select("user_id", "event_id")
 
 
+_RECORD = """WITH timed AS (SELECT user_id, event_id, CASE event_type WHEN 'click' THEN 'click' WHEN 'view' THEN 'scroll' ELSE 'cursor' END AS type, epoch_us(ts) // 1000 - min(epoch_us(ts) // 1000) OVER (PARTITION BY user_id) AS t FROM events),
+ev AS (SELECT * FROM timed WHERE t < 864000000),
+folded AS (SELECT user_id, type, unnest(list_reduce(list_prepend([]::BIGINT[], list_transform(ts, lambda t: [t])), lambda a, x: CASE WHEN len(a) = 0 OR x[1] - a[-1] >= gap THEN list_concat(a, x) ELSE a END)) AS t
+    FROM (SELECT user_id, type, CASE type WHEN 'scroll' THEN 3600000 ELSE 7200000 END AS gap, list_sort(list(DISTINCT t)) AS ts FROM ev WHERE type <> 'click' GROUP BY user_id, type)),
+taken AS (SELECT user_id, type, t, min(event_id) AS event_id FROM folded JOIN ev USING (user_id, type, t) GROUP BY ALL UNION ALL SELECT user_id, type, t, event_id FROM ev WHERE type = 'click'),
+numbered AS (SELECT *, CASE type WHEN 'cursor' THEN 'cursor' ELSE 'interaction' END AS kind, row_number() OVER (PARTITION BY user_id, type = 'cursor' ORDER BY t, event_id) AS n FROM taken),
+sized AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY t DESC, event_id DESC) AS r, count(*) OVER (PARTITION BY user_id) AS n FROM ev)"""
+
+
+@query(f"""{_RECORD}
+    SELECT user_id, event_id, t, type, kind FROM numbered WHERE n <= CASE kind WHEN 'cursor' THEN 9 ELSE 12 END
+    UNION ALL SELECT user_id, event_id, t, type, 'store' FROM sized WHERE r <= CASE WHEN n <= 7 THEN n ELSE 4 + (n - 8) % 4 END""")
+def q_recorder(spark, d):
+    """What the recorder keeps of each user's events within ten days, and the replay store after its overflows."""
+    e = D.table(spark, d, "events")
+    kind = F.when(F.col("event_type") == "click", "click").when(F.col("event_type") == "view", "scroll").otherwise("cursor")
+    rows = e.select("user_id", "event_id", "ts", kind.alias("type"))
+    return sessions.recorded(rows, sessions.Limits(ms=864_000_000, interactions=12, cursors=9, stored=7, scroll_gap_ms=3_600_000, cursor_gap_ms=7_200_000))
+
+
+@query("""WITH a AS (SELECT o_orderkey AS id, TIMESTAMP '2024-01-01' + to_minutes(o_orderkey % 1000) AS at, o_orderkey % 5 + 1 AS limit_minutes FROM orders),
+g AS (SELECT l_orderkey AS id, TIMESTAMP '2024-01-01' + to_minutes(l_orderkey % 1000) + to_seconds(70 * l_linenumber) AS at, l_linenumber AS seq, l_partkey % 3 AS q, l_returnflag AS answer, l_linenumber = 4 AS sent FROM lineitem),
+c AS (SELECT a.id, least(a.at + to_minutes(limit_minutes), min(g.at) FILTER (sent)) AS closed_at, coalesce(min(g.at) FILTER (sent) <= a.at + to_minutes(limit_minutes), FALSE) AS by_student FROM a LEFT JOIN g USING (id) GROUP BY a.id, a.at, limit_minutes),
+l AS (SELECT g.id, q, arg_max(answer, (g.at, seq, answer)) AS answer FROM g JOIN c USING (id) WHERE NOT sent AND g.at <= closed_at GROUP BY g.id, q)
+SELECT c.id AS attempt_id, epoch_us(closed_at) AS closed_us, CASE WHEN by_student THEN 'student' ELSE 'time' END AS by, coalesce(string_agg(q || '=' || answer, ';' ORDER BY q), '') AS answers FROM c LEFT JOIN l USING (id) GROUP BY ALL""")
+def q_countdown(spark, d):
+    """Attempts, one an order: answered line by line, sent with the fourth, closed when their minutes are over."""
+    o, line = D.table(spark, d, "orders"), D.table(spark, d, "lineitem")
+    began = lambda key: F.timestamp_seconds(F.lit(1_704_067_200) + key % 1000 * 60)
+    none = F.lit(None).cast("string")
+    starts = o.select(F.col("o_orderkey").alias("attempt_id"), began(F.col("o_orderkey")).alias("ts"), F.lit(0).cast("long").alias("seq"), F.lit("start").alias("kind"), F.lit(None).cast("long").alias("question_id"), none.alias("answer"), (F.col("o_orderkey") % 5 + 1).cast("int").alias("limit_minutes"))
+    sent = F.col("l_linenumber") == 4
+    at = began(F.col("l_orderkey")) + F.make_dt_interval(secs=70 * F.col("l_linenumber"))
+    given = line.select(F.col("l_orderkey").alias("attempt_id"), at.alias("ts"), F.col("l_linenumber").cast("long").alias("seq"), F.when(sent, "submit").otherwise("answer").alias("kind"), (F.col("l_partkey") % 3).alias("question_id"), F.col("l_returnflag").alias("answer"), F.lit(None).cast("int").alias("limit_minutes"))
+    closed = sessions.closed_attempts(starts.unionByName(given))
+    said = F.array_join(F.transform("answers", lambda a: F.concat_ws("=", a["question_id"], a["answer"])), ";")
+    return closed.select("attempt_id", F.unix_micros("closed_at").alias("closed_us"), "by", said.alias("answers"))
+
+
 # Sessions of the event stream, on its batch form
 
 
