@@ -33,9 +33,14 @@ def inserted_if_absent(existing: DataFrame, new: DataFrame, key: str) -> DataFra
     return existing.unionByName(fresh, allowMissingColumns=True)
 
 
-def updated(rows: DataFrame, changes: DataFrame, key: str, columns: list[str]) -> DataFrame:
-    """Rows with the non-null values of ``changes`` (one row per key) in ``columns``."""
-    new = changes.select(key, *[F.col(c).alias(f"_{c}") for c in columns])
+def updated(rows: DataFrame, changes: DataFrame, key: str, columns: list[str], order: str | None = None) -> DataFrame:
+    """Rows with the non-null values of ``changes`` in ``columns``.
+
+    Of several changes of a key the last one by ``order`` that has a value counts, for each
+    column; without an order the greatest value.
+    """
+    last = lambda c: F.max(c) if order is None else F.max_by(c, F.when(F.col(c).isNotNull(), F.col(order)))
+    new = changes.groupBy(key).agg(*[last(c).alias(f"_{c}") for c in columns])
     out = rows.join(new, key, "left")
     return out.withColumns({c: F.coalesce(f"_{c}", c) for c in columns}).drop(*[f"_{c}" for c in columns]).select(*rows.columns)
 

@@ -211,6 +211,27 @@ def normalised_replies(replies: DataFrame, raw_col: str, least: int = 4, total:
     return grounded(cited, selected)
 
 
+def sampling_key(weight: Column, seed: int, *parts: Column) -> Column:
+    """A row's draw: the time of its first event at a rate of ``weight``, from a digest of seed and parts; null without a weight.
+
+    The rows with the least draws are a weighted sample without replacement, the same in every
+    run of a seed. Draws do not hang on other rows, so samples of parts merge.
+    """
+    digest = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), *[p.cast("string") for p in parts])), 1, 12), 16, 10).cast("double")
+    return F.when(weight > 0, -F.log((digest + 1) / F.lit(float(1 << 48))) / weight)
+
+
+def weighted_sample(rows: DataFrame, weight: str, parts: list[str], k: int, seed: int) -> DataFrame:
+    """``k`` rows with chances by ``weight``, without replacement, in the order they are drawn (``place``); ties by ``parts``.
+
+    Each task keeps its own ``k`` first. Rows without a positive weight are never drawn.
+    """
+    drawn = rows.withColumn("_key", sampling_key(F.col(weight), seed, *[F.col(p) for p in parts])).where("_key is not null")
+    few = drawn.orderBy("_key", *parts).limit(k)
+    order = Window.partitionBy(F.lit(1)).orderBy("_key", *parts)
+    return few.withColumn("place", F.row_number().over(order) - 1).drop("_key")
+
+
 def existing_prompt(questions: DataFrame, most: int = 100) -> DataFrame:
     """(existing, tags): the first 80 characters of up to ``most`` known questions as a list, and their distinct concepts.
 

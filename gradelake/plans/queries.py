@@ -10,7 +10,7 @@ from pyspark.sql.window import Window
 
 from gradelake.functions import grading as G
 from gradelake.functions import text as T
-from gradelake.operators import chunking, concepts, crud, grading, materials, modules, reports, retrieval, sessions
+from gradelake.operators import changes, chunking, concepts, crud, grading, materials, modules, reports, retrieval, sessions
 from gradelake.operators import questions as Q
 from gradelake.plans import domain as D
 from gradelake.plans.domain import sql
@@ -351,6 +351,14 @@ def q_concept_match(spark, d):
     return concepts.chunk_concepts(D.chunks(spark, d), kc).withColumn("concepts", F.array_join("concepts", "; "))
 
 
+@query(sql(rf"""SELECT concept, doc_id, chunk_id FROM (SELECT DISTINCT unnest(regexp_extract_all(text, '{_PHRASE}')) AS concept FROM (SELECT text FROM chunks WHERE chunk_id % 5 = 1)) JOIN chunks ON contains(lower(text), lower(concept))""", "chunks"))
+def q_concept_places(spark, d):
+    """All phrases that every fifth chunk of a document holds, looked for in all chunks."""
+    chunks = D.chunk_table(spark, d)
+    phrases = chunks.where("chunk_id % 5 = 1").select(F.explode(T.phrases(F.col("text"))).alias("concept")).distinct()
+    return concepts.concept_places(chunks, phrases)
+
+
 _SEGMENTS = rf"""seg0 AS (SELECT doc_id, chunk_id, regexp_extract(text, '(?im)^(?:Module|MODULE|Unit|UNIT)\s+(?:\d+|[IVX]+)[:.\s]') AS h, list_slice(regexp_extract_all(text, '{_PHRASE}'), 1, 3) AS p FROM headed),
 seg1 AS (SELECT *, sum(CASE WHEN h <> '' THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY chunk_id) AS n FROM seg0),
 seg2 AS (SELECT *, CAST(n + CASE WHEN min(n) OVER (PARTITION BY doc_id) = 0 THEN 1 ELSE 0 END AS INTEGER) AS module_no, n = 0 AS d, chunk_id = min(chunk_id) OVER (PARTITION BY doc_id) AS opening FROM seg1),
@@ -467,6 +475,12 @@ def q_weighted_select(spark, d):
     return _selected(spark, d).select("doc_id", "chunk_id", F.round("weight", 6).alias("weight"), "place")
 
 
+@query(sql("SELECT doc_id, chunk_id, CAST(row_number() OVER (ORDER BY draw, doc_id, chunk_id) - 1 AS INTEGER) AS place FROM (SELECT doc_id, chunk_id, -ln((('0x' || substr(md5('7:' || doc_id || ':' || chunk_id), 1, 12))::BIGINT::DOUBLE + 1) / 281474976710656.0::DOUBLE) / grounding_score AS draw FROM chunks) QUALIFY place < 40", "chunks"))
+def q_weighted_sample(spark, d):
+    """Forty chunks drawn by their grounding scores."""
+    return Q.weighted_sample(D.chunks(spark, d), "grounding_score", ["doc_id", "chunk_id"], 40, seed=7).select("doc_id", "chunk_id", "place")
+
+
 @query(sql("SELECT doc_id, round(greatest(0.1, least(1.0, v)) / sum(greatest(0.1, least(1.0, v))) OVER (), 9) AS share FROM (SELECT doc_id, (doc_id % 13) / 10.0::DOUBLE AS v FROM docs)", "docs"))
 def q_weight_shares(spark, d):
     w = D.documents(spark, d).select("doc_id", ((F.col("doc_id") % 13) / F.lit(10.0)).alias("weight"))
@@ -764,6 +778,61 @@ def q_update(spark, d):
     return crud.updated(rows, changes, "id", ["score"])
 
 
+_LOG = """g AS (SELECT l_orderkey % 1000 AS id, l_orderkey * 10 + l_linenumber AS seq, CASE WHEN l_orderkey % 7 = 3 AND l_linenumber = 2 THEN 'delete' ELSE 'put' END AS op,
+    CASE WHEN l_linenumber % 2 = 0 THEN CAST(floor(l_quantity) AS BIGINT) END AS score, CASE WHEN l_linenumber % 3 = 0 THEN l_returnflag END AS status FROM lineitem)"""
+
+
+def _change_log(spark, d):
+    """Several changes of each of a thousand submissions: scores, states, deletions, in no order."""
+    line = D.table(spark, d, "lineitem")
+    n, none = F.col("l_linenumber"), F.lit(None)
+    return line.select(
+        (F.col("l_orderkey") % 1000).alias("id"),
+        (F.col("l_orderkey") * 10 + n).alias("seq"),
+        F.when((F.col("l_orderkey") % 7 == 3) & (n == 2), "delete").otherwise("put").alias("op"),
+        F.when(n % 2 == 0, F.floor("l_quantity").cast("long")).otherwise(none).alias("score"),
+        F.when(n % 3 == 0, F.col("l_returnflag")).otherwise(none).alias("status"),
+    )
+
+
+@query(sql("", "submissions").rstrip() + f""",\n{_LOG},
+x AS (SELECT id, max(seq) FILTER (op = 'delete') AS gone, max(seq) FILTER (op = 'put') AS put FROM g GROUP BY id),
+v AS (SELECT g.id, max((seq, score)) FILTER (op = 'put' AND score IS NOT NULL AND seq > coalesce(gone, -1)) AS s, max((seq, g.status)) FILTER (op = 'put' AND g.status IS NOT NULL AND seq > coalesce(gone, -1)) AS t FROM g JOIN x USING (id) GROUP BY g.id)
+SELECT coalesce(b.id, x.id) AS id, v.s[2] AS score, CASE WHEN v.t IS NOT NULL THEN v.t[2] WHEN gone IS NULL THEN b.status END AS status FROM submissions b FULL JOIN x ON x.id = b.id LEFT JOIN v ON v.id = x.id WHERE x.id IS NULL OR put > coalesce(gone, -1)""")
+def q_merge_log(spark, d):
+    """Submissions after a log of changes, several for each key, merged in two parts of which the first is run twice."""
+    columns = ["score", "status"]
+    base = D.submissions(spark, d).select("id", F.lit(None).cast("long").alias("score"), "status")
+    log = _change_log(spark, d)
+    half = log.agg(F.percentile_approx("seq", 0.5)).first()[0] or 0
+    early = changes.merged(changes.fresh(base), log.where(F.col("seq") <= half), "id", columns)
+    again = changes.merged(early, log.where(F.col("seq") <= half), "id", columns)
+    return changes.live(changes.merged(again, log, "id", columns))
+
+
+@query(sql("SELECT submission_id, CAST(sum(greatest(0, least(CASE WHEN submission_id % 5 = 0 AND question_id % 2 = 0 THEN 15 - (submission_id + question_id) % 20 ELSE score END, points))) AS BIGINT) AS score, CAST(sum(points) AS BIGINT) AS total, count(*) AS n_answers FROM answers JOIN questions ON question_id = id GROUP BY submission_id", "answers", "questions"))
+def q_rollup_delta(spark, d):
+    """Totals after a fifth of the submissions are graded again, from the old totals and what changed."""
+    answers, q = D.answers(spark, d), D.questions(spark, d)
+    totals = grading.rolled_up(grading.clamped_answers(answers, q))
+    return changes.kept_up(totals, changes.regrade_delta(answers, _regrades(answers), q), ["submission_id"])
+
+
+def _regrades(answers):
+    some = answers.where("submission_id % 5 = 0 and question_id % 2 = 0")
+    return some.select("submission_id", "question_id", (15 - (F.col("submission_id") + F.col("question_id")) % 20).cast("int").alias("score")).distinct()
+
+
+@query(sql("SELECT s.student_id, CAST(sum(t.score) AS BIGINT) AS score, CAST(sum(t.total) AS BIGINT) AS total, count(*) AS n_evaluated FROM submissions s JOIN (SELECT submission_id, sum(greatest(0, least(CASE WHEN submission_id % 5 = 0 AND question_id % 2 = 0 THEN 15 - (submission_id + question_id) % 20 ELSE score END, points))) AS score, sum(points) AS total FROM answers JOIN questions ON question_id = id GROUP BY submission_id) t ON t.submission_id = s.id WHERE status = 'evaluated' GROUP BY s.student_id", "answers", "questions", "submissions"))
+def q_roster_delta(spark, d):
+    """Students' sums after the same regrade, through the submissions' delta."""
+    answers, q, subs = D.answers(spark, d), D.questions(spark, d), D.submissions(spark, d)
+    scored = D.scored_submissions(spark, d).where("status = 'evaluated' and total is not null")
+    view = scored.groupBy("student_id").agg(F.sum("score").alias("score"), F.sum("total").alias("total"), F.count(F.lit(1)).alias("n_evaluated"))
+    delta = changes.roster_delta(changes.regrade_delta(answers, _regrades(answers), q), subs)
+    return changes.kept_up(view, delta, ["student_id"], "n_evaluated")
+
+
 # Sessions
 
 
