@@ -351,11 +351,11 @@ def q_concept_match(spark, d):
     return concepts.chunk_concepts(D.chunks(spark, d), kc).withColumn("concepts", F.array_join("concepts", "; "))
 
 
-@query(sql(rf"""SELECT concept, doc_id, chunk_id FROM (SELECT DISTINCT unnest(regexp_extract_all(text, '{_PHRASE}')) AS concept FROM (SELECT text FROM chunks WHERE chunk_id % 5 = 1)) JOIN chunks ON contains(lower(text), lower(concept))""", "chunks"))
+@query(sql(rf"""SELECT concept, doc_id, chunk_id FROM (SELECT DISTINCT unnest(regexp_extract_all(text, '{_PHRASE}')) AS concept FROM (SELECT text FROM chunks WHERE chunk_id % 9 = 4)) JOIN chunks ON contains(lower(text), lower(concept))""", "chunks"))
 def q_concept_places(spark, d):
-    """All phrases that every fifth chunk of a document holds, looked for in all chunks."""
+    """All phrases of every ninth chunk of a document from the fifth on, looked for in all chunks."""
     chunks = D.chunk_table(spark, d)
-    phrases = chunks.where("chunk_id % 5 = 1").select(F.explode(T.phrases(F.col("text"))).alias("concept")).distinct()
+    phrases = chunks.where("chunk_id % 9 = 4").select(F.explode(T.phrases(F.col("text"))).alias("concept")).distinct()
     return concepts.concept_places(chunks, phrases)
 
 
