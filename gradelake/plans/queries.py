@@ -10,7 +10,7 @@ from pyspark.sql.window import Window
 
 from gradelake.functions import grading as G
 from gradelake.functions import text as T
-from gradelake.operators import changes, chunking, concepts, crud, grading, materials, modules, reports, retrieval, sessions
+from gradelake.operators import analysis, changes, chunking, concepts, crud, grading, materials, modules, reports, retrieval, sessions
 from gradelake.operators import questions as Q
 from gradelake.plans import domain as D
 from gradelake.plans.domain import sql
@@ -452,6 +452,75 @@ def q_summary(spark, d):
     return _concept_docs(spark, d).select("doc_id", T.summary(F.col("content"), T.key_concepts(F.col("content"))).alias("summary"))
 
 
+# The analysis record
+
+_TREE_SQL = f"""{_COVERAGE},
+mw AS (SELECT doc_id, content, concepts, texts, len(texts) AS n, greatest(1, len(texts) // 4) AS w FROM kc JOIN kchunks USING (doc_id)),
+mt AS (SELECT doc_id, concepts, w, n, i, (i // w) + 1 AS m, (i % w) + 1 AS j, texts[i + 1] AS t FROM (SELECT *, unnest(range(n)) AS i FROM mw))"""
+
+
+@query(sql("", "docs").rstrip() + f""",\n{_TREE_SQL}
+    SELECT doc_id, 'module_' || m AS module_id, 'Module ' || m AS module_title, 'Content from chunks ' || ((m - 1) * w + 1) || '-' || least(m * w, n) AS module_description, CAST(least(m * w, n) - (m - 1) * w AS INTEGER) AS n_chunks, 1.0::DOUBLE AS weight,
+    'module_' || m || '_topic_' || j AS topic_id, 'Topic ' || m || '.' || j AS title, CASE WHEN length(t) > 150 THEN left(t, 150) || '...' ELSE t END AS description, CAST(i AS INTEGER) AS chunk_id,
+    array_to_string(list_slice(list_filter(concepts, lambda k: contains(lower(t), lower(k))), 1, 3), '; ') AS concepts FROM mt""")
+def q_module_tree(spark, d):
+    """The modules and topics of each document's record, read back from its stored form."""
+    records = analysis.analysis_records(_concept_docs(spark, d))
+    tree = "array<struct<id:string,title:string,description:string,topics:array<struct<id:string,title:string,description:string,chunk_indices:array<int>,concepts:array<string>>>,chunk_indices:array<int>,weight:double>>"
+    stored = records.select("doc_id", analysis.as_variant(F.col("analysis")).alias("v"))
+    rows = stored.select("doc_id", F.explode(F.variant_get("v", "$.module_structure", tree)).alias("m"))
+    rows = rows.select("doc_id", F.col("m.id").alias("module_id"), F.col("m.title").alias("module_title"), F.col("m.description").alias("module_description"), F.size("m.chunk_indices").alias("n_chunks"), "m.weight", F.explode("m.topics").alias("t"))
+    return rows.select("doc_id", "module_id", "module_title", "module_description", "n_chunks", "weight", F.col("t.id").alias("topic_id"), "t.title", "t.description", F.get("t.chunk_indices", F.lit(0)).alias("chunk_id"), F.array_join("t.concepts", "; ").alias("concepts"))
+
+
+@query(sql("", "docs").rstrip() + f""",\n{_TREE_SQL},
+cm AS (SELECT doc_id, string_agg(concept || '=' || CAST(coverage AS INTEGER), ';' ORDER BY concept) AS covered FROM cv GROUP BY doc_id),
+q AS (SELECT *, CAST(least(greatest(n // 2, 6), 20) AS INTEGER) AS total, CASE WHEN length(h) > 300 THEN left(h, 300) || '...' ELSE h END AS head FROM (SELECT *, array_to_string(list_slice(string_split(content, '. '), 1, 3), '. ') AS h FROM mw))
+SELECT doc_id, 'doc-' || doc_id AS title, head || ' This syllabus covers ' || len(concepts) || ' key concepts including ' || array_to_string(list_slice(concepts, 1, 5), ', ') || '.' AS summary, CAST(least(len(concepts), 15) AS INTEGER) AS n_concepts, CAST(ceil(n / CAST(w AS DOUBLE)) AS INTEGER) AS n_modules, coalesce(covered, '') AS covered,
+total // 3 AS mcq, total - 2 * (total // 3) AS conceptual, total, 'Based on ' || n || ' content chunks covering ' || len(concepts) || ' key concepts' AS rationale, total // 4 AS easy, total // 2 AS medium FROM q LEFT JOIN cm USING (doc_id)""")
+def q_analysis_record(spark, d):
+    """Fields of each document's record, read by path from its stored form."""
+    v = analysis.analysis_records(_concept_docs(spark, d)).select("doc_id", analysis.as_variant(F.col("analysis")).alias("v"))
+    at = lambda path, kind: F.variant_get("v", f"$.{path}", kind)
+    entries = F.array_sort(F.map_entries(at("concept_coverage", "map<string,int>")))
+    return v.select(
+        "doc_id",
+        at("document_title", "string").alias("title"),
+        at("summary", "string").alias("summary"),
+        F.size(at("key_concepts", "array<string>")).alias("n_concepts"),
+        F.size(at("module_structure", "array<variant>")).alias("n_modules"),
+        F.array_join(F.transform(entries, lambda e: F.concat_ws("=", e["key"], e["value"])), ";").alias("covered"),
+        *[at(f"suggested_distribution.{x}", k).alias(x) for x, k in (("mcq", "int"), ("conceptual", "int"), ("total", "int"), ("rationale", "string"))],
+        *[at(f"difficulty_distribution.{x}", "int").alias(x) for x in ("easy", "medium")],
+    )
+
+
+_ANALYSED = "CASE WHEN doc_id % 3 = 0 THEN 'model' ELSE 'rules' END"
+
+
+@query(sql("", "docs").rstrip() + f""",\n{_TREE_SQL},
+a AS (SELECT doc_id, {_ANALYSED} AS made_by, CAST(CASE WHEN doc_id % 3 = 0 THEN 2 ELSE ceil(n / CAST(w AS DOUBLE)) END AS INTEGER) AS n_modules, CASE WHEN doc_id % 3 = 0 THEN left(lang, 2) WHEN n > 0 THEN 'Module 1' END AS first_title FROM mw JOIN docs USING (doc_id)),
+src AS (SELECT doc_id AS document_id, max(pick) AS pick FROM (SELECT doc_id, doc_id AS pick FROM docs WHERE doc_id % 2 = 0 UNION ALL SELECT doc_id + 1, doc_id FROM docs WHERE doc_id % 2 = 0) GROUP BY doc_id)
+SELECT docs.doc_id, made_by, n_modules, first_title FROM docs LEFT JOIN src ON src.document_id = docs.doc_id LEFT JOIN a ON a.doc_id = src.pick""")
+def q_analysis_flow(spark, d):
+    """Analyses of every second document, by a model's reply where it holds one, stored on it and the next document.
+
+    Of the replies a third hold modules, a third are broken and the others are missing.
+    """
+    docs = _concept_docs(spark, d)
+    said = F.concat(F.lit('So:\n```json\n{"modules": [{"title": "'), F.left("lang", F.lit(2)), F.lit('"}, {"title": "b"}]}\n``` done'))
+    replies = docs.select("doc_id", F.when(F.col("doc_id") % 3 == 0, said).when(F.col("doc_id") % 3 == 1, F.lit('{"modules": "none"')).alias("reply"))
+    made = analysis.by_model_or_rules(replies, analysis.analysis_records(docs), "doc_id", "reply").withColumnRenamed("doc_id", "analysis_id")
+    picks = docs.select("doc_id").where("doc_id % 2 = 0")
+    sources = picks.select(F.col("doc_id").alias("analysis_id"), F.explode(F.array(F.col("doc_id"), F.col("doc_id") + 1)).alias("document_id"))
+    none = F.lit(None).cast("variant")
+    bare = docs.select(F.col("doc_id").alias("id"), none.alias("syllabus_analysis"), none.alias("module_structure"))
+    done = analysis.on_sources(bare, made, sources)
+    found = done.join(sources.groupBy(F.col("document_id").alias("id")).agg(F.max("analysis_id").alias("analysis_id")), "id", "left").join(made.select("analysis_id", "made_by"), "analysis_id", "left")
+    modules_of = F.try_variant_get("module_structure", "$", "array<variant>")
+    return found.select(F.col("id").alias("doc_id"), "made_by", F.when(modules_of.isNotNull(), F.size(modules_of)).alias("n_modules"), F.try_variant_get("module_structure", "$[0].title", "string").alias("first_title"))
+
+
 # Question sets
 
 _SELECTED = """w AS (SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN 0 ELSE (doc_id % 10) / 10.0::DOUBLE END AS weight FROM docs),
