@@ -232,6 +232,51 @@ def weighted_sample(rows: DataFrame, weight: str, parts: list[str], k: int, seed
     return few.withColumn("place", F.row_number().over(order) - 1).drop("_key")
 
 
+def generated(replies: DataFrame, raw_col: str, selected: DataFrame, types: dict[str, int], keys: list[str]) -> DataFrame:
+    """The questions of each request (``keys``): the model's where its reply holds a set, else the rules'; with ``made_by``.
+
+    A reply goes through all steps: its array is found, fields get their defaults, citations are
+    held against the selection, and as many questions stay as are asked for. A null, broken or
+    too short one falls back to the templates over the same selection.
+    """
+    columns = [*keys, "question_no", "question_text", "question_type", "options", "correct_answer", "concept_tag", "difficulty", "explanation", "grounding_chunk", "points"]
+    asked = sum(requested(types).values())
+    made = normalised_replies(replies, raw_col, total=asked, selected=selected).withColumn("made_by", F.lit("model"))
+    local = template_questions(selected, types).withColumns({"_k": F.lit(1), "made_by": F.lit("rules")})
+    each = replies.select(*keys, F.lit(1).alias("_k")).join(local, "_k").drop("_k")
+    return with_fallback(made.select(*columns, "made_by"), each.select(*columns, "made_by"), keys)
+
+
+# How many characters of each part go into a prompt.
+CUTS = {"grounding_chunk": 500, "correct_answer": 500, "student_answer": 900}
+CHUNK_CUT, PREVIEW, GENERATION_PREVIEW = 500, 8_000, 6_000
+
+
+def evaluation_data(answers: DataFrame) -> DataFrame:
+    """Answers with the texts of their question cut to what a judgement is asked with; null ones are empty.
+
+    ``compact`` is these parts on one line, as the second model is asked.
+    """
+    cut = {c: F.left(F.coalesce(c, F.lit("")), F.lit(n)) for c, n in CUTS.items()}
+    return answers.withColumns(cut).withColumn("compact", T.compact(F.concat_ws(" ", *CUTS)))
+
+
+def generation_data(selected: DataFrame, content: Column, total: int) -> DataFrame:
+    """(context, preview) for ``total`` questions: the chunks that a request of this size shows, and the start of the content."""
+    shown = chunk_prompt(selected.where(F.col("place") < chunk_limit(total)))
+    return shown.select(F.col("prompt").alias("context"), F.left(content, F.lit(GENERATION_PREVIEW)).alias("preview"))
+
+
+def analysis_data(chunks: DataFrame, documents: DataFrame, doc_col: str = "doc_id") -> DataFrame:
+    """(doc, chunks, preview): each document's chunks, 500 characters of each, and the first 8,000 of its content."""
+    number, page = (F.col("chunk_id") + 1).cast("string"), F.col("page").cast("string")
+    line = F.concat(F.lit("[Chunk "), number, F.lit(" | Doc: "), F.col("title"), F.lit(" | p"), page, F.lit("]: "), F.left("text", F.lit(CHUNK_CUT)))
+    listed = F.array_sort(F.collect_list(F.struct("chunk_id", line.alias("line"))))
+    shown = chunks.groupBy(doc_col).agg(F.array_join(F.transform(listed, lambda x: x["line"]), "\n\n").alias("chunks"))
+    preview = documents.select(doc_col, F.left(F.coalesce("content", F.lit("")), F.lit(PREVIEW)).alias("preview"))
+    return preview.join(shown, doc_col, "left").withColumn("chunks", F.coalesce("chunks", F.lit("")))
+
+
 def existing_prompt(questions: DataFrame, most: int = 100) -> DataFrame:
     """(existing, tags): the first 80 characters of up to ``most`` known questions as a list, and their distinct concepts.
 

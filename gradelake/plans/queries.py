@@ -605,6 +605,74 @@ def q_grounding_guard(spark, d):
     return Q.grounded(cited, selected)
 
 
+@query(_selection("").rstrip() + ",\nlocal AS (" + _template_sql().replace("cl AS (", "WITH cl AS (", 1) + ")\n" + """SELECT s.id, question_no, question_text, question_type, points, made_by, grounding_chunk FROM (
+    SELECT id, CAST(i - 1 AS INTEGER) AS question_no, 'Q' || i || ' ' || id AS question_text, 'short' AS question_type, CAST(i AS INTEGER) AS points, 'model' AS made_by, (SELECT left(text, 220) FROM sel WHERE place = 0) AS grounding_chunk FROM question_sets, (SELECT unnest(range(1, 19)) AS i) WHERE id % 3 = 0
+    UNION ALL SELECT id, question_no, question_text, question_type, points, 'rules', grounding_chunk FROM question_sets CROSS JOIN local WHERE id % 3 <> 0) s""".replace("question_sets", "(SELECT DISTINCT CAST(split_part(p_brand, '#', 2) AS BIGINT) AS id FROM part)"))
+def q_generate_flow(spark, d):
+    """Sets of questions, of which a third have a whole reply of a model, a third a broken one and the others none."""
+    sets = D.question_sets(spark, d).select("id")
+    one = lambda i: F.concat(F.lit(f'{{"question": "Q{i} '), F.col("id").cast("string"), F.lit(f'", "points": "{i}", "answer": "A{i}"}}'))
+    whole = F.concat(F.lit("Here:\n```json\n["), F.array_join(F.array(*[one(i) for i in range(1, 21)]), ", "), F.lit("]\n```"))
+    replies = sets.withColumn("raw", F.when(F.col("id") % 3 == 0, whole).when(F.col("id") % 3 == 1, F.concat(F.lit("["), one(1), F.lit(", {"))))
+    made = Q.generated(replies, "raw", _selected(spark, d), {t: 6 for t in Q.TYPES}, ["id"])
+    return made.select("id", "question_no", "question_text", "question_type", "points", "made_by", "grounding_chunk")
+
+
+@query(sql("SELECT doc_id, coalesce(string_agg('[Chunk ' || (chunk_id + 1) || ' | Doc: ' || chunks.title || ' | p' || page || ']: ' || left(chunks.text, 500), chr(10) || chr(10) ORDER BY chunk_id), '') AS chunks, left(any_value(content), 8000) AS preview FROM docs LEFT JOIN chunks USING (doc_id) GROUP BY doc_id", "docs", "chunks"))
+def q_analysis_prompt(spark, d):
+    return Q.analysis_data(D.chunks(spark, d), D.documents(spark, d)).select("doc_id", "chunks", "preview")
+
+
+@query(sql(f"SELECT conv_id, turn, left(correct_answer || correct_answer, 500) AS grounding_chunk, left(correct_answer, 500) AS correct_answer, left(student_answer || ' ' || student_answer, 900) AS student_answer, left(regexp_replace(regexp_replace(left(correct_answer || correct_answer, 500) || ' ' || left(correct_answer, 500) || ' ' || left(student_answer || ' ' || student_answer, 900), '^{D._S}+|{D._S}+$', '', 'g'), '{D._S}+', ' ', 'g'), 1600) AS compact FROM free_answers", "free_answers"))
+def q_evaluation_prompt(spark, d):
+    a = D.free_answers(spark, d).withColumns({"grounding_chunk": F.concat("correct_answer", "correct_answer"), "student_answer": F.concat_ws(" ", "student_answer", "student_answer")})
+    return Q.evaluation_data(a).select("conv_id", "turn", *Q.CUTS, "compact")
+
+
+@query(_selection("SELECT (SELECT string_agg('[Chunk ' || (place + 1) || ' | Doc: ' || title || ' | p' || page || ']: ' || text, chr(10) || chr(10) ORDER BY place) FROM sel WHERE place < 8) AS context, left((SELECT string_agg(text, ' ' ORDER BY place) FROM sel), 6000) AS preview"))
+def q_generation_prompt(spark, d):
+    """What a request of three questions shows of the selection: eight chunks."""
+    selected = _selected(spark, d)
+    whole = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", "text"))), lambda x: x["text"]), " ")
+    content = selected.agg(whole.alias("content")).first()["content"] or ""  # the texts of twelve chunks
+    return Q.generation_data(selected, F.lit(content), 3)
+
+
+@query(sql("SELECT doc_id, chunk_id, CAST(row_number() OVER (ORDER BY md5('s:' || doc_id || ':' || chunk_id), doc_id, chunk_id) - 1 AS INTEGER) AS place FROM chunks QUALIFY place < 15", "chunks"))
+def q_focus_sample(spark, d):
+    return Q.focus_sample(D.chunks(spark, d), 15, "s").select("doc_id", "chunk_id", "place")
+
+
+@query(_segments(f"SELECT concept, array_to_string((SELECT list(title ORDER BY module_no) FROM seg WHERE doc_id = (SELECT min(doc_id) FROM seg)), '; ') AS modules FROM (SELECT p AS concept, count(*) AS n, min((doc_id, chunk_id, i)) AS first FROM (SELECT doc_id, chunk_id, unnest(ps) AS p, unnest(range(len(ps))) AS i FROM (SELECT doc_id, chunk_id, regexp_extract_all(text, '{_PHRASE}') AS ps FROM chunks)) GROUP BY p) ORDER BY n DESC, first LIMIT 20", "chunks"))
+def q_concept_modules(spark, d):
+    """The most frequent phrases of all chunks, each with the modules of the first document, as an analysis lists them."""
+    m = modules.module_segments(D.headed_chunks(spark, d, stored=True))
+    first = m.join(m.agg(F.min("doc_id").alias("doc_id")), "doc_id")
+    found = concepts.concepts_with_modules(concepts.top_concepts(D.chunk_table(spark, d)), first.select("module_no", "title"))
+    return found.select("concept", F.array_join("modules", "; ").alias("modules"))
+
+
+@query(_segments("SELECT DISTINCT doc_id, chunk_id FROM (SELECT doc_id, unnest(chunk_indices) AS chunk_id FROM seg WHERE module_no = 1 UNION ALL SELECT doc_id, chunk_id FROM seg0 WHERE h = '' AND (doc_id, chunk_id) IN (SELECT doc_id, chunk_id FROM seg2 WHERE module_no = 1))"))
+def q_index_union(spark, d):
+    """The chunks that the first modules or their topics list, each once."""
+    headed = D.headed_chunks(spark, d, stored=True)
+    return Q.in_modules(headed, modules.topic_tree(headed), F.col("module_no") == 1).select("doc_id", "chunk_id")
+
+
+@query(sql("SELECT id, set_id FROM questions WHERE set_id % 5 <> 0 AND id % 4 <> 0", "questions"))
+def q_delete_rows(spark, d):
+    """Questions after every fifth set and every fourth question by id went."""
+    q = D.questions(spark, d)
+    left = crud.deleted(q, D.question_sets(spark, d).where("id % 5 = 0"), "set_id", "id")
+    return crud.deleted(left, q.where("id % 4 = 0"), "id").select("id", "set_id")
+
+
+@query(sql("SELECT id, set_id FROM questions WHERE set_id = 13 AND difficulty IN ('Easy', 'Hard')", "questions"))
+def q_row_filters(spark, d):
+    """An equality that is asked, one that is not, and a membership."""
+    return crud.filtered(D.questions(spark, d), {"set_id": 13, "concept_tag": ""}, {"difficulty": ["Easy", "Hard"]}).select("id", "set_id")
+
+
 # Model replies and options
 
 
