@@ -115,27 +115,31 @@ class PdfReaders:
 
 
 def pdf_documents(found: DataFrame, readers: PdfReaders) -> DataFrame:
-    """(path, text) of PDF files in up to three passes (see ``passes``).
+    """(path, text, error) of PDF files in up to three passes (see ``passes``).
 
     Pages are exploded, and only images and renderings worth it are described, each on its own;
     OCR reads only files that the first passes left with little text. A reader that fails
-    counts as one that found nothing.
+    counts as one that found nothing; where nothing was found at all, ``error`` is what the
+    first reader that failed said.
     """
 
-    def tried(reader, content, none):
+    def tried(reader, content, none, said=None):
         try:
             return none if reader is None else reader(content) or none
-        except Exception:  # noqa: BLE001
+        except Exception as e:  # noqa: BLE001
+            if said is not None:
+                said.append(f"{type(e).__name__}: {e}")
             return none
 
-    @F.pandas_udf("first string, fallback string, pages array<struct<text:string,images:array<binary>,rendered:binary>>")
+    @F.pandas_udf("first string, fallback string, pages array<struct<text:string,images:array<binary>,rendered:binary>>, error string")
     def read(contents: pd.Series) -> pd.DataFrame:
         rows = []
         for c in contents:
-            first = tried(readers.first, c, "")
+            said: list[str] = []
+            first = tried(readers.first, c, "", said)
             pages = [{"text": t, "images": list(images), "rendered": rendered} for t, images, rendered in (tried(readers.pages, c, []) if readers.describe else [])]
-            rows.append((first, "" if first else tried(readers.fallback, c, ""), pages))
-        return pd.DataFrame(rows, columns=["first", "fallback", "pages"])
+            rows.append((first, "" if first else tried(readers.fallback, c, "", said), pages, said[0] if said else None))
+        return pd.DataFrame(rows, columns=["first", "fallback", "pages", "error"])
 
     @F.pandas_udf("string")
     def described(pictures: pd.Series) -> pd.Series:
@@ -145,7 +149,8 @@ def pdf_documents(found: DataFrame, readers: PdfReaders) -> DataFrame:
     def recognised(contents: pd.Series) -> pd.Series:
         return contents.map(lambda c: None if c is None else tried(readers.ocr, c, None))
 
-    rows = found.select("path", "content", read("content").alias("_r")).select("path", "content", "_r.*")
+    # Taken apart a step later, so that a file is read once a row.
+    rows = found.select("path", "content", read.asNondeterministic()("content").alias("_r")).select("path", "content", "_r.*")
     pages = rows.select("path", F.posexplode("pages").alias("page", "p"))
     whole = F.when(worth_rendering(T.strip(F.col("p.text")), F.size("p.images")) & (F.octet_length("p.rendered") > LEAST_IMAGE_BYTES), F.array("p.rendered"))
     pictures = F.concat(F.filter("p.images", worth_describing), F.coalesce(whole, F.array().cast("array<binary>")))
@@ -158,16 +163,18 @@ def pdf_documents(found: DataFrame, readers: PdfReaders) -> DataFrame:
     before = passes(F.col("first"), F.col("fallback"), F.col("described"), none)
     little = (F.length(before) < LEAST_PAGE_TEXT) & ((before == "") | (F.coalesce("described", F.lit("")) != ""))
     met = met.withColumn("ocr", recognised(F.when(little, F.col("content"))))
-    return met.select("path", passes(F.col("first"), F.col("fallback"), F.col("described"), F.col("ocr")).alias("text"))
+    met = met.select("path", passes(F.col("first"), F.col("fallback"), F.col("described"), F.col("ocr")).alias("text"), "error")
+    return met.withColumn("error", F.when(F.col("text") == "", F.col("error")))
 
 
-def extracted(found: DataFrame, readers: dict[str, Callable[[bytes], str]] | None = None) -> DataFrame:
+def extracted(found: DataFrame, readers: dict[str, Callable[[bytes], str]] | None = None, pdf: PdfReaders | None = None) -> DataFrame:
     """Files with ``kind``, ``text`` and ``error``: unsupported kinds and unreadable files say why.
 
-    Text files are decoded by expression, broken bytes dropped; the other kinds go through
-    ``readers`` (bytes to text), of which a failing one does not fail the job.
+    Text files are decoded by expression, broken bytes dropped; PDF files go through all their
+    passes with the readers ``pdf``; the other kinds go through ``readers`` (bytes to text), of
+    which a failing one does not fail the job.
     """
-    readers = {"docx": docx_text, "pdf": pdf_text} | (readers or {})
+    readers = {"docx": docx_text} | (readers or {})
 
     @F.pandas_udf("text string, error string")
     def read(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
@@ -189,12 +196,17 @@ def extracted(found: DataFrame, readers: dict[str, Callable[[bytes], str]] | Non
     unknown = rows.where("kind is null").withColumns({"text": F.lit(None).cast("string"), "error": F.lit("Unsupported file type")})
     binary = rows.where(F.col("kind").isin(*readers)).withColumn("_r", read("kind", "content"))
     binary = binary.withColumns({"text": F.col("_r.text"), "error": F.col("_r.error")}).drop("_r")
-    return text_rows.unionByName(binary).unionByName(unknown)
+    out = text_rows.unionByName(binary).unionByName(unknown)
+    if "pdf" in readers:
+        return out
+    pdfs = rows.where("kind = 'pdf'")
+    read_pdfs = pdf_documents(pdfs.select("path", "content"), pdf or PdfReaders())
+    return out.unionByName(pdfs.join(read_pdfs, "path").select(*out.columns))
 
 
-def ingested(found: DataFrame, readers: dict[str, Callable[[bytes], str]] | None = None) -> tuple[DataFrame, DataFrame]:
+def ingested(found: DataFrame, readers: dict[str, Callable[[bytes], str]] | None = None, pdf: PdfReaders | None = None) -> tuple[DataFrame, DataFrame]:
     """(documents with chunks and statistics, rejected files with the reason)."""
-    rows = extracted(found, readers).withColumn("original_name", file_name(F.col("path")))
+    rows = extracted(found, readers, pdf).withColumn("original_name", file_name(F.col("path")))
     enough = F.length(T.strip(F.coalesce("text", F.lit("")))) >= chunking.LEAST_TEXT
     reason = F.coalesce("error", F.when(~enough, "Not enough text"))
     good = rows.where(reason.isNull()).select(F.xxhash64("path").alias("id"), T.file_title(F.col("original_name")).alias("title"), "original_name", F.col("text").alias("content"), F.lit("parsed").alias("status"), F.col("modificationTime").alias("uploaded_at"))

@@ -31,7 +31,7 @@ def flushed(stream: DataFrame, out: str, checkpoint: str, mode: str = "append")
     stream.writeStream.format("parquet").outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start(out).awaitTermination()
 
 
-def ingest_stream(spark: SparkSession, folder: str, out: str, rejected: str, checkpoint: str) -> None:
+def ingest_stream(spark: SparkSession, folder: str, out: str, rejected: str, checkpoint: str, pdf: source.PdfReaders | None = None) -> None:
     """New files of a folder become documents with chunks, the others a list of rejects; each file once.
 
     A batch that is run again after a failure is written under its own number again.
@@ -40,7 +40,7 @@ def ingest_stream(spark: SparkSession, folder: str, out: str, rejected: str, che
     stream = spark.readStream.format("binaryFile").schema(schema).option("recursiveFileLookup", "true").load(folder)
 
     def write(batch: DataFrame, number: int) -> None:
-        good, bad = source.ingested(batch)
+        good, bad = source.ingested(batch, pdf=pdf)
         good.write.mode("overwrite").parquet(f"{out}/batch={number}")
         bad.write.mode("overwrite").parquet(f"{rejected}/batch={number}")
 
