@@ -12,14 +12,15 @@ from pyspark.sql import functions as F
 from gradelake.llm.common import checkpoint, components, forest, split_hot, whole_tasks, written
 from gradelake.llm.shared_keys import runs
 
-_MOST_WORDS = 4096  # code words a block: 16.8 million filters
-_PAIRS = 500_000  # pairs compared in one step
+_MOST_WORDS = 16_384  # code words a block: 268 million filters
+_PAIRS = 200_000  # pairs compared in one step
+_SKETCH = 256  # sign bits
 
 
-def sketch_bits(cosine: float) -> int:
-    """How many of 64 sign bits may differ: the mean at the bound and eight deviations more."""
+def sketch_bits(cosine: float, size: int = _SKETCH) -> int:
+    """How many of the sign bits may differ: the mean at the bound and six deviations more."""
     p = float(np.arccos(np.clip(cosine, -1, 1))) / np.pi
-    return min(64, int(np.ceil(64 * p + 8 * np.sqrt(64 * p * (1 - p)))))
+    return min(size, int(np.ceil(size * p + 6 * np.sqrt(size * p * (1 - p)))))
 
 
 def code_words(rows: int, filters: float, per_filter: float = 8) -> int:
@@ -50,7 +51,7 @@ class CapFilters:
         a, b = self._scores(probe / np.linalg.norm(probe, axis=1, keepdims=True))
         pick = rng.integers(0, words, (2, 2000))
         self.cap = float(np.quantile(a[:, pick[0]] + b[:, pick[1]], max(0.0, 1 - filters / words**2)))
-        self.planes = rng.standard_normal((dim, 64))
+        self.planes = rng.standard_normal((dim, _SKETCH))
 
     def recall(self, cosine: float, pairs: int = 400) -> float:
         """The share of random pairs at ``cosine`` that pass a common filter."""
@@ -94,7 +95,8 @@ class CapFilters:
         return np.concatenate(rows), np.concatenate(filters)
 
     def sketch(self, x: np.ndarray) -> np.ndarray:
-        return np.packbits(x @ self.planes > 0, axis=1).view(">u8").reshape(-1).astype(np.uint64).view(np.int64)
+        """The signs of rows, packed."""
+        return np.packbits(x @ self.planes > 0, axis=1)
 
 
 def _usable(vector: Column, label: Column) -> Column:
@@ -122,40 +124,41 @@ def calibrated(dim: int, cosine: float, words: int, filters: float, seed: int, r
     return None
 
 
-def close_links(rows: pd.DataFrame, bits: int) -> pd.DataFrame:
-    """Links (a, b) that connect all rows of a task, sorted by task, whose sketches differ in at most ``bits`` bits.
+def close_rows(rows: pd.DataFrame, bits: int) -> np.ndarray:
+    """Which rows of tasks (sorted by task) have another one in their task whose sketch differs in at most ``bits`` bits.
 
     A task of one block is compared with itself, one of two blocks across them. Pairs of all
-    tasks are numbered through and compared some at a time; of the close ones a spanning
-    forest is kept, so there are fewer links than rows.
+    tasks are numbered through and compared some at a time.
     """
-    rows = rows.sort_values("task", kind="stable")
-    ids, s = rows["rep"].to_numpy(), rows["sketch"].to_numpy().view(np.uint64)  # bits of a signed number count its size
+    s = np.frombuffer(b"".join(rows["sketch"]), np.uint64).reshape(len(rows), -1)
     across = (rows["blk_i"] != rows["blk_j"]).to_numpy()
     other = (rows["blk"] != rows["blk_i"]).to_numpy()
     task = rows["task"].to_numpy()
     end = np.append(np.flatnonzero(task[1:] != task[:-1]) + 1, len(task))
     after = np.repeat(end, np.diff(end, prepend=0)) - np.arange(len(task)) - 1  # rows of the task after each
-    total, at, parent = np.cumsum(after), 0, np.arange(len(task))
+    total, at, close = np.cumsum(after), 0, np.zeros(len(task), bool)
     while at < len(task):
         stop = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + _PAIRS, "right")))
         n = after[at:stop]
         i = np.repeat(np.arange(at, stop), n)
         j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(n) - n, n)
-        near = (np.bitwise_count(s[i] ^ s[j]) <= bits) & (~across[i] | (other[i] != other[j]))
-        parent = forest(i[near], j[near], len(task), parent)
+        pairs = ~across[i] | (other[i] != other[j])
+        differ = np.zeros(len(i), np.int64)
+        for k in range(s.shape[1]):
+            differ += np.bitwise_count(s[i, k] ^ s[j, k])
+        near = pairs & (differ <= bits)
+        close[i[near]] = close[j[near]] = True
         at = stop
-    linked = np.flatnonzero(parent != np.arange(len(task)))
-    a, b = ids[linked], ids[parent[linked]]
-    return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)}).drop_duplicates()
+    return close
 
 
-def candidate_links(reps: DataFrame, cosine: float, filters: float = 48, words: int | None = None, recall: float = 0.998, seed: int = 11, block_rows: int = 2048) -> DataFrame:
-    """Links (a, b) that connect the rows of ``reps`` (rep, label, vector of doubles) that share a filter and are close by sketch.
+def close_in_filters(reps: DataFrame, cosine: float, filters: float = 48, words: int | None = None, recall: float = 0.998, seed: int = 11, block_rows: int = 2048) -> DataFrame:
+    """(task, rep, other, across): the rows of ``reps`` (rep, label, vector of doubles) that share a filter with one close by sketch.
 
     The number of filters follows the number of rows (``code_words``), so that a filter holds
-    about as many at every size. Where no affordable number of filters a vector reaches
-    ``recall`` at ``cosine`` (low cosines, one dimension), all vectors of a label share one.
+    about as many at every size; a filter of many rows is many tasks. Where no affordable
+    number of filters a vector reaches ``recall`` at ``cosine`` (low cosines, one dimension),
+    all vectors of a label share one. Vectors stay where they are: filters and sketches meet.
     """
     words = words or code_words(reps.count(), filters)
     bits = sketch_bits(cosine)
@@ -169,38 +172,65 @@ def candidate_links(reps: DataFrame, cosine: float, filters: float = 48, words:
                     made[dim] = found, found or CapFilters(dim, 1, 1, 1, seed)
                 caps, sketches = made[dim]
                 x = _units(part["vector"])
-                for at in range(0, len(x), 1000):
-                    some = x[at : at + 1000]
+                step = max(1, min(1000, 8_000_000 // words))
+                for at in range(0, len(x), step):
+                    some = x[at : at + step]
                     rows, passed = caps.passed(some) if caps else (np.arange(len(some)), np.full(len(some), -1))
-                    sketch, rows = sketches.sketch(some)[rows], rows + at
-                    yield pd.DataFrame({"rep": part["rep"].to_numpy()[rows], "kind": part["kind"].to_numpy()[rows], "filter": passed, "sketch": sketch})
+                    packed = np.array([r.tobytes() for r in sketches.sketch(some)], object)
+                    yield pd.DataFrame({"rep": part["rep"].to_numpy()[rows + at], "kind": part["kind"].to_numpy()[rows + at], "filter": passed, "sketch": packed[rows]})
 
-    def joined(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def met(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in whole_tasks(batches, 8 * block_rows):
-            yield close_links(rows, bits)
+            rows = rows.sort_values("task", kind="stable")
+            near = rows[close_rows(rows, bits)]
+            yield pd.DataFrame({"task": near["task"], "rep": near["rep"], "other": near["blk"] != near["blk_i"], "across": near["blk_i"] != near["blk_j"]})
 
     kind = F.xxhash64("label", F.size("vector"))
-    passed = reps.select("rep", "vector", kind.alias("kind")).repartition("rep").mapInPandas(dealt, "rep long, kind long, filter long, sketch long")
+    passed = reps.select("rep", "vector", kind.alias("kind")).repartition("rep").mapInPandas(dealt, "rep long, kind long, filter long, sketch binary")
     rows = passed.select(F.xxhash64("kind", "filter").alias("key"), "rep", "sketch")
     tasks = split_hot(rows, ["key"], F.col("rep"), block_rows).withColumn("task", F.xxhash64("key", "blk_i", "blk_j"))
-    return tasks.select("task", "rep", "sketch", "blk", "blk_i", "blk_j").repartition("task").sortWithinPartitions("task").mapInPandas(joined, "a long, b long").distinct()
+    return tasks.select("task", "rep", "sketch", "blk", "blk_i", "blk_j").repartition("task").sortWithinPartitions("task").mapInPandas(met, "task long, rep long, other boolean, across boolean")
 
 
-def verified_links(reps: DataFrame, groups: DataFrame, cosine: float, block_rows: int = 512) -> DataFrame:
-    """(rep, others, parent): how many vectors of its group a row is linked with, and a spanning forest of the links.
+def filter_links(reps: DataFrame, close: DataFrame, cosine: float, block_rows: int = 512) -> DataFrame:
+    """Links (rep, parent) within ``cosine``, in double precision, among the rows that met in a task of ``close``: a spanning forest of each task's."""
+
+    def verified(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in whole_tasks(batches, 4 * block_rows):
+            rep, parents = rows["rep"].to_numpy(), rows["rep"].to_numpy().copy()
+            for a, b in zip(*runs(rows["task"].to_numpy()), strict=True):
+                unit, other = _units(rows["vector"].iloc[a:b]), rows["other"].to_numpy()[a:b]
+                across, parent = rows["across"].iat[a], np.arange(b - a)
+                first = np.flatnonzero(~other) if across else np.arange(b - a)
+                second = np.flatnonzero(other) if across else first
+                for at in range(0, len(first), block_rows):
+                    some = first[at : at + block_rows]
+                    i, j = np.nonzero(unit[some] @ unit[second].T >= cosine)
+                    i, j = some[i], second[j]
+                    apart = i != j
+                    parent = forest(i[apart], j[apart], b - a, parent)
+                parents[a:b] = rep[a + parent]
+            linked = rep != parents
+            yield pd.DataFrame({"rep": rep[linked], "parent": parents[linked]})
+
+    rows = close.join(reps.select("rep", "vector"), "rep").select("task", "rep", "other", "across", "vector")
+    return rows.repartition("task").sortWithinPartitions("task").mapInPandas(verified, "rep long, parent long").distinct()
+
+
+def link_counts(reps: DataFrame, groups: DataFrame, cosine: float, block_rows: int = 512) -> DataFrame:
+    """(rep, others): how many vectors of its component a row is linked with.
 
     ``reps`` is (rep, label, vector, n), n rows being equal to each; ``groups`` is (node,
-    component). All pairs of a group are compared in double precision, by products of blocks
-    of vectors; a large group is many bounded tasks, and no pair leaves its task. A row comes
-    once from each task it is in.
+    component), components of links: all that a row is linked with is in its own. The vectors
+    of a component are compared in double precision by products of blocks; a large one is many
+    bounded tasks, and no pair leaves its task. A row comes once from each task it is in.
     """
 
     def compared(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in whole_tasks(batches, 4 * block_rows):
-            start, end = runs(rows["task"].to_numpy())
             rep, n, x, other = rows["rep"].to_numpy(), rows["n"].to_numpy(), rows["vector"], (rows["blk"] != rows["blk_i"]).to_numpy()
-            others, parent = np.zeros(len(rows), np.int64), rep.copy()
-            for a, b in zip(start, end, strict=True):
+            others = np.zeros(len(rows), np.int64)
+            for a, b in zip(*runs(rows["task"].to_numpy()), strict=True):
                 unit, own = _units(x.iloc[a:b]), np.flatnonzero(~other[a:b])
                 across = rows["blk_i"].iat[a] != rows["blk_j"].iat[a]
                 second = np.flatnonzero(other[a:b]) if across else own
@@ -210,13 +240,11 @@ def verified_links(reps: DataFrame, groups: DataFrame, cosine: float, block_rows
                 others[a + own] += near @ n[a + second]
                 if across:
                     others[a + second] += near.T @ n[a + own]
-                i, j = np.nonzero(near)
-                parent[a:b] = rep[a + forest(own[i], second[j], b - a)]
-            yield pd.DataFrame({"rep": rep, "others": others, "parent": parent})
+            yield pd.DataFrame({"rep": rep, "others": others})
 
-    rows = reps.join(groups, reps["rep"] == groups["node"]).withColumn("dim", F.size("vector"))
-    tasks = split_hot(rows, ["component", "label", "dim"], F.col("rep"), block_rows).withColumn("task", F.xxhash64("component", "label", "dim", "blk_i", "blk_j"))
-    return tasks.select("task", "rep", "n", "vector", "blk", "blk_i", "blk_j").repartition("task").sortWithinPartitions("task").mapInPandas(compared, "rep long, others long, parent long")
+    rows = reps.join(groups, reps["rep"] == groups["node"])
+    tasks = split_hot(rows, ["component"], F.col("rep"), block_rows).withColumn("task", F.xxhash64("component", "blk_i", "blk_j"))
+    return tasks.select("task", "rep", "n", "vector", "blk", "blk_i", "blk_j").repartition("task").sortWithinPartitions("task").mapInPandas(compared, "rep long, others long")
 
 
 def embedding_classes(vectors: DataFrame, vector_col: str = "embedding", id_col: str = "vec_id", label_col: str = "label", cosine: float = 0.98, **options) -> DataFrame:
@@ -235,19 +263,21 @@ def embedding_classes(vectors: DataFrame, vector_col: str = "embedding", id_col:
 
     Equal vectors are one representative with a count before anything is joined, so a vector
     that a third of all rows hold costs no more than another; its rows meet again only in an
-    equi-join on the vector, which Spark can split. Filters miss a pair only if none of the
-    filters of the one (``filters`` on average) is passed by the other: the number is raised
-    until simulated pairs at the bound share one with a probability of ``recall``. Sketches
-    drop candidates that are eight deviations and more from what the bound lets expect.
+    equi-join on the vector, which Spark can split. Pairs are verified only where both pass a
+    filter and their sketches are close, and only verified links are closed to components; the
+    links of a row are then counted in its component, where they all are. Filters miss a pair
+    only if none of the filters of the one (``filters`` on average) is passed by the other: the
+    number is raised until simulated pairs at the bound share one with a probability of
+    ``recall``. Sketches of 256 bits drop pairs that are six deviations and more from what the
+    bound lets expect.
     """
     vector = F.transform(F.col(vector_col).cast("array<double>"), lambda v: v + F.lit(0.0))
     rows = vectors.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.when(_usable(vector, F.col(label_col)), vector).alias("vector"), F.col(label_col).alias("label"))
     usable = rows.where("vector is not null")
     reps = checkpoint(usable.groupBy("label", "vector").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("n")))
-    proposed = components(candidate_links(reps.select("rep", "label", "vector"), cosine, **options), "a", "b")
-    links = written(verified_links(reps, proposed, cosine), "links")
-    linked = links.groupBy(F.col("rep").alias("a")).agg(F.sum("others").alias("others"))
-    groups = components(links.where("rep <> parent"), "rep", "parent")
+    close = written(close_in_filters(reps.select("rep", "label", "vector"), cosine, **options), "close-vectors")
+    groups = components(filter_links(reps, close, cosine), "rep", "parent")
+    linked = link_counts(reps, groups, cosine).groupBy(F.col("rep").alias("a")).agg(F.sum("others").alias("others"))
     known = reps.join(linked, F.col("rep") == F.col("a"), "left").join(groups, F.col("rep") == F.col("node"), "left")
     known = known.select(F.col("label").alias("l"), F.col("vector").alias("v"), (F.coalesce("others", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
     out = usable.join(known, (F.col("label") == F.col("l")) & (F.col("vector") == F.col("v"))).select("id", "n_links", "component_id")
