@@ -520,7 +520,7 @@ def katz_scores(docs: DataFrame, learn: Column, text_col: str = "text", id_col:
 
     All rows teach and all are scored, in slices of the tables that follow the words: a hot
     history is dealt out by the words after it, a slice with too many places by tasks.
-    Null and empty texts are one end; texts of any length are read whole; rows that repeat
+    Null and empty texts are one end; texts are read whole, of up to 2^24 different words each; rows that repeat
     teach and are scored each; rows where ``learn`` is null do not teach; with nothing to learn
     from, all scores are 0; an empty table gives no rows. Only the named columns are read.
     """
