@@ -17,6 +17,8 @@ HEX = r"[0-9a-f]{24,}"
 #: the value of NAME=value is a run of its own.
 CANDIDATE = r"(?<![A-Za-z0-9+/_-])(?:eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{4,}\.[A-Za-z0-9_-]{8,}|(?=[A-Za-z+/_-]*[0-9])(?=[0-9+/_-]*[A-Za-z])[A-Za-z0-9+/_-]{20,}(?:={1,2}(?![A-Za-z0-9+/_=-]))?)"
 KINDS = ("assign", "access", "hex", "owned")
+#: A credential in use stands in few files; what more repositories with texts of their own hold is a sample.
+MAX_REPOS = 20
 _SPAN = "array<struct<start:int,end:int,rank:int,value:string>>"
 
 
@@ -60,10 +62,11 @@ def suspicious(text: Column) -> Column:
 
 
 def scan(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """Add ``base_spans`` and ``candidates`` (arrays of start, end, rank, value) to each row; one narrow pass.
+    """Add ``base_spans``, ``candidates`` (arrays of start, end, rank, value) and ``content`` to each row; one narrow pass.
 
     Candidates are the credentials themselves: the value of each base span (of an assignment
     only what is assigned), and each web token or long mixed run that no base span overlaps.
+    ``content`` is a digest of the text of rows with a candidate, which tells exact copies.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     base = F.concat(_spans(text, ASSIGN, 0, 2, 6), _spans(text, ACCESS, 1), _spans(text, HEX, 2))
@@ -71,30 +74,34 @@ def scan(docs: DataFrame, text_col: str = "text") -> DataFrame:
     apart = F.filter("_wide", lambda c: ~F.exists("base_spans", lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"])))
     # The value of an assignment ends where the match ends.
     of_base = F.transform("base_spans", lambda b: F.struct((b["end"] - F.length(b["value"])).alias("start"), b["end"].alias("end"), F.lit(3).alias("rank"), b["value"].alias("value")))
-    return found.withColumn("candidates", F.array_distinct(F.concat(of_base, apart))).drop("_wide")
+    found = found.withColumn("candidates", F.array_distinct(F.concat(of_base, apart))).drop("_wide")
+    return found.withColumn("content", F.when(F.size("candidates") > 0, F.sha2(text, 256)))
 
 
 def ownership(found: DataFrame, repo_col: str = "doc_id", owner_col: str = "source") -> DataFrame:
     """(hash, n_repos, n_owners) of each candidate value of a scanned table, over the whole corpus.
 
-    A null repository counts as one, and so does a null owner. Rows are counted by value,
-    owner and repository before each shuffle, and a repository counts for each owner it has.
+    Exact copies of a text that an owner has are one repository, the least of theirs. A null
+    repository counts as one, and so does a null owner. Rows are counted by value, owner and
+    text, then by repository, before each shuffle; a repository counts for each owner it has.
     """
-    each = found.select(F.col(repo_col).alias("repo"), F.col(owner_col).alias("owner"), F.explode(F.array_distinct(F.transform("candidates", _hash))).alias("hash"))
-    by_owner = each.distinct().groupBy("hash", "owner").agg(F.count(F.lit(1)).alias("n"))
+    each = found.select(F.col(repo_col).alias("repo"), F.col(owner_col).alias("owner"), "content", F.explode(F.array_distinct(F.transform("candidates", _hash))).alias("hash"))
+    by_text = each.groupBy("hash", "owner", "content").agg(F.min("repo").alias("repo"))
+    by_owner = by_text.select("hash", "owner", "repo").distinct().groupBy("hash", "owner").agg(F.count(F.lit(1)).alias("n"))
     return by_owner.groupBy("hash").agg(F.sum("n").alias("n_repos"), F.count(F.lit(1)).alias("n_owners"))
 
 
-def judged(found: DataFrame, owners: DataFrame, repo_col: str = "doc_id", max_owners: int = 1) -> DataFrame:
+def judged(found: DataFrame, owners: DataFrame, repo_col: str = "doc_id", max_owners: int = 1, max_repos: int = MAX_REPOS) -> DataFrame:
     """Scanned rows with ``owned_spans``, ``copied_spans``, the base counts, ``base_list`` and ``span_list``.
 
-    Only the rows that have a candidate are joined with ``owners`` (hash, n_repos, n_owners):
+    A value is live if at most ``max_owners`` owners and at most ``max_repos`` repositories hold
+    it. Only the rows that have a candidate are joined with ``owners`` (hash, n_repos, n_owners):
     each of their distinct values once, by the value, and back by a number of the row.
     """
     found = found.withColumn("_row", F.xxhash64(F.col(repo_col), F.col("candidates")))
     asked = found.where(F.size("candidates") > 0).select("_row", "candidates").distinct()
     asked = asked.select("_row", F.explode(F.array_distinct(F.transform("candidates", _hash))).alias("hash"))
-    few = owners.where(F.col("n_owners") <= max_owners).select("hash")
+    few = owners.where((F.col("n_owners") <= max_owners) & (F.col("n_repos") <= max_repos)).select("hash")
     live = asked.join(few, "hash").groupBy("_row").agg(F.collect_set("hash").alias("_live"))
     live = live.withColumnRenamed("_row", "_lrow")
     some = F.size("candidates") > 0
@@ -104,21 +111,22 @@ def judged(found: DataFrame, owners: DataFrame, repo_col: str = "doc_id", max_ow
     out = out.withColumns({"owned_spans": F.filter("candidates", is_live), "copied_spans": F.filter("candidates", lambda s: ~is_live(s))})
     count = lambda k: F.size(F.filter("base_spans", lambda s: s["rank"] == k)).cast("long")
     out = out.withColumns({"n_assign": count(0), "n_access": count(1), "n_hex": count(2), "base_list": _listed(F.col("base_spans")), "span_list": _listed(F.concat("base_spans", "owned_spans"))})
-    return out.drop("_live", "candidates")
+    return out.drop("_live", "candidates", "content")
 
 
-_MADE = ["base_spans", "candidates", "owned_spans", "copied_spans", "n_assign", "n_access", "n_hex", "base_list", "span_list"]
+_MADE = ["base_spans", "owned_spans", "copied_spans", "n_assign", "n_access", "n_hex", "base_list", "span_list"]
 
 
-def secret_scan(docs: DataFrame, text_col: str = "text", repo_col: str = "doc_id", owner_col: str = "source", max_owners: int = 1, keep_text: bool = True) -> DataFrame:
+def secret_scan(docs: DataFrame, text_col: str = "text", repo_col: str = "doc_id", owner_col: str = "source", max_owners: int = 1, max_repos: int = MAX_REPOS, keep_text: bool = True) -> DataFrame:
     """Add ``base_spans``, ``owned_spans``, ``copied_spans`` (arrays of start, end, rank, value), the three base counts, ``base_list`` and ``span_list``.
 
     Base kinds are the three fixed patterns. The method adds spans of kind ``owned``: candidate
     credentials (values of base spans, web tokens and long mixed runs) that at most
-    ``max_owners`` distinct owners hold over the whole corpus, in however many repositories or
-    copies: they look live. Candidates that more owners hold are ``copied_spans``: widely
-    copied examples. By default a document is a repository and its source the owner; a null
-    owner counts as one of its own, and so does a null repository.
+    ``max_owners`` distinct owners and at most ``max_repos`` distinct repositories hold over the
+    whole corpus, in however many exact copies: they look live. Candidates that more owners or
+    more repositories hold are ``copied_spans``: widely copied examples. By default a document
+    is a repository and its source the owner; a null owner counts as one of its own, and so
+    does a null repository.
 
     A null or empty text has no spans; texts of any length are taken whole; spans that start
     alike are listed by kind, then end. Repeated rows count once for a repository and each get
@@ -129,19 +137,19 @@ def secret_scan(docs: DataFrame, text_col: str = "text", repo_col: str = "doc_id
     the shared folder and read for the counts and the result. With it, the rows with a match or
     candidate are written there, the others are only told by the patterns.
     """
-    docs = docs.drop(*[c for c in docs.columns if c in _MADE and c not in (text_col, repo_col, owner_col)])
+    others = [c for c in docs.columns if (c not in _MADE or c in (text_col, repo_col, owner_col)) and (keep_text or c != text_col)]
+    rows = docs.select(F.struct(*others).alias("row"), F.col(text_col).alias("text"), F.col(repo_col).alias("repo"), F.col(owner_col).alias("owner"))
+    hot = suspicious(F.col("text")) if keep_text else F.lit(True)
+    found = written(scan(rows.where(hot)).drop("text"), "scanned")
+    out = judged(found, written(ownership(found, "repo", "owner"), "owners"), "repo", max_owners, max_repos).select("row.*", *_MADE)
     if not keep_text:
-        found = written(scan(docs, text_col).drop(text_col), "scanned")
-        return judged(found, written(ownership(found, repo_col, owner_col), "owners"), repo_col, max_owners)
-    hot = suspicious(F.col(text_col))
-    found = written(scan(docs.where(hot), text_col), "scanned")
-    out = judged(found, written(ownership(found, repo_col, owner_col), "owners"), repo_col, max_owners)
+        return out
     none, zero = F.array().cast(_SPAN), F.lit(0).cast("long")
     empty = {"base_spans": none, "owned_spans": none, "copied_spans": none, "n_assign": zero, "n_access": zero, "n_hex": zero, "base_list": F.lit(""), "span_list": F.lit("")}
-    return out.unionByName(docs.where(~hot).withColumns(empty))
+    return out.unionByName(rows.where(~hot).select("row.*").withColumns(empty))
 
 
-def masked(docs: DataFrame, mask: str, text_col: str = "text", repo_col: str = "doc_id", owner_col: str = "source", max_owners: int = 1) -> DataFrame:
+def masked(docs: DataFrame, mask: str, text_col: str = "text", repo_col: str = "doc_id", owner_col: str = "source", max_owners: int = 1, max_repos: int = MAX_REPOS) -> DataFrame:
     """The rows with each stretch of ``text_col`` that spans cover replaced by ``mask``; null texts stay null.
 
     Of a base span of the assign kind the whole match goes, name and value. Overlapping spans
@@ -151,7 +159,7 @@ def masked(docs: DataFrame, mask: str, text_col: str = "text", repo_col: str = "
     """
     row = docs.select(F.struct(*docs.columns).alias("row"), F.col(text_col).alias("text"), F.col(repo_col).alias("repo"), F.col(owner_col).alias("owner"))
     found = written(scan(row.where(suspicious(F.col("text")))), "scanned")
-    found = judged(found, written(ownership(found, "repo", "owner"), "owners"), "repo", max_owners)
+    found = judged(found, written(ownership(found, "repo", "owner"), "owners"), "repo", max_owners, max_repos)
     spans = F.array_sort(F.concat("base_spans", "owned_spans"))
 
     def step(state: Column, span: Column) -> Column:

@@ -449,6 +449,28 @@ def test_secrets_behind_names_in_queries_and_with_one_owner(spark):
     assert {r.doc_id: r.text for r in secrets.masked(df, "[M]").collect()} == {i: want for i, _, _, want in texts}
 
 
+def test_secrets_are_judged_by_owners_and_by_repositories(spark):
+    """Fails if either count is ignored, or if exact copies count as repositories."""
+    values = {k: f"{k}Key4321" * 3 for k in ("owners", "repos", "copies", "edge", "one")}
+    rows = [(f"see {values['owners']} there", f"own{i}") for i in range(2)]
+    rows += [(f"page {i} says {values['repos']} too", "big") for i in range(secrets.MAX_REPOS + 1)]
+    rows += [(f"all alike {values['copies']} here", "big") for i in range(3 * secrets.MAX_REPOS)]
+    rows += [(f"page {i} says {values['edge']} too", "big") for i in range(secrets.MAX_REPOS)]
+    rows += [(f"two of one {values['one']} and {values['one']}", None)]
+    df = spark.createDataFrame([(i, t, s, "kept") for i, (t, s) in enumerate(rows)], "doc_id long, text string, source string, content string")
+    got = {r.doc_id: r for r in secrets.secret_scan(df).collect()}
+    assert set(got) == set(range(len(rows)))
+    for i, (text, _) in enumerate(rows):
+        name = next(k for k, v in values.items() if v in text)
+        places = [m.start() for m in re.finditer(values[name], text)]
+        live = name in ("copies", "edge", "one")
+        want = ",".join(f"owned:{a}:{a + len(values[name])}" for a in places) if live else ""
+        assert got[i].span_list == want, (name, got[i])
+        assert len(got[i].copied_spans) == (0 if live else len(places))
+    few = secrets.secret_scan(df, max_owners=2, max_repos=1).where("size(owned_spans) > 0").select("text").distinct().collect()
+    assert len(few) == 2 and all(values["copies"] in r.text or values["one"] in r.text for r in few)
+
+
 def test_components(spark):
     r = random.Random(1)
     chain = [(i, i + 1) for i in range(0, 200)]

@@ -16,7 +16,6 @@ import xxhash
 from tokenizers import Tokenizer
 
 from gradelake.llm import queries as Q
-from gradelake.llm import secrets
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 LIBRARY = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
@@ -187,12 +186,26 @@ def test_op8(run, docs):
     assert len(asked) > 20 and sum(got[i].lang_pred == docs[i].lang for i in asked) >= 0.95 * len(asked)
 
 
+def credentials(text):
+    """Web tokens of three parts, and runs of 20 key characters and more with a digit and a letter, with their padding."""
+    done = 0
+    for run in re.finditer(r"[A-Za-z0-9+/_-]+", text):
+        if run.start() < done:
+            continue
+        web = re.compile(r"eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{4,}\.[A-Za-z0-9_-]{8,}").match(text, run.start())
+        mixed = len(run[0]) >= 20 and re.search("[0-9]", run[0]) and re.search("[A-Za-z]", run[0])
+        if web or mixed:
+            found = web or re.compile(re.escape(run[0]) + "(?:={1,2}(?![A-Za-z0-9+/_=-]))?").match(text, run.start())
+            done = found.end()
+            yield found
+
+
 def test_op10(spark):
-    """The smallest tables hold no secret: the next larger ones are read."""
+    """The smallest tables hold no secret: the next larger ones are read. The pattern of candidates and the bounds are written out."""
     larger = SF.replace("sf0.001", "sf0.01")
     docs = {int(r.doc_id): r for r in pd.read_parquet(f"{larger}/documents.parquet").itertuples()}
     got = {r.doc_id: r for r in Q.QUERIES["op10_secret_scans"](spark, larger).collect()}
-    owners, values = collections.defaultdict(set), {}
+    holders, values = collections.defaultdict(set), {}
     assign = re.compile(r"""((?ai:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
     for i, d in docs.items():
         text = d.text or ""
@@ -200,14 +213,14 @@ def test_op10(spark):
         found += [(m.start(), 1, m.end(), m.start(), m[0]) for m in re.finditer("AKIA[A-Z0-9]+", text) if len(m[0]) >= 20]
         found += [(m.start(), 2, m.end(), m.start(), m[0]) for m in re.finditer("[0-9a-f]+", text) if len(m[0]) >= 24]
         base = [(a, k, b) for a, k, b, _, _ in found]
-        wide = {(m.start(), m.end(), m[0]) for m in re.finditer(secrets.CANDIDATE, text) if not any(a < m.end() and m.start() < b for a, _, b in base)}
+        wide = {(m.start(), m.end(), m[0]) for m in credentials(text) if not any(a < m.end() and m.start() < b for a, _, b in base)}
         values[i] = sorted(base), {(v, b, x) for _, _, b, v, x in found} | wide
         for _, _, x in values[i][1]:
-            owners[x].add(d.source)
+            holders[x].add((d.source, text))
     n = 0
     for i, (base, mine) in values.items():
-        said = lambda spans: ",".join(f"{secrets.KINDS[k]}:{a}:{b}" for a, k, b in sorted(spans))
-        owned = [(a, 3, b) for a, b, x in mine if len(owners[x]) == 1]
+        said = lambda spans: ",".join(f"{('assign', 'access', 'hex', 'owned')[k]}:{a}:{b}" for a, k, b in sorted(spans))
+        owned = [(a, 3, b) for a, b, x in mine if len({s for s, _ in holders[x]}) == 1 and len(holders[x]) <= 20]
         n += len(owned)
         kinds = [k for _, k, _ in base]
         assert (got[i].n_assign, got[i].n_access, got[i].n_hex) == tuple(kinds.count(k) for k in range(3))
