@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import tracemalloc
 from pathlib import Path
 
 import numpy as np
@@ -249,6 +250,33 @@ def test_tiles_follow_the_definition():
         assert all(text[a : a + k] == item[b : b + k] for a, b, k in got)
 
 
+@pytest.mark.parametrize(("pairs", "held"), [(10**6, 10**5), (7, 3), (1, 1)])
+def test_tiles_in_bounded_memory_follow_the_definition(monkeypatch, pairs, held):
+    """Few pairs and few matches at a time give the tiles of all at once, whatever the item's neighbours are."""
+    monkeypatch.setattr(decontam, "_PAIRS", pairs)
+    monkeypatch.setattr(decontam, "_MATCHES", held)
+    r = random.Random(7)
+    for _ in range(60):
+        items = [np.array([r.randrange(2) + 1 for _ in range(r.randrange(3, 20))], np.uint64) for _ in range(4)]
+        text = np.array([r.randrange(2) + 1 for _ in range(r.randrange(1, 40))], np.uint64)
+        seeds = decontam.Seeds([(str(i), t) for i, t in enumerate(items)], 3)
+        got = {int(i): decontam.greedy_tiles(pairs_of, len(text), len(items[i]), 3) for i, pairs_of in seeds.met(text, 0.0)}
+        for i, item in enumerate(items):
+            assert got.get(i, []) == tiles_brute(text.tolist(), item.tolist(), 3)
+
+
+def test_equal_words_meet_in_bounded_memory():
+    """A text and an item of one repeated word: as many pairs as their product, never held together."""
+    seeds = decontam.Seeds([("a", np.ones(1000, np.uint64))], 5)
+    text = np.ones(20_000, np.uint64)
+    tracemalloc.start()
+    (item, pairs), = seeds.met(text, 0.5)
+    assert decontam.greedy_tiles(pairs, len(text), 1000, 5) == [(0, 0, 1000)]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 300 << 20
+
+
 @pytest.mark.parametrize("at_once", [10**6, 20])
 def test_contamination(spark, at_once):
     item = prose(200, 30).split()
