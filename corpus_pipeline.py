@@ -20,9 +20,10 @@ MASK = "[SECRET]"
 def languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without a language (null, or not one letter) go; ``lang`` becomes what the text says.
 
-    Profiles are learned from the rows themselves that name a language. Nulls in other columns,
-    repeated rows, long texts and columns of any name are kept as they are; an empty table, or
-    one that names no language, gives no rows.
+    Profiles are learned from the rows themselves that name a language; of two languages as
+    near, the first by name is taken. Nulls in other columns, repeated rows, long texts and
+    columns of any name are kept as they are; an empty table, or one that names no language,
+    gives no rows.
     """
     small_batches(spark)
     judged = lang_id.identify(docs, lang_id.language_profiles(docs))
@@ -33,7 +34,9 @@ def languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies stays: proposed by SimHash, an exact Jaccard similarity of 0.8 in five words.
 
-    Documents without an id stay; null and empty texts are equal to each other, so one of them stays.
+    Documents without an id stay; null and empty texts are equal to each other, so one of them
+    stays. Of a group the smallest id stays; rows that repeat id and text stay once. Texts are
+    compared over their whole length, an empty table gives none, and columns of any name stay.
     """
     small_batches(spark)
     return simhash.keep_one(docs, words=5, similarity=0.8).select(docs.columns)
@@ -42,8 +45,9 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark item, in whatever order, go.
 
-    Documents without a text or id stay; repeated rows share their fate; an empty table or
-    benchmark takes nothing away.
+    Documents without a text or id stay; repeated rows share their fate; texts are looked through
+    over their whole length; an empty table or benchmark takes nothing away, and columns of any
+    name stay.
     """
     return decontam.without_contaminated(docs, table(spark, sf_dir, "benchmark")).select(docs.columns)
 
@@ -52,7 +56,7 @@ def secret_masks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     """Secrets in the text are masked, and ``n_chars`` follows.
 
     Null and empty texts stay as they are, repeated rows are masked alike, texts are masked over
-    their whole length, and no row goes.
+    their whole length, and no row goes; columns of any name stay, an empty table gives none.
     """
     masked = secrets.masked(docs, MASK)
     if "n_chars" in docs.columns:
@@ -63,7 +67,8 @@ def secret_masks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of each text, their number, and whether decoding gives the text again.
 
-    A null or empty text has no ids; repeated rows repeat theirs; an empty table gives none.
+    A null or empty text has no ids; repeated rows repeat theirs; texts of any length are encoded
+    whole; an empty table gives none. Other columns than the language and source are left out.
     """
     small_batches(spark)
     coded = bpe_codec.encode_decode(docs.select("doc_id", "text", "lang", "source"), public_tokenizers.path(VOCABULARY))
