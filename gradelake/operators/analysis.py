@@ -16,7 +16,7 @@ def _topics(texts: Column, concepts: Column, module: Column, first: Column) -> C
 
     def topic(t: Column, j: Column) -> Column:
         no = (j + 1).cast("string")
-        held = F.filter(concepts, lambda c: F.contains(F.lower(t), F.lower(c)))
+        held = T.once(F.lower(t), lambda low: F.filter(concepts, lambda c: F.contains(low, F.lower(c))))
         return F.struct(
             F.concat(F.lit("module_"), module, F.lit("_topic_"), no).alias("id"),
             F.concat(F.lit("Topic "), module, F.lit("."), no).alias("title"),
