@@ -1,15 +1,19 @@
 """Work that has to grow with the input alone: patterns run once over a text, nothing is worked out twice, nothing large is shuffled."""
 
+import hashlib
 import random
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 from test_functions import chunks_brute, one
 
 from gradelake.functions import text as T
+from gradelake.llm.common import setting
 from gradelake.operators import chunking
 from gradelake.plans import queries as P
 from gradelake.sources import tables
+from gradelake.sources.tables import longest_share, table
 
 SF = "/root/testdata/sf0.001"
 
@@ -41,3 +45,17 @@ def test_texts_are_cut_once(spark):
 def test_pieces_of_a_table_do_not_grow_with_it(spark, monkeypatch, piece, least):
     monkeypatch.setattr(tables, "_PIECE", piece)
     assert tables.table(spark, SF, "documents", spread=True).rdd.getNumPartitions() >= least * spark.sparkContext.defaultParallelism
+
+
+def test_a_large_table_in_few_row_groups_is_dealt_out(spark, tmp_path):
+    """A row group is one task's, whatever the size of splits: few of them leave the other cores without texts."""
+    n = 4 * spark.sparkContext.defaultParallelism
+    rows = pd.DataFrame({"doc_id": range(800), "text": [hashlib.sha256(str(i).encode()).hexdigest() * 8 for i in range(800)]})
+    with setting(spark, "spark.sql.files.maxPartitionBytes", "2k"):
+        for name, size in (("lumps", 800), ("even", 800 // n)):
+            rows.to_parquet(tmp_path / f"{name}.parquet", row_group_size=size)
+        lumps, even = (table(spark, str(tmp_path), name, spread=True) for name in ("lumps", "even"))
+        assert longest_share(spark.read.parquet(f"{tmp_path}/lumps.parquet")) == 1 and longest_share(lumps) < 2 / spark.sparkContext.defaultParallelism
+        assert "Repartition" not in even._jdf.queryExecution().optimizedPlan().toString()
+        assert sorted(map(tuple, lumps.collect())) == sorted(map(tuple, rows.itertuples(index=False)))
+        assert table(spark, str(tmp_path), "lumps").rdd.getNumPartitions() > 1 and longest_share(lumps.where("false")) == 0
