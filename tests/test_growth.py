@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import time
 
 import pandas as pd
 import pytest
@@ -59,3 +60,17 @@ def test_a_large_table_in_few_row_groups_is_dealt_out(spark, tmp_path):
         assert "Repartition" not in even._jdf.queryExecution().optimizedPlan().toString()
         assert sorted(map(tuple, lumps.collect())) == sorted(map(tuple, rows.itertuples(index=False)))
         assert table(spark, str(tmp_path), "lumps").rdd.getNumPartitions() > 1 and longest_share(lumps.where("false")) == 0
+
+
+def test_what_is_written_leaves_no_shuffle_behind(spark):
+    def held():
+        files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+        return {files.apply(i).getName() for i in range(files.size()) if files.apply(i).getName().startswith("shuffle_")}
+
+    before = held()
+    out = tables.written(spark.range(20000).repartition(4, "id"), "once")
+    for _ in range(50):
+        if held() <= before:
+            break
+        time.sleep(0.1)
+    assert held() <= before and out.count() == 20000 and spark.conf.get(tables._FREED) == "false"
