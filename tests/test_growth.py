@@ -62,6 +62,15 @@ def test_a_large_table_in_few_row_groups_is_dealt_out(spark, tmp_path):
         assert table(spark, str(tmp_path), "lumps").rdd.getNumPartitions() > 1 and longest_share(lumps.where("false")) == 0
 
 
+def test_pieces_are_bounded_by_rows_where_bytes_say_little(spark, tmp_path):
+    """Texts that repeat are stored once: a table of few bytes may hold many, which its pieces have to share."""
+    n = 3 * tables._ROWS * spark.sparkContext.defaultParallelism
+    spark.range(n).select(F.col("id").alias("doc_id"), F.repeat(F.lit("one text "), 400).alias("text")).coalesce(1).write.parquet(f"{tmp_path}/same.parquet")
+    same = table(spark, str(tmp_path), "same", spread=True)
+    rows = same.groupBy(F.spark_partition_id()).count().toPandas()["count"]
+    assert rows.sum() == n and rows.max() < 2 * tables._ROWS
+
+
 def test_what_is_written_leaves_no_shuffle_behind(spark):
     def held():
         files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
