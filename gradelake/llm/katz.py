@@ -9,9 +9,11 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -59,51 +61,75 @@ def pair_code(h: np.ndarray, w: np.ndarray) -> np.ndarray:
     return mix(mix(h) + w) >> np.uint64(16)
 
 
-class _Numbers(dict):
-    """Words numbered as they come."""
-
-    def __missing__(self, word: bytes) -> int:
-        n = self[word] = len(self)
-        return n
-
-
-def words_of(text: str | None) -> list[bytes]:
-    """What ASCII white space parts, with A to Z in lower case."""
-    return (text or "").encode("utf-8", "surrogatepass").lower().split()
+def _runs(column: pa.Array) -> Iterator[pa.Array]:
+    """A column of texts in runs of at most 1,000 texts and, but for longer ones, _FLUSH words: a word and what parts it off are two bytes at least."""
+    size = np.cumsum(pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+    begin = 0
+    while begin < len(column):
+        before = size[begin - 1] if begin else 0
+        end = min(max(int(np.searchsorted(size, before + 2 * _FLUSH, "right")), begin + 1), begin + 1000)
+        yield column.slice(begin, end - begin)
+        begin = end
 
 
 class Gathered:
-    """The words of some texts, numbered by first appearance: numbers 0 and 1 are the borders."""
+    """The words of some texts, numbered by first appearance from 2: numbers 0 and 1 are the borders.
 
-    def __init__(self):
-        self.numbers = _Numbers({b"": 0, b" ": 1})
-        self.parts: list[np.ndarray] = []
-        self.size = 0
+    A word is what ASCII white space parts, with A to Z in lower case.
+    """
 
-    def add(self, text: str | None) -> int:
-        words = words_of(text)
-        self.parts.append(np.fromiter((0, *map(self.numbers.__getitem__, words), 1), np.uint64, len(words) + 2))
-        self.size += len(words) + 1
-        return len(words) + 1
+    def __init__(self):
+        self.words: list[pa.Array] = []
+        self.tokens: list[np.ndarray] = []
+        self.texts = self.size = 0
+
+    def add(self, texts: pa.Array) -> np.ndarray:
+        """The number of tokens of each text: its words and one end."""
+        parted = pc.ascii_split_whitespace(pc.ascii_lower(texts.fill_null("")))
+        words = parted.flatten()
+        real = pc.binary_length(words).to_numpy(zero_copy_only=False) > 0  # blanks at the ends part off empty ones
+        places = np.concatenate([[0], np.cumsum(parted.value_lengths().to_numpy(zero_copy_only=False), dtype=np.int64)])
+        tokens = np.diff(np.concatenate([[0], np.cumsum(real, dtype=np.int64)])[places]) + 1
+        self.words.append(words if real.all() else words.filter(pa.array(real)))
+        self.tokens.append(tokens)
+        self.texts += len(texts)
+        self.size += int(tokens.sum())
+        return tokens
 
     @property
     def full(self) -> bool:
-        return self.size >= _FLUSH or len(self.parts) >= 60_000
+        return self.size >= _FLUSH or self.texts >= 60_000
+
+    @cached_property
+    def _encoded(self) -> pa.DictionaryArray:
+        words = pa.concat_arrays(self.words)
+        self.words.clear()
+        return words.dictionary_encode()
+
+    def numbered(self) -> tuple[np.ndarray, np.ndarray]:
+        """The number of each token, in order, and the place after each text's last one."""
+        ends = np.cumsum(np.concatenate(self.tokens))
+        x = np.ones(self.size, np.uint64)
+        inside = np.ones(self.size, bool)
+        inside[ends - 1] = False
+        x[inside] = self._encoded.indices.to_numpy(zero_copy_only=False).astype(np.uint64) + np.uint64(2)
+        return x, ends
 
     def hashes(self) -> np.ndarray:
-        return np.fromiter((xxhash.xxh64_intdigest(w) for w in self.numbers), np.uint64, len(self.numbers)) & _MASK
+        words = self._encoded.dictionary.cast(pa.large_binary())
+        _, places, data = words.buffers()
+        at = np.frombuffer(places, np.int64)[words.offset : words.offset + len(words) + 1].tolist()
+        word = (data.to_pybytes() if data else b"").__getitem__
+        found = np.fromiter(map(xxhash.xxh64_intdigest, map(word, map(slice, at, at[1:]))), np.uint64, len(words)) & _MASK
+        return np.concatenate([np.array([START, END], np.uint64), found])
 
     def triples(self) -> np.ndarray:
         """history << 40 | word << 16 | text, one for each word and end, in order."""
-        x = np.concatenate(self.parts)
-        of = np.repeat(np.arange(len(self.parts), dtype=np.uint64), [len(p) for p in self.parts])
-        inside = x[1:] != 0
-        return np.sort((x[:-1] << np.uint64(40) | x[1:] << np.uint64(16) | of[1:])[inside])
-
-
-def _texts(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[tuple[pa.RecordBatch, list]]:
-    for batch in batches:
-        yield batch, batch.column(column).to_pylist()
+        x, ends = self.numbered()
+        history = np.concatenate([np.zeros(1, np.uint64), x[:-1]])
+        history[ends[:-1]] = 0
+        of = np.repeat(np.arange(self.texts, dtype=np.uint64), np.concatenate(self.tokens))
+        return np.sort(history << np.uint64(40) | x << np.uint64(16) | of)
 
 
 def word_counts(texts: DataFrame) -> DataFrame:
@@ -113,16 +139,17 @@ def word_counts(texts: DataFrame) -> DataFrame:
         held = Gathered()
 
         def out() -> pa.RecordBatch:
-            n = np.bincount(np.concatenate(held.parts).astype(np.int64), minlength=len(held.numbers))
-            return pa.RecordBatch.from_arrays([pa.array(held.hashes()[1:].astype(np.int64)), pa.array(n[1:])], ["w", "c"])
-
-        for _, some in _texts(batches, "text"):
-            for t in some:
-                held.add(t)
-            if held.full:
-                yield out()
-                held = Gathered()
-        if held.parts:
+            hashes = held.hashes()
+            n = np.bincount(held.numbered()[0].astype(np.int64), minlength=len(hashes))
+            return pa.RecordBatch.from_arrays([pa.array(hashes[1:].astype(np.int64)), pa.array(n[1:])], ["w", "c"])
+
+        for batch in batches:
+            for some in _runs(batch.column("text")):
+                held.add(some)
+                if held.full:
+                    yield out()
+                    held = Gathered()
+        if held.texts:
             yield out()
 
     found = texts.select("text").mapInArrow(counted, "w long, c long")
@@ -242,13 +269,13 @@ def packed_counts(texts: DataFrame, shared) -> DataFrame:
                 row = [[s], [pack(h)], [n.astype("<u4").tobytes()], [w], [places.astype("<u4").tobytes()]]
                 yield pa.RecordBatch.from_arrays([pa.array(row[0], pa.int32()), *(pa.array(x, pa.binary()) for x in row[1:])], ["slice", "h", "n", "w", "c"])
 
-        for _, some in _texts(batches, "text"):
-            for t in some:
-                held.add(t)
+        for batch in batches:
+            for some in _runs(batch.column("text")):
+                held.add(some)
                 if held.full:
                     yield from out(held)
                     held = Gathered()
-        if held.parts:
+        if held.texts:
             yield from out(held)
 
     return texts.select("text").mapInArrow(counted, PACKED)
@@ -399,14 +426,14 @@ def _requests(rows: DataFrame, shared, parts) -> DataFrame:
 
         for batch in batches:
             id_type, own, n_tokens = batch.column("id").type, batch.column("key").to_pylist(), []
-            for t, key in zip(batch.column("text").to_pylist(), own, strict=True):
-                n_tokens.append(held.add(t))
-                keys.append(key)
+            for some in _runs(batch.column("text")):
+                keys += own[len(n_tokens) : len(n_tokens) + len(some)]
+                n_tokens += held.add(some).tolist()
                 if held.full:
                     yield from out(id_type)
                     held, keys = Gathered(), []
             yield row(len(own), id_type, key=own, id=batch.column("id"), n_tokens=n_tokens, part=[k % 2**31 for k in own])
-        if held.parts:
+        if held.texts:
             yield from out(id_type)
 
     kind = rows.schema["id"].dataType.simpleString()
