@@ -7,6 +7,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
+from gradelake.llm.common import setting
 from gradelake.operators import retrieval
 
 
@@ -70,3 +71,30 @@ def test_common_terms_are_not_looked_up(spark, monkeypatch):
     assert all(x.query_id == x.doc_id for x in got) and len(got) == len(q)
     assert sizes["looked-up"].where(F.col("term").startswith("the ")).count() == 0
     assert sizes["seeds"].count() < 0.05 * len(q) * len(c)
+
+
+def test_terms_number_the_occurrences_of_words(spark):
+    """Also of words that occur more often than neighbours are compared one by one."""
+    r = random.Random(8)
+    texts = ["", "one", "the " * 30 + "end", *(" ".join(r.choices(["the", "And", "for", "rare", "zz"], [20, 5, 3, 1, 1], k=n)) for n in (5, 40, 200))]
+    c = spark.createDataFrame([(i, 0, t, 0.9) for i, t in enumerate(texts)], "doc_id long, chunk_id int, text string, grounding_score double")
+    index = retrieval.indexed(c)
+    for row in index.collect():
+        held = collections.Counter(re.findall("[a-z]{3,}", row.text.lower()))
+        assert row.terms == [f"{w} {k}" for w in sorted(held) for k in range(-1, held[w] - 1)] and row.n_chunk == held.total()
+    terms = index._jdf.queryExecution().optimizedPlan().toString().split("AS terms")[0]
+    assert terms.count("array_position") == 1 and "CASE WHEN" in terms
+
+
+def test_the_index_is_not_shuffled(spark, monkeypatch):
+    """What is looked up goes to the chunks: no stage deals out their terms."""
+    plans, written = {}, retrieval.written
+    monkeypatch.setattr(retrieval, "written", lambda df, name: plans.setdefault(name, df) and written(df, name))
+    monkeypatch.setattr(retrieval, "_GROUP", 3)
+    c = retrieval.indexed(spark.range(0, 400, 1, 4).selectExpr("id as doc_id", "0 as chunk_id", "concat('alpha beta w', chr(97 + id % 26), 'xyz') as text", "0.9D as grounding_score"))
+    q = spark.createDataFrame([(i, f"alpha w{chr(97 + i)}xyz") for i in range(8)], "query_id long, query string")
+    with setting(spark, "spark.sql.autoBroadcastJoinThreshold", "-1"):
+        out = retrieval.scored_chunks(q, written(c, "index"), 2)
+        assert sorted((r.query_id, r.doc_id, r["rank"]) for r in out.collect()) == sorted((i, i + 26 * (k - 1), k) for i in range(8) for k in (1, 2))
+        physical = plans["scored-seeds"]._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in physical and "Exchange hashpartitioning" not in physical
