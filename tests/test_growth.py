@@ -12,6 +12,7 @@ from test_functions import chunks_brute, one
 from gradelake.functions import text as T
 from gradelake.llm.common import setting
 from gradelake.operators import chunking
+from gradelake.plans import domain as D
 from gradelake.plans import queries as P
 from gradelake.sources import tables
 from gradelake.sources.tables import longest_share, table
@@ -42,6 +43,13 @@ def test_texts_are_cut_once(spark):
         assert max(optimized.count("aggregate("), optimized.count("regexp_extract_all(") // 4) == 1
 
 
+def test_stored_chunks_hold_what_modules_read(spark):
+    """Modules read places and texts: tokens are not counted for them, nor digests made."""
+    stored, read = (D.headed_chunks(spark, SF, stored=x).select("doc_id", "chunk_id", "text") for x in (True, False))
+    assert set(D.headed_chunks(spark, SF, stored=True).columns) == {"doc_id", "chunk_id", "text"}
+    assert stored.exceptAll(read).count() == read.exceptAll(stored).count() == 0 and read.count() > 0
+
+
 @pytest.mark.parametrize(("piece", "least"), [(32 << 20, 1), (1 << 12, 8)])
 def test_pieces_of_a_table_do_not_grow_with_it(spark, monkeypatch, piece, least):
     monkeypatch.setattr(tables, "_PIECE", piece)
